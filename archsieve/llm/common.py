@@ -51,7 +51,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[C
     another text; rows that repeat both share a key and therefore a result.
     """
     both = F.concat_ws("\x00", docs[doc_id].cast("string"), docs[text])
-    return [F.xxhash64(docs[doc_id], docs[text]).alias("_k"), F.crc32(both.cast("binary")).cast("int").alias("_c")]
+    return [F.xxhash64(docs[doc_id], docs[text]).alias("_k"), F.crc32(both.cast("binary")).alias("_c")]
 
 
 def texts(batch: pa.RecordBatch, column: str = "text", rows: int = 256):

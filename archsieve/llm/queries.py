@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.llm import bpe, langid, tokens
-from archsieve.llm.common import scratch
+from archsieve.llm import bpe, decontam, hyperminhash, langid, ordinal, rules, suffix, tokens, warc
+from archsieve.llm.common import scratch, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.grade(docs, ordinal.fit(docs, ordinal.graded(table(spark, sf_dir, "labels"))))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stored(rules.statistics(table(spark, sf_dir, "documents")), "rule-counts")
+    found = rules.learn(counts, table(spark, sf_dir, "labels"))
+    failed = rules.base_failed()
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & rules.verdict(found)).alias("kept"))
+
+
+def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = scratch(spark, "warc")
+    warc.write(pages, folder)
+    return warc.read(spark, folder, pages.schema["page_id"].dataType).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,5 +58,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op8_byte_bpe)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.deduplicate(table(spark, sf_dir, "documents"), size=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
 ORACLES: dict[str, str] = {}
