@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.llm import bpe, decontam, hyperminhash, langid, ordinal, rules, suffix, tokens, warc
+from archsieve.llm import bpe, decontam, hyperminhash, langid, lmscore, ordinal, rules, suffix, tokens, warc
 from archsieve.llm.common import scratch, stored
 
 
@@ -43,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & rules.verdict(found)).alias("kept"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0")
+    return lmscore.score(table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
 def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = scratch(spark, "warc")
@@ -67,5 +72,5 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.deduplicate(table(spark, sf_dir, "documents"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op6_lm_scoring, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
 ORACLES: dict[str, str] = {}
