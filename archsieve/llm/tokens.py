@@ -47,14 +47,15 @@ def piece_counter(path: str):
     vocabulary = [library.id_to_piece(i) for i in range(library.vocab_size())]
     parted = not any(re.search(f"[^{MARK}]{MARK}", p) for p in vocabulary) and library.encode("a  b c", out_type=str) == [MARK + "a", MARK, MARK + "b", MARK + "c"]
     parts = re.compile(" +[^ ]*|[^ ]+").findall
-    known: dict[str, int] = {}
+    known: dict[str, int] = {" ": 1}
 
     def count(batch: list[str]) -> list[int]:
         if not parted:
             return [len(x) for x in library.encode(batch, num_threads=1)]
         if len(known) > KEPT_PIECES:
             known.clear()
-        cut = [None if MARK in t else parts(t) for t in batch]
+            known[" "] = 1
+        cut = [None if MARK in t or not t.strip(" ") else parts(t) for t in batch]
         new = list({p for c in cut if c for p in c[1:] if p not in known})
         known.update(zip(new, map(len, library.encode([p[1:] for p in new], num_threads=1))))
         heads = [t if c is None else c[0] if c else "" for t, c in zip(batch, cut)]
