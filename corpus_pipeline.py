@@ -19,10 +19,15 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PASSAGE_BYTES = 200
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): each row as one struct, so that no column of it clashes with those of an operator."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier selects."""
     model = ordinal.fit(docs, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return ordinal.grade(docs, model, keep=tuple(docs.columns)).where("selected").select(*docs.columns)
+    return ordinal.grade(whole(docs), model, keep=("row",)).where("selected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +35,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that repeat an id are one document and stay together; rows without an id stay."""
     found = hyperminhash.deduplicate(docs)
     keep = found.where("kept or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    return whole(docs).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without bytes of strings that occur elsewhere too. A character that a cut goes through is dropped;
     a null text stays null."""
     found = suffix.deduplicate(docs, PASSAGE_BYTES).where("n_removed > 0").select("_k", "_c", "kept").dropDuplicates(["_k", "_c"])
-    rows = docs.select(*docs.columns, *keyed(docs)).join(found, ["_k", "_c"], "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    whole = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    body = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(whole)
-    return rows.withColumn("text", body).withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    rows = whole(docs)
+    rows = rows.select("row", *keyed(rows)).join(found, ["_k", "_c"], "left")
+    kept = F.col("kept").cast("string")
+    cut = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+    row = F.col("row").withField("text", cut)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length(cut).cast(docs.schema["n_chars"].dataType))
+    return rows.select(F.when(F.col("kept").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark contaminates."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select("_k", "_c").distinct()
-    return docs.select(*docs.columns, *keyed(docs)).join(bad, ["_k", "_c"], "left_anti").select(*docs.columns)
+    rows = whole(docs)
+    return rows.select("row", *keyed(rows)).join(bad, ["_k", "_c"], "left_anti").select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
