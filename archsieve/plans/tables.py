@@ -389,17 +389,17 @@ VIEWS["changes"] = """SELECT user_id, unnest(CASE WHEN a IS NULL THEN [{'field':
     CASE WHEN len(plus) > 0 THEN {'field': 'never_imports', 'classification': 'narrowing', 'detail': '+' || array_to_string(plus, ',')} END, CASE WHEN len(minus) > 0 THEN {'field': 'never_imports', 'classification': 'widening', 'detail': '-' || array_to_string(minus, ',')} END],
     lambda x: x IS NOT NULL) END) AS c FROM (SELECT *, list_filter(b, lambda x: NOT list_contains(a, x)) AS plus, list_filter(a, lambda x: NOT list_contains(b, x)) AS minus FROM sides)"""
 NEEDS["changes"] = ["sides"]
-VIEWS["plain_sides"] = VIEWS["sides"].replace(" || event_id % 6", "")
+VIEWS["plain_sides"] = VIEWS["sides"].replace(" || event_id % 6", "").replace("ts < TIMESTAMP '2024-01-16'", "ts < TIMESTAMP '2024-01-03'").replace("ts >= TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-29'")
 VIEWS["plain_changes"] = VIEWS["changes"].replace("FROM sides", "FROM plain_sides")
 NEEDS["plain_changes"] = ["plain_sides"]
 
 
 def sides(spark: SparkSession, sf_dir: str, plain: bool = False) -> tuple[DataFrame, DataFrame]:
     events = tables.table(spark, sf_dir, "events")
-    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in (("2024-01-03", "2024-01-29") if plain else ("2024-01-16", "2024-01-16")))
     value = F.col("event_type") if plain else F.concat("event_type", (F.col("event_id") % 6).cast("string"))
     side = lambda test: events.where(test).groupBy("user_id").agg(F.array_sort(F.collect_set(value)).alias("never_imports"))
-    return side(F.col("ts") < cut), side(F.col("ts") >= cut)
+    return side(F.col("ts") < first), side(F.col("ts") >= last)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,12 +426,12 @@ NEEDS["moves"] = ["plain_changes"]
 
 @query(
     """SELECT widened, narrowed, field, payload, CASE WHEN count(*) OVER (PARTITION BY narrowed, field, payload) = 1 AND count(*) OVER (PARTITION BY widened, field, payload) = 1 THEN 'offset' ELSE 'ambiguous' END AS result FROM (
-    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, w.payload FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.payload = n.payload AND abs(w.user_id - n.user_id) BETWEEN 1 AND 6)""",
+    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, w.payload FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.payload = n.payload AND abs(w.user_id - n.user_id) BETWEEN 1 AND 2)""",
     "moves",
 )
 def compensation(spark, sf_dir):
     moved = snapshots.diff(*sides(spark, sf_dir, plain=True), key="user_id").where("field = 'never_imports'")
-    near = moved.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 6)))
+    near = moved.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 2)))
     return snapshots.compensations(moved, near, "user_id")
 
 
