@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Modules that the runtime has built in.
 BUILTINS = (
-    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https",
-    "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "test", "timers", "tls", "trace_events",
-    "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+    "_http_agent", "_http_client", "_http_common", "_http_incoming", "_http_outgoing", "_http_server", "_stream_duplex", "_stream_passthrough", "_stream_readable", "_stream_transform", "_stream_wrap",
+    "_stream_writable", "_tls_common", "_tls_wrap", "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain",
+    "events", "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "sea", "sqlite", "stream",
+    "string_decoder", "sys", "test", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
 )
 
 
@@ -49,4 +50,4 @@ def first_segment(module: Column) -> Column:
 
 def tidy(names: Column) -> Column:
     """Trimmed, without blanks and doubles, in order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(names, F.trim), lambda s: s != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda s: F.trim(s)), lambda s: s != "")))

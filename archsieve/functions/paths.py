@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Directories that discovery leaves out by default.
-SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache", "out", "target", "vendor", "generated", ".pnpm", ".yarn")
+SKIPPED = ("node_modules", ".next", ".turbo", ".nuxt", ".svelte-kit", ".astro", ".output", "dist", "build", "coverage", "generated", "target", "vendor", ".git")
 #: Extensions of source files.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
 

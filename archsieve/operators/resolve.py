@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archsieve.functions import names, paths
 
 #: What is tried after a specifier, in order.
-ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.json")
 #: What a written extension may stand for, in order.
 ALIASES = {".js": (".ts", ".tsx", ".js", ".jsx"), ".jsx": (".tsx", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
 FIRST, THIRD, NONE = "first_party", "third_party", "unresolved"

@@ -485,7 +485,7 @@ VIEWS["there"] = """SELECT DISTINCT 'src/x/d' || (c_custkey % 97) || '/m' || (c_
 VIEWS["stems"] = """SELECT *, CASE WHEN specifier LIKE './%' THEN 'src/x/d' || dir || '/' || substr(specifier, 3) WHEN specifier LIKE '../%' THEN 'src/x/' || substr(specifier, 4) END AS stem FROM requests"""
 NEEDS["stems"] = ["requests"]
 VIEWS["candidates"] = """SELECT dir, specifier, n, CASE WHEN stem LIKE '%.js' THEN CASE n WHEN 0 THEN stem[:-4] || '.ts' WHEN 1 THEN stem[:-4] || '.tsx' WHEN 2 THEN stem WHEN 3 THEN stem[:-4] || '.jsx' END ELSE CASE n WHEN 0 THEN stem WHEN 1 THEN stem || '.ts' WHEN 2 THEN stem || '.tsx' WHEN 3 THEN stem || '.js'
-    WHEN 4 THEN stem || '.jsx' WHEN 5 THEN stem || '.mts' WHEN 6 THEN stem || '.cts' WHEN 7 THEN stem || '.mjs' WHEN 8 THEN stem || '.cjs' WHEN 9 THEN stem || '/index.ts' WHEN 10 THEN stem || '/index.tsx' WHEN 11 THEN stem || '/index.js' ELSE stem || '/index.jsx' END END AS path FROM stems, unnest(range(13)) AS t(n)"""
+    WHEN 4 THEN stem || '.jsx' WHEN 5 THEN stem || '.json' WHEN 6 THEN stem || '/index.ts' WHEN 7 THEN stem || '/index.tsx' WHEN 8 THEN stem || '/index.js' WHEN 9 THEN stem || '/index.jsx' ELSE stem || '/index.json' END END AS path FROM stems, unnest(range(11)) AS t(n)"""
 NEEDS["candidates"] = ["stems"]
 
 
@@ -545,12 +545,12 @@ def package_names(spark, sf_dir):
 
 
 @query(
-    """SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, len(string_split(path, '/'))::INT AS parts, path LIKE '%.ts' AS is_source, path LIKE '%/out/%' AS skipped FROM (SELECT replace(path, 'supplier', 'out') AS path FROM files)""",
+    """SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, len(string_split(path, '/'))::INT AS parts, path LIKE '%.ts' AS is_source, path LIKE '%/dist/%' AS skipped FROM (SELECT replace(path, 'supplier', 'dist') AS path FROM files)""",
     "files",
 )
 def path_scalars(spark, sf_dir):
     p = F.col("path")
-    moved = tables.files(spark, sf_dir).select(F.replace("path", F.lit("supplier"), F.lit("out")).alias("path"))
+    moved = tables.files(spark, sf_dir).select(F.replace("path", F.lit("supplier"), F.lit("dist")).alias("path"))
     return moved.select("path", paths.directory(p).alias("directory"), F.size(paths.sort_key(p)).alias("parts"), paths.is_source(p).alias("is_source"), paths.skipped(p).alias("skipped"))
 
 
