@@ -2,14 +2,14 @@
 
 Two n-gram models of order ``ORDER``, one of target documents and one of all documents, share one vocabulary:
 the 256 byte values, with a space before and after each word. A word's loss is the sum over its
-tokens (bytes and the end of the word), so each distinct word is scored once and a document adds up the
+tokens (bytes and the end of the word); each distinct word of a block is scored once and a document adds up the
 losses of its words. The score is the difference of the losses a token, target minus background: the
 lower, the more a text is like the target.
 
 Models are tables: counts of all n-grams of all documents, smoothed from order to order,
 p(b | c) = (count(cb) + PRIOR * p(b | shorter c)) / (count(c) + PRIOR). Nothing is sampled, and
-nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only distinct words of a block move to the
-counts and back, so one word that is everywhere costs a row a block.
+nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only the distinct n-grams of a block's words move to
+the counts and back as probabilities, so one n-gram that is everywhere costs a row a block.
 
 Null and empty texts have no tokens: losses 0, score null. Without target documents the target model is
 uniform. Repeated rows give repeated results. Rows without an id are scored and never target.
@@ -30,6 +30,8 @@ from archsieve.llm.common import stored
 
 ORDER, PRIOR, SYMBOLS = 5, 5.0, 256
 BLOCK_BYTES = 16 << 20
+#: Distinct words whose n-grams are laid out at a time.
+PART = 50_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -58,8 +60,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     return docs.select(block.alias("block"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n
 
 
-def word_counts(dealt: DataFrame, target: DataFrame, n: int) -> DataFrame:
-    """(block, word, target, background): how often each block's words occur. target: ids (doc_id)."""
+def gram_counts(dealt: DataFrame, target: DataFrame, n: int) -> DataFrame:
+    """(block, gram, target, background): how often each block's n-grams occur. target: ids (doc_id)."""
     flags = target.where("doc_id is not null").select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)).alias("block"), "doc_id").distinct()
 
     def count(docs: pa.Table, flagged: pa.Table) -> pa.Table:
@@ -73,24 +75,26 @@ def word_counts(dealt: DataFrame, target: DataFrame, n: int) -> DataFrame:
                 if i in wanted:
                     some.update(words)
         block = docs["block"][0].as_py() if docs.num_rows else flagged["block"][0].as_py()
-        return pa.table({"block": pa.array([block] * len(every), pa.int64()), "word": pa.array(list(every), pa.binary()), "target": pa.array([some.get(w, 0) for w in every], pa.int64()), "background": pa.array(list(every.values()), pa.int64())})
-
-    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(count, "block long, word binary, target long, background long")
-
+        words = list(every)
+        parts = []
+        for start in range(0, len(words), PART):
+            part = words[start : start + PART]
+            owner, code = grams(part)
+            found, at = np.unique(code, return_inverse=True)
+            weights = (np.array([c.get(w, 0) for w in part], dtype=np.float64)[owner] for c in (some, every))
+            parts.append((found, *(np.bincount(at, w, minlength=len(found)).astype(np.int64) for w in weights)))
+        found, *sums = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        found, at = np.unique(found, return_inverse=True)
+        return pa.table({"block": pa.array(np.full(len(found), block)), "gram": pa.array(found), **{k: pa.array(np.bincount(at, x, minlength=len(found)).astype(np.int64)) for k, x in zip(("target", "background"), sums)}})
 
-def model(words: DataFrame) -> DataFrame:
-    """(gram, target, background): natural log probabilities of each n-gram's last token."""
+    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(count, "block long, gram long, target long, background long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, code = grams(batch.column(0).to_pylist())
-            found, at = np.unique(code, return_inverse=True)
-            columns = [np.bincount(at, batch.column(k).to_numpy()[owner], minlength=len(found)).astype(np.int64) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, columns)], names=["gram", "target", "background"])
 
+def model(counts: DataFrame) -> DataFrame:
+    """(gram, target, background): natural log probabilities of each n-gram's last token. counts: (gram, target, background)."""
     both = ("target", "background")
     total = lambda: [F.sum(k).alias(k) for k in both]
-    whole = stored(words.select("word", *both).mapInArrow(count, "gram long, target long, background long").groupBy("gram").agg(*total()), "grams")
+    whole = stored(counts.groupBy("gram").agg(*total()), "grams")
     lower: DataFrame | None = None
     for order in range(1, ORDER + 1):
         here = whole if order == ORDER else whole.groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(*total())
@@ -109,36 +113,33 @@ def model(words: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def word_losses(words: DataFrame, grams_of: DataFrame) -> DataFrame:
-    """(word, tokens, target, background): the losses in nats of each distinct word."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                owner, code = grams(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(code)], names=["word", "gram"])
-
-    rows = words.select("word").mapInArrow(spread, "word binary, gram long")
-    return rows.join(grams_of, "gram").groupBy("word").agg(F.count("*").alias("tokens"), F.sum(-F.col("target")).alias("target"), F.sum(-F.col("background")).alias("background"))
-
-
 def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of every row. target: the ids of the target documents."""
     dealt, n = blocks(docs, doc_id, text)
-    counts = stored(word_counts(dealt, target, n), "block-words")
-    words = stored(counts.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "words")
-    losses = word_losses(words, model(words))
-    back = counts.select("block", "word").join(losses, "word")
+    counts = stored(gram_counts(dealt, target, n), "block-grams")
+    back = counts.select("block", "gram").join(model(counts), "gram")
     kind = dealt.schema["doc_id"]
 
     def add(rows: pa.Table, known: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(known["word"].to_pylist())}
-        table = np.stack([known[k].to_numpy().astype(np.float64) for k in ("tokens", "target", "background")]) if known.num_rows else np.zeros((3, 0))
+        code = known["gram"].to_numpy()
+        order = np.argsort(code)
+        code = code[order]
+        chance = np.stack([known[k].to_numpy()[order] for k in ("target", "background")])
+        losses: dict[bytes, int] = {}
+        table = [np.zeros((3, 0))]
         out = []
         for batch in rows.to_batches(max_chunksize=256):
-            for t in batch.column(2).to_pylist():
-                at = [number[w] for w in words_of(t)]
-                out.append(table[:, at].sum(axis=1) if at else np.zeros(3))
+            bodies = [words_of(t) for t in batch.column(2).to_pylist()]
+            new = list({w for ws in bodies for w in ws if w not in losses})
+            if new:
+                owner, at = grams(new)
+                at = np.searchsorted(code, at)
+                table.append(np.stack([np.bincount(owner, minlength=len(new)).astype(np.float64), *(-np.bincount(owner, c[at], minlength=len(new)) for c in chance)]))
+                losses.update(zip(new, range(len(losses), len(losses) + len(new))))
+                table = [np.concatenate(table, axis=1)]
+            for ws in bodies:
+                at = [losses[w] for w in ws]
+                out.append(table[0][:, at].sum(axis=1) if at else np.zeros(3))
         sums = np.array(out).reshape(-1, 3)
         with np.errstate(invalid="ignore", divide="ignore"):
             difference = (sums[:, 1] - sums[:, 2]) / sums[:, 0]

@@ -2,8 +2,8 @@
 
 Places. Every string of ``length`` bytes holds, at a place that depends on its content alone, its least
 hashed gram of ``GRAM`` bytes. These grams are the corpus' anchors, about two for each ``length`` bytes, and
-equal strings share an anchor. Anchors are grouped by their gram; anchors whose whole surroundings
-are equal are counted together first, so copies collapse before anything else.
+equal strings have equal anchors. Anchors are grouped by their gram; anchors whose whole surroundings
+(the bytes of all strings that have this anchor) are equal are counted together first, so copies collapse before anything else.
 
 Suffix sort. In a group with different surroundings, the suffixes that start at the anchors are put in
 order by mergesort, and so are the prefixes that end there, read backwards. Two suffixes are compared
@@ -34,11 +34,11 @@ from archsieve.llm.common import keyed, stored
 
 LENGTH, GRAM = 400, 32
 #: Different surroundings of one gram up to which a group is sorted in one task.
-HOT = 4_000
+HOT = 2_000
 #: Strings of a hot group that are counted as one block.
 BLOCK = 16
 #: Bytes of a text that are searched at a time, and anchors that are sorted at a time.
-PIECE, SORTED = 1 << 20, 16_384
+PIECE, SORTED = 1 << 20, 2_048
 
 BASE = 0x9E3779B97F4A7C15
 SIGN = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)  # what each byte counts in a hash
@@ -72,41 +72,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
-    """The best (np.minimum or np.maximum) of each ``width`` entries in a row."""
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` entries in a row."""
     n = len(x) - width + 1
-    fill = np.uint64(0xFFFFFFFFFFFFFFFF) if best is np.minimum else np.uint64(0)
-    rows = np.concatenate([x, np.full(-len(x) % width, fill, dtype=np.uint64)]).reshape(-1, width)
-    to_right = best.accumulate(rows, axis=1).ravel()
-    to_left = best.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(to_left[:n], to_right[width - 1 : width - 1 + n])
+    rows = np.concatenate([x, np.full(-len(x) % width, np.iinfo(x.dtype).max, dtype=x.dtype)]).reshape(-1, width)
+    to_right = np.minimum.accumulate(rows, axis=1).ravel()
+    to_left = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(to_left[:n], to_right[width - 1 : width - 1 + n])
 
 
-def anchors_of(bodies: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, gram hash) of the least gram of every string of ``length`` bytes, in order."""
+def anchors_of(bodies: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, place, gram hash, before, after): the leftmost least gram of every string of ``length`` bytes. Each string
+    has one anchor; strings with one anchor start from ``before`` bytes left of it on and end ``after`` bytes right of it at most."""
     parts = [(i, at, b[at : at + PIECE + length - 1]) for i, b in enumerate(bodies) for at in range(0, max(len(b) - length + 1, 0), PIECE)]
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 5
     sizes = np.array([len(p[2]) for p in parts])
     raw = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint8)
     q = prefixes(raw)
     _, down = POWERS.upto(len(raw) + 1)
     h = mixed((q[gram:] - q[:-gram]) * down[: len(raw) - gram + 1])
-    width = length - gram + 1
-    least = sliding(h, width, np.minimum)
+    place_bits = np.uint64(len(raw).bit_length())
+    keys = (h >> place_bits << place_bits) | np.arange(len(h), dtype=np.uint64)
+    least = sliding_least(keys, length - gram + 1)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    inside = ends[: len(least)] - np.arange(len(least)) >= length  # strings that lie in one text
-    least[~inside] = 0
-    most = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    at = np.flatnonzero((h == most[: len(h)]) & (most[: len(h)] > 0))
+    inside = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= length)  # strings that lie in one text
+    at = (least[inside] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    first, last = inside[new], inside[np.concatenate([new[1:], [len(at)]]) - 1]
+    at = at[new]
     starts = np.cumsum(sizes) - sizes
     part = np.searchsorted(starts, at, side="right") - 1
     text = np.array([p[0] for p in parts])[part]
     place = at - starts[part] + np.array([p[1] for p in parts])[part]
-    if len(parts) > 1 and max(p[1] for p in parts):  # overlapping pieces may find an anchor twice
-        _, first = np.unique(np.stack([text, place]), axis=1, return_index=True)
-        text, place, at = text[first], place[first], at[first]
-    return text, place, h[at]
+    return text, place, h[at].view(np.int64), at - first, last + length - at
 
 
 class Suffixes:
@@ -238,26 +237,32 @@ def shared_strings(group: np.ndarray, around: list[bytes], left: np.ndarray, len
     return list(zip(use[row].tolist(), begin.tolist(), (end - 1).tolist()))
 
 
+def sized_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with at most PIECE bytes of text, or one row."""
+    start = 0
+    while start < batch.num_rows:
+        part = batch.slice(start, 256)
+        bodies = [(t or "").encode() for t in part.column(column).to_pylist()]
+        fit = max(1, int(np.searchsorted(np.cumsum([len(b) for b in bodies]), PIECE, side="right")))
+        yield part.slice(0, fit), bodies[:fit]
+        start += fit
+
+
 PLACE = "_k long, _c long, g long, x long, pos int, before int, after int"
 
 
 def places(docs: DataFrame, length: int) -> DataFrame:
-    """The anchors of all texts: gram g, digest x of the surroundings, and how far these reach."""
+    """The anchors of all texts: gram g, digest x of the surroundings that their strings cover, and how far these reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - GRAM
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                bodies = [(t or "").encode() for t in part.column(2).to_pylist()]
-                text, place, g = anchors_of(bodies, length)
+            for part, bodies in sized_slices(batch, 2):
+                text, place, g, before, after = anchors_of(bodies, length)
                 if not len(text):
                     continue
-                size = np.array([len(b) for b in bodies])[text]
-                before, after = np.minimum(place, reach), np.minimum(size - place, length)
                 x = [xxhash.xxh3_64_intdigest(bodies[i][p - b : p + a], b) for i, p, b, a in zip(text.tolist(), place.tolist(), before.tolist(), after.tolist())]
                 rows = pa.array(text)
-                columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g.view(np.int64)), pa.array(np.array(x, dtype=np.uint64).view(np.int64)), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
+                columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g), pa.array(np.array(x, dtype=np.uint64).view(np.int64)), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_k", "_c", "g", "x", "pos", "before", "after"])
 
     return docs.select("_k", "_c", "text").mapInArrow(run, PLACE)

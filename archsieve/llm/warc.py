@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ MANIFEST = "shard int, file string, temporary string, records long, bytes long,
 #: Sampled ids for each shard, and most shards: together the bound of what the driver gathers.
 SAMPLED, MOST_SHARDS = 20, 20_000
 NO_ID = "none"
-EMPTY = base64.b32encode(hashlib.sha1(b"").digest()).decode()
+#: Compressed bytes that the reader takes at a time.
+STEP = 8 << 10
 
 
 def folder_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -90,7 +92,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
         missing = ids.isna().to_numpy()
         out = np.zeros(len(ids), dtype="int32")
         out[~missing] = np.searchsorted(np.array(cuts), ids[~missing].to_numpy().astype(np.array(cuts).dtype), side="right")
-        return __import__("pandas").Series(out)
+        return pd.Series(out)
 
     digest = F.sha1("body")
     small = rows.where(F.octet_length("body") >= least_bytes).select("page_id", digest.alias("digest"))
@@ -167,10 +169,16 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a file of gzip members."""
-    while content:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(content)
-        content = z.unused_data
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, raw = zlib.decompressobj(31), b""
+        while not z.eof:  # by small steps, for what is left over of a step is copied
+            step = view[at : at + STEP]
+            if not len(step):
+                raise ValueError("a record is cut short")
+            raw += z.decompress(step)
+            at += len(step)
+        at -= len(z.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
