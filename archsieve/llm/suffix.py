@@ -385,12 +385,13 @@ def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     """The keyed documents (_k, _c, doc_id, text), and (_k, _c, spans): overlapping [begin, stop) that cover all repeated bytes."""
     bodies = docs.select(*keyed(docs, doc_id, text), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     all_places = stored(places(bodies, length), "anchors")
-    shared = all_places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # counts of grams are stored before they are joined: a join with shuffles of its own can be split at a gram that is everywhere
+    shared = stored(all_places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
     some = stored(all_places.join(shared, "g"), "shared-anchors")
     # copies of surroundings collapse to one row with their number before groups are looked at
     first = F.min(F.struct("_k", "_c", "pos", "before", "after")).alias("first")
     kinds = stored(some.groupBy("g", "x").agg(F.count("*").alias("n"), first), "surroundings")
-    groups = kinds.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
+    groups = stored(kinds.groupBy("g").agg(F.count("*").alias("d")).where("d > 1"), "mixed-grams")
     mixed_kinds = kinds.join(groups, "g").select("first._k", "first._c", F.struct("g", "x", "n", "d", "first.pos", "first.before", "first.after").alias("a"))
     wanted = mixed_kinds.groupBy("_k", "_c").agg(F.collect_list("a").alias("at"))
     around = stored(surroundings(bodies, wanted), "around")
