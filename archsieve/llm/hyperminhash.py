@@ -6,9 +6,11 @@ least value as its number of leading zeros and the next ``MANTISSA`` bits: 16 bi
 accidental collisions, discards pairs far below the threshold, and the rest is confirmed on the full
 shingle sets. Links make components by label propagation with pointer jumping.
 
-Groups of any size: copies with one shingle set are one vertex from the start (partial aggregation). In a bucket, a leader is
-compared with the members of other components, and the leaders change from band to band and from round
-to round. Rounds go on until one finds no link, so a bucket of n members costs a few times n comparisons a round, never n * n.
+Groups of any size: copies with one shingle set are one vertex from the start (partial aggregation). In two rounds each bucket's
+leader, the member that meets the most others in all its buckets, is compared with the members of other components; the original of many edits
+leads them. That only makes components few: afterwards every pair of a bucket that is in two components and has not been
+compared is compared, large buckets in cells of ``CELL`` times ``CELL`` members, so no candidate is left uncompared. Copies cost about one
+comparison each; a bucket of n look-alikes that are no copies costs n * n / 2 comparisons of registers, dealt over its cells.
 A pair of similarity 0.8 shares no band with a probability of 5e-8.
 
 Empty and null texts have no shingles, link with nothing and stay. Rows without an id are linked but cannot
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from archsieve.llm.common import checkpointed, stored
 
@@ -33,8 +36,10 @@ REGISTERS = BANDS * ROWS
 KEPT_WORDS = 200_000
 #: Standard deviations under the threshold at which an estimate discards a pair.
 DEVIATIONS = 5
-#: Leaders of a bucket in each round after the first two, and the bands of the first round.
-LEADERS, FIRST_BANDS = 2, 4
+#: Rounds of leaders, and the bands of the first one.
+ROUNDS, FIRST_BANDS = 2, 4
+#: Members of a bucket that meet in one cell, and rows of smaller buckets that share a task's group.
+CELL, GROUP = 400, 4000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 P = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(7)
@@ -134,9 +139,14 @@ def pair_schema(pairs: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)])
 
 
+def minimum(percent: int) -> float:
+    """The least estimate that does not rule the threshold out."""
+    return percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+
+
 def likely(pairs: DataFrame, registers_of: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose corrected estimate does not rule the threshold out."""
-    floor = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    floor = minimum(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,6 +183,90 @@ def confirmed(near: DataFrame, bodies: DataFrame, size: int, percent: int) -> Da
     return full.mapInArrow(run, pair_schema(near))
 
 
+def near_equal(x: np.ndarray, y: np.ndarray, band: int, floor: float) -> np.ndarray:
+    """Which rows of sketches may be near, and share no band before this one."""
+    first = (x == y).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    first[first] = estimate(x[first], y[first]) >= floor
+    return first
+
+
+def uncompared(buckets: DataFrame, registers_of: DataFrame, percent: int) -> DataFrame:
+    """(cell, lo, hi, a, b, component_a, component_b) of every pair of a bucket in two components that its estimate does not rule out; each
+    pair once, in its first band. buckets: (v, h, band, component) of the buckets with more than one component."""
+    floor = minimum(percent)
+    sizes = stored(buckets.groupBy("h").agg(F.count("*").alias("n")), "rest-sizes")
+    groups = max(1, (sizes.where(F.col("n") <= CELL).agg(F.sum("n").alias("n")).first()["n"] or 0) // GROUP)
+    cut = F.ceil(F.col("n") / CELL).cast("long")
+    rows = buckets.join(sizes, "h").withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")))
+    rows = rows.withColumn("cell", F.when(F.col("cut") == 1, F.pmod("h", F.lit(groups))).otherwise(F.col("h"))).join(registers_of, "v")
+    rows = rows.select("cell", "h", "band", "v", "component", "block", "registers", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("other"))
+    rows = rows.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cell", "h", "band", "v", "component", "block", "registers")
+    kind = buckets.schema["v"].dataType
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in ("cell", "lo", "hi")), *(T.StructField(k, kind) for k in ("a", "b", "component_a", "component_b"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        cell, lo, hi = (table[k][0].as_py() for k in ("cell", "lo", "hi"))
+        h, band, block = (table[k].to_numpy() for k in ("h", "band", "block"))
+        component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
+        left, right = [], []
+        for start, end in zip(np.append(0, ends[:-1]), ends):
+            here = np.arange(start, end)
+            for i in here:  # in a cell of two blocks the first meets the second, else each member those after it
+                others = here[block[here] == hi] if lo != hi else np.arange(i + 1, end)
+                if lo != hi and block[i] != lo:
+                    continue
+                others = others[component[others] != component[i]]
+                if len(others):
+                    found = others[near_equal(np.broadcast_to(sketch[i], (len(others), REGISTERS)), sketch[others], band[i], floor)]
+                    left += [i] * len(found)
+                    right += found.tolist()
+        v, c = table["v"].combine_chunks(), table["component"].combine_chunks()
+        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        fixed = {k: pa.array([x] * len(left), pa.int64()) for k, x in (("cell", cell), ("lo", lo), ("hi", hi))}
+        return pa.table({**fixed, "a": v.take(left), "b": v.take(right), "component_a": c.take(left), "component_b": c.take(right)})
+
+    return rows.groupBy("cell", "lo", "hi").applyInArrow(run, schema)
+
+
+def settled(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of ``uncompared``: enough of them that every pair that reaches the threshold ends in one component.
+    Texts move once a cell. A pair whose components other pairs of its cell have joined need not be compared."""
+    key = ["cell", "lo", "hi"]
+    members = pairs.select(*key, F.col("a").alias("v")).union(pairs.select(*key, F.col("b").alias("v"))).distinct()
+    of = [f"{k}_of" for k in key]
+    texts = members.join(bodies, "v").select(*[F.col(k).alias(n) for k, n in zip(key, of)], "v", "text")
+
+    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        shingles = Shingles(size)
+        sets = {v: shingles(t) for v, t in zip(known["v"].to_pylist(), known["text"].to_pylist())}
+        root: dict[object, object] = {}
+
+        def find(x: object) -> object:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for a, b, x, y in zip(*(wanted[k].to_pylist() for k in ("a", "b", "component_a", "component_b"))):
+            x, y = find(x), find(y)
+            if x == y:
+                continue
+            n, m = len(sets[a]), len(sets[b])
+            if 100 * min(n, m) < percent * max(n, m):
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both > 0 and 100 * both >= percent * (n + m - both):
+                root[x] = y
+                out.append((min(a, b), max(a, b)))
+        kind = wanted["a"].type
+        return pa.table({k: pa.array([p[i] for p in out], kind) for i, k in enumerate("ab")})
+
+    return pairs.groupBy(*key).cogroup(texts.groupBy(*of)).applyInArrow(run, pair_schema(pairs))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, component): the least vertex that links (a, b) reach, for every linked vertex."""
     edges = checkpointed(links.union(links.select("b", "a")).distinct())
@@ -194,32 +288,44 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     chosen = sketch.join(vertices, (sketch["digest"] == vertices["digest"]) & (sketch["doc_id"] == vertices["v"])).select("v", "bands", "registers")
     rows = chosen.select("v", F.posexplode("bands").alias("band", "h"))
     # stored before the join, which then has shuffles of its own and can be split at a bucket that holds a large part of all rows
-    shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-buckets")
-    open_rows = stored(rows.join(shared, "h").select("v", "band", "h"), "near-buckets")
+    shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    weight = F.sum("n").over(W.partitionBy("v"))
+    open_rows = stored(rows.join(shared, "h").select("v", "band", "h", weight.alias("weight")), "near-buckets")
     # texts and registers of vertices that share a bucket; the hint keeps one plan at all sizes
     met = stored(open_rows.select("v").distinct(), "near-vertices")
     bodies = stored(docs.select(docs[doc_id].alias("v"), F.coalesce(docs[text], F.lit("")).alias("text")).join(met.hint("merge"), "v"), "near-texts")
     registers_of = stored(chosen.select("v", "registers").join(met, "v").dropDuplicates(["v"]), "near-registers")
-    links = labels = checked = None
-    turn = 0
-    while True:
-        here = open_rows.withColumn("component", F.col("v")) if labels is None else open_rows.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    links = labels = checked = ruled_out = None
+
+    def labelled() -> DataFrame:
+        return open_rows.withColumn("component", F.col("v")) if labels is None else open_rows.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+    for turn in range(ROUNDS):
+        here = labelled()
         if turn == 0:  # a few bands join most copies, so that all bands then meet far fewer components
             here = here.where(F.col("band") < FIRST_BANDS)
-        seeds = [0] if turn < 2 else range(turn * LEADERS, (turn + 1) * LEADERS)
-        leads = [F.min_by(F.struct("v", "component"), F.xxhash64("v", "h", F.lit(seed))) for seed in seeds]
-        lead = here.groupBy("h").agg(F.array(*leads).alias("leads"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", F.explode(F.array_distinct("leads")).alias("lead"))
+        first = F.max_by(F.struct("v", "component"), F.struct(F.col("weight"), F.xxhash64("v")))
+        lead = here.groupBy("h").agg(first.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "lead")
         pairs = here.join(lead, "h").where("component <> lead.component").select(F.least("v", "lead.v").alias("a"), F.greatest("v", "lead.v").alias("b")).distinct()
         pairs = stored(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
         near = stored(likely(pairs, registers_of, percent), "near-likely")
+        ruled_out = near if ruled_out is None else ruled_out.unionByName(near)
         new = checkpointed(confirmed(near, bodies, size, percent))
-        turn += 1
-        if new.isEmpty() and turn > 1:
-            break
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
+    # whatever the leaders left: after this no pair of a bucket is in two components without having been compared
+    here = stored(labelled().select("v", "h", "band", "component"), "near-rest")
+    rest = here.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    left = uncompared(here.join(rest, "h"), registers_of, percent)
+    ends = F.array_sort(F.array(F.struct(F.col("a").alias("v"), F.col("component_a").alias("component")), F.struct(F.col("b").alias("v"), F.col("component_b").alias("component"))))
+    left = left.withColumn("e", ends).select("cell", "lo", "hi", *[F.col("e")[i]["v"].alias(k) for i, k in enumerate("ab")], *[F.col("e")[i]["component"].alias(f"component_{k}") for i, k in enumerate("ab")])
+    left = stored(left.join(ruled_out, ["a", "b"], "left_anti"), "near-left")
+    new = checkpointed(settled(left, bodies, size, percent))
+    if not new.isEmpty():
+        links = new if links is None else links.union(new)
+        labels = components(links)
     found = sketch.select("doc_id", "n_shingles", "digest").join(vertices.select("digest", "v"), "digest", "left")
     if labels is not None:
         found = found.join(labels, "v", "left")

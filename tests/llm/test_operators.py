@@ -233,6 +233,33 @@ def test_near_duplicates(odd, none, rows):
     assert hyperminhash.deduplicate(odd, size=2).count() == len(rows) and hyperminhash.deduplicate(none, size=2).count() == 0
 
 
+def test_near_duplicates_of_a_star_and_of_look_alikes(spark):
+    """Many edits of one original, each near it and none near another; and look-alikes under the threshold that hide one true pair."""
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**9))
+
+    def edit(words, n):
+        out = list(words)
+        for place in rng.choice(len(words) // 2, n, replace=False):
+            out[2 * place] = f"n{next(fresh)}"
+        return out
+
+    original, template = ([f"{k}{i}" for i in range(600)] for k in "ot")
+    alike = [edit(template, 30) for _ in range(600)]
+    bodies = [edit(original, 30) for _ in range(1500)] + [original] + alike + [edit(alike[300], 10)]
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in bodies]
+    common = {g: i for i, g in enumerate({g for s in (sets[1500], set(zip(template, template[1:])), sets[1801], sets[2101]) for g in s})}
+    matrix = np.zeros((len(sets), len(common)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [common[g] for g in s if g in common]] = 1
+    both, n = matrix @ matrix.T, np.array([len(s) for s in sets])
+    near = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    assert near[1500, :1500].all() and near[:1500, :1500].sum() == 1500 and near[1501:, 1501:].sum() == 601 + 2
+    want = {i: i for i in range(len(bodies))} | {i: 0 for i in range(1501)} | {2101: 1801}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in hyperminhash.deduplicate(docs, size=2).collect()} == want
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.8, 0.95):
