@@ -7,8 +7,7 @@ position) of these words. A posting minus the word's place in the item is an ali
 enough of an item's rare words agree on are compared with the text word by word, and every window that
 occurs there is a hit.
 
-A term and a window are found without regard to how Unicode lowers letters beyond A-Z; the last comparison is
-exact. Null texts have no words. Null and empty items have no windows. Repeated items count once by their id,
+Items and texts are folded alike: only A-Z is lowered, so letters beyond it are found as they are written. Null texts have no words. Null and empty items have no windows. Repeated items count once by their id,
 items without an id mark words but are not listed. Repeated rows give repeated results. Benchmark tables of any
 size work: they are broadcast only up to a checked number of terms, and joined by shuffles beyond it.
 """
@@ -31,6 +30,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCUMENT = ""
 
 
+def folded(text: Column) -> Column:
+    """A text with A-Z lower-cased; it does not depend on what stands around a letter, as lower() does for the Greek sigma."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
 def pieces(text: Column) -> Column:
     """The words of a text, with an empty string before and after where the text starts or ends with a gap."""
     return F.split(text, GAP)
@@ -42,7 +46,7 @@ def n_words(words: Column) -> Column:
 
 def windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item, item_id, words, first, size): a row for each window of each different item; words of the whole item."""
-    exact = F.filter(pieces(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)), lambda w: w != "")
+    exact = F.filter(pieces(folded(F.col("text"))), lambda w: w != "")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).select("item_id", exact.alias("words")).where(F.size("words") > 0).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", F.array_join("words", " ")))
     size = F.least(F.size("words"), F.lit(window))
@@ -58,9 +62,9 @@ def anchors(docs: DataFrame, found: DataFrame, rare: int = 2, text: str = "text"
     """(item, term, place): the places in each item of the rarest words of its windows; and their number.
     Windows with a word that the corpus lacks have none."""
     items = found.select("item", "words").distinct()
-    places = items.select("item", F.posexplode("words").alias("place", "word")).select("item", "place", F.lower("word").alias("term"))
+    places = items.select("item", F.posexplode("words").alias("place", "word")).select("item", "place", F.col("word").alias("term"))
     terms = stored(places.select("term").distinct(), "test-terms")
-    counted = docs.select(F.explode(pieces(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("term")).join(sized(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode(pieces(folded(F.col(text)))).alias("term")).join(sized(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
     weighed = places.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     inside = found.select("item", "first", "size").join(weighed, "item").where("place >= first and place < first + size")
     ranked = inside.withColumn("least", F.min("n").over(W.partitionBy("item", "first"))).where("least > 0").withColumn("rank", F.row_number().over(W.partitionBy("item", "first").orderBy("n", "term", "place")))
@@ -70,7 +74,7 @@ def anchors(docs: DataFrame, found: DataFrame, rare: int = 2, text: str = "text"
 
 def index(docs: DataFrame, terms: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored postings (term, doc_id, _k, _c, n_words, position) of the terms, and one DOCUMENT posting a document."""
-    words = pieces(F.lower(F.coalesce(docs[text], F.lit(""))))
+    words = pieces(folded(docs[text]))
     base = docs.select(docs[doc_id].alias("doc_id"), *keyed(docs, doc_id, text), words.alias("words")).select("doc_id", "_k", "_c", n_words(F.col("words")).alias("n_words"), "words")
     # the sign is appended after all words, so it never moves a position
     postings = base.select("doc_id", "_k", "_c", "n_words", F.posexplode(F.concat("words", F.array(F.lit("\x00")))).alias("position", "term"))
@@ -88,7 +92,7 @@ def phrase_matches(docs: DataFrame, postings: DataFrame, found: DataFrame, place
     aligned = at.groupBy("doc_id", "_k", "_c", "item", "shift").agg(F.count_distinct("place").alias("agree"))
     aligned = aligned.join(sized(items.select("item", "size"), rows), "item").where(F.col("agree") >= F.least(F.lit(2), F.col("size")))
     candidates = aligned.groupBy("_k", "_c").agg(F.collect_list(F.struct("item", "shift")).alias("alignments"))
-    words = pieces(F.translate(F.col("text"), UPPER, LOWER))
+    words = pieces(folded(F.col("text")))
     bodies = docs.select(docs[doc_id].alias("doc_id"), *keyed(docs, doc_id, text), docs[text].alias("text"))
     near = bodies.join(candidates, ["_k", "_c"]).select("doc_id", "_k", "_c", words.alias("body"), F.explode("alignments").alias("x"))
     # only the stretch beside the item travels on

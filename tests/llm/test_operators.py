@@ -98,6 +98,16 @@ def test_decontamination(spark, odd, none, benchmark, rows):
     assert {r.n_hit for r in decontam.decontaminate(odd, benchmark.where("false")).collect()} == {0}
 
 
+def test_decontamination_of_greek_capitals(spark):
+    """lower() of a whole text and of its words differ in the sigma of initials and of words before a stop."""
+    words = "\u039a.\u03a3. \u039f\u0394\u039f\u03a3.\u039d\u0395\u0391 \u03a3\u03a9\u039a\u03a1\u0391\u03a4\u0397\u03a3:\u0391 \u03a3'\u0391\u03a3"
+    bodies = [words, f"before it {words} and after", f"{words.lower()} x", "\u03a3 \u039f\u0394\u039f\u03a3"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    items = [(1, words), (2, "\u039f\u0394\u039f\u03a3.\u039d\u0395\u0391")]
+    got = [(r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(*w[:3], w[4]) for w in brute.op4(bodies, items)] and got[1][1] == 8
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x y beta z"), (2, "beta q alpha"), (3, "alpha " + "f " * 50 + "beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
