@@ -1,14 +1,15 @@
 """LM scoring by cross-entropy difference.
 
 Two n-gram models of order ``ORDER``, one of target documents and one of all documents, share one vocabulary:
-the 256 byte values, with a space before and after each word. A word's loss is the sum over its
-tokens (bytes and the end of the word); each distinct word of a block is scored once and a document adds up the
-losses of its words. The score is the difference of the losses a token, target minus background: the
+the 256 byte values, with a space after each word and spaces before the first. A text's loss is the sum over its
+tokens (bytes and ends of words). With ``across`` a context runs on over the words before, so the order of words counts, and
+each distinct text of a block is scored once. Without it a context starts at its word, each distinct word of a
+block is scored once and a document adds up the losses of its words. The score is the difference of the losses a token, target minus background: the
 lower, the more a text is like the target.
 
 Models are tables: counts of all n-grams of all documents, smoothed from order to order,
 p(b | c) = (count(cb) + PRIOR * p(b | shorter c)) / (count(c) + PRIOR). Nothing is sampled, and
-nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only the distinct n-grams of a block's words move to
+nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only the distinct n-grams of a block move to
 the counts and back as probabilities, so one n-gram that is everywhere costs a row a block.
 
 Null and empty texts have no tokens: losses 0, score null. Without target documents the target model is
@@ -30,8 +31,8 @@ from archsieve.llm.common import stored
 
 ORDER, PRIOR, SYMBOLS = 5, 5.0, 256
 BLOCK_BYTES = 16 << 20
-#: Distinct words whose n-grams are laid out at a time.
-PART = 50_000
+#: Words or texts whose n-grams are laid out at a time, and their bytes.
+PART, PART_BYTES = 50_000, 1 << 19
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -39,6 +40,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
+def units_of(text: str | None, across: bool) -> list[bytes]:
+    """What is scored on its own: the words, or the running text."""
+    words = words_of(text)
+    return [b" ".join(words)] if across and words else words
+
+
+def parts_of(units: list[bytes]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for u in units:
+        part.append(u)
+        size += len(u)
+        if len(part) == PART or size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word, code): the n-grams of each word, a code holding the token in its lowest byte and its context above."""
     start = b" " * (ORDER - 1)
@@ -60,7 +79,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     return docs.select(block.alias("block"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n
 
 
-def gram_counts(dealt: DataFrame, target: DataFrame, n: int) -> DataFrame:
+def gram_counts(dealt: DataFrame, target: DataFrame, n: int, across: bool = False) -> DataFrame:
     """(block, gram, target, background): how often each block's n-grams occur. target: ids (doc_id)."""
     flags = target.where("doc_id is not null").select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)).alias("block"), "doc_id").distinct()
 
@@ -70,15 +89,13 @@ def gram_counts(dealt: DataFrame, target: DataFrame, n: int) -> DataFrame:
         some: Counter[bytes] = Counter()
         for batch in docs.to_batches(max_chunksize=256):
             for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = words_of(t)
+                words = units_of(t, across)
                 every.update(words)
                 if i in wanted:
                     some.update(words)
         block = docs["block"][0].as_py() if docs.num_rows else flagged["block"][0].as_py()
-        words = list(every)
         parts = []
-        for start in range(0, len(words), PART):
-            part = words[start : start + PART]
+        for part in parts_of(list(every)):
             owner, code = grams(part)
             found, at = np.unique(code, return_inverse=True)
             weights = (np.array([c.get(w, 0) for w in part], dtype=np.float64)[owner] for c in (some, every))
@@ -113,10 +130,11 @@ def model(counts: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, score) of every row. target: the ids of the target documents."""
+def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", across: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, score) of every row. target: the ids of the target documents; across: contexts
+    run over the words of a text."""
     dealt, n = blocks(docs, doc_id, text)
-    counts = stored(gram_counts(dealt, target, n), "block-grams")
+    counts = stored(gram_counts(dealt, target, n, across), "block-grams")
     back = counts.select("block", "gram").join(model(counts), "gram")
     kind = dealt.schema["doc_id"]
 
@@ -129,14 +147,13 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
         table = [np.zeros((3, 0))]
         out = []
         for batch in rows.to_batches(max_chunksize=256):
-            bodies = [words_of(t) for t in batch.column(2).to_pylist()]
-            new = list({w for ws in bodies for w in ws if w not in losses})
-            if new:
+            bodies = [units_of(t, across) for t in batch.column(2).to_pylist()]
+            for new in parts_of(list({w for ws in bodies for w in ws if w not in losses})):
                 owner, at = grams(new)
                 at = np.searchsorted(code, at)
                 table.append(np.stack([np.bincount(owner, minlength=len(new)).astype(np.float64), *(-np.bincount(owner, c[at], minlength=len(new)) for c in chance)]))
                 losses.update(zip(new, range(len(losses), len(losses) + len(new))))
-                table = [np.concatenate(table, axis=1)]
+            table = [np.concatenate(table, axis=1)]
             for ws in bodies:
                 at = [losses[w] for w in ws]
                 out.append(table[0][:, at].sum(axis=1) if at else np.zeros(3))

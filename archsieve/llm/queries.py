@@ -45,7 +45,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0")
-    return lmscore.score(table(spark, sf_dir, "documents"), good.select("doc_id"))
+    return lmscore.score(table(spark, sf_dir, "documents"), good.select("doc_id"), across=True)
 
 
 def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,32 @@ def test_language_model_scores(spark, odd, none, labels, rows):
     assert lmscore.score(odd, good.where("false")).count() == len(rows)
 
 
+def test_language_model_contexts_run_over_words(spark):
+    bodies = ["the cat sat on the mat", "mat the on sat cat the", "The  cat sat\non the mat", "dogs run", "", None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = sorted(lmscore.score(docs, spark.createDataFrame([(0,), (3,)], "doc_id long"), across=True).collect())
+    runs = [b" " * 4 + b" ".join(lmscore.words_of(t)) + b" " if lmscore.words_of(t) else b"" for t in bodies]
+
+    def losses(ids):
+        counts = {}
+        for raw in (runs[i] for i in ids):
+            for e in range(4, len(raw)):
+                for n in range(1, 6):
+                    for g in ((n, raw[e - n + 1 : e + 1]), (n, raw[e - n + 1 : e], "context")):
+                        counts[g] = counts.get(g, 0) + 1
+        for raw in runs:
+            total = 0.0
+            for e in range(4, len(raw)):
+                p = 1 / 256
+                for n in range(1, 6):
+                    p = (counts.get((n, raw[e - n + 1 : e + 1]), 0) + 5 * p) / (counts.get((n, raw[e - n + 1 : e], "context"), 0) + 5)
+                total -= np.log(p)
+            yield total
+
+    assert [r.loss_target for r in got] == pytest.approx(list(losses([0, 3]))) and [r.loss_background for r in got] == pytest.approx(list(losses(range(6))))
+    assert [r.n_tokens for r in got] == [max(0, len(r) - 4) for r in runs] and got[0].score == got[2].score != got[1].score
+
+
 def test_warc_round_trip(spark, pages):
     folder = scratch(spark, "test-warc")
     manifest = warc.write(pages, folder, shard_bytes=4000, file_bytes=300)
