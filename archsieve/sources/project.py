@@ -189,16 +189,24 @@ def write_baseline(entries: DataFrame, path: str) -> None:
 
 
 SNAPSHOT = "schema_version string, edges array<struct<from:string,to:string>>, resolutions array<struct<from:string,import_specifier:string,result_kind:string,resolved_to:string,package_name:string,trace:array<string>>>"
-#: Limits of the walk through a trace of unknown shape.
+#: Limits of the walk through a trace of unknown shape; beyond them it is an error.
 DEEPEST, MOST_NODES = 256, 1_000_000
 
 
+class TraceError(ValueError):
+    """A trace that cannot be read whole."""
+
+
 def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(edges, resolutions) anywhere in a JSON value: objects with from and to, or with from and import."""
     edges, found, stack, seen = [], [], [(value, 0)], 0
-    while stack and seen < MOST_NODES:
+    while stack:
         here, depth = stack.pop()
         seen += 1
+        if seen > MOST_NODES:
+            raise TraceError(f"trace JSON exceeds maximum traversed nodes ({MOST_NODES})")
+        if depth > DEEPEST:
+            raise TraceError(f"trace JSON exceeds maximum supported nesting depth ({DEEPEST})")
         if isinstance(here, dict):
             text = lambda *names: next((here[n] for n in names if isinstance(here.get(n), str)), None)  # noqa: E731, B023
             a, b, spec = text("from", "source", "importer"), text("to", "target"), text("import_specifier", "import", "specifier")
@@ -207,11 +215,24 @@ def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
             if a and spec:
                 found.append((a, spec))
         inside = list(here.values()) if isinstance(here, dict) else here if isinstance(here, list) else []
-        if depth < DEEPEST:
-            stack += [(x, depth + 1) for x in reversed(inside)]
+        stack += [(x, depth + 1) for x in reversed(inside)]
     return edges, found
 
 
+def values(text: str) -> list[object]:
+    """The JSON value of a file, or those of its lines."""
+    try:
+        return [json.loads(text)]
+    except ValueError as whole:
+        lines = [x for x in text.split("\n") if x.strip()]
+        if len(lines) < 2:
+            raise TraceError(f"a trace must be JSON or JSON lines: {whole}") from whole
+        try:
+            return [json.loads(x) for x in lines]
+        except ValueError as e:
+            raise TraceError(f"a trace must be JSON or JSON lines: {whole}; as lines: {e}") from e
+
+
 def trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(a, b) edges and (from, specifier) resolutions of trace files: structured ones by their schema, others by a walk."""
     rows = spark.read.text(path, wholetext=True)
@@ -225,11 +246,11 @@ def trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                try:
-                    edges, found = walk(json.loads(text))
-                except ValueError:
+                if not text.strip():  # a part without rows
                     continue
-                out += [("edge", *e) for e in edges] + [("resolution", *r) for r in found]
+                for value in values(text):
+                    edges, found = walk(value)
+                    out += [("edge", *e) for e in edges] + [("resolution", *r) for r in found]
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "a", "b"])
 
