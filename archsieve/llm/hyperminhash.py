@@ -8,13 +8,15 @@ shingle sets. Links make components by label propagation with pointer jumping.
 
 Groups of any size: copies with one shingle set are one vertex from the start (partial aggregation). In two rounds each bucket's
 leader, the member that meets the most others in all its buckets, is compared with the members of other components; the original of many edits
-leads them. That only makes components few: afterwards every pair of a bucket that is in two components and has not been
-compared is compared, large buckets in cells of ``CELL`` times ``CELL`` members, so no candidate is left uncompared. Copies cost about one
+leads them. That only makes components few: afterwards every pair of a bucket that is in two components is compared, large buckets in
+cells of ``CELL`` times ``CELL`` members, so no candidate is left uncompared. First registers tell which members have anything left to
+compare with, then these alone come with their texts and are compared in place; no pair becomes a row, only links do. Copies cost about one
 comparison each; a bucket of n look-alikes that are no copies costs n * n / 2 comparisons of registers, dealt over its cells.
 A pair of similarity 0.8 shares no band with a probability of 5e-8.
 
-Empty and null texts have no shingles, link with nothing and stay. Rows without an id are linked but cannot
-name a component. Repeated rows share a component; rows of one id with several texts each follow their text.
+Empty and null texts have no shingles, link with nothing and stay. Rows without an id take part like others, but never name a component in
+which any row has an id; where none has, component_id is null and one row is kept. Repeated rows share a component; rows of
+one id with several texts each follow their text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from archsieve.llm.common import checkpointed, stored
+from archsieve.llm.common import checkpointed, keyed, stored
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
@@ -39,7 +41,7 @@ DEVIATIONS = 5
 #: Rounds of leaders, and the bands of the first one.
 ROUNDS, FIRST_BANDS = 2, 4
 #: Members of a bucket that meet in one cell, and rows of smaller buckets that share a task's group.
-CELL, GROUP = 400, 4000
+CELL, GROUP = 1000, 4000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 P = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(7)
@@ -109,26 +111,26 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((equal - accident) / (1 - accident)).clip(0, 1)
 
 
-def sketches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, bands, registers)."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(_k, _c, doc_id, n_shingles, digest of the set, bands, registers) of rows (_k, _c, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [shingles(t or "") for t in part.column(1).to_pylist()]
+                sets = [shingles(t or "") for t in part.column(3).to_pylist()]
                 found = [registers(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        *part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([None if r is None else bands(r) for r in found], pa.list_(pa.int64())), pa.array([None if r is None else r.tobytes() for r in found], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "registers"],
+                    names=["_k", "_c", "doc_id", "n_shingles", "digest", "bands", "registers"],
                 )
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields[:3], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+    return docs.select("_k", "_c", "doc_id", "text").mapInArrow(run, schema)
 
 
 def side(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -190,58 +192,74 @@ def near_equal(x: np.ndarray, y: np.ndarray, band: int, floor: float) -> np.ndar
     return first
 
 
-def uncompared(buckets: DataFrame, registers_of: DataFrame, percent: int) -> DataFrame:
-    """(cell, lo, hi, a, b, component_a, component_b) of every pair of a bucket in two components that its estimate does not rule out; each
-    pair once, in its first band. buckets: (v, h, band, component) of the buckets with more than one component."""
-    floor = minimum(percent)
+def cells(buckets: DataFrame) -> DataFrame:
+    """(cell, lo, hi, h, band, v, component, block): the buckets' rows dealt into cells. A bucket of up to ``CELL`` members lies in one cell, which it
+    shares with others; a larger one is cut into blocks, and each two blocks meet in a cell of their own (each block alone too)."""
     sizes = stored(buckets.groupBy("h").agg(F.count("*").alias("n")), "rest-sizes")
     groups = max(1, (sizes.where(F.col("n") <= CELL).agg(F.sum("n").alias("n")).first()["n"] or 0) // GROUP)
     cut = F.ceil(F.col("n") / CELL).cast("long")
     rows = buckets.join(sizes, "h").withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")))
-    rows = rows.withColumn("cell", F.when(F.col("cut") == 1, F.pmod("h", F.lit(groups))).otherwise(F.col("h"))).join(registers_of, "v")
-    rows = rows.select("cell", "h", "band", "v", "component", "block", "registers", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("other"))
-    rows = rows.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cell", "h", "band", "v", "component", "block", "registers")
-    kind = buckets.schema["v"].dataType
-    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in ("cell", "lo", "hi")), *(T.StructField(k, kind) for k in ("a", "b", "component_a", "component_b"))])
+    rows = rows.withColumn("cell", F.when(F.col("cut") == 1, F.pmod("h", F.lit(groups))).otherwise(F.col("h")))
+    rows = rows.select("cell", "h", "band", "v", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("other"))
+    return rows.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "h", "band", "v", "component", "block")
+
+
+def meetings(table: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a cell sorted by h: members of two components that may be near and share no band before this one."""
+    lo, hi = (table[k][0].as_py() for k in ("lo", "hi"))
+    h, band, block = (table[k].to_numpy() for k in ("h", "band", "block"))
+    component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
+    for start, end in zip(np.append(0, ends[:-1]), ends):
+        if (component[start:end] == component[start]).all():
+            continue
+        here = np.arange(start, end)
+        for i in here:  # in a cell of two blocks the first meets the second, else each member those after it
+            if lo != hi and block[i] != lo:
+                continue
+            others = here[block[here] == hi] if lo != hi else here[i + 1 - start :]
+            others = others[component[others] != component[i]]
+            if len(others):
+                found = others[near_equal(np.broadcast_to(sketch[i], (len(others), REGISTERS)), sketch[others], band[i], floor)]
+                if len(found):
+                    yield i, found
+
+
+CELL_ROW = ("cell", "lo", "hi", "h", "band", "v", "component", "block")
+
+
+def open_members(rows: DataFrame, registers_of: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``cells`` whose registers do not rule out all members of other components in their cell: at most as many rows as came in."""
+    floor = minimum(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        open_ = np.zeros(table.num_rows, dtype=bool)
+        for i, found in meetings(table, floor):
+            open_[i] = open_[found] = True
+        return table.filter(pa.array(open_)).select(CELL_ROW)
+
+    return rows.join(registers_of, "v").select(*CELL_ROW, "registers").groupBy("cell", "lo", "hi").applyInArrow(run, rows.select(*CELL_ROW).schema)
+
+
+def settled(members: DataFrame, registers_of: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each cell, by full sets: enough of them that every pair of a cell that reaches the threshold ends in one
+    component, so fewer than members. No pair becomes a row."""
+    floor = minimum(percent)
+    kind = members.schema["v"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("h")
-        cell, lo, hi = (table[k][0].as_py() for k in ("cell", "lo", "hi"))
-        h, band, block = (table[k].to_numpy() for k in ("h", "band", "block"))
-        component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        sketch = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
-        left, right = [], []
-        for start, end in zip(np.append(0, ends[:-1]), ends):
-            here = np.arange(start, end)
-            for i in here:  # in a cell of two blocks the first meets the second, else each member those after it
-                others = here[block[here] == hi] if lo != hi else np.arange(i + 1, end)
-                if lo != hi and block[i] != lo:
-                    continue
-                others = others[component[others] != component[i]]
-                if len(others):
-                    found = others[near_equal(np.broadcast_to(sketch[i], (len(others), REGISTERS)), sketch[others], band[i], floor)]
-                    left += [i] * len(found)
-                    right += found.tolist()
-        v, c = table["v"].combine_chunks(), table["component"].combine_chunks()
-        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
-        fixed = {k: pa.array([x] * len(left), pa.int64()) for k, x in (("cell", cell), ("lo", lo), ("hi", hi))}
-        return pa.table({**fixed, "a": v.take(left), "b": v.take(right), "component_a": c.take(left), "component_b": c.take(right)})
-
-    return rows.groupBy("cell", "lo", "hi").applyInArrow(run, schema)
-
-
-def settled(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs of ``uncompared``: enough of them that every pair that reaches the threshold ends in one component.
-    Texts move once a cell. A pair whose components other pairs of its cell have joined need not be compared."""
-    key = ["cell", "lo", "hi"]
-    members = pairs.select(*key, F.col("a").alias("v")).union(pairs.select(*key, F.col("b").alias("v"))).distinct()
-    of = [f"{k}_of" for k in key]
-    texts = members.join(bodies, "v").select(*[F.col(k).alias(n) for k, n in zip(key, of)], "v", "text")
-
-    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
         shingles = Shingles(size)
-        sets = {v: shingles(t) for v, t in zip(known["v"].to_pylist(), known["text"].to_pylist())}
+        v, text = table["v"].to_pylist(), table["text"]
+        known: dict[object, np.ndarray] = {}
+        for i, x in enumerate(v):
+            if x not in known:
+                known[x] = shingles(text[i].as_py())
+        sets = [known[x] for x in v]
+        n = np.array([len(s) for s in sets])
         root: dict[object, object] = {}
 
         def find(x: object) -> object:
@@ -249,22 +267,26 @@ def settled(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Dat
                 root[x] = x = root[root[x]]
             return x
 
+        component = table["component"].to_pylist()
         out = []
-        for a, b, x, y in zip(*(wanted[k].to_pylist() for k in ("a", "b", "component_a", "component_b"))):
-            x, y = find(x), find(y)
-            if x == y:
-                continue
-            n, m = len(sets[a]), len(sets[b])
-            if 100 * min(n, m) < percent * max(n, m):
+        for i, found in meetings(table, floor):
+            mine = find(component[i])
+            found = found[100 * np.minimum(n[i], n[found]) >= percent * np.maximum(n[i], n[found])]
+            found = [j for j in found.tolist() if find(component[j]) != mine]
+            if not found:
                 continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both > 0 and 100 * both >= percent * (n + m - both):
-                root[x] = y
-                out.append((min(a, b), max(a, b)))
-        kind = wanted["a"].type
-        return pa.table({k: pa.array([p[i] for p in out], kind) for i, k in enumerate("ab")})
+            at = np.cumsum([0, *n[found]])
+            flat = np.concatenate([sets[j] for j in found])
+            place = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+            both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), at[:-1])
+            for j in np.array(found)[100 * both >= percent * (n[i] + n[found] - both)].tolist():
+                if (mine := find(component[i])) != (other := find(component[j])):
+                    root[mine] = other
+                    out.append((min(v[i], v[j]), max(v[i], v[j])))
+        return pa.table({k: pa.array([p[x] for p in out], table["v"].type) for x, k in enumerate("ab")})
 
-    return pairs.groupBy(*key).cogroup(texts.groupBy(*of)).applyInArrow(run, pair_schema(pairs))
+    whole = members.join(registers_of, "v").join(bodies, "v").select(*CELL_ROW, "registers", "text")
+    return whole.groupBy("cell", "lo", "hi").applyInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,20 +304,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of a component."""
-    sketch = stored(sketches(docs, size, doc_id, text), "sketches")
-    vertices = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v")), "near-classes")
-    chosen = sketch.join(vertices, (sketch["digest"] == vertices["digest"]) & (sketch["doc_id"] == vertices["v"])).select("v", "bands", "registers")
-    rows = chosen.select("v", F.posexplode("bands").alias("band", "h"))
+    """(_k, _c, doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of a component."""
+    keys = docs.select(*keyed(docs, doc_id, text), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    sketch = stored(sketches(keys, size), "sketches")
+    # a vertex is a set; the row with its smallest id stands for it
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "_k", "_c")).alias("row")
+    vertices = stored(sketch.where("n_shingles > 0").groupBy(F.col("digest").alias("v")).agg(stands, F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers")), "near-classes")
+    rows = vertices.select("v", F.posexplode("bands").alias("band", "h"))
     # stored before the join, which then has shuffles of its own and can be split at a bucket that holds a large part of all rows
     shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     weight = F.sum("n").over(W.partitionBy("v"))
     open_rows = stored(rows.join(shared, "h").select("v", "band", "h", weight.alias("weight")), "near-buckets")
     # texts and registers of vertices that share a bucket; the hint keeps one plan at all sizes
     met = stored(open_rows.select("v").distinct(), "near-vertices")
-    bodies = stored(docs.select(docs[doc_id].alias("v"), F.coalesce(docs[text], F.lit("")).alias("text")).join(met.hint("merge"), "v"), "near-texts")
-    registers_of = stored(chosen.select("v", "registers").join(met, "v").dropDuplicates(["v"]), "near-registers")
-    links = labels = checked = ruled_out = None
+    known = vertices.select("v", "row._k", "row._c", "registers").join(met, "v")
+    registers_of = stored(known.select("v", "registers"), "near-registers")
+    # repeated rows collapse before they move
+    once = keys.groupBy("_k", "_c").agg(F.any_value(F.coalesce("text", F.lit(""))).alias("text"))
+    bodies = stored(once.join(known.select("_k", "_c", "v").hint("merge"), ["_k", "_c"]).select("v", "text"), "near-texts")
+    links = labels = checked = None
 
     def labelled() -> DataFrame:
         return open_rows.withColumn("component", F.col("v")) if labels is None else open_rows.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
@@ -308,9 +335,8 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
         lead = here.groupBy("h").agg(first.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "lead")
         pairs = here.join(lead, "h").where("component <> lead.component").select(F.least("v", "lead.v").alias("a"), F.greatest("v", "lead.v").alias("b")).distinct()
         pairs = stored(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        checked = pairs
         near = stored(likely(pairs, registers_of, percent), "near-likely")
-        ruled_out = near if ruled_out is None else ruled_out.unionByName(near)
         new = checkpointed(confirmed(near, bodies, size, percent))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
@@ -318,18 +344,20 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     # whatever the leaders left: after this no pair of a bucket is in two components without having been compared
     here = stored(labelled().select("v", "h", "band", "component"), "near-rest")
     rest = here.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    left = uncompared(here.join(rest, "h"), registers_of, percent)
-    ends = F.array_sort(F.array(F.struct(F.col("a").alias("v"), F.col("component_a").alias("component")), F.struct(F.col("b").alias("v"), F.col("component_b").alias("component"))))
-    left = left.withColumn("e", ends).select("cell", "lo", "hi", *[F.col("e")[i]["v"].alias(k) for i, k in enumerate("ab")], *[F.col("e")[i]["component"].alias(f"component_{k}") for i, k in enumerate("ab")])
-    left = stored(left.join(ruled_out, ["a", "b"], "left_anti"), "near-left")
-    new = checkpointed(settled(left, bodies, size, percent))
+    members = stored(open_members(cells(here.join(rest, "h")), registers_of, percent), "near-open")
+    new = checkpointed(settled(members, registers_of, bodies, size, percent))
     if not new.isEmpty():
         links = new if links is None else links.union(new)
         labels = components(links)
-    found = sketch.select("doc_id", "n_shingles", "digest").join(vertices.select("digest", "v"), "digest", "left")
-    if labels is not None:
-        found = found.join(labels, "v", "left")
+    found = sketch.drop("bands", "registers").join(vertices.select(F.col("v").alias("digest"), "row"), "digest", "left")
+    if labels is None:
+        found = found.withColumn("first", F.col("row"))
     else:
-        found = found.withColumn("component", F.col("v"))
-    component = F.coalesce("component", "v", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        linked = labels.join(vertices.select("v", "row"), "v")
+        names = linked.groupBy("component").agg(F.min("row").alias("first"))
+        named = stored(linked.join(names, "component").select(F.col("v").alias("digest"), "first"), "near-names")
+        found = found.join(named, "digest", "left").withColumn("first", F.coalesce("first", "row"))
+    component = F.coalesce("first.doc_id", "doc_id")
+    same_row = (F.col("_k") == F.col("first._k")) & (F.col("_c") == F.col("first._c"))
+    kept = F.when(F.col("first").isNull(), True).when(F.col("first.lost"), same_row).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
+    return found.select("_k", "_c", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -65,11 +65,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # a cut can go through a character: its rest is dropped from the text, never from the digest
+    kept = F.col("kept").cast("string")
+    left = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left.alias("text"))
 
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.deduplicate(table(spark, sf_dir, "documents"), size=2)
+    return hyperminhash.deduplicate(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op6_lm_scoring, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
