@@ -32,10 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (word shingles of five, similarity 0.8): that with the smallest id. Rows
-    that repeat an id are one document and stay together; rows without an id stay."""
-    found = hyperminhash.deduplicate(docs)
-    keep = found.where("kept or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return whole(docs).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
+    that repeat id and text are one document and stay together; of a group without any id one text stays."""
+    keep = hyperminhash.deduplicate(docs).where("kept").select("_k", "_c").distinct()
+    rows = whole(docs)
+    return rows.select("row", *keyed(rows)).join(keep, ["_k", "_c"], "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
