@@ -349,14 +349,14 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     if not new.isEmpty():
         links = new if links is None else links.union(new)
         labels = components(links)
-    found = sketch.drop("bands", "registers").join(vertices.select(F.col("v").alias("digest"), "row"), "digest", "left")
-    if labels is None:
-        found = found.withColumn("first", F.col("row"))
-    else:
-        linked = labels.join(vertices.select("v", "row"), "v")
-        names = linked.groupBy("component").agg(F.min("row").alias("first"))
-        named = stored(linked.join(names, "component").select(F.col("v").alias("digest"), "first"), "near-names")
-        found = found.join(named, "digest", "left").withColumn("first", F.coalesce("first", "row"))
+    heads = vertices.select("v", "row")
+    if labels is not None:
+        linked = labels.join(heads, "v")
+        names = stored(linked.groupBy("component").agg(F.min("row").alias("first")), "near-names")
+        heads = heads.join(linked.join(names, "component").select("v", "first"), "v", "left").select("v", F.coalesce("first", "row").alias("row"))
+    # stored, so that the join with the rows can be split at a set that many rows have
+    heads = stored(heads.select(F.col("v").alias("digest"), F.col("row").alias("first")), "near-heads")
+    found = sketch.drop("bands", "registers").join(heads, "digest", "left")
     component = F.coalesce("first.doc_id", "doc_id")
     same_row = (F.col("_k") == F.col("first._k")) & (F.col("_c") == F.col("first._c"))
     kept = F.when(F.col("first").isNull(), True).when(F.col("first.lost"), same_row).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
