@@ -88,11 +88,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
     empty = spark.createDataFrame([], CACHE)
     empty.write.mode("append").parquet(cache)  # makes the table where there is none
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
-    # one row stands for all copies of a missing text: that of the smallest row hash, chosen before any text moves
-    mark = F.xxhash64(docs[doc_id], docs[text])
-    marked = docs.select(mark.alias("mark"), body.alias("text"))
-    lead = docs.select(F.sha2(body, 256).alias("content"), mark.alias("mark")).groupBy("content").agg(F.min("mark").alias("mark"))
-    misses = lead.join(stored, "content", "left_anti")
+    # all copies of a content become one row before any text moves; what the cache has goes, the rest is encoded
+    contents = docs.select(F.sha2(body, 256).alias("content"), body.alias("text")).groupBy("content").agg(F.any_value("text").alias("text"))
+    misses = contents.join(stored.select("content"), "content", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = (piece_counter if tokenizer.endswith(".model") else json_counter)(tokenizer)
@@ -100,7 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
             for part, bodies in texts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(bodies), pa.int64())], names=["content", "n_tokens"])
 
-    fresh = marked.join(misses, "mark").select("content", "text").mapInArrow(run, "content string, n_tokens long")
-    fresh.dropDuplicates(["content"]).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    fresh = misses.select("content", "text").mapInArrow(run, "content string, n_tokens long")
+    fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
