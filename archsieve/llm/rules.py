@@ -181,8 +181,9 @@ def learn(counts: DataFrame, labels: DataFrame) -> list[Rule]:
     """The decision list of at most LEARN_ROWS labelled documents (poor: a label's quality is 0)."""
     poor = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") <= 0).alias("poor"))
     sample = poor.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
-    rows = counts.where(~base_failed()).join(sample, "doc_id").select("doc_id", "poor", *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()])
-    got = rows.toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
+    rows = counts.where(~base_failed()).join(sample, "doc_id").select("doc_id", "poor", F.struct(*[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).alias("x"))
+    # an id that repeats gives one of its rows, so that no more than LEARN_ROWS come to the driver
+    got = rows.groupBy("doc_id", "poor").agg(F.min("x").alias("x")).select("doc_id", "poor", "x.*").toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
     bad = got["poor"].to_numpy(dtype=bool)
     return cover(got[list(FEATURES)].to_numpy(dtype=float), bad) if bad.any() and not bad.all() else []
 
