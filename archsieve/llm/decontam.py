@@ -90,16 +90,15 @@ def phrase_matches(docs: DataFrame, postings: DataFrame, found: DataFrame, place
     at = postings.where(F.col("term") != DOCUMENT).join(sized(places, rows), "term").select("doc_id", "_k", "_c", "item", "place", (F.col("position") - F.col("place")).alias("shift"))
     # a true occurrence holds both rare words of its window (one, if the window is one word)
     aligned = at.groupBy("doc_id", "_k", "_c", "item", "shift").agg(F.count_distinct("place").alias("agree"))
-    aligned = aligned.join(sized(items.select("item", "size"), rows), "item").where(F.col("agree") >= F.least(F.lit(2), F.col("size")))
-    candidates = aligned.groupBy("_k", "_c").agg(F.collect_list(F.struct("item", "shift")).alias("alignments"))
+    aligned = aligned.join(sized(items.select("item", "size", F.size("words").alias("long")), rows), "item").where(F.col("agree") >= F.least(F.lit(2), F.col("size")))
+    candidates = aligned.groupBy("_k", "_c").agg(F.collect_list(F.struct("item", "shift", "long")).alias("alignments"))
     words = pieces(folded(F.col("text")))
     bodies = docs.select(docs[doc_id].alias("doc_id"), *keyed(docs, doc_id, text), docs[text].alias("text"))
-    near = bodies.join(candidates, ["_k", "_c"]).select("doc_id", "_k", "_c", words.alias("body"), F.explode("alignments").alias("x"))
-    # only the stretch beside the item travels on
-    longest = F.size("words")
-    pairs = near.select("doc_id", "_k", "_c", "body", "x.item", "x.shift").join(sized(items, rows), "item")
-    begin = F.greatest(F.col("shift"), F.lit(0))
-    stretch = pairs.select("doc_id", "_k", "_c", "item", "item_id", "words", "size", "shift", begin.alias("begin"), F.slice("body", begin + 1, longest).alias("body"))
+    near = bodies.join(candidates, ["_k", "_c"]).select("doc_id", "_k", "_c", words.alias("body"), "alignments")
+    # only the stretch beside the item travels on, never the text
+    beside = F.transform("alignments", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.greatest(x["shift"], F.lit(0)).alias("begin"), F.slice("body", F.greatest(x["shift"], F.lit(0)) + 1, x["long"]).alias("body")))
+    pairs = near.select("doc_id", "_k", "_c", F.explode(beside).alias("x")).select("doc_id", "_k", "_c", "x.*")
+    stretch = pairs.join(sized(items, rows), "item").select("doc_id", "_k", "_c", "item", "item_id", "words", "size", "shift", "begin", "body")
     offset = F.col("begin") - F.col("shift")  # words of the item before the text's first
     starts = F.filter(
         F.sequence(F.lit(0), F.size("words") - F.col("size")),
