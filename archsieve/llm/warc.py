@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are cut into shards by ranges of their page id. The bounds come from a sample chosen by a hash of the
+Records are cut into shards by ranges of their page id, then of a hash of id, payload and url. The bounds come from a sample chosen by a hash of the
 ids, so the same pages always give the same shards. Within a shard, records are sorted and streamed
 into gzip members; a file is closed when its compressed size passes ``file_bytes``. Files are written
 under temporary names; each task reports its files as manifest rows, and only when the manifest is
@@ -19,20 +19,22 @@ import hashlib
 import json
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MANIFEST = "shard int, file string, temporary string, records long, bytes long, sha256 string"
 #: Sampled ids for each shard, and most shards: together the bound of what the driver gathers.
 SAMPLED, MOST_SHARDS = 20, 20_000
-NO_ID = "none"
+#: The record id of a page without an id; that of others is PAGE and the id, quoted.
+NO_PAGE, PAGE = "urn:no-page", "urn:page:"
 #: Compressed bytes that the reader takes at a time.
 STEP = 8 << 10
 
@@ -54,54 +56,73 @@ def sha1(content: bytes) -> str:
     return base64.b32encode(hashlib.sha1(content).digest()).decode()
 
 
-def page_record(page: str, url: str | None, body: bytes, refers_to: str | None, date: str) -> bytes:
+def name_of(page: object) -> str:
+    return NO_PAGE if page is None else PAGE + quote(str(page), safe="")
+
+
+def page_record(page: object, url: str | None, body: bytes, refers_to: str | None, date: str) -> bytes:
     """The response or revisit record of one page."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     content = http + body if refers_to is None else http
     headers = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Target-URI", (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{name_of(page)}>"), ("WARC-Date", date), ("WARC-Target-URI", (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{sha1(body)}"), ("WARC-Block-Digest", f"sha1:{sha1(content)}"), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(body))),
     ]
     if refers_to is not None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{name_of(refers_to)}>")]
     return record(headers, content)
 
 
-def bounds(pages: DataFrame, shard_bytes: int) -> list:
-    """The first ids of all shards but the first."""
+def spread(page: str = "page_id", digest: str = "digest", url: str = "url") -> Column:
+    """What parts the rows of one page id, so that an id that many rows have does not fill one shard."""
+    return F.xxhash64(page, digest, url)
+
+
+def bounds(pages: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The first (page_id, spread) of all shards but the first. pages: (page_id, digest, url, body)."""
     size = pages.agg(F.sum(F.octet_length("body")).alias("bytes"), F.count("*").alias("rows")).first()
     shards = min(MOST_SHARDS, -(-(size["bytes"] or 0) // shard_bytes))
     if shards < 2:
         return []
     every = max(1, size["rows"] // (SAMPLED * shards))
-    sample = pages.where("page_id is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").distinct().orderBy("page_id").collect()
-    return sorted({sample[i * len(sample) // shards][0] for i in range(1, shards)}) if sample else []
+    keys = pages.select("page_id", spread().alias("s"))
+    sample = keys.where(F.pmod(F.xxhash64("page_id", "s"), F.lit(every)) == 0).distinct().orderBy("page_id", "s").collect()
+    return list(dict.fromkeys(tuple(sample[i * len(sample) // shards]) for i in range(1, shards))) if sample else []
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes: int = 16 << 20, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the pages (page_id, url, html) below ``folder``; returns the manifest, which is also stored there."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("body"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("body")).withColumn("digest", F.sha1("body"))
     kind = rows.schema["page_id"].dataType
     cuts = bounds(rows, shard_bytes)
+    lost = [s for page, s in cuts if page is None]  # rows without an id come first
+    named = [page for page, _ in cuts if page is not None]
+    named = np.array(named, dtype=object if any(isinstance(p, str) for p in named) else None)
+    spreads = [s for page, s in cuts if page is not None]
 
     @F.pandas_udf("int")
-    def shard(ids):
-        if not cuts:
-            return ids.isna().astype("int32") * 0
+    def shard(ids, parts):
         missing = ids.isna().to_numpy()
         out = np.zeros(len(ids), dtype="int32")
-        out[~missing] = np.searchsorted(np.array(cuts), ids[~missing].to_numpy().astype(np.array(cuts).dtype), side="right")
+        out[missing] = np.searchsorted(lost, parts[missing].to_numpy(), side="right")
+        if len(named):
+            known, mine = ids[~missing].to_numpy().astype(named.dtype), parts[~missing].to_numpy()
+            low, high = np.searchsorted(named, known, side="left"), np.searchsorted(named, known, side="right")
+            out[~missing] = len(lost) + low
+            for i in np.flatnonzero(high > low):  # the bounds of one id
+                out[np.flatnonzero(~missing)[i]] += np.searchsorted(spreads[low[i] : high[i]], mine[i], side="right")
+        else:
+            out[~missing] = len(lost)
         return pd.Series(out)
 
-    digest = F.sha1("body")
-    small = rows.where(F.octet_length("body") >= least_bytes).select("page_id", digest.alias("digest"))
+    small = rows.where(F.octet_length("body") >= least_bytes).select("page_id", "digest", "url")
     firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     # revisits travel as narrow rows and meet their page in the shard, just before it in the order
     revisits = small.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
-    notes = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.col("first").cast("string").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"))
-    whole = rows.select("page_id", digest.alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("refers_to"), "url", "body")
-    dealt = whole.unionByName(notes).withColumn("shard", shard("page_id")).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind")
+    notes = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.col("first").cast("string").alias("refers_to"), "url", F.lit(None).cast("string").alias("body"))
+    whole = rows.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("refers_to"), "url", "body")
+    dealt = whole.unionByName(notes).withColumn("spread", spread()).withColumn("shard", shard("page_id", "spread")).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "spread", "digest", "url", "kind")
     attempt = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +143,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 for page, digest, kind, refers_to, url, body, number in zip(*(c.to_pylist() for c in part.columns)):
                     if kind == 0:
-                        note = (page, digest, refers_to)
+                        note = (page, digest, url, refers_to)
                         continue
                     if out and (out["shard"] != number or out["bytes"] >= file_bytes):
                         close()
@@ -136,7 +157,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
                         out["stream"].write(info)
                         out["sha"].update(info)
                         out["bytes"] += len(info)
-                    packed = page_record(NO_ID if page is None else str(page), url, (body or "").encode(), note[2] if note[:2] == (page, digest) else None, date)
+                    packed = page_record(page, url, (body or "").encode(), note[3] if note[:3] == (page, digest, url) else None, date)
                     out["stream"].write(packed)
                     out["sha"].update(packed)
                     out["bytes"] += len(packed)
@@ -202,9 +223,9 @@ def read(spark: SparkSession, folder: str, page_type: T.DataType) -> DataFrame:
                     response = headers["WARC-Type"] == "response"
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    page, refers = (headers.get(k, "")[len("<urn:page:") : -1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                    page, refers = (unquote(name[len(PAGE) + 1 : -1]) if (name := headers.get(k, "")).startswith(f"<{PAGE}") else None for k in ("WARC-Record-ID", "WARC-Refers-To"))
                     intact = headers["WARC-Block-Digest"] == f"sha1:{sha1(block)}" and (not response or sha1(payload) == digest)
-                    rows.append((None if page == NO_ID else page, headers["WARC-Target-URI"], payload if response else None, len(payload) if response else int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], refers or None, intact))
+                    rows.append((page, headers["WARC-Target-URI"], payload if response else None, len(payload) if response else int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], refers, intact))
                     if len(rows) >= 1000:
                         yield batch_of(rows)
                         rows = []
