@@ -16,7 +16,8 @@ digest in blocks. A block's common core that occurs once rules all its strings o
 twice proves them all, and only blocks between are counted string by string.
 
 Null texts are empty. Texts below ``length`` bytes lose nothing. Repeated rows are copies of each other. Very
-long texts are cut for the search of anchors only, with overlap. Equal surroundings are told by 64 bits of digest in a group.
+long texts are cut for the search of anchors only, with overlap. Copies (equal surroundings) and the strings of hot groups are told by 128 bits of
+digest beside the gram's 64, not byte by byte; what the sort finds is verified byte by byte.
 """
 
 from __future__ import annotations
@@ -248,7 +249,7 @@ def sized_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Record
         start += fit
 
 
-PLACE = "_k long, _c long, g long, x long, pos int, before int, after int"
+PLACE = "_k long, _c long, g long, x binary, pos int, before int, after int"
 
 
 def places(docs: DataFrame, length: int) -> DataFrame:
@@ -260,15 +261,15 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                 text, place, g, before, after = anchors_of(bodies, length)
                 if not len(text):
                     continue
-                x = [xxhash.xxh3_64_intdigest(bodies[i][p - b : p + a], b) for i, p, b, a in zip(text.tolist(), place.tolist(), before.tolist(), after.tolist())]
+                x = [xxhash.xxh3_128_digest(bodies[i][p - b : p + a], b) for i, p, b, a in zip(text.tolist(), place.tolist(), before.tolist(), after.tolist())]
                 rows = pa.array(text)
-                columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g), pa.array(np.array(x, dtype=np.uint64).view(np.int64)), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
+                columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g), pa.array(x, pa.binary()), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_k", "_c", "g", "x", "pos", "before", "after"])
 
     return docs.select("_k", "_c", "text").mapInArrow(run, PLACE)
 
 
-AROUND = "g long, x long, n long, d long, _k long, _c long, pos int, before int, around binary"
+AROUND = "g long, x binary, n long, d long, _k long, _c long, pos int, before int, around binary"
 
 
 def surroundings(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -288,7 +289,7 @@ def surroundings(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
                         out["_k"].append(k)
                         out["_c"].append(c)
                         out["around"].append(raw[a["pos"] - a["before"] : a["pos"] + a["after"]])
-                kinds = {"g": pa.int64(), "x": pa.int64(), "n": pa.int64(), "d": pa.int64(), "_k": pa.int64(), "_c": pa.int64(), "pos": pa.int32(), "before": pa.int32(), "around": pa.binary()}
+                kinds = {"g": pa.int64(), "x": pa.binary(), "n": pa.int64(), "d": pa.int64(), "_k": pa.int64(), "_c": pa.int64(), "pos": pa.int32(), "before": pa.int32(), "around": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds.items()], names=list(kinds))
 
     return bodies.join(wanted, ["_k", "_c"]).mapInArrow(run, AROUND)
@@ -333,8 +334,7 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
     """Spans of groups too large for one task, by counting digests of strings in blocks of BLOCK places."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        signed = lambda v: pa.array([None if y is None else y - (y >> 63 << 64) for y in v], pa.int64())
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -350,7 +350,7 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
                         core.append(digest(raw[b - j : b - (j + BLOCK - 1) + length], j))
                         hull.append(digest(raw[b - hi : b - lo + length], j + 1) if hi - lo == BLOCK - 1 else None)
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(low, pa.int32()), pa.array(high, pa.int32()), signed(core), signed(hull)], names=["g", "x", "low", "high", "core", "hull"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(core, pa.binary()), pa.array(hull, pa.binary())], names=["g", "x", "low", "high", "core", "hull"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,20 +361,21 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
                     for j in range(low, high + 1):
                         rows.append(i)
                         js.append(j)
-                        out.append(xxhash.xxh3_64_intdigest(raw[b - j : b - j + length], j))
+                        out.append(xxhash.xxh3_128_digest(raw[b - j : b - j + length], j))
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(js, pa.int32()), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["g", "x", "j", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(js, pa.int32()), pa.array(out, pa.binary())], names=["g", "x", "j", "s"])
 
-    blocks = stored(around.select("g", "before", "around", "x").mapInArrow(digests, "g long, x long, low int, high int, core long, hull long"), "hot-blocks")
-    cores = blocks.groupBy("g", "core").agg(F.count("*").alias("cores")).where("cores > 1").select("g", "core")
-    hulls = blocks.where("hull is not null").groupBy("g", "hull").agg(F.count("*").alias("hulls"), F.min("x").alias("one")).where("hulls > 1")
+    blocks = stored(around.select("g", "before", "around", "x").mapInArrow(digests, "g long, x binary, low int, high int, core binary, hull binary"), "hot-blocks")
+    # counts are stored before they are joined, so that a join can be split at a string that is everywhere
+    cores = stored(blocks.groupBy("g", "core").agg(F.count("*").alias("cores")).where("cores > 1").select("g", "core"), "hot-cores")
+    hulls = stored(blocks.where("hull is not null").groupBy("g", "hull").agg(F.count("*").alias("hulls"), F.min("x").alias("one")).where("hulls > 1"), "hot-hulls")
     proven = blocks.join(hulls.select("g", "hull"), ["g", "hull"], "left_semi").select("g", "x", "low", "high")
     # of the blocks with a proven hull one is counted string by string too: others may share a part of it
     one = hulls.select("g", "hull", F.col("one").alias("x"))
     likely = blocks.join(cores, ["g", "core"], "left_semi")
     todo = likely.join(hulls.select("g", "hull"), ["g", "hull"], "left_anti").unionByName(likely.join(one, ["g", "hull", "x"], "left_semi")).select("g", "x", "low", "high")
-    single = stored(around.select("g", "before", "around", "x").join(todo, ["g", "x"]).select("g", "before", "around", "x", "low", "high").mapInArrow(strings, "g long, x long, j int, s long"), "hot-strings")
-    twice = single.groupBy("g", "s").agg(F.count("*").alias("strings")).where("strings > 1")
+    single = stored(around.select("g", "before", "around", "x").join(todo, ["g", "x"]).select("g", "before", "around", "x", "low", "high").mapInArrow(strings, "g long, x binary, j int, s binary"), "hot-strings")
+    twice = stored(single.groupBy("g", "s").agg(F.count("*").alias("strings")).where("strings > 1"), "hot-twice")
     found = single.join(twice, ["g", "s"], "left_semi").select("g", "x", F.col("j").alias("low"), F.col("j").alias("high"))
     runs = found.unionByName(proven)
     owner = around.where("n = 1").select("g", "x", "_k", "_c", "pos")
