@@ -4,8 +4,9 @@ For each language a raw-content zstandard dictionary is built from lower-cased t
 is lower-cased and cut into blocks, each block is compressed with every dictionary, and the language with the fewest bytes
 in all wins. A narrow margin over the second is marked as rejected.
 
-Training reads a bounded sample: about ``SAMPLE_ROWS`` texts a language, chosen by a hash of their
-text, each giving its first ``SAMPLE_CHARS`` characters, up to ``DICTIONARY_BYTES``. Prediction reads whole texts.
+Training reads a bounded sample of labelled rows: about ``SAMPLE_ROWS`` different texts a language, chosen by a hash of
+the text. These are read whole: they fall into chunks of ``CHUNK`` characters, and the ``CHUNKS`` of a language with the
+least hashes, from anywhere in its texts, are its dictionary. Prediction reads whole texts.
 Null texts and texts without a letter are ``und`` with score 0. With no training rows, all are. Ties
 go to the first language in order. Repeated rows give repeated results.
 """
@@ -20,10 +21,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from archsieve.llm.common import texts
 
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 1_000, 96 * 1024
+SAMPLE_ROWS, CHUNK, CHUNKS = 300, 500, 200
 BLOCK_BYTES, LEVEL = 1_024, 3
 #: A margin under this share of the second best size is narrow.
 NARROW = 0.01
@@ -34,22 +36,25 @@ ASCII_LETTER = re.compile("[A-Za-z]").search
 def learn(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary content."""
     usable = train.select(train[lang].alias("lang"), train[text].alias("text")).where("lang is not null and text is not null and text <> ''")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = usable.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return {}
-    # a share of each language, by a hash that is the same in every run
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * SAMPLE_ROWS / n)))])[F.col("lang")]
-    chosen = usable.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    # a share of each language's different texts, by a hash that is the same in every run
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / max(n, 1)) if n > SAMPLE_ROWS else 1.0))])[F.col("lang")]
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    chunks = chosen.select("lang", "h", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("place", "chunk"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("h", "place"), "h", "place"))
     out: dict[str, list[bytes]] = {k: [] for k in sorted(sizes)}
-    for r in chosen.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():
-        out[r["lang"]].append(r["text"].lower().encode())
-    return {k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in out.items()}
+    for r in chunks.withColumn("rank", rank).where(F.col("rank") <= CHUNKS).orderBy("lang", "rank").collect():  # at most CHUNKS a language
+        out[r["lang"]].append(r["chunk"].lower().encode())
+    return {k: b"\n".join(v) for k, v in out.items()}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): score is the best size's margin, 0 to 1."""
     names = sorted(dictionaries)
-    held = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in names])  # bounded: languages x DICTIONARY_BYTES
+    held = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in names])  # bounded: languages x CHUNKS x CHUNK characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = []
