@@ -8,8 +8,8 @@ block is scored once and a document adds up the losses of its words. The score i
 lower, the more a text is like the target.
 
 Models are tables: counts of all n-grams of all documents, smoothed from order to order,
-p(b | c) = (count(cb) + PRIOR * p(b | shorter c)) / (count(c) + PRIOR). Nothing is sampled, and
-nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only the distinct n-grams of a block move to
+p(b | c) = (count(cb) + PRIOR * p(b | shorter c)) / (count(c) + PRIOR). The models are matched: the background's counts are
+scaled to the target's mass, so that smoothing weighs alike in both. Nothing is sampled, and nothing is broadcast. Documents are dealt into blocks of about ``BLOCK_BYTES``; only the distinct n-grams of a block move to
 the counts and back as probabilities, so one n-gram that is everywhere costs a row a block.
 
 Null and empty texts have no tokens: losses 0, score null. Without target documents the target model is
@@ -72,28 +72,29 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return owner[use], code[use]
 
 
-def blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+def blocks(docs: DataFrame, target: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(block, doc_id, text, wanted): the documents dealt into blocks of about BLOCK_BYTES. A row's place decides its block, so neither an id nor a
+    text that many rows have fills one; the table is stored, so that every step sees the same blocks."""
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(n))
-    return docs.select(block.alias("block"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n
+    flags = target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct()
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    return stored(rows.join(flags, F.col("doc_id") == F.col("_wanted"), "left").select("block", "doc_id", "text", F.col("_wanted").isNotNull().alias("wanted")), "lm-blocks")
 
 
-def gram_counts(dealt: DataFrame, target: DataFrame, n: int, across: bool = False) -> DataFrame:
-    """(block, gram, target, background): how often each block's n-grams occur. target: ids (doc_id)."""
-    flags = target.where("doc_id is not null").select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)).alias("block"), "doc_id").distinct()
+def gram_counts(dealt: DataFrame, across: bool = False) -> DataFrame:
+    """(block, gram, target, background): how often each block's n-grams occur."""
 
-    def count(docs: pa.Table, flagged: pa.Table) -> pa.Table:
-        wanted = set(flagged["doc_id"].to_pylist())
+    def count(docs: pa.Table) -> pa.Table:
         every: Counter[bytes] = Counter()
         some: Counter[bytes] = Counter()
         for batch in docs.to_batches(max_chunksize=256):
-            for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for t, wanted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = units_of(t, across)
                 every.update(words)
-                if i in wanted:
+                if wanted:
                     some.update(words)
-        block = docs["block"][0].as_py() if docs.num_rows else flagged["block"][0].as_py()
+        block = docs["block"][0].as_py()
         parts = []
         for part in parts_of(list(every)):
             owner, code = grams(part)
@@ -104,7 +105,7 @@ def gram_counts(dealt: DataFrame, target: DataFrame, n: int, across: bool = Fals
         found, at = np.unique(found, return_inverse=True)
         return pa.table({"block": pa.array(np.full(len(found), block)), "gram": pa.array(found), **{k: pa.array(np.bincount(at, x, minlength=len(found)).astype(np.int64)) for k, x in zip(("target", "background"), sums)}})
 
-    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(count, "block long, gram long, target long, background long")
+    return dealt.groupBy("block").applyInArrow(count, "block long, gram long, target long, background long")
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -112,6 +113,9 @@ def model(counts: DataFrame) -> DataFrame:
     both = ("target", "background")
     total = lambda: [F.sum(k).alias(k) for k in both]
     whole = stored(counts.groupBy("gram").agg(*total()), "grams")
+    # the background is all documents, its counts scaled to the target's mass: both models are smoothed alike, and no row is left out
+    mass = whole.agg(*total()).first()
+    scale = {"target": 1.0, "background": mass["target"] / mass["background"] if mass["target"] else 1.0}
     lower: DataFrame | None = None
     for order in range(1, ORDER + 1):
         here = whole if order == ORDER else whole.groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(*total())
@@ -123,7 +127,7 @@ def model(counts: DataFrame) -> DataFrame:
         else:
             joined = joined.withColumn("short", F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1)).join(lower, "short")
             shorter = {k: F.col(f"{k}_shorter") for k in both}
-        p = {k: (F.col(k) + PRIOR * shorter[k]) / (F.col(f"{k}_context") + PRIOR) for k in both}
+        p = {k: (F.lit(scale[k]) * F.col(k) + PRIOR * shorter[k]) / (F.lit(scale[k]) * F.col(f"{k}_context") + PRIOR) for k in both}
         if order == ORDER:
             return joined.select("gram", *[F.log(p[k]).alias(k) for k in both])
         lower = joined.select(F.col("gram").alias("short"), *[p[k].alias(f"{k}_shorter") for k in both])
@@ -133,8 +137,8 @@ def model(counts: DataFrame) -> DataFrame:
 def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", across: bool = False) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of every row. target: the ids of the target documents; across: contexts
     run over the words of a text."""
-    dealt, n = blocks(docs, doc_id, text)
-    counts = stored(gram_counts(dealt, target, n, across), "block-grams")
+    dealt = blocks(docs, target, doc_id, text)
+    counts = stored(gram_counts(dealt, across), "block-grams")
     back = counts.select("block", "gram").join(model(counts), "gram")
     kind = dealt.schema["doc_id"]
 
