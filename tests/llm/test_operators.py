@@ -40,6 +40,36 @@ def test_language_id_held_out(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.93
 
 
+def test_token_counts_encode_each_missing_content_once(spark):
+    docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text"), (2, "same text"), (3, "other")], "doc_id long, text string")
+    cache = scratch(spark, "test-cache")
+    got = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), cache)
+    assert len({r.n_tokens for r in got.where("doc_id is null or doc_id < 3").collect()}) == 1 and got.count() == 5
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_language_id_takes_the_smallest_size(spark):
+    """Predictions against zstandard alone, and dictionaries that come from all over a text."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = langid.learn(docs)
+    tail = "".join(f"q{i}z " for i in range(2000))
+    late = langid.learn(spark.createDataFrame([("x", "plain " * 400 + tail)], "lang string, text string"))["x"].decode()
+    assert "q1999z" in late and "plain" in late
+    names = sorted(dictionaries)
+    for r in docs.join(langid.predict(docs, dictionaries).withColumnRenamed("doc_id", "i"), F.col("i") == F.col("doc_id")).where("text is not null").limit(60).collect():
+        raw = r.text.lower().encode()
+        sizes = []
+        for k in names:
+            d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=d, level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(c.compress(raw[i : i + langid.BLOCK_BYTES])) for i in range(0, len(raw), langid.BLOCK_BYTES)), k))
+        if any(map(str.isalpha, r.text)):
+            best, second = sorted(sizes)[:2]
+            assert r.lang_pred == best[1] and r.score == pytest.approx(1 - best[0] / second[0])
+
+
 def test_token_counts_equal_the_library_and_fill_the_cache(spark, odd, none, rows):
     import sentencepiece
 
@@ -153,6 +183,9 @@ def test_language_model_scores(spark, odd, none, labels, rows):
                         for g in ((n, gram), (n, gram[:-1], "context")):
                             counts[k][g] = counts[k].get(g, 0) + 1
 
+    mass = {k: sum(n for g, n in c.items() if g[0] == 5 and len(g) == 2) for k, c in counts.items()}
+    counts["all"] = {g: n * mass["target"] / mass["all"] for g, n in counts["all"].items()}
+
     def loss(ws, c):
         total = 0.0
         for w in ws:
@@ -182,11 +215,12 @@ def test_language_model_contexts_run_over_words(spark):
 
     def losses(ids):
         counts = {}
+        scale = sum(max(0, len(runs[i]) - 4) for i in (0, 3)) / sum(max(0, len(runs[i]) - 4) for i in ids)
         for raw in (runs[i] for i in ids):
             for e in range(4, len(raw)):
                 for n in range(1, 6):
                     for g in ((n, raw[e - n + 1 : e + 1]), (n, raw[e - n + 1 : e], "context")):
-                        counts[g] = counts.get(g, 0) + 1
+                        counts[g] = counts.get(g, 0) + scale
         for raw in runs:
             total = 0.0
             for e in range(4, len(raw)):
@@ -222,6 +256,23 @@ def test_warc_round_trip(spark, pages):
     assert warc.write(pages.where("false"), empty).count() == 0 and warc.read(spark, empty, pages.schema["page_id"].dataType).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_warc_of_odd_ids_and_one_crowded_id(spark, kind):
+    ids = [None, "none", "a>b", "c\r\nWARC-Type: x", "", "%41", "é"] if kind == "string" else [None, 1, 2, 3]
+    rows = [(i, f"u{k}", f"<p>{k % 5}</p>" * 50) for k in range(40) for i in ids] + [(ids[1], f"v{k}", f"<b>{k}</b>" * 40) for k in range(300)] + [(ids[0], f"v{k}", f"<i>{k}</i>" * 40) for k in range(300)]
+    pages = spark.createDataFrame(rows, f"page_id {kind}, url string, html string")
+    folder = scratch(spark, "test-warc")
+    manifest = warc.write(pages, folder, shard_bytes=8000, file_bytes=1 << 20)
+    assert manifest.agg(F.max("records")).first()[0] < 400  # one id does not fill one shard
+    got = warc.read(spark, folder, pages.schema["page_id"].dataType).collect()
+    first = {}
+    for i, _, h in rows:
+        if i is not None and (h not in first or i < first[h]):
+            first[h] = i
+    want = [(i, u, len(h), "response" if first.get(h, i) == i else "revisit", None if first.get(h, i) == i else first[h], True) for i, u, h in rows]
+    assert multiset((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to, r.intact) for r in got) == multiset(want)
+
+
 def test_bpe_equals_the_library(odd, none, rows):
     import tiktoken
 
@@ -296,6 +347,54 @@ def test_near_duplicates_of_a_star_and_of_look_alikes(spark):
     assert {r.doc_id: r.component_id for r in hyperminhash.deduplicate(docs, size=2).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(2, 5))
+def test_near_duplicates_lose_no_link_in_a_crowd(spark, seed):
+    """All pairs of 300 texts lie just under the threshold but for eight that reach it."""
+    rng = np.random.default_rng(seed)
+    common = [f"c{i}" for i in range(186)]
+    bodies = []
+    for i in range(300):
+        words = list(common)
+        for place in sorted(rng.choice(185, 13, replace=False))[::-1]:
+            words.insert(place + 1, f"u{seed}-{i}-{place}")
+        bodies.append(words)
+    for k in range(8):
+        near = list(bodies[30 * k])
+        for place in rng.choice(len(near), 9, replace=False):
+            near[place] = f"e{seed}-{k}-{place}"
+        bodies.append(near)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "doc_id long, text string")
+    sets = [set(zip(w, w[1:])) for w in bodies]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert 8 <= links < 400
+    got = {r.doc_id: r.component_id for r in hyperminhash.deduplicate(docs, size=2).collect()}
+    assert got == {i: find(i) for i in range(len(sets))}
+
+
+def test_near_duplicates_without_ids_and_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words))
+    docs = spark.createDataFrame([(None, base), (None, near), (7, other), (7, base + " y"), (None, "alone here"), (None, None)], "doc_id long, text string")
+    got = sorted(map(repr, ((r.doc_id, r.component_id, r.kept) for r in hyperminhash.deduplicate(docs, size=2).collect())))
+    assert got == sorted(map(repr, [(None, 7, False), (None, 7, False), (7, 7, True), (7, 7, True), (None, None, True), (None, None, True)]))
+    lost = hyperminhash.deduplicate(docs.where("doc_id is null"), size=2).collect()
+    assert sorted((r.n_shingles, r.kept) for r in lost) == [(0, True), (1, True), (59, False), (59, True)]
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.8, 0.95):
