@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct words kept with their ids in a task before the table starts anew.
-KEPT_WORDS = 400_000
+from archsieve.llm.common import tidy
+
+#: Distinct words kept with their ids in a task before all but those of its latest rows go.
+KEPT_WORDS = 150_000
 #: Rows whose new words share one replay.
-ROWS = 1024
+ROWS = 512
 
 #: The letters, digits and white space of Latin-1, for texts that hold nothing else.
 LETTER, DIGIT, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -154,11 +156,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
                     known[w] = np.array(ids, dtype="<u4").tobytes()
                 out = [b"".join([known[w] for w in ws]) for ws in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                if len(known) > KEPT_WORDS:
-                    known.clear()
+                if len(known) > KEPT_WORDS:  # what the latest rows hold comes again most likely
+                    known = {w: known[w] for ws in words for w in ws}
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -173,4 +175,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 out = [b"".join([token[i] for i in np.frombuffer(x or b"", dtype="<u4").tolist()]) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

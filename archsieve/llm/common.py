@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import posixpath
 import uuid
 
@@ -10,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a stored table that make a file of their own.
+ROWS_A_FILE = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -37,9 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back (columnar, so wide rows stay small)."""
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows at most in files of about ROWS_A_FILE, where the session's partitions would make smaller ones."""
+    files = max(1, -(-rows // ROWS_A_FILE))
+    return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back (columnar, so wide rows stay small). rows: an upper bound, if known."""
     path = scratch(df.sparkSession, what)
+    df = df if rows is None else gathered(df, rows)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,6 +68,19 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[C
     return [F.xxhash64(docs[doc_id], docs[text]).alias("_k"), F.crc32(both.cast("binary")).alias("_c")]
 
 
+def tidy(run):
+    """An Arrow map that gives its memory back at the end of a task; Python workers live on, and idle ones would keep it."""
+
+    @functools.wraps(run)
+    def mapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return mapped
+
+
 def texts(batch: pa.RecordBatch, column: str = "text", rows: int = 256):
     """Small slices of a batch with their texts (null: empty), so that no task holds many words at once."""
     for start in range(0, batch.num_rows, rows):

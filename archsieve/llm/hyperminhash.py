@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from archsieve.llm.common import checkpointed, keyed, stored
+from archsieve.llm.common import checkpointed, gathered, keyed, stored, tidy
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Standard deviations under the threshold at which an estimate discards a pair.
 DEVIATIONS = 5
 #: Rounds of leaders, and the bands of the first one.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     schema = T.StructType([*docs.schema.fields[:3], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
-    return docs.select("_k", "_c", "doc_id", "text").mapInArrow(run, schema)
+    return docs.select("_k", "_c", "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def side(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -156,7 +156,7 @@ def likely(pairs: DataFrame, registers_of: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(estimate(x, y) >= floor))
 
     both = pairs.join(side(registers_of, "a", "registers"), "a").join(side(registers_of, "b", "registers"), "b")
-    return both.select("a", "b", "registers_a", "registers_b").mapInArrow(run, pair_schema(pairs))
+    return both.select("a", "b", "registers_a", "registers_b").mapInArrow(tidy(run), pair_schema(pairs))
 
 
 def confirmed(near: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def confirmed(near: DataFrame, bodies: DataFrame, size: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = near.join(side(bodies, "a", "text"), "a").join(side(bodies, "b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(run, pair_schema(near))
+    return full.mapInArrow(tidy(run), pair_schema(near))
 
 
 def near_equal(x: np.ndarray, y: np.ndarray, band: int, floor: float) -> np.ndarray:
@@ -291,13 +291,15 @@ def settled(members: DataFrame, registers_of: DataFrame, bodies: DataFrame, size
 
 def components(links: DataFrame) -> DataFrame:
     """(v, component): the least vertex that links (a, b) reach, for every linked vertex."""
-    edges = checkpointed(links.union(links.select("b", "a")).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")))
+    n = 2 * links.count()
+    edges = checkpointed(gathered(links.union(links.select("b", "a")).distinct(), n))
+    labels = checkpointed(gathered(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")), n))
     while True:
         heard = edges.join(labels, edges["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("heard"))
         low = labels.join(heard, "v").select("v", F.least("component", "heard").alias("low"), "component")
         jump = labels.select(F.col("v").alias("low"), F.col("component").alias("further"))
-        new = checkpointed(low.join(jump, "low", "left").select("v", F.least("low", "further").alias("component"), (F.least("low", "further") < F.col("component")).alias("moved")))
+        moved = low.join(jump, "low", "left").select("v", F.least("low", "further").alias("component"), (F.least("low", "further") < F.col("component")).alias("moved"))
+        new = checkpointed(gathered(moved, n))
         labels = new.select("v", "component")
         if new.where("moved").isEmpty():
             return labels
@@ -307,21 +309,23 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     """(_k, _c, doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of a component."""
     keys = docs.select(*keyed(docs, doc_id, text), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     sketch = stored(sketches(keys, size), "sketches")
+    n_rows = sketch.count()
     # a vertex is a set; the row with its smallest id stands for it
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "_k", "_c")).alias("row")
-    vertices = stored(sketch.where("n_shingles > 0").groupBy(F.col("digest").alias("v")).agg(stands, F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers")), "near-classes")
+    vertices = stored(sketch.where("n_shingles > 0").groupBy(F.col("digest").alias("v")).agg(stands, F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers")), "near-classes", n_rows)
     rows = vertices.select("v", F.posexplode("bands").alias("band", "h"))
     # stored before the join, which then has shuffles of its own and can be split at a bucket that holds a large part of all rows
     shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    n_open = shared.agg(F.sum("n").alias("n")).first()["n"] or 0
     weight = F.sum("n").over(W.partitionBy("v"))
-    open_rows = stored(rows.join(shared, "h").select("v", "band", "h", weight.alias("weight")), "near-buckets")
+    open_rows = stored(rows.join(shared, "h").select("v", "band", "h", weight.alias("weight")), "near-buckets", n_open)
     # texts and registers of vertices that share a bucket; the hint keeps one plan at all sizes
-    met = stored(open_rows.select("v").distinct(), "near-vertices")
+    met = stored(open_rows.select("v").distinct(), "near-vertices", n_rows)
     known = vertices.select("v", "row._k", "row._c", "registers").join(met, "v")
-    registers_of = stored(known.select("v", "registers"), "near-registers")
+    registers_of = stored(known.select("v", "registers"), "near-registers", n_rows)
     # repeated rows collapse before they move
     once = keys.groupBy("_k", "_c").agg(F.any_value(F.coalesce("text", F.lit(""))).alias("text"))
-    bodies = stored(once.join(known.select("_k", "_c", "v").hint("merge"), ["_k", "_c"]).select("v", "text"), "near-texts")
+    bodies = stored(once.join(known.select("_k", "_c", "v").hint("merge"), ["_k", "_c"]).select("v", "text"), "near-texts", n_rows)
     links = labels = checked = None
 
     def labelled() -> DataFrame:
@@ -332,18 +336,19 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
         if turn == 0:  # a few bands join most copies, so that all bands then meet far fewer components
             here = here.where(F.col("band") < FIRST_BANDS)
         first = F.max_by(F.struct("v", "component"), F.struct(F.col("weight"), F.xxhash64("v")))
-        lead = here.groupBy("h").agg(first.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "lead")
+        # stored before the join, for the same reason as the counts
+        lead = stored(here.groupBy("h").agg(first.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "lead"), "near-leaders", n_open // 2)
         pairs = here.join(lead, "h").where("component <> lead.component").select(F.least("v", "lead.v").alias("a"), F.greatest("v", "lead.v").alias("b")).distinct()
-        pairs = stored(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = stored(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs", n_open)
         checked = pairs
-        near = stored(likely(pairs, registers_of, percent), "near-likely")
-        new = checkpointed(confirmed(near, bodies, size, percent))
+        near = stored(likely(pairs, registers_of, percent), "near-likely", n_open)
+        new = checkpointed(gathered(confirmed(near, bodies, size, percent), n_open))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
     # whatever the leaders left: after this no pair of a bucket is in two components without having been compared
-    here = stored(labelled().select("v", "h", "band", "component"), "near-rest")
-    rest = here.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    here = stored(labelled().select("v", "h", "band", "component"), "near-rest", n_open)
+    rest = stored(here.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h"), "near-rest-buckets", n_open // 2)
     members = stored(open_members(cells(here.join(rest, "h")), registers_of, percent), "near-open")
     new = checkpointed(settled(members, registers_of, bodies, size, percent))
     if not new.isEmpty():
@@ -352,10 +357,10 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     heads = vertices.select("v", "row")
     if labels is not None:
         linked = labels.join(heads, "v")
-        names = stored(linked.groupBy("component").agg(F.min("row").alias("first")), "near-names")
+        names = stored(linked.groupBy("component").agg(F.min("row").alias("first")), "near-names", n_rows)
         heads = heads.join(linked.join(names, "component").select("v", "first"), "v", "left").select("v", F.coalesce("first", "row").alias("row"))
     # stored, so that the join with the rows can be split at a set that many rows have
-    heads = stored(heads.select(F.col("v").alias("digest"), F.col("row").alias("first")), "near-heads")
+    heads = stored(heads.select(F.col("v").alias("digest"), F.col("row").alias("first")), "near-heads", n_rows)
     found = sketch.drop("bands", "registers").join(heads, "digest", "left")
     component = F.coalesce("first.doc_id", "doc_id")
     same_row = (F.col("_k") == F.col("first._k")) & (F.col("_c") == F.col("first._c"))

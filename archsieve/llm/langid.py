@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from archsieve.llm.common import texts
+from archsieve.llm.common import texts, tidy
 
 SAMPLE_ROWS, CHUNK, CHUNKS = 300, 500, 200
 BLOCK_BYTES, LEVEL = 1_024, 3
@@ -78,7 +78,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archsieve.llm.common import texts
+from archsieve.llm.common import texts, tidy
 
 #: Most labelled documents that the fit reads.
 FIT_ROWS = 8_000
@@ -33,7 +33,7 @@ BUCKETS = 1 << 18
 LEAST_DOCS = 4
 STEPS, RATE, RIDGE = 150, 0.1, 2e-4
 #: Most words that a task keeps with their buckets before starting anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 PUNCTUATION = ".,;:!?\"'()"
 SYMBOLS = "#*$%&|<>"
 
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, grades: DataFrame) -> Model | None:
             for part, bodies in texts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([sorted(features(t)) for t in bodies], pa.list_(pa.int32()))], names=["doc_id", "grade", "h", "f"])
 
-    every = rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("grade", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("f", T.ArrayType(T.IntegerType()))]))
+    every = rows.mapInArrow(tidy(run), T.StructType([docs.schema["doc_id"], T.StructField("grade", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("f", T.ArrayType(T.IntegerType()))]))
     got = every.groupBy("doc_id", "grade").agg(F.min_by("f", "h").alias("f")).toArrow()
     y = got["grade"].to_numpy()
     if len(np.unique(y)) < 2:
@@ -158,4 +158,4 @@ def grade(docs: DataFrame, model: Model | None, accept: int = 2, least: float =
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=[*keep, "expected_grade", "tail_probability", "selected"])
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("selected", T.BooleanType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("selected", T.BooleanType())]))

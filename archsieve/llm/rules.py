@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archsieve.llm.common import texts
+from archsieve.llm.common import texts, tidy
 
 LEARN_ROWS = 20_000
 WINDOW = 8
@@ -94,7 +94,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *COUNTS])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

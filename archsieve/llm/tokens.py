@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archsieve.llm.common import texts
+from archsieve.llm.common import texts, tidy
 
 CACHE = "content string, tokenizer string, n_tokens long"
 #: Distinct pieces of text kept with their counts in a task before the table starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 #: SentencePiece's sign for a space.
 MARK = "▁"
 
@@ -98,7 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
             for part, bodies in texts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(bodies), pa.int64())], names=["content", "n_tokens"])
 
-    fresh = misses.select("content", "text").mapInArrow(run, "content string, n_tokens long")
+    fresh = misses.select("content", "text").mapInArrow(tidy(run), "content string, n_tokens long")
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")

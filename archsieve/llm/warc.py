@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archsieve.llm.common import tidy
+
 MANIFEST = "shard int, file string, temporary string, records long, bytes long, sha256 string"
 #: Sampled ids for each shard, and most shards: together the bound of what the driver gathers.
 SAMPLED, MOST_SHARDS = 20, 20_000
@@ -167,7 +169,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["shard", "file", "temporary", "records", "bytes", "sha256"])
 
     manifest = f"{folder}/_manifest"
-    dealt.select("page_id", "digest", "kind", "refers_to", "url", "body", "shard").mapInArrow(run, MANIFEST).write.parquet(manifest)
+    dealt.select("page_id", "digest", "kind", "refers_to", "url", "body", "shard").mapInArrow(tidy(run), MANIFEST).write.parquet(manifest)
     files = spark.read.schema(MANIFEST).parquet(manifest)
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_bytes
                     fs.move(temporary, f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
 
-    committed = files.select("file", "temporary").mapInArrow(commit, "file string").count()
+    committed = files.select("file", "temporary").mapInArrow(tidy(commit), "file string").count()
     fs, base = folder_of(folder)
     if fs.get_file_info(f"{base}/_temporary").type != pyarrow.fs.FileType.NotFound:
         fs.delete_dir(f"{base}/_temporary")  # what is left there are files of attempts that did not count
@@ -232,7 +234,7 @@ def read(spark: SparkSession, folder: str, page_type: T.DataType) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    raw = files.repartition(min(most, 10_000)).mapInArrow(run, "page string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers string, intact boolean")
+    raw = files.repartition(min(most, 10_000)).mapInArrow(tidy(run), "page string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers string, intact boolean")
     return raw.select(F.col("page").cast(page_type).alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(page_type).alias("refers_to"), "intact")
 
 
