@@ -22,6 +22,7 @@ digest beside the gram's 64, not byte by byte; what the sort finds is verified b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,17 @@ class Powers:
 POWERS = Powers()
 
 
+def task(run):
+    """An Arrow map that leaves no powers behind in its worker."""
+
+    @functools.wraps(run)
+    def mapped(batches):
+        yield from run(batches)
+        POWERS.__init__()
+
+    return tidy(mapped)
+
+
 def prefixes(raw: np.ndarray) -> np.ndarray:
     """Prefix polynomial hashes: entry i is the hash of the first i bytes, scaled by its place."""
     up, _ = POWERS.upto(len(raw) + 1)
@@ -266,7 +278,7 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                 columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g), pa.array(x, pa.binary()), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_k", "_c", "g", "x", "pos", "before", "after"])
 
-    return docs.select("_k", "_c", "text").mapInArrow(tidy(run), PLACE)
+    return docs.select("_k", "_c", "text").mapInArrow(task(run), PLACE)
 
 
 AROUND = "g long, x binary, n long, d long, _k long, _c long, pos int, before int, around binary"
@@ -292,7 +304,7 @@ def surroundings(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = {"g": pa.int64(), "x": pa.binary(), "n": pa.int64(), "d": pa.int64(), "_k": pa.int64(), "_c": pa.int64(), "pos": pa.int32(), "before": pa.int32(), "around": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds.items()], names=list(kinds))
 
-    return bodies.join(wanted, ["_k", "_c"]).mapInArrow(tidy(run), AROUND)
+    return bodies.join(wanted, ["_k", "_c"]).mapInArrow(task(run), AROUND)
 
 
 SPAN = "_k long, _c long, begin int, stop int"
@@ -327,7 +339,7 @@ def sorted_groups(around: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held).combine_chunks())
 
-    return around.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), SPAN)
+    return around.repartition("g").sortWithinPartitions("g").mapInArrow(task(run), SPAN)
 
 
 def hot_groups(around: DataFrame, length: int) -> DataFrame:
@@ -366,7 +378,7 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(js, pa.int32()), pa.array(out, pa.binary())], names=["g", "x", "j", "s"])
 
     n_blocks = around.count() * (length // BLOCK)
-    blocks = stored(around.select("g", "before", "around", "x").mapInArrow(tidy(digests), "g long, x binary, low int, high int, core binary, hull binary"), "hot-blocks", n_blocks)
+    blocks = stored(around.select("g", "before", "around", "x").mapInArrow(task(digests), "g long, x binary, low int, high int, core binary, hull binary"), "hot-blocks", n_blocks)
     # counts are stored before they are joined, so that a join can be split at a string that is everywhere
     cores = stored(blocks.groupBy("g", "core").agg(F.count("*").alias("cores")).where("cores > 1").select("g", "core"), "hot-cores", n_blocks // 2)
     hulls = stored(blocks.where("hull is not null").groupBy("g", "hull").agg(F.count("*").alias("hulls"), F.min("x").alias("one")).where("hulls > 1"), "hot-hulls", n_blocks // 2)
@@ -375,7 +387,7 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
     one = hulls.select("g", "hull", F.col("one").alias("x"))
     likely = blocks.join(cores, ["g", "core"], "left_semi")
     todo = likely.join(hulls.select("g", "hull"), ["g", "hull"], "left_anti").unionByName(likely.join(one, ["g", "hull", "x"], "left_semi")).select("g", "x", "low", "high")
-    single = stored(around.select("g", "before", "around", "x").join(todo, ["g", "x"]).select("g", "before", "around", "x", "low", "high").mapInArrow(tidy(strings), "g long, x binary, j int, s binary"), "hot-strings")
+    single = stored(around.select("g", "before", "around", "x").join(todo, ["g", "x"]).select("g", "before", "around", "x", "low", "high").mapInArrow(task(strings), "g long, x binary, j int, s binary"), "hot-strings")
     twice = stored(single.groupBy("g", "s").agg(F.count("*").alias("strings")).where("strings > 1"), "hot-twice", n_blocks * BLOCK // 2)
     found = single.join(twice, ["g", "s"], "left_semi").select("g", "x", F.col("j").alias("low"), F.col("j").alias("high"))
     runs = found.unionByName(proven)
@@ -398,7 +410,9 @@ def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     mixed_kinds = kinds.join(groups, "g").select("first._k", "first._c", F.struct("g", "x", "n", "d", "first.pos", "first.before", "first.after").alias("a"))
     wanted = mixed_kinds.groupBy("_k", "_c").agg(F.collect_list("a").alias("at"))
     around = stored(surroundings(bodies, wanted), "around", n)
+    # a join of its own, which can be split at a passage that is everywhere
     copies = some.join(kinds.where("n > 1").select("g", "x"), ["g", "x"], "left_semi").select("_k", "_c", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("stop"))
+    copies = stored(copies, "copies", n)
     every = copies.unionByName(sorted_groups(around.where(F.col("d") <= HOT), length)).unionByName(hot_groups(around.where(F.col("d") > HOT), length))
     return bodies, every.distinct().groupBy("_k", "_c").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
@@ -432,4 +446,4 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (sizes, removed, counts)), pa.array(unions, span), pa.array(kept, pa.binary())], names=names)
 
     schema = T.StructType([kind, T.StructField("_k", T.LongType()), T.StructField("_c", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
-    return bodies.join(found, ["_k", "_c"], "left").select("_k", "_c", "doc_id", "text", "spans").mapInArrow(tidy(run), schema)
+    return bodies.join(found, ["_k", "_c"], "left").select("_k", "_c", "doc_id", "text", "spans").mapInArrow(task(run), schema)
