@@ -1,8 +1,8 @@
 """Glob patterns.
 
 Two dialects: without ``separate``, ``*`` and ``?`` also match ``/``; with it, only ``**`` crosses directories.
-``compile_glob`` handles braces and classes and serves patterns that the driver reads from files;
-``glob_column`` does the same for a pattern column of ``*``, ``**`` and ``?``.
+``compile_glob`` serves patterns that the driver reads from files and rejects what is no glob;
+``glob_column`` does the same for a column of patterns.
 """
 
 from __future__ import annotations
@@ -83,18 +83,26 @@ def compile_glob(pattern: str, separate: bool = False) -> str:
 
 
 def glob_column(pattern: Column, separate: bool = False) -> Column:
-    """The regular expression of a glob column without braces and classes."""
-    escaped = F.regexp_replace(pattern, r"([.^$+()|\[\]{}\\])", r"\\$1")
-    marked = F.replace(F.regexp_replace(escaped, r"(^|/)\*\*/", "$1\x01"), F.lit("**"), F.lit("\x02"))
+    """The regular expression of a glob column. Braces (one inside another at most) and classes are read if they are closed, else taken as text."""
     one, many = ("[^/]", "[^/]*") if separate else (".", ".*")
-    stars = F.replace(F.replace(marked, F.lit("*"), F.lit(many)), F.lit("?"), F.lit(one))
+    x = F.regexp_replace(pattern, r"([.^$+()|\\])", r"\\$1")
+    # classes: an open one is text, ! negates, and none matches a separator
+    x = F.regexp_replace(F.regexp_replace(x, r"\[(?![^\]]+\])", r"\\["), r"\[(?:!|\\\^)(?=[^\]]+\])", "[^")
+    x = F.regexp_replace(x, r"(?<!\\)\[(?=[^\]]+\])", "(?!/)[") if separate else x
+    count = lambda sign: F.length(pattern) - F.length(F.replace(pattern, F.lit(sign), F.lit("")))
+    alternatives = F.regexp_replace(x, r",(?=(?:[^{}]|\{[^{}]*\})*\})", "|")
+    alternatives = F.replace(F.replace(alternatives, F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")"))
+    x = F.when(count("{") == count("}"), alternatives).otherwise(F.regexp_replace(x, r"([{}])", r"\\$1"))
+    marked = F.replace(F.regexp_replace(x, r"(^|/)\*\*/", "$1\x01"), F.lit("**"), F.lit("\x02"))
+    stars = F.replace(marked, F.lit("*"), F.lit(many))
+    stars = F.replace(F.regexp_replace(stars, r"(?<!\()\?", "\x03"), F.lit("\x03"), F.lit(one))
     whole = F.replace(F.replace(stars, F.lit("\x01"), F.lit("(.*/){0,1}")), F.lit("\x02"), F.lit(".*"))
     return F.concat(F.lit("^"), whole, F.lit("$"))
 
 
 def matches(value: Column, pattern: Column, separate: bool = False) -> Column:
     """Whether a value equals a pattern or matches it as a glob."""
-    return (value == pattern) | (pattern.rlike(r"[*?]") & F.rlike(value, glob_column(pattern, separate)))
+    return (value == pattern) | (pattern.rlike(r"[*?\[{]") & F.rlike(value, glob_column(pattern, separate)))
 
 
 def matches_any(value: Column, patterns: Column) -> Column:

@@ -19,9 +19,11 @@ EMPTY = "array<string>"
 
 
 def bad_glob(pattern: Column) -> Column:
-    """Unbalanced braces and classes."""
-    count = lambda sign: F.length(pattern) - F.length(F.replace(pattern, F.lit(sign), F.lit("")))
-    return (count("{") != count("}")) | (count("[") > count("]"))
+    """Braces and classes that are not closed, or closed before they are opened, and a backslash at the end."""
+    left = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[!^]?[^\]]+\]", "")
+    for _ in range(4):  # pairs from the inside out
+        left = F.regexp_replace(left, r"\{[^{}]*\}", "")
+    return left.rlike(r"[{}\[]|\\$")
 
 
 def issues(specs: DataFrame) -> DataFrame:

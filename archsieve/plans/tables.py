@@ -27,8 +27,7 @@ VIEWS = {
         CASE WHEN l_partkey % 2 = 0 THEN '../' ELSE 'lib/' END || l_partkey AS specifier, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN 'type-only' WHEN 'A' THEN 'runtime' ELSE 're-export' END AS kind,
         l_returnflag = 'R' AS type_only, l_linenumber = 7 AS ignored, l_partkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN files a ON a.kind = 'customer' AND a.key = o_custkey JOIN files b ON b.kind = 'supplier' AND b.key = l_suppkey""",
-    "module_edges": """SELECT from_module AS a, to_module AS b FROM (SELECT from_module, to_module, row_number() OVER (PARTITION BY from_module ORDER BY count(*) DESC, to_module) AS r
-        FROM edges WHERE from_module <> to_module GROUP BY 1, 2) WHERE r <= 2""",
+    "module_edges": """SELECT DISTINCT from_module AS a, to_module AS b FROM edges WHERE from_module <> to_module""",
     "seen": """SELECT e.*, a.k AS ak, b.k AS bk, split_part(from_module, '/', 1) AS al, split_part(to_module, '/', 1) AS bl FROM edges e JOIN modules a ON a.module = from_module JOIN modules b ON b.module = to_module
         WHERE from_module <> to_module AND NOT ignored""",
     "importer_side": """SELECT rule, from_module || ' imports ' || to_module AS message, from_file, to_file, from_module, to_module, line FROM (SELECT *, CASE
@@ -98,11 +97,11 @@ def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations.fingerprinted(rated(spark, sf_dir))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A baseline: the findings of the first lines, with owners and expiry by their fingerprint."""
+def entries(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """A baseline: the findings of the first lines (made anew, or those found before), with owners and expiry by their fingerprint."""
     day = F.ascii(F.substring("fingerprint", 8, 1)) % 10
     expires = F.when(day < 3, F.lit(None).cast("string")).when(day < 5, "1999-12-31").when(day < 7, "2000-01-20").when(day == 7, "2000-02-30").otherwise("2001-06-01")
-    return printed(spark, sf_dir).where("line <= 4").select(
+    return (printed(spark, sf_dir) if found is None else found).where("line <= 4").select(
         "fingerprint", "from_file", expires.alias("expires_at"), F.when(F.col("line") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("team"), F.col("line").cast("string"))).alias("owner"), F.when(F.col("line") % 2 == 0, "legacy").alias("reason")
     )
 
@@ -270,14 +269,14 @@ def importers(spark, sf_dir):
     return graphs.importers(tables.edges(spark, sf_dir)).withColumn("importers", F.array_join("importers", ","))
 
 
-def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.module_edges(tables.edges(spark, sf_dir))
 
 
 @query(", reach AS (SELECT module, 0 AS depth FROM modules WHERE k = 3 UNION SELECT a, depth + 1 FROM reach JOIN module_edges ON b = reach.module WHERE depth < 25) SELECT module, min(depth)::INT AS depth FROM reach GROUP BY 1", "module_edges")
 def blast_radius(spark, sf_dir):
     changed = tables.modules(spark, sf_dir).where(F.col("k") == 3)
-    return graphs.blast_radius(top_edges(spark, sf_dir), changed)
+    return graphs.blast_radius(module_edges(spark, sf_dir), changed)
 
 
 CLOSURE = """, way AS (SELECT a, b FROM module_edges UNION SELECT way.a, e.b FROM way JOIN module_edges e ON way.b = e.a), both_ways AS (SELECT x.a AS node, min(x.b) AS component FROM way x JOIN way y ON x.a = y.b AND x.b = y.a GROUP BY 1),
@@ -286,7 +285,7 @@ CLOSURE = """, way AS (SELECT a, b FROM module_edges UNION SELECT way.a, e.b FRO
 
 @query(CLOSURE + " SELECT node, component FROM parts", "module_edges")
 def cycles(spark, sf_dir):
-    e = top_edges(spark, sf_dir).select(F.col("from_module").alias("a"), F.col("to_module").alias("b"))
+    e = module_edges(spark, sf_dir).select(F.col("from_module").alias("a"), F.col("to_module").alias("b"))
     return graphs.components(e)
 
 
@@ -319,7 +318,9 @@ NEEDS["classified"] = ["accepted"]
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baselines.classify(printed(spark, sf_dir), entries(spark, sf_dir), today())
+    """Findings with their disposition. The findings are made once; entries and classification both read them."""
+    found = graphs.checkpointed(printed(spark, sf_dir))
+    return baselines.classify(found, entries(spark, sf_dir, found), today())
 
 
 @query("SELECT rule, disposition, from_file, to_file, line FROM classified", "classified")
@@ -389,17 +390,18 @@ VIEWS["changes"] = """SELECT user_id, unnest(CASE WHEN a IS NULL THEN [{'field':
     CASE WHEN len(plus) > 0 THEN {'field': 'never_imports', 'classification': 'narrowing', 'detail': '+' || array_to_string(plus, ',')} END, CASE WHEN len(minus) > 0 THEN {'field': 'never_imports', 'classification': 'widening', 'detail': '-' || array_to_string(minus, ',')} END],
     lambda x: x IS NOT NULL) END) AS c FROM (SELECT *, list_filter(b, lambda x: NOT list_contains(a, x)) AS plus, list_filter(a, lambda x: NOT list_contains(b, x)) AS minus FROM sides)"""
 NEEDS["changes"] = ["sides"]
-VIEWS["plain_sides"] = VIEWS["sides"].replace(" || event_id % 6", "").replace("ts < TIMESTAMP '2024-01-16'", "ts < TIMESTAMP '2024-01-03'").replace("ts >= TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-29'")
-VIEWS["plain_changes"] = VIEWS["changes"].replace("FROM sides", "FROM plain_sides")
-NEEDS["plain_changes"] = ["plain_sides"]
+VIEWS["coarse_sides"] = VIEWS["sides"].replace("event_id % 6", "event_id % 3")
+VIEWS["coarse_changes"] = VIEWS["changes"].replace("FROM sides", "FROM coarse_sides")
+NEEDS["coarse_changes"] = ["coarse_sides"]
 
 
-def sides(spark: SparkSession, sf_dir: str, plain: bool = False) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str, kinds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Each user's values before and after one day; every event is on a side. kinds: how finely event types are told apart."""
     events = tables.table(spark, sf_dir, "events")
-    first, last = (F.lit(x).cast("timestamp_ntz") for x in (("2024-01-03", "2024-01-29") if plain else ("2024-01-16", "2024-01-16")))
-    value = F.col("event_type") if plain else F.concat("event_type", (F.col("event_id") % 6).cast("string"))
+    day = F.lit("2024-01-16").cast("timestamp_ntz")
+    value = F.concat("event_type", (F.col("event_id") % kinds).cast("string"))
     side = lambda test: events.where(test).groupBy("user_id").agg(F.array_sort(F.collect_set(value)).alias("never_imports"))
-    return side(F.col("ts") < first), side(F.col("ts") >= last)
+    return side(F.col("ts") < day), side(F.col("ts") >= day)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,30 +422,43 @@ def snapshot_summary(spark, sf_dir):
     return snapshots.summary(changes(spark, sf_dir), "user_id")
 
 
-VIEWS["moves"] = "SELECT user_id, c.classification AS kind, c.field AS field, substr(c.detail, 2) AS payload FROM plain_changes WHERE c.field = 'never_imports'"
-NEEDS["moves"] = ["plain_changes"]
+VIEWS["moves"] = "SELECT user_id, c.classification AS kind, c.field AS field, substr(c.detail, 2) AS payload FROM coarse_changes WHERE c.field = 'never_imports'"
+NEEDS["moves"] = ["coarse_changes"]
 
 
 @query(
     """SELECT widened, narrowed, field, payload, CASE WHEN count(*) OVER (PARTITION BY narrowed, field, payload) = 1 AND count(*) OVER (PARTITION BY widened, field, payload) = 1 THEN 'offset' ELSE 'ambiguous' END AS result FROM (
-    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, w.payload FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.payload = n.payload AND abs(w.user_id - n.user_id) BETWEEN 1 AND 2)""",
+    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, w.payload FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.payload = n.payload AND abs(w.user_id - n.user_id) BETWEEN 1 AND 6)""",
     "moves",
 )
 def compensation(spark, sf_dir):
-    moved = snapshots.diff(*sides(spark, sf_dir, plain=True), key="user_id").where("field = 'never_imports'")
-    near = moved.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 2)))
+    moved = snapshots.diff(*sides(spark, sf_dir, kinds=3), key="user_id").where("field = 'never_imports'")
+    near = moved.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 6)))
     return snapshots.compensations(moved, near, "user_id")
 
 
 @query(
-    """SELECT *, 'ours' AS side FROM (SELECT DISTINCT from_module AS a, to_module AS b FROM edges WHERE o_orderdate < TIMESTAMP '1996-01-01' AND kind = 'runtime' EXCEPT SELECT from_module, to_module FROM edges WHERE o_orderdate >= TIMESTAMP '2001-06-01' AND kind = 'runtime')
-    UNION ALL SELECT *, 'theirs' FROM (SELECT DISTINCT from_module, to_module FROM edges WHERE o_orderdate >= TIMESTAMP '2001-06-01' AND kind = 'runtime' EXCEPT SELECT from_module, to_module FROM edges WHERE o_orderdate < TIMESTAMP '1996-01-01' AND kind = 'runtime')""",
+    """SELECT *, 'ours' AS side FROM (SELECT from_file AS a, to_module AS b FROM edges WHERE o_orderdate < TIMESTAMP '1998-04-25' AND kind = 'runtime' EXCEPT SELECT from_file, to_module FROM edges WHERE o_orderdate >= TIMESTAMP '1998-04-25' AND kind = 'runtime')
+    UNION ALL SELECT *, 'theirs' FROM (SELECT from_file, to_module FROM edges WHERE o_orderdate >= TIMESTAMP '1998-04-25' AND kind = 'runtime' EXCEPT SELECT from_file, to_module FROM edges WHERE o_orderdate < TIMESTAMP '1998-04-25' AND kind = 'runtime')""",
     "edges",
 )
 def edge_set_diff(spark, sf_dir):
-    e = tables.edges(spark, sf_dir, "o_orderdate").where("kind = 'runtime'").select(F.col("from_module").alias("a"), F.col("to_module").alias("b"), "o_orderdate")
-    at = lambda day: F.lit(day).cast("timestamp_ntz")
-    return snapshots.edge_differences(e.where(F.col("o_orderdate") < at("1996-01-01")), e.where(F.col("o_orderdate") >= at("2001-06-01")))
+    """Which modules a file imports before a day and not from it on, and the other way; every order is on a side."""
+    e = tables.edges(spark, sf_dir, "o_orderdate").where("kind = 'runtime'").select(F.col("from_file").alias("a"), F.col("to_module").alias("b"), "o_orderdate")
+    day = F.lit("1998-04-25").cast("timestamp_ntz")
+    return snapshots.edge_differences(e.where(F.col("o_orderdate") < day), e.where(F.col("o_orderdate") >= day))
+
+
+@query(
+    """SELECT 'src/{asia,europe}/**' AS "glob", count(*)::BIGINT AS n FROM files WHERE path LIKE 'src/asia/%' OR path LIKE 'src/europe/%' UNION ALL SELECT 'src/**/supplier/*[05].ts', count(*)::BIGINT FROM files WHERE regexp_matches(path, '^src/(.*/)?supplier/[^/]*[05][.]ts$')
+    UNION ALL SELECT '**/{customer,supplier}/[!1-9]*.ts', count(*)::BIGINT FROM files WHERE regexp_matches(path, '^(.*/)?(customer|supplier)/[^1-9/][^/]*[.]ts$') HAVING count(*) > 0""",
+    "files",
+)
+def glob_braces(spark, sf_dir):
+    """How many files globs with braces and classes match."""
+    every = F.array(*[F.lit(g) for g in ("src/{asia,europe}/**", "src/**/supplier/*[05].ts", "**/{customer,supplier}/[!1-9]*.ts")])
+    f = tables.files(spark, sf_dir).select("path", F.explode(every).alias("glob"))
+    return f.where(globs.matches(F.col("path"), F.col("glob"), separate=True)).groupBy("glob").agg(F.count("*").alias("n"))
 
 
 @query(

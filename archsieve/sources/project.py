@@ -170,20 +170,31 @@ ENTRY = "fingerprint string, positional_fingerprint string, rule string, severit
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a baseline file; none where the file is not there."""
+    """The entries of a baseline: one JSON object with ``entries``, or an entry a line as ``write_baseline`` leaves them; none where nothing is there.
+    A file that is neither is an error."""
     from pyspark.errors import AnalysisException
 
     try:
-        whole = spark.read.schema(f"version string, entries array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in ENTRY.split(', ')))}>>").json(path, multiLine=True)
+        first = spark.read.text(path).where(F.trim("value") != "").first()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        first = None
+    if first is None:
         return spark.createDataFrame([], ENTRY)
-    return whole.select(F.explode("entries").alias("e")).select("e.*")
+    try:
+        lines = "fingerprint" in json.loads(first["value"])
+    except ValueError:
+        lines = False
+    reader = spark.read.option("mode", "FAILFAST")
+    if lines:
+        return reader.schema(ENTRY).json(path)
+    fields = ", ".join(f"{n}:{t}" for n, t in (x.split() for x in ENTRY.split(", ")))
+    return reader.schema(f"version string, entries array<struct<{fields}>>").json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
 
 
 def write_baseline(entries: DataFrame, path: str) -> None:
-    """Entries in order, one JSON object a line, and a header beside them."""
+    """Entries in order, one JSON object a line."""
     order = ["fingerprint", "positional_fingerprint", "rule", "from_file", "to_file", "line", "message"]
     entries.dropDuplicates(["fingerprint", "positional_fingerprint"]).orderBy(*[F.asc_nulls_first(c) for c in order]).write.mode("overwrite").json(path)
 
@@ -343,14 +354,30 @@ def spec_changes(spark: SparkSession, root: str, base: str, head: str) -> DataFr
     return spark.createDataFrame(name_status(raw), "status string, from_path string, to_path string")
 
 
+def blobs(root: str, names: list[str]) -> Iterator[bytes]:
+    """The contents of objects, in order, by one git process."""
+    with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+        for name in names:
+            process.stdin.write(name.encode() + b"\n")
+            process.stdin.flush()
+            head = process.stdout.readline().split()
+            if len(head) != 3 or head[1] != b"blob":
+                raise ValueError(f"no file {name}: {b' '.join(head).decode(errors='replace')}")
+            content = process.stdout.read(int(head[2]))
+            if len(content) < int(head[2]) or process.stdout.read(1) != b"\n":
+                raise ValueError(f"{name} is cut short")
+            yield content
+        process.stdin.close()
+
+
 def files_at(spark: SparkSession, root: str, ref: str, pattern: str = "*.spec.yml") -> DataFrame:
     """(path, content) of the files of a reference whose path matches."""
-    commit = valid_ref(root, ref)
-    listed = [p for p in git(root, "ls-tree", "-r", "-z", "--name-only", commit).decode().split("\0") if p]
     import fnmatch
 
-    wanted = [p for p in listed if fnmatch.fnmatch(p, pattern)]
-    return spark.createDataFrame([(p, git(root, "show", f"{commit}:{p}").decode(errors="replace")) for p in wanted], "path string, content string")
+    entries = [e.split("\t", 1) for e in git(root, "ls-tree", "-r", "-z", valid_ref(root, ref)).decode().split("\0") if e]
+    wanted = [(path, head.split()[2]) for head, path in entries if head.split()[1] == "blob" and fnmatch.fnmatch(path, pattern)]
+    contents = blobs(root, [sha for _, sha in wanted])
+    return spark.createDataFrame([(path, c.decode(errors="replace")) for (path, _), c in zip(wanted, contents)], "path string, content string")
 
 
 def paths_at(spark: SparkSession, root: str, ref: str) -> DataFrame:

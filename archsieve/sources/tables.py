@@ -51,13 +51,9 @@ def specifier() -> Column:
     return F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("../"), part)).otherwise(F.concat(F.lit("lib/"), part))
 
 
-def module_edges(edges_of: DataFrame, most: int = 2) -> DataFrame:
-    """(from_module, to_module): each module's most frequent other targets."""
-    from pyspark.sql import Window as W
-
-    counted = edges_of.where("from_module <> to_module").groupBy("from_module", "to_module").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("from_module").orderBy(F.desc("n"), "to_module"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= most).select("from_module", "to_module")
+def module_edges(edges_of: DataFrame) -> DataFrame:
+    """(from_module, to_module): all pairs of different modules with an import."""
+    return edges_of.where("from_module <> to_module").select("from_module", "to_module").distinct()
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:

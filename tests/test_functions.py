@@ -12,6 +12,8 @@ from archsieve.functions import dates, globs, hashing, names, paths
 TABLE = [  # pattern, path, without and with separators
     ("src/*.ts", "src/a.ts", True, True), ("src/*.ts", "src/x/a.ts", True, False), ("src/**/*.ts", "src/a.ts", True, True), ("src/**/*.ts", "src/x/y/a.ts", True, True), ("**/a.ts", "a.ts", True, True),
     ("src/**", "src/x/y", True, True), ("a?c", "a/c", True, False), ("a?c", "abc", True, True), ("*.test.ts", "x/a.test.ts", True, False), ("src/a.ts", "src/a_ts", False, False), ("core/*", "core/api/v1", True, False),
+    ("src/{api,app}/**", "src/app/x/y.ts", True, True), ("src/{api,app}/**", "src/apq/x.ts", False, False), ("src/[a]pp/*.ts", "src/app/x.ts", True, True), ("[!ab].ts", "c.ts", True, True), ("[!ab].ts", "a.ts", False, False),
+    ("*.{ts,{js,jsx}}", "a.jsx", True, True), ("a,b/{c,d}.ts", "a,b/d.ts", True, True), ("a[!x]b", "a/b", True, False), ("a[^x]b", "ayb", True, True),
 ]
 
 
