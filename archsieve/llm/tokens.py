@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archsieve.llm.common import stored as written
 from archsieve.llm.common import texts, tidy
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -101,4 +102,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
     fresh = misses.select("content", "text").mapInArrow(tidy(run), "content string, n_tokens long")
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join with the rows can be split at a content that many rows have
+    counts = written(counts, "token-counts")
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
