@@ -73,5 +73,36 @@ def audit(entries: DataFrame, today: Column) -> DataFrame:
     )
 
 
+def matching(found: DataFrame, **wanted: str | None) -> DataFrame:
+    """The findings whose columns (rule, from_module, to_module, from_file, to_file) have the wanted values; what is None is not asked."""
+    for name, value in wanted.items():
+        if value is not None:
+            found = found.where(F.col(name).eqNullSafe(value))
+    return found
+
+
+def listed(entries: DataFrame, today: Column, owner: str | None = None, rule: str | None = None, module: str | None = None, expired: bool = False, expires_within: int | None = None) -> DataFrame:
+    """The entries that all given filters keep. expires_within: days; entries without a day, or past it, do not expire within any."""
+    out = matching(entries, owner=owner, from_module=module)
+    if rule is not None:
+        out = out.where(rule_name(F.col("rule")) == rule_name(F.lit(rule)))
+    if expired:
+        out = out.where(dates.is_expired(F.col("expires_at"), today))
+    if expires_within is not None:
+        day = dates.iso_date(F.col("expires_at"))
+        out = out.where((day >= today) & (day <= F.date_add(today, expires_within)))
+    return out
+
+
+def groups(entries: DataFrame, by: str) -> DataFrame:
+    """(group, entries): how many entries each rule, owner or module (from_module) has; those without one are a group."""
+    column = {"rule": "rule", "owner": "owner", "module": "from_module"}[by]
+    return entries.groupBy(F.coalesce(tidy(F.col(column)), F.lit(f"<no {by}>")).alias("group")).agg(F.count("*").alias("entries"))
+
+
+def tidy(text: Column) -> Column:
+    return F.nullif(F.trim(text), F.lit(""))
+
+
 def by_owner(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.coalesce("owner", F.lit("<no owner>")).alias("owner")).agg(F.count("*").alias("entries"))

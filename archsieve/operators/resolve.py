@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.functions import names, paths
@@ -23,20 +24,42 @@ def candidates(stem):
     return usual
 
 
+def alias_stems(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(directory, specifier, choice, stem): the stems that aliases give to specifiers that are neither relative nor absolute.
+    aliases: (prefix, replacement) and, where given, scope: the directory of the configuration, of which the nearest above
+    a request counts; exact: no part is captured; tail and replacement_tail: what stands after the captured part; place: the order
+    of one pattern's replacements; base: used after all patterns. Of the patterns that fit, the exact or longest counts."""
+    for name, default in {"scope": "", "exact": False, "tail": "", "replacement_tail": "", "place": 0, "base": False}.items():
+        if name not in aliases.columns:
+            aliases = aliases.withColumn(name, F.lit(default))
+    s = F.col("specifier")
+    bare = pairs.where(~names.is_relative(s) & ~s.isin(".", "..") & ~F.startswith(s, F.lit("/")))
+    scopes = aliases.select("scope").distinct()
+    above = bare.select("directory").distinct().withColumn("scope", F.explode(paths.ancestors(F.concat("directory", F.lit("/_")))))
+    own = above.join(scopes, "scope").groupBy("directory").agg(F.max_by("scope", F.length("scope")).alias("scope"))
+    heads = bare.join(own, "directory").withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length(s)), lambda n: F.substr(s, F.lit(1), n))))
+    rest = F.substr(s, F.length("prefix") + 1, F.length(s))
+    fits = heads.join(aliases, ["scope", "prefix"]).where((F.col("exact") & (rest == "")) | (~F.col("exact") & F.endswith(rest, F.col("tail"))))
+    captured = F.substr(rest, F.lit(1), F.length(rest) - F.length("tail"))
+    kind = F.struct("base", (~F.col("exact")).alias("loose"), (-F.length("prefix")).alias("short"))
+    best = F.min(F.when(~F.col("base"), kind)).over(W.partitionBy("directory", "specifier"))
+    kept = fits.withColumn("kind", kind).withColumn("best", best).where("base or kind = best")
+    stem = paths.collapsed(F.concat("replacement", F.when(F.col("exact"), F.lit("")).otherwise(captured), "replacement_tail"))
+    return kept.select("directory", "specifier", F.struct("base", "place").alias("choice"), stem.alias("stem"))
+
+
 def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """requests (directory, specifier, ...) with kind, target and package. files: (path). packages: (package), those that are
-    installed; aliases: (prefix, replacement), a prefix of specifiers for a directory, the longest first. Each different
-    pair of directory and specifier is resolved once."""
+    installed; aliases: see ``alias_stems``. Each different pair of directory and specifier is resolved once."""
     pairs = requests.select("directory", "specifier").distinct()
     s = F.col("specifier")
-    stems = pairs.withColumn("stem", F.when(names.is_relative(s) | s.isin(".", ".."), paths.collapsed(F.concat_ws("/", "directory", "specifier"))).when(F.startswith(s, F.lit("/")), paths.collapsed(s)))
+    stem = F.when(names.is_relative(s) | s.isin(".", ".."), paths.collapsed(F.concat_ws("/", "directory", "specifier"))).when(F.startswith(s, F.lit("/")), paths.collapsed(s))
+    stems = pairs.select("directory", "specifier", F.struct(F.lit(False).alias("base"), F.lit(0).alias("place")).alias("choice"), stem.alias("stem")).where("stem is not null")
     if aliases is not None:
-        heads = stems.where("stem is null").withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.length("specifier")), lambda n: F.substr(s, F.lit(1), n))))
-        fits = heads.join(aliases.withColumnRenamed("prefix", "head"), "head").groupBy("directory", "specifier").agg(F.max_by(F.struct("head", "replacement"), F.length("head")).alias("alias"))
-        stems = stems.join(fits, ["directory", "specifier"], "left").withColumn("stem", F.coalesce("stem", paths.collapsed(F.concat(F.col("alias.replacement"), F.substr(s, F.length("alias.head") + 1, F.length(s)))))).drop("alias")
-    tried = stems.where("stem is not null").select("directory", "specifier", F.posexplode(candidates(F.col("stem"))).alias("place", "path"))
-    found = tried.join(files.select("path").distinct(), "path").groupBy("directory", "specifier").agg(F.min_by("path", "place").alias("target"))
-    out = stems.join(found, ["directory", "specifier"], "left").withColumn("package", F.when(names.is_bare(s), names.package(s)))
+        stems = stems.unionByName(alias_stems(pairs, aliases))
+    tried = stems.select("directory", "specifier", "choice", F.posexplode(candidates(F.col("stem"))).alias("place", "path"))
+    found = tried.join(files.select("path").distinct(), "path").groupBy("directory", "specifier").agg(F.min_by("path", F.struct("choice", "place")).alias("target"))
+    out = pairs.join(found, ["directory", "specifier"], "left").withColumn("package", F.when(names.is_bare(s), names.package(s)))
     builtin = names.is_builtin(s) & names.is_bare(s)
     installed = F.lit(False)
     if packages is not None:

@@ -28,7 +28,7 @@ def change(field: str, classification: Column | str, detail: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), kind.alias("classification"), detail.alias("detail"))
 
 
-def set_changes(field: str, before: Column, after: Column) -> Column:
+def set_changes(field: str, before: Column, after: Column, name: str | None = None) -> Column:
     """An array of changes: added and removed values. Null and [] differ for allow_imports_from (null: anything goes)
     and for allow_imported_by an empty list means anyone."""
     added, removed = SETS[field]
@@ -36,7 +36,8 @@ def set_changes(field: str, before: Column, after: Column) -> Column:
     a, b = F.coalesce(before, empty), F.coalesce(after, empty)
     plus, minus = F.array_sort(F.array_except(b, a)), F.array_sort(F.array_except(a, b))
     text = lambda x: F.array_join(x, ",")
-    usual = [F.when(F.size(plus) > 0, change(field, added, F.concat(F.lit("+"), text(plus)))), F.when(F.size(minus) > 0, change(field, removed, F.concat(F.lit("-"), text(minus))))]
+    name = name or field
+    usual = [F.when(F.size(plus) > 0, change(name, added, F.concat(F.lit("+"), text(plus)))), F.when(F.size(minus) > 0, change(name, removed, F.concat(F.lit("-"), text(minus))))]
     none = F.lit(None).cast("struct<field:string,classification:string,detail:string>")
     if field == "allow_imports_from":
         opened, closed = before.isNotNull() & after.isNull(), before.isNull() & after.isNotNull()
@@ -53,11 +54,11 @@ def flag_change(field: str, before: Column, after: Column) -> Column:
     return F.when(a & ~b, change(field, WIDENING, F.lit("true -> false"))).when(~a & b, change(field, NARROWING, F.lit("false -> true")))
 
 
-def rank_change(field: str, before: Column, after: Column) -> Column:
+def rank_change(field: str, before: Column, after: Column, name: str | None = None) -> Column:
     levels = RANKS[field]
     rank = F.create_map(*[x for i, name in enumerate(levels) for x in (F.lit(name), F.lit(i))])
-    detail = F.concat(before, F.lit(" -> "), after)
-    return F.when(rank[after] < rank[before], change(field, WIDENING, detail)).when(rank[after] > rank[before], change(field, NARROWING, detail))
+    detail, name = F.concat(before, F.lit(" -> "), after), name or field
+    return F.when(rank[after] < rank[before], change(name, WIDENING, detail)).when(rank[after] > rank[before], change(name, NARROWING, detail))
 
 
 def limit_change(field: str, before: Column, after: Column) -> Column:
@@ -96,6 +97,61 @@ def diff(base: DataFrame, head: DataFrame, key: str = "module", structural: tupl
     return rows.select(key, *[f"x.{c}" for c in CHANGE])
 
 
+def last(rows: DataFrame, keys: tuple[str, ...], place: str = "place") -> DataFrame:
+    """One row a key: where a key repeats in a list, the last of them."""
+    rest = [c for c in rows.columns if c not in (*keys, place)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
+def listed_changes(base: DataFrame, head: DataFrame, keys: tuple[str, str], parts: list[Column], gone: Column, new: Column) -> DataFrame:
+    """(module, field, subject, classification, detail): changes of rows that two snapshots list a module. parts: arrays of changes of
+    the structs ``a`` and ``b``."""
+    side = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    joined = side(base, "a").join(side(head, "b"), list(keys), "full_outer")
+    changes = F.when(F.col("b").isNull(), F.array(gone)).when(F.col("a").isNull(), F.array(new)).otherwise(F.concat(*parts))
+    rows = joined.select(*keys, F.explode(F.filter(changes, lambda x: x.isNotNull())).alias("x"))
+    return rows.select(keys[0], "x.field", F.col(keys[1]).alias("subject"), "x.classification", "x.detail")
+
+
+def tidy(text: Column) -> Column:
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def constraint_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(module, field, subject, classification, detail) of constraints (module, place, rule, params, severity, message); the subject is
+    ``rule::params``. A milder severity widens, a stricter one narrows; all else is structural."""
+    keyed = lambda df: last(df.select("module", F.concat_ws("::", F.trim("rule"), "params").alias("subject"), "place", "severity", tidy(F.col("message")).alias("message")), ("module", "subject"))
+    parts = [F.array(rank_change("severity", F.col("a.severity"), F.col("b.severity"), "constraints.severity"), structural_change("constraints.message", F.col("a.message"), F.col("b.message")))]
+    return listed_changes(keyed(base), keyed(head), ("module", "subject"), parts, change("constraints", STRUCTURAL, F.lit("removed")), change("constraints", STRUCTURAL, F.lit("added")))
+
+
+def contract_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(module, field, subject, classification, detail) of contracts (module, place, id, contract, files, pattern, direction, envelope,
+    imports_contract); the subject is the id. A new contract narrows, a removed one widens; more matched files and a required
+    envelope narrow; a first pattern widens, for it matches less."""
+    names = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.trim), lambda x: x != "")))
+    keyed = lambda df: last(df.select("module", F.trim("id").alias("subject"), "place", F.trim("contract").alias("contract"), names("files").alias("files"), tidy(F.col("pattern")).alias("pattern"), "direction", "envelope", names("imports_contract").alias("refs")), ("module", "subject"))
+    before, after = F.col("a.pattern"), F.col("b.pattern")
+    text = lambda c: F.coalesce(c, F.lit("none"))
+    kind = F.when(before.isNull(), WIDENING).when(after.isNull(), NARROWING).otherwise(STRUCTURAL)
+    pattern = F.when(~before.eqNullSafe(after), change("contracts.match.pattern", kind, F.concat(text(before), F.lit(" -> "), text(after))))
+    parts = [
+        F.array(rank_change("envelope", F.col("a.envelope"), F.col("b.envelope"), "contracts.envelope"), pattern), set_changes("match_files", F.col("a.files"), F.col("b.files"), "contracts.match.files"),
+        F.array(*[structural_change(f"contracts.{n}", F.col(f"a.{c}"), F.col(f"b.{c}")) for n, c in (("contract", "contract"), ("direction", "direction"))], structural_change("contracts.imports_contract", F.array_join("a.refs", ","), F.array_join("b.refs", ","))),
+    ]
+    return listed_changes(keyed(base), keyed(head), ("module", "subject"), parts, change("contracts", WIDENING, F.lit("removed")), change("contracts", NARROWING, F.lit("added")))
+
+
+def file_changes(operations: DataFrame, pairing: DataFrame) -> DataFrame:
+    """(module, field, subject, classification, detail) of spec files that were deleted, renamed or copied: fail closed. operations:
+    (status, from_path, to_path); pairing: (from_path, to_path, result) as ``renamed`` gives it. The module is guessed from the path."""
+    hint = F.regexp_replace(F.regexp_extract("to_path", "([^/]*)$", 1), r"\.spec\.yml$", "")
+    joined = operations.where(F.col("status").isin("D", "R", "C")).join(pairing.select("from_path", "to_path", "result"), ["from_path", "to_path"], "left")
+    kind = F.when((F.col("status") != "D") & (F.col("result") == "equivalent"), STRUCTURAL).otherwise(WIDENING)
+    detail = F.when(F.col("status") == "D", "deleted").otherwise(F.concat("from_path", F.lit(" -> "), "to_path", F.lit(": "), F.coalesce("result", F.lit("inconclusive"))))
+    return joined.select(hint.alias("module"), F.lit("spec_file").alias("field"), F.col("to_path").alias("subject"), kind.alias("classification"), detail.alias("detail"))
+
+
 def path_coverage(base: DataFrame, head: DataFrame, key: str = "module") -> DataFrame:
     """(key, classification): how the set of files that a path pattern covers has changed. base, head: (key, path), distinct.
     More files widen, fewer narrow, both are structural."""
@@ -127,6 +183,12 @@ def compensations(changes: DataFrame, adjacent: DataFrame, key: str = "module")
     return pairs.select("widened", "narrowed", "field", "payload", F.when((of_narrow == 1) & (of_wide == 1), "offset").otherwise("ambiguous").alias("result"))
 
 
+def offset(changes: DataFrame, candidates: DataFrame, key: str = "module") -> DataFrame:
+    """The changes without the widenings that an offset makes good."""
+    done = candidates.where("result = 'offset'").select(F.col("widened").alias(key), "field", F.lit(WIDENING).alias("classification")).distinct()
+    return changes.join(done, [key, "field", "classification"], "left_anti")
+
+
 def edge_differences(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(a, b, side): edges that one of two sets lacks."""
     a, b = ours.select("a", "b"), theirs.select("a", "b")

@@ -11,8 +11,8 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.functions import globs
-from archsieve.operators import baselines, boundary, contracts, extract, graphs, layering, ownership, packages, resolve, snapshots, validate, violations
+from archsieve.functions import globs, paths
+from archsieve.operators import baselines, boundary, contracts, extract, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, validate, violations
 from archsieve.sources import project as sources
 
 PASS, VIOLATIONS, FAULT, MISMATCH = 0, 1, 2, 3
@@ -32,20 +32,34 @@ class Verdict:
 
 
 class Project:
-    def __init__(self, spark: SparkSession, root: str, settings: sources.Config | None = None, packages_installed: DataFrame | None = None, keyword: str = "@archsieve-ignore"):
-        self.spark, self.root, self.settings, self.installed, self.keyword = spark, root, settings or sources.Config(), packages_installed, keyword
+    def __init__(self, spark: SparkSession, root: str, settings: sources.Config | None = None, packages_installed: DataFrame | None = None, keyword: str = "@archsieve-ignore", config_file: str = "archsieve.config.yml"):
+        """settings: read from the root's configuration file unless given; packages_installed: looked for below node_modules unless given."""
+        self.spark, self.root, self.keyword, self.config_file = spark, root, keyword, config_file
+        self.settings = settings or sources.project_config(spark, root, config_file)
+        self._installed = packages_installed
 
     @cached_property
     def files(self) -> DataFrame:
         return sources.source_files(self.spark, self.root, self.settings).persist()
 
+    @cached_property
+    def installed(self) -> DataFrame:
+        return (sources.installed(self.spark, self.root) if self._installed is None else self._installed).persist()
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        """Aliases of the compiler configurations of the tree."""
+        found = sources.texts(self.spark, self.root, self.settings.tsconfig_filename.removesuffix(".json") + "*.json")
+        there = sources.aliases(found.where(~paths.skipped(F.col("path"), self.settings.include_dirs)), self.settings.tsconfig_filename)
+        return there.persist()
+
     @cached_property
     def listing(self) -> DataFrame:
         return sources.listing(self.spark, self.root)
 
     @cached_property
     def specs(self) -> DataFrame:
-        found, errors = sources.specs(self.spark, self.root)
+        found, errors = sources.specs(self.spark, self.root, self.settings)
         if bad := errors.orderBy("spec_path").take(20):
             raise ProjectError("; ".join(f"{r.spec_path}: {r.error}" for r in bad))
         return found.persist()
@@ -75,7 +89,7 @@ class Project:
         """Each request with its directory, resolution and the module of its file."""
         wanted = extract.requests(self.rows, self.settings.jest_mock_mode == "enforce").withColumnRenamed("kind", "edge_kind").withColumn("directory", F.regexp_extract("from_file", "^(.*)/[^/]*$", 1))
         own = self.owned.select(F.col("path").alias("from_file"), F.col("module").alias("from_module"), F.col("is_test").alias("from_test"))
-        return resolve.resolve(wanted, self.files, self.installed).join(own, "from_file").persist()
+        return resolve.resolve(wanted, self.files, self.installed, self.aliases).join(own, "from_file").persist()
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -91,6 +105,10 @@ class Project:
         e = self.rows.where("kind = 'export'").select("path", "name", "is_default")
         return e.join(self.owned.select("path", "module"), "path").where("module is not null")
 
+    def deep_overrides(self) -> DataFrame:
+        """(module, place, pattern, max_depth, allow): what modules say of deep imports themselves."""
+        return sources.listed(self.specs, "boundaries.import_hygiene.deny_deep_imports")
+
     def cycles(self) -> DataFrame:
         pairs = self.edges.select(F.col("from_file").alias("a"), F.col("to_file").alias("b"))
         return graphs.cycles(graphs.components(pairs), self.owned.select(F.col("path").alias("node"), "module"))
@@ -105,10 +123,13 @@ class Project:
         policies = self.boundaries.select("module", F.col("forbidden_dependencies").alias("forbidden"), F.col("allowed_dependencies").alias("allowed"), "enforce_in_tests")
         parts.append(packages.package_policy(used, policies))
         deep = [(e["pattern"], e.get("max_depth", 0), e.get("severity", "warning")) for e in self.settings.import_hygiene.get("deny_deep_imports", [])]
-        parts.append(packages.deep_imports(packages.usage(self.resolved.where(F.col("kind") != resolve.FIRST).select("from_file", "from_module", "from_test", "specifier", "type_only")), deep))
+        parts.append(packages.deep_imports(packages.usage(self.resolved.where(F.col("kind") != resolve.FIRST).select("from_file", "from_module", "from_test", "specifier", "type_only")), deep, self.deep_overrides()))
         test_rule = self.settings.import_hygiene.get("test_boundary") or {}
-        if test_rule.get("enabled"):
-            parts.append(packages.test_boundary(self.edges, boundary.hidden_files(crossing, self.boundaries), test_rule.get("mode") == "bidirectional"))
+        usual = (test_rule.get("mode") or "production_only") if test_rule.get("enabled") else "off"
+        modes = packages.test_modes(self.specs, usual)
+        if usual != "off" or not modes.where("mode <> 'off'").isEmpty():
+            of_mode = self.edges if usual != "off" else self.edges.where("from_module is not null")
+            parts.append(packages.test_boundary(of_mode, boundary.hidden_files(crossing, self.boundaries), usual == "bidirectional", modes))
         circular = rules.where("rule = 'no-circular-deps'").select("module", F.coalesce(F.get_json_object("params", "$.scope"), F.lit("both")).alias("scope"), "severity")
         if not circular.isEmpty():
             parts.append(layering.circular(self.cycles(), circular))
@@ -147,8 +168,11 @@ class Project:
     def validate(self) -> DataFrame:
         return validate.issues(self.specs)
 
-    def check(self, baseline: str | None = None, since: str | None = None, today: str | None = None) -> Verdict:
-        """The verdict. since: only findings of files changed since a reference and of modules that they reach."""
+    def check(self, baseline: str | None = None, since: str | None = None, today: str | None = None, deny_widenings: bool = False) -> Verdict:
+        """The verdict. since: only findings of files changed since a reference and of modules that they reach; with
+        ``deny_widenings`` a policy that has widened since then fails."""
+        if deny_widenings and not since:
+            raise ProjectError("deny_widenings needs since, the reference to compare with")
         if bad := self.validate().where("level = 'error'").orderBy("module", "message").take(20):
             raise ProjectError("; ".join(f"{r.module}: {r.message}" for r in bad))
         found = self.findings()
@@ -159,12 +183,13 @@ class Project:
             by_file = changed.select(F.col("path").alias("_p"))
             near = found.join(reached, F.col("from_module") == F.col("_m"), "left_semi")
             found = near.unionByName(found.join(by_file, F.col("from_file") == F.col("_p"), "left_semi")).distinct()
+        widened = deny_widenings and policy_report(self.spark, self.root, since, "HEAD", config_file=self.config_file).summary.first()["widenings"] > 0
         day = F.lit(today).cast("date") if today else F.current_date()
         printed = violations.fingerprinted(found)
         entries = sources.baseline(self.spark, baseline) if baseline else self.spark.createDataFrame([], sources.ENTRY)
         classified = baselines.classify(printed, entries, day).persist()
         counts = violations.summary(classified).crossJoin(baselines.staleness(printed, entries, day).select("stale", "expired"))  # one row by one row
-        return Verdict(classified.orderBy(*[F.asc_nulls_first(c) for c in violations.ORDER]), violations.status(counts, self.settings.stale_baseline == "fail", F.col("stale")))
+        return Verdict(classified.orderBy(*[F.asc_nulls_first(c) for c in violations.ORDER]), violations.status(counts, self.settings.stale_baseline == "fail", F.col("stale"), widened))
 
     def ownership(self) -> dict[str, DataFrame]:
         claimed = self.specs.where("boundaries.path is not null").select("module", F.col("boundaries.path").alias("glob"))
@@ -186,33 +211,104 @@ class Project:
         return snapshots.edge_differences(self.edges.select(F.col("from_file").alias("a"), F.col("to_file").alias("b")), theirs)
 
 
+    def compare_import(self, trace: str, from_file: str, specifier: str) -> DataFrame:
+        """One row: how we and another tool's trace resolve one import of a file, whether that matches, and if not, in which way."""
+        edges, records = sources.trace_records(self.spark, trace)
+        asked = self.spark.createDataFrame([(from_file, specifier)], "from_file string, specifier string").withColumn("directory", paths.directory(F.col("from_file")))
+        ours = resolve.resolve(asked, self.files, self.installed, self.aliases).select("from_file", "specifier", F.col("kind").alias("ours_kind"), F.when(F.col("kind") == resolve.FIRST, F.col("target")).alias("ours_to"))
+        both = parity.theirs(ours, edges, records)
+        pair = [F.col("from_file") == F.col("_a"), F.col("ours_to") == F.col("_b")]
+        mark = lambda df, a, b, name: df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(True).alias(name)).distinct()
+        both = both.join(mark(self.edges, "from_file", "to_file", "here"), pair, "left").drop("_a", "_b").join(mark(edges, "a", "b", "there"), pair, "left").drop("_a", "_b")
+        same = F.coalesce("here", F.lit(False)) == F.coalesce("there", F.lit(False))
+        kind = F.when(~same, parity.category(F.col("specifier"), F.col("ours_kind"), F.col("ours_to"), F.col("theirs_kind"), F.col("theirs_to")))
+        return both.select("from_file", "specifier", "ours_kind", "ours_to", "theirs_kind", "theirs_to", "source", F.when(same, "match").otherwise("mismatch").alias("status"), kind.alias("category"), parity.hint(kind).alias("hint"))
+
+    def report(self, verdict: Verdict) -> DataFrame:
+        """A verdict's lines for people."""
+        return reports.verdict(verdict.violations, verdict.summary, self.classification(), self.unresolved.select("from_file", "line", "specifier"))
+
+
 def F_json(text: str, name: str) -> list:
     import json
 
     return json.loads(text).get(name) or []
 
 
-def policy_diff(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
-    """(module, field, classification, detail): what changed in the specs between two references."""
+SPEC_FIELDS = ("public_api", "allow_imports_from", "never_imports", "allow_type_imports_from", "visibility", "allow_imported_by", "deny_imported_by", "friend_modules", "enforce_canonical_imports", "allowed_dependencies", "forbidden_dependencies", "enforce_in_tests")
 
-    def side(ref: str) -> DataFrame:
-        found, errors = sources.specs_of(sources.files_at(spark, root, ref))
-        if bad := errors.take(5):
-            raise ProjectError("; ".join(f"{r.spec_path}: {r.error}" for r in bad))
-        fields = ["public_api", "allow_imports_from", "never_imports", "allow_type_imports_from", "visibility", "allow_imported_by", "deny_imported_by", "friend_modules", "enforce_canonical_imports", "allowed_dependencies", "forbidden_dependencies", "enforce_in_tests"]
-        return found.select("module", "version", "package", "import_id", "description", *[F.col(f"boundaries.{f}").alias(f) for f in fields])
 
-    plain = snapshots.diff(side(base), side(head), structural=("version", "package", "import_id", "description"))
+def specs_at(spark: SparkSession, root: str, ref: str, settings: sources.Config = sources.Config()) -> DataFrame:
+    """The specs of a reference; one that cannot be read is an error."""
+    found, errors = sources.specs_of(sources.files_at(spark, root, ref).where(sources.in_spec_dirs(F.col("path"), settings)))
+    if bad := errors.orderBy("spec_path").take(5):
+        raise ProjectError("; ".join(f"{r.spec_path}: {r.error}" for r in bad))
+    return found
+
 
-    def covered(ref: str) -> DataFrame:
-        found, _ = sources.specs_of(sources.files_at(spark, root, ref))
+def policy_diff(spark: SparkSession, root: str, base: str, head: str, config_file: str = "archsieve.config.yml") -> DataFrame:
+    """(module, field, subject, classification, detail): what changed in the specs between two references. The subject is the
+    constraint, contract or spec file that a change is of; changes of a spec's own fields have none."""
+    old, new = (sources.config_at(root, ref, config_file) for ref in (base, head))
+    before, after = specs_at(spark, root, base, old).persist(), specs_at(spark, root, head, new).persist()
+    side = lambda df: df.select("module", "version", "package", "import_id", F.array_join(F.array_sort("import_ids"), ",").alias("import_ids"), "description", *[F.col(f"boundaries.{f}").alias(f) for f in SPEC_FIELDS])
+    columns = ("module", "field", "subject", "classification", "detail")
+    plain = snapshots.diff(side(before), side(after), structural=("version", "package", "import_id", "import_ids", "description")).withColumn("subject", F.lit(None).cast("string")).select(*columns)
+    kept = lambda a, b: a.join(b.select("module").distinct(), "module", "left_semi")
+    base_both, head_both = kept(before, after), kept(after, before)
+    rules = snapshots.constraint_changes(sources.listed(base_both, "constraints"), sources.listed(head_both, "constraints"))
+    agreed = lambda df: sources.listed(df, "boundaries.contracts").select("module", "place", "id", "contract", F.col("match.files").alias("files"), F.col("match.pattern").alias("pattern"), "direction", "envelope", "imports_contract")
+    contract = snapshots.contract_changes(agreed(base_both), agreed(head_both))
+
+    def covered(found: DataFrame, ref: str) -> DataFrame:
         owners = found.where("boundaries.path is not null").select("module", F.col("boundaries.path").alias("glob"))
         return ownership.glob_matches(sources.paths_at(spark, root, ref), owners).select("module", "path").distinct()
 
-    both = lambda a, b: a.join(b.select("module").distinct(), "module", "left_semi")
-    before, after = covered(base), covered(head)
-    moved = snapshots.path_coverage(both(before, after), both(after, before))
-    return plain.unionByName(moved.select("module", F.lit("path").alias("field"), "classification", F.concat(F.lit("+"), F.col("plus").cast("string"), F.lit(" -"), F.col("minus").cast("string")).alias("detail")))
+    was, now = covered(before, base), covered(after, head)
+    moved = snapshots.path_coverage(kept(was, now), kept(now, was))
+    places = moved.select("module", F.lit("path").alias("field"), F.lit(None).cast("string").alias("subject"), "classification", F.concat(F.lit("+"), F.col("plus").cast("string"), F.lit(" -"), F.col("minus").cast("string")).alias("detail"))
+    gone = before.join(after.select("module"), "module", "left_anti").select(F.lit("D").alias("status"), F.col("spec_path").alias("to_path"))  # told by their module
+    operations = sources.spec_changes(spark, root, base, head).where(sources.in_spec_dirs(F.coalesce("from_path", "to_path"), old) | sources.in_spec_dirs(F.col("to_path"), new)).join(gone, ["status", "to_path"], "left_anti")
+    keyed = lambda df: df.select("spec_path", *[c for c in df.columns if c != "spec_path"])
+    pairing = snapshots.renamed(keyed(before), keyed(after), operations.where("status in ('R', 'C')").select(F.col("from_path").alias("from_key"), F.col("to_path").alias("to_key")), key="spec_path")
+    files = snapshots.file_changes(operations, pairing.select(F.col("from_key").alias("from_path"), F.col("to_key").alias("to_path"), "result"))
+    return violations.union(plain, *(p.select(*columns) for p in (rules, contract, places, files)))
+
+
+@dataclass
+class PolicyReport:
+    changes: DataFrame
+    config_changes: DataFrame
+    compensations: DataFrame
+    summary: DataFrame
+
+    def human(self, base: str, head: str) -> DataFrame:
+        return reports.policy(self.changes, self.config_changes, self.compensations, self.summary, base, head)
+
+    def events(self) -> DataFrame:
+        return reports.policy_events(self.changes, self.config_changes, self.compensations, self.summary)
+
+    def json(self) -> DataFrame:
+        return reports.policy_json(self.changes, self.config_changes, self.compensations, self.summary)
+
+    def exit_code(self) -> int:
+        return VIOLATIONS if self.summary.first()["net"] == snapshots.WIDENING else PASS
+
+
+def policy_report(spark: SparkSession, root: str, base: str, head: str, compensate: bool = False, config_file: str = "archsieve.config.yml") -> PolicyReport:
+    """What changed in specs and configuration between two references. With ``compensate`` widenings that a narrowing of a module that
+    imports from it, or that it imports from, offsets do not count for the net class."""
+    old, new = (sources.config_at(root, ref, config_file) for ref in (base, head))
+    changes = policy_diff(spark, root, base, head, config_file).persist()
+    settings = config_diff(spark, old, new).persist()
+    adjacent = specs_at(spark, root, head, new).select(F.col("module").alias("a"), F.explode("boundaries.allow_imports_from").alias("b")).distinct()
+    pairs = snapshots.compensations(changes, adjacent)
+    pairs = (pairs if compensate else pairs.limit(0)).persist()
+    everything = changes.select("module", "field", "classification").unionByName(settings.select(F.lit(None).cast("string").alias("module"), "field", "classification"))
+    counts = snapshots.summary(everything).drop("net")
+    left = snapshots.offset(everything, pairs).agg(F.count_if(F.col("classification") == snapshots.WIDENING).alias("left"))
+    summary = counts.crossJoin(left).withColumn("net", snapshots.net(F.col("left"), F.col("narrowings"))).drop("left")  # one row by one row
+    return PolicyReport(changes, settings, pairs, summary)
 
 
 def config_diff(spark: SparkSession, base: sources.Config, head: sources.Config) -> DataFrame:

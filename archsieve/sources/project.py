@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archsieve.functions import globs, paths
@@ -76,6 +79,26 @@ def config(text: str | None) -> Config:
     return Config(**values)
 
 
+def project_config(spark: SparkSession, root: str, name: str = "archsieve.config.yml") -> Config:
+    """The configuration in a file of the root; the defaults where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        row = None
+    return config(row["value"] if row else None)
+
+
+def config_at(root: str, ref: str, name: str = "archsieve.config.yml") -> Config:
+    """The configuration as it was at a reference; the defaults where it had none."""
+    commit = valid_ref(root, ref)
+    there = git(root, "ls-tree", "-z", "--name-only", commit, "--", name)
+    return config(next(blobs(root, [f"{commit}:{name}"])).decode(errors="replace") if there else None)
+
+
 def texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, content, length) of the files below a root whose names match."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -150,9 +173,73 @@ def specs_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.where("error is not null").select("spec_path", "error")
 
 
-def specs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """All specs below a root."""
-    return specs_of(texts(spark, root, "*.spec.yml").where(~paths.skipped(F.col("path"))))
+def in_spec_dirs(path: Column, settings: Config) -> Column:
+    """Whether a path is below a spec directory; ``.`` is the root itself."""
+    tops = [d.strip("/").removeprefix("./") for d in settings.spec_dirs]
+    return F.lit(True) if not tops or {"", "."} & set(tops) else reduce(or_, [F.startswith(path, F.lit(f"{d}/")) for d in tops])
+
+
+def specs(spark: SparkSession, root: str, settings: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """All specs below the spec directories of a root."""
+    path = F.col("path")
+    return specs_of(texts(spark, root, "*.spec.yml").where(~paths.skipped(path, settings.include_dirs) & in_spec_dirs(path, settings)))
+
+
+def installed(spark: SparkSession, root: str) -> DataFrame:
+    """(package): packages with a directory below any node_modules."""
+    name = F.regexp_extract("path", r"(?:^|/)node_modules/((?:@[^/]+/)?[^/@.][^/]*)/[^/]", 1)
+    return texts(spark, root, "*").select(name.alias("package")).where("package <> ''").distinct()
+
+
+COMPILER = "extends string, base_url string, paths string"
+#: How long a chain of configurations that extend each other may be; a longer one, or a ring, is an error.
+LONGEST_CHAIN = 32
+
+
+def compiler_options(text: str) -> tuple[str | None, str | None, str | None]:
+    """(extends, baseUrl, paths as JSON pairs) of a compiler configuration: JSON with comments and trailing commas."""
+    token = r'("(?:\\.|[^"\\])*")'
+    bare = re.sub(token + r"|//[^\n]*|/\*.*?\*/", lambda m: m[1] or "", text.removeprefix("\ufeff"), flags=re.S)
+    raw = json.loads(re.sub(token + r"|,(?=\s*[}\]])", lambda m: m[1] or "", bare) or "{}")
+    options = raw.get("compilerOptions") or {}
+    mapped = options.get("paths")
+    extends = raw.get("extends")
+    return extends if isinstance(extends, str) else None, options.get("baseUrl"), None if mapped is None else json.dumps(sorted(mapped.items()))
+
+
+def aliases(files: DataFrame, name: str = "tsconfig.json") -> DataFrame:
+    """Aliases of specifiers as ``resolve.alias_stems`` takes them, of compiler configurations (path, content). A configuration
+    that says nothing of paths or of its base has what the one it extends says, relative to where that stands; packages that are
+    extended are left out. Those of the given name count for the directories below them; the rest is there to be extended.
+    One that cannot be read raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [compiler_options(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=["path", "extends", "base_url", "paths"])
+
+    here = paths.directory(F.col("path"))
+    parsed = files.select("path", "content").mapInArrow(run, f"path string, {COMPILER}")
+    up = F.when(F.col("extends").rlike(r"^\.{1,2}/"), paths.collapsed(F.concat_ws("/", here, F.when(F.endswith("extends", F.lit(".json")), F.col("extends")).otherwise(F.concat("extends", F.lit(".json"))))))
+    own = parsed.select("path", up.alias("next"), F.when(F.col("base_url").isNotNull(), paths.collapsed(F.concat_ws("/", here, "base_url"))).alias("base"), "paths", F.when(F.col("paths").isNotNull(), here).alias("paths_at")).persist()
+    above = own.select(F.col("path").alias("next"), F.col("next").alias("_next"), F.col("base").alias("_base"), F.col("paths").alias("_paths"), F.col("paths_at").alias("_at"))
+    whole, rounds = own, 0
+    while not whole.where("next is not null").isEmpty():
+        rounds += 1
+        if rounds > LONGEST_CHAIN:
+            raise ValueError("compiler configurations extend each other in a ring")
+        joined = whole.join(above, "next", "left")
+        whole = joined.select("path", F.col("_next").alias("next"), F.coalesce("base", "_base").alias("base"), F.coalesce("paths", "_paths").alias("paths"), F.coalesce("paths_at", "_at").alias("paths_at"))
+    whole = whole.where(F.regexp_extract("path", "([^/]*)$", 1) == name)
+    scope = paths.directory(F.col("path")).alias("scope")
+    listed = whole.where("paths is not null").select(scope, F.coalesce("base", "paths_at").alias("top"), F.explode(F.from_json("paths", "array<array<string>>")).alias("entry"))
+    pairs = listed.select("scope", "top", F.col("entry")[0].alias("pattern"), F.posexplode(F.from_json(F.col("entry")[1], TEXTS)).alias("place", "target"))
+    part = lambda c, n: F.coalesce(F.get(F.split(c, r"\*", 2), F.lit(n)), F.lit(""))
+    at = lambda top, c: F.when(F.col(top) == "", c).otherwise(F.concat(F.col(top), F.lit("/"), c))
+    mapped = pairs.select("scope", part("pattern", 0).alias("prefix"), part("pattern", 1).alias("tail"), (~F.contains("pattern", F.lit("*"))).alias("exact"), "place", at("top", part("target", 0)).alias("replacement"), part("target", 1).alias("replacement_tail"), F.lit(False).alias("base"))
+    plain = whole.where("base is not null").select(scope, F.lit("").alias("prefix"), F.lit("").alias("tail"), F.lit(False).alias("exact"), F.lit(0).alias("place"), at("base", F.lit("")).alias("replacement"), F.lit("").alias("replacement_tail"), F.lit(True).alias("base"))
+    none = whole.where("paths is null and base is null").select(scope, F.lit("\0").alias("prefix"), F.lit("").alias("tail"), F.lit(True).alias("exact"), F.lit(0).alias("place"), F.lit("").alias("replacement"), F.lit("").alias("replacement_tail"), F.lit(False).alias("base"))
+    return mapped.unionByName(plain).unionByName(none)
 
 
 def rules_of(specs_df: DataFrame) -> DataFrame:
@@ -160,6 +247,11 @@ def rules_of(specs_df: DataFrame) -> DataFrame:
     return specs_df.select("module", F.explode("constraints").alias("c")).select("module", "c.*")
 
 
+def listed(specs_df: DataFrame, field: str) -> DataFrame:
+    """(module, place, and the fields of its elements) of a list of specs, such as constraints or boundaries.contracts."""
+    return specs_df.select("module", F.posexplode(field).alias("place", "x")).select("module", "place", "x.*")
+
+
 def contracts_of(specs_df: DataFrame) -> DataFrame:
     """(module, id, contract, files, pattern, direction, envelope, imports_contract)."""
     c = specs_df.where("boundaries is not null").select("module", F.explode("boundaries.contracts").alias("c"))
@@ -208,8 +300,8 @@ class TraceError(ValueError):
     """A trace that cannot be read whole."""
 
 
-def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(edges, resolutions) anywhere in a JSON value: objects with from and to, or with from and import."""
+def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str | None, ...]]]:
+    """(edges, records: from, specifier, kind, target, package) anywhere in a JSON value: objects with from and to, or with from and import."""
     edges, found, stack, seen = [], [], [(value, 0)], 0
     while stack:
         here, depth = stack.pop()
@@ -224,7 +316,7 @@ def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
             if a and b:
                 edges.append((a, b))
             if a and spec:
-                found.append((a, spec))
+                found.append((a, spec, text("result_kind", "resultKind"), text("resolved_to", "resolvedTo", "resolved"), text("package_name", "packageName")))
         inside = list(here.values()) if isinstance(here, dict) else here if isinstance(here, list) else []
         stack += [(x, depth + 1) for x in reversed(inside)]
     return edges, found
@@ -244,33 +336,45 @@ def values(text: str) -> list[object]:
             raise TraceError(f"a trace must be JSON or JSON lines: {whole}; as lines: {e}") from e
 
 
-def trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b) edges and (from, specifier) resolutions of trace files: structured ones by their schema, others by a walk."""
-    rows = spark.read.text(path, wholetext=True)
-    shaped = rows.select(F.from_json("value", SNAPSHOT).alias("s"), "value")
+def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges and (place, from, specifier, kind, target, package) records of trace files: structured ones by their schema, others
+    by a walk. place: the file and the record's position in it."""
+    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    shaped = rows.select(F.from_json("value", SNAPSHOT).alias("s"), "value", "file")
     structured = F.col("s.schema_version") == "1"
     wrong = shaped.where("s.schema_version is not null and s.schema_version <> '1'")
     if not wrong.isEmpty():
         raise ValueError("a trace must have schema_version 1")
+    columns = ("from", "specifier", "kind", "target", "package")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text.strip():  # a part without rows
                     continue
+                at = 0
                 for value in values(text):
                     edges, found = walk(value)
-                    out += [("edge", *e) for e in edges] + [("resolution", *r) for r in found]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "a", "b"])
+                    out += [(True, file, 0, *e, None, None, None) for e in edges] + [(False, file, at + i, *r) for i, r in enumerate(found)]
+                    at += len(found)
+            kinds = [pa.bool_(), pa.string(), pa.int64(), *[pa.string()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["edge", "file", "at", *columns])
 
-    free = shaped.where(~F.coalesce(structured, F.lit(False))).select("value").mapInArrow(run, "kind string, a string, b string")
+    free = shaped.where(~F.coalesce(structured, F.lit(False))).select("file", "value").mapInArrow(run, "edge boolean, file string, at long, " + ", ".join(f"`{c}` string" for c in columns))
     known = shaped.where(structured)
-    edges = known.select(F.explode("s.edges").alias("e")).select(F.col("e.from").alias("a"), F.col("e.to").alias("b")).unionByName(free.where("kind = 'edge'").select("a", "b"))
-    found = known.select(F.explode("s.resolutions").alias("r")).select(F.col("r.from").alias("from"), F.col("r.import_specifier").alias("specifier")).unionByName(free.where("kind = 'resolution'").select(F.col("a").alias("from"), F.col("b").alias("specifier")))
+    edges = known.select(F.explode("s.edges").alias("e")).select(F.col("e.from").alias("a"), F.col("e.to").alias("b")).unionByName(free.where("edge").select(F.col("from").alias("a"), F.col("specifier").alias("b")))
+    place = F.struct("file", F.col("at").cast("long").alias("at")).alias("place")
+    told = known.select("file", F.posexplode("s.resolutions").alias("at", "r")).select(place, F.col("r.from").alias("from"), F.col("r.import_specifier").alias("specifier"), F.col("r.result_kind").alias("kind"), F.col("r.resolved_to").alias("target"), F.col("r.package_name").alias("package"))
+    found = told.unionByName(free.where("not edge").select(place, *columns))
     tidy = lambda c: F.regexp_replace(paths.normalised(F.col(c)), "^\\./", "").alias(c)
-    return edges.select(tidy("a"), tidy("b")).distinct(), found.select(tidy("from"), "specifier").distinct()
+    return edges.select(tidy("a"), tidy("b")).distinct(), found.select("place", tidy("from"), "specifier", "kind", tidy("target"), "package")
+
+
+def trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges and (from, specifier) resolutions of trace files."""
+    edges, found = trace_records(spark, path)
+    return edges, found.select("from", "specifier").distinct()
 
 
 def write_trace(edges: DataFrame, path: str) -> None:
