@@ -129,7 +129,7 @@ def contract_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """(module, field, subject, classification, detail) of contracts (module, place, id, contract, files, pattern, direction, envelope,
     imports_contract); the subject is the id. A new contract narrows, a removed one widens; more matched files and a required
     envelope narrow; a first pattern widens, for it matches less."""
-    names = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.trim), lambda x: x != "")))
+    names = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
     keyed = lambda df: last(df.select("module", F.trim("id").alias("subject"), "place", F.trim("contract").alias("contract"), names("files").alias("files"), tidy(F.col("pattern")).alias("pattern"), "direction", "envelope", names("imports_contract").alias("refs")), ("module", "subject"))
     before, after = F.col("a.pattern"), F.col("b.pattern")
     text = lambda c: F.coalesce(c, F.lit("none"))

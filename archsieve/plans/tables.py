@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.functions import dates, globs, hashing, names, paths
-from archsieve.operators import baselines, boundary, graphs, layering, ownership, packages, resolve, snapshots, violations
+from archsieve.operators import baselines, boundary, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, violations
 from archsieve.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,3 +588,90 @@ def glob_overlap(spark, sf_dir):
     nested = above.join(rows.select(F.col("glob").alias("outer"), "prefix"), "prefix").where("inner <> outer")
     return nested.select(F.least("inner", "outer").alias("glob_a"), F.greatest("inner", "outer").alias("glob_b")).distinct()
 
+
+@query("SELECT fingerprint, from_file, owner FROM entries WHERE TRY_CAST(expires_at AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-01' + 25", "entries")
+def baseline_expiring(spark, sf_dir):
+    return baselines.listed(entries(spark, sf_dir), F.lit(TODAY).cast("date"), expires_within=25).select("fingerprint", "from_file", "owner")
+
+
+@query(
+    """SELECT upper(severity) || CASE disposition WHEN 'baseline' THEN ' (baseline)' ELSE '' END || ' [' || rule || '] ' || from_file || ':' || line || ' -> ' || to_file || ': ' || message AS text FROM classified
+    UNION ALL SELECT 'No violations found' WHERE NOT EXISTS (FROM classified)
+    UNION ALL SELECT 'Summary: ' || CASE WHEN count_if(disposition = 'new' AND severity = 'error') > 0 THEN 'fail' ELSE 'pass' END || ' total=' || count(*) || ' new=' || count_if(disposition = 'new') || ' baseline=' || count_if(disposition <> 'new')
+    || ' errors=' || count_if(disposition = 'new' AND severity = 'error') || ' warnings=' || count_if(disposition = 'new' AND severity <> 'error') FROM classified""",
+    "classified",
+)
+def verdict_report(spark, sf_dir):
+    found = classified(spark, sf_dir)
+    return reports.verdict(found, violations.status(violations.summary(found))).select("text")
+
+
+VIEWS["versions"] = """SELECT o_custkey AS module, o_orderpriority AS id, o_orderdate >= TIMESTAMP '1995-06-17' AS late, arg_max({'k': o_orderkey, 'severity': CASE o_orderstatus WHEN 'F' THEN 'error' ELSE 'warning' END}, o_orderkey) AS x
+    FROM orders GROUP BY 1, 2, 3"""
+VIEWS["versions_of"] = "SELECT module, id, max(x) FILTER (NOT late) AS a, max(x) FILTER (late) AS b FROM versions GROUP BY 1, 2"
+NEEDS["versions_of"] = ["versions"]
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots in which a customer is a module and its orders of a priority are versions of one rule, of which the last counts."""
+    k = F.col("o_orderkey")
+    rows = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("module"), k.alias("place"), F.col("o_orderpriority").alias("id"), F.when(F.col("o_orderstatus") == "F", "error").otherwise("warning").alias("severity"), "o_orderdate")
+    late = F.col("o_orderdate") >= F.lit("1995-06-17").cast("timestamp_ntz")
+    return rows.where(~late).drop("o_orderdate"), rows.where(late).drop("o_orderdate")
+
+
+@query(
+    """SELECT module, CASE WHEN a IS NULL OR b IS NULL THEN 'constraints' ELSE 'constraints.severity' END AS field, id || '::{}' AS subject,
+    CASE WHEN a IS NULL OR b IS NULL THEN 'structural' WHEN b.severity = 'warning' THEN 'widening' ELSE 'narrowing' END AS classification FROM versions_of WHERE a IS NULL OR b IS NULL OR a.severity <> b.severity""",
+    "versions_of",
+)
+def constraint_diff(spark, sf_dir):
+    side = lambda df: df.select("module", "place", F.col("id").alias("rule"), F.lit("{}").alias("params"), "severity", F.lit(None).cast("string").alias("message"))
+    return snapshots.constraint_changes(*map(side, versions(spark, sf_dir))).drop("detail")
+
+
+@query(
+    """, fields AS (SELECT *, a.k % 3 = 0 AS ae, b.k % 3 = 0 AS be, CASE WHEN a.k % 4 > 0 THEN 'p' || a.k % 2 END AS ap, CASE WHEN b.k % 4 > 0 THEN 'p' || b.k % 2 END AS bp, list_distinct(['f' || a.k % 3, 'f' || a.k % 5]) AS af,
+    list_distinct(['f' || b.k % 3, 'f' || b.k % 5]) AS bf FROM versions_of WHERE a IS NOT NULL AND b IS NOT NULL),
+    found AS (SELECT module, id, 'contracts' AS field, CASE WHEN a IS NULL THEN 'narrowing' ELSE 'widening' END AS classification FROM versions_of WHERE a IS NULL OR b IS NULL
+    UNION ALL SELECT module, id, 'contracts.envelope', CASE WHEN be THEN 'narrowing' ELSE 'widening' END FROM fields WHERE ae <> be
+    UNION ALL SELECT module, id, 'contracts.match.pattern', CASE WHEN ap IS NULL THEN 'widening' WHEN bp IS NULL THEN 'narrowing' ELSE 'structural' END FROM fields WHERE ap IS DISTINCT FROM bp
+    UNION ALL SELECT module, id, 'contracts.match.files', 'narrowing' FROM fields WHERE len(list_filter(bf, lambda f: NOT list_contains(af, f))) > 0
+    UNION ALL SELECT module, id, 'contracts.match.files', 'widening' FROM fields WHERE len(list_filter(af, lambda f: NOT list_contains(bf, f))) > 0
+    UNION ALL SELECT module, id, 'contracts.direction', 'structural' FROM fields WHERE a.k % 7 <> b.k % 7)
+    SELECT module, field, id AS subject, classification FROM found""",
+    "versions_of",
+)
+def contract_diff(spark, sf_dir):
+    k = F.col("place")
+    text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    none = F.array().cast("array<string>")
+    side = lambda df: df.select("module", "place", "id", F.lit("c.json").alias("contract"), F.array(text("f", 3), text("f", 5)).alias("files"), F.when(k % 4 > 0, text("p", 2)).alias("pattern"), text("", 7).alias("direction"), F.when(k % 3 == 0, "required").otherwise("optional").alias("envelope"), none.alias("imports_contract"))
+    return snapshots.contract_changes(*map(side, versions(spark, sf_dir))).drop("detail")
+
+
+@query(
+    """SELECT from_file, line, specifier, CASE WHEN l_partkey % 5 = 0 AND l_partkey % 3 = 1 THEN 'focused_edge_set_diff' WHEN l_partkey % 5 = 0 THEN 'focused_ours_missing' WHEN l_partkey % 3 = 1 THEN 'focused_theirs_missing'
+    WHEN l_partkey % 3 = 2 THEN 'focused_edge_set_diff' WHEN l_partkey % 2 = 0 THEN 'focused_target_mismatch' WHEN l_partkey % 9 = 0 THEN 'condition_names' ELSE 'paths' END AS category FROM edges""",
+    "edges",
+)
+def import_parity(spark, sf_dir):
+    """What two tools make of each import: ours misses every fifth, theirs has another target for some and none for others."""
+    k, to = F.col("l_partkey"), F.col("to_file")
+    e = tables.edges(spark, sf_dir, "l_partkey").select("from_file", "line", "specifier", F.when(k % 5 > 0, to).alias("ours_to"), F.when(k % 9 == 0, F.concat(to, F.lit("/index.d.ts"))).when(k % 3 == 0, F.concat(to, F.lit("x"))).when(k % 3 == 2, to).alias("theirs_to"))
+    kind = lambda c: F.when(F.col(c).isNull(), resolve.NONE).otherwise(resolve.FIRST)
+    return e.select("from_file", "line", "specifier", parity.category(F.col("specifier"), kind("ours_to"), F.col("ours_to"), kind("theirs_to"), F.col("theirs_to")).alias("category"))
+
+
+@query(
+    """SELECT DISTINCT 'src/' || from_module || '/customer' AS directory, '@s/' || regexp_extract(to_file, '([0-9]+)[.]ts$', 1) AS specifier, CASE WHEN m.k % 2 = 0 AND from_module = to_module THEN to_file END AS target,
+    CASE WHEN m.k % 2 = 0 AND from_module = to_module THEN 'first_party' ELSE 'unresolved' END AS kind FROM edges JOIN modules m ON m.module = from_module""",
+    "edges",
+)
+def alias_links(spark, sf_dir):
+    """Imports through an alias of suppliers: every second module has one for its own suppliers, the rest has the root's, which leads nowhere."""
+    near = F.concat(F.lit("src/"), "module")
+    own = tables.modules(spark, sf_dir).where("k % 2 = 0").select(near.alias("scope"), F.lit("@s/").alias("prefix"), F.concat(near, F.lit("/supplier/")).alias("replacement"))
+    root = spark.createDataFrame([("", "@s/", "src/none/")], "scope string, prefix string, replacement string")
+    asked = tables.edges(spark, sf_dir).select(F.concat(F.lit("src/"), "from_module", F.lit("/customer")).alias("directory"), F.concat(F.lit("@s/"), F.regexp_extract("to_file", r"([0-9]+)\.ts$", 1)).alias("specifier")).distinct()
+    return resolve.resolve(asked, tables.files(spark, sf_dir), None, own.unionByName(root)).select("directory", "specifier", "target", "kind")
