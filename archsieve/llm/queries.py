@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.llm import bpe, decontam, hyperminhash, langid, lmscore, ordinal, rules, suffix, tokens, warc
+from archsieve.llm import bpe, decontam, hyperminhash, langid, lmscore, ordinal, rules, sql, suffix, tokens, warc
 from archsieve.llm.common import scratch, stored
 
 
@@ -76,4 +76,4 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op6_lm_scoring, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.SQL
