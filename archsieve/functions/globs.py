@@ -82,6 +82,17 @@ def compile_glob(pattern: str, separate: bool = False) -> str:
     return f"^{''.join(out)}$"
 
 
+def faults(patterns) -> list[str]:
+    """What is wrong with the globs of a configuration, in order."""
+    out = []
+    for pattern in patterns:
+        try:
+            compile_glob(pattern)
+        except GlobError as e:
+            out.append(str(e))
+    return out
+
+
 def glob_column(pattern: Column, separate: bool = False) -> Column:
     """The regular expression of a glob column. Braces (one inside another at most) and classes are read if they are closed, else taken as text."""
     one, many = ("[^/]", "[^/]*") if separate else (".", ".*")
@@ -121,6 +132,12 @@ def literal_prefix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^[^*?\[{]*", 0)
 
 
+def static_prefix(pattern: Column) -> Column:
+    """The text before the first star, question mark or class, without ``./`` and ``/`` in front; null where nothing is left."""
+    fixed = F.trim(F.regexp_extract(F.trim(pattern), r"^[^*?\[]*", 0))
+    return F.nullif(F.regexp_replace(fixed, r"^(\./)*/*", ""), F.lit(""))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Whether two globs can match one path, judged by their literal prefixes alone."""
     p, q = F.rtrim(literal_prefix(a), F.lit("/")), F.rtrim(literal_prefix(b), F.lit("/"))

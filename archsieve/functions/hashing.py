@@ -35,3 +35,8 @@ def violation_fingerprint(position: bool = False) -> Column:
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def of_rows(*columns: str) -> Column:
+    """An aggregate: one digest for the named columns of all rows, whatever their order. Only digests meet, never the rows."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(F.to_json(F.struct(*columns)), 256))), ","), 256))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SKIPPED = ("node_modules", ".next", ".turbo", ".nuxt", ".svelte-kit", ".astro", ".output", "dist", "build", "coverage", "generated", "target", "vendor", ".git")
 #: Extensions of source files.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
+#: Endings of the files that a change of policy looks at.
+POLICY_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".spec.yml")
 
 
 def normalised(path: Column) -> Column:
@@ -51,3 +53,29 @@ def skipped(path: Column, included: tuple[str, ...] = ()) -> Column:
     """Whether a directory of the path is one that discovery leaves out."""
     names = [F.lit(d) for d in SKIPPED if d not in included]
     return F.arrays_overlap(F.split(directory(path), "/"), F.array(*names))
+
+
+def in_order(many: Column) -> Column:
+    """An array of paths, normalised and sorted."""
+    return F.array_sort(F.transform(many, normalised))
+
+
+def last_part(path: Column) -> Column:
+    """The last part of a directory's name; null where there is none."""
+    name = F.trim(F.trim(F.trim(path), F.lit("/")))
+    return F.nullif(F.element_at(F.split(name, "/"), -1), F.lit(""))
+
+
+def of_policy(path: Column) -> Column:
+    """Whether a change of policy looks at a file of this name."""
+    return path.rlike("(" + "|".join(e.replace(".", r"\.") for e in POLICY_ENDINGS) + ")$")
+
+
+def named_by_spec(path: Column) -> Column:
+    """The module that the path of a spec suggests."""
+    return F.regexp_replace(F.regexp_replace(path, r"\.spec\.yml$", ""), "^(modules/)+", "")
+
+
+def below_spec(path: Column) -> Column:
+    """The directory that the path of a spec suggests; null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.trim(path), r"\.spec\.yml$", ""), r"^(\./)*/*", ""), F.lit(""))

@@ -80,3 +80,9 @@ def nearest(files: DataFrame, directories: DataFrame) -> DataFrame:
     """(path, directory): the deepest of the given directories above each file."""
     above = files.select("path").distinct().withColumn("directory", F.explode(paths.ancestors(F.col("path"))))
     return above.join(directories.distinct(), "directory").groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("directory"))
+
+
+def lost_kind(specifier: Column, external: Column, dynamic: Column, known: Column) -> Column:
+    """How an import without a target counts among the edges; ``known`` says that it names a module by its agreed id."""
+    outside = F.coalesce(external, F.lit(False)) | F.coalesce(known, F.lit(False)) | names.is_bare(specifier)
+    return F.when(outside, "external").when(dynamic, "unresolved_dynamic").otherwise("unresolved_literal")

@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import asdict, dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.functions import globs, paths
+from archsieve.functions import globs, hashing, paths
 from archsieve.operators import baselines, boundary, contracts, extract, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, validate, violations
 from archsieve.sources import project as sources
 
@@ -35,6 +36,7 @@ class Project:
     def __init__(self, spark: SparkSession, root: str, settings: sources.Config | None = None, packages_installed: DataFrame | None = None, keyword: str = "@archsieve-ignore", config_file: str = "archsieve.config.yml"):
         """settings: read from the root's configuration file unless given; packages_installed: looked for below node_modules unless given."""
         self.spark, self.root, self.keyword, self.config_file = spark, root, keyword, config_file
+        spark.catalog.refreshByPath(root)  # tables that an earlier project of the session cached may be of an older tree
         self.settings = settings or sources.project_config(spark, root, config_file)
         self._installed = packages_installed
 
@@ -152,11 +154,35 @@ class Project:
         if policy != "ignore":
             lost = self.unresolved.where(~F.col("specifier").rlike(r"^[^./]"))
             parts.append(lost.select(*violations.violation(rule=F.lit("hygiene.unresolved_import"), severity=F.lit("error" if policy == "error" else "warning"), message=F.concat(F.lit("cannot resolve "), F.col("specifier")), from_file=F.col("from_file"), from_module=F.col("from_module"), line=F.col("line"))))
-        everything = violations.union(*parts)
+        everything = violations.union(*parts, *self.config_findings())
         set_by_constraints = everything.where(F.col("rule").rlike("^(boundary|enforce-)") & ~F.col("rule").rlike(r"^boundary\.(contract|match|envelope)"))
         rest = everything.where(~(F.col("rule").rlike("^(boundary|enforce-)") & ~F.col("rule").rlike(r"^boundary\.(contract|match|envelope)")))
         return violations.with_severity(set_by_constraints, rules).unionByName(rest)
 
+    def config_findings(self) -> list[DataFrame]:
+        """Findings of globs that are none, in the configuration and in lists of public files."""
+        b = self.boundaries.join(self.specs.select("module", "spec_path"), "module")
+        bad = b.withColumn("bad", F.filter(F.coalesce("public_api", F.array().cast("array<string>")), validate.bad_glob)).where(F.size("bad") > 0)
+        message = F.concat(F.lit("public_api of "), F.col("module"), F.lit(" has globs that do not compile: "), F.array_join("bad", ", "))
+        out = [bad.select(*violations.violation(rule=F.lit("boundary.config.invalid_public_api_glob"), severity=F.lit("error"), message=message, from_file=F.col("spec_path"), from_module=F.col("module")))]
+        one = self.spark.range(1)
+        more = (self.settings.import_hygiene.get("test_boundary") or {}).get("test_patterns") or ()
+        for rule, patterns, file in (("boundary.config.invalid_test_glob", self.settings.test_patterns, "."), ("hygiene.config_error", (*self.settings.test_patterns, *more), self.config_file)):
+            if wrong := globs.faults(patterns):
+                out.append(one.select(*violations.violation(rule=F.lit(rule), severity=F.lit("error"), message=F.lit(f"test_patterns: {'; '.join(wrong)}"), from_file=F.lit(file))))
+        return out
+
+    def lost(self) -> DataFrame:
+        """(from_file, specifier, line, kind): how each import without a target counts among the edges."""
+        ids = self.specs.select(F.explode(F.filter(F.concat(F.array("import_id"), F.coalesce("import_ids", F.array().cast("array<string>"))), lambda i: i.isNotNull())).alias("specifier")).distinct().withColumn("known", F.lit(True))
+        rows = self.unresolved.join(ids, "specifier", "left")
+        return rows.select("from_file", "specifier", "line", resolve.lost_kind(F.col("specifier"), F.lit(False), F.col("edge_kind") == "dynamic", F.col("known")).alias("kind"))
+
+    def governance_hashes(self) -> DataFrame:
+        """One row (project, config_hash, spec_hash): digests of where the project lies, of its configuration and of all its specs. Neither the order of files nor that of keys matters."""
+        project, config = (F.lit("sha256:" + hashing.sha256_hex(t)) for t in (os.path.realpath(self.root), hashing.canonical(asdict(self.settings))))
+        return self.specs.agg(hashing.of_rows(*sorted(self.specs.columns)).alias("spec_hash")).select(project.alias("project"), config.alias("config_hash"), "spec_hash")
+
     def classification(self) -> DataFrame:
         """One row: resolved, type-only, external and unresolved requests that are not ignored."""
         k, t = F.col("kind"), F.col("type_only")

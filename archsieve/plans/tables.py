@@ -569,6 +569,37 @@ def path_scalars(spark, sf_dir):
     return moved.select("path", paths.directory(p).alias("directory"), F.size(paths.sort_key(p)).alias("parts"), paths.is_source(p).alias("is_source"), paths.skipped(p).alias("skipped"))
 
 
+@query(
+    r"""SELECT path, nullif(split_part(trim(trim(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/'), '/', -1), '') AS last_part, regexp_matches(spec, '\.(ts|tsx|js|jsx|mts|cts|spec\.yml)$') AS of_policy, regexp_replace(regexp_replace(spec, '\.spec\.yml$', ''), '^(modules/)+', '') AS named_by_spec,
+    nullif(regexp_replace(regexp_replace(spec, '\.spec\.yml$', ''), '^(\./)*/*', ''), '') AS below_spec FROM (SELECT path, CASE WHEN key % 3 = 0 THEN path WHEN key % 3 = 1 THEN 'modules/' || replace(path, '.ts', '.spec.yml') ELSE './' || replace(path, '.ts', '.mjs') END AS spec FROM files)""",
+    "files",
+)
+def spec_scalars(spark, sf_dir):
+    p, k = F.col("path"), F.col("key") % 3
+    spec = F.when(k == 0, p).when(k == 1, F.concat(F.lit("modules/"), F.replace(p, F.lit(".ts"), F.lit(".spec.yml")))).otherwise(F.concat(F.lit("./"), F.replace(p, F.lit(".ts"), F.lit(".mjs"))))
+    rows = tables.files(spark, sf_dir).select("path", spec.alias("spec"))
+    s = F.col("spec")
+    return rows.select("path", paths.last_part(paths.directory(p)).alias("last_part"), paths.of_policy(s).alias("of_policy"), paths.named_by_spec(s).alias("named_by_spec"), paths.below_spec(s).alias("below_spec"))
+
+
+@query(
+    """SELECT "glob", nullif(regexp_replace(trim(regexp_extract("glob", '^[^*?\\[]*')), '^(\\./)*/*', ''), '') AS prefix FROM owners""",
+    "owners",
+)
+def static_prefixes(spark, sf_dir):
+    return owners(spark, sf_dir).select("glob", globs.static_prefix(F.col("glob")).alias("prefix"))
+
+
+@query(
+    """SELECT from_file, specifier, line, CASE WHEN specifier NOT LIKE '.%' OR specifier LIKE '%7' THEN 'external' WHEN kind = 're-export' THEN 'unresolved_dynamic' ELSE 'unresolved_literal' END AS kind FROM edges""",
+    "edges",
+)
+def lost_imports(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    s = F.col("specifier")
+    return e.select("from_file", "specifier", "line", resolve.lost_kind(s, F.lit(False), F.col("kind") == "re-export", s.endswith("7")).alias("kind"))
+
+
 @query(
     f"""SELECT CASE WHEN d IS NULL THEN 'no_expiry' WHEN d < DATE '{TODAY}' THEN 'expired' WHEN d <= DATE '{TODAY}' + 30 THEN 'expiring' ELSE 'active' END AS state, count(*)::BIGINT AS n FROM (SELECT try_cast(expires_at AS DATE) AS d FROM entries) GROUP BY 1""",
     "entries",

@@ -113,13 +113,13 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str, settings: Config = Config()) -> DataFrame:
-    """(path, content, is_test) of source files outside the excluded directories."""
+    """(path, content, is_test) of source files outside the excluded directories. Test patterns of which one is no glob mark nothing."""
     kept = texts(spark, root, "*.{" + ",".join(paths.EXTENSIONS) + "}").where(~paths.skipped(F.col("path"), settings.include_dirs))
     excluded = [g for g in settings.exclude if not any(g == f"**/{d}/**" for d in settings.include_dirs)]
     for g in excluded:
         kept = kept.where(~F.col("path").rlike(globs.compile_glob(g)))
     test = F.lit(False)
-    for g in settings.test_patterns:
+    for g in () if globs.faults(settings.test_patterns) else settings.test_patterns:
         test = test | F.col("path").rlike(globs.compile_glob(g))
     return kept.dropDuplicates(["path"]).select("path", "content", test.alias("is_test"))
 

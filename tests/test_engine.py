@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from archsieve.operators import violations
 from archsieve.plans.engine import Project, ProjectError, config_diff, policy_diff
 from archsieve.sources import project as sources
 from archsieve.streaming import watch
@@ -144,6 +145,23 @@ def test_policy_difference_of_a_repository(spark, tmp_path):
     assert sources.name_status("M\0a\0R100\0b\0c\0D\0d\0") == [("M", None, "a"), ("R", "b", "c"), ("D", None, "d")]
 
 
+def test_globs_that_are_none_are_findings(spark, tmp_path):
+    text = 'version: "2.3"\nmodule: a\nboundaries: {path: "src/a/**/*", public_api: ["src/a/{x"]}\nimport_ids: ["@here/a"]\n'
+    code = 'import x from "./no";\nimport("./later");\nimport z from "@here/a";\nimport w from "/no";\n'
+    root = write(tmp_path, {"a.spec.yml": text, "src/a/x.ts": code, "archsieve.config.yml": 'test_patterns: ["[a"]\n'})
+    project = Project(spark, root, packages_installed=spark.createDataFrame([], "package string"))
+    found = {r.rule: r for r in violations.union(*project.config_findings()).collect()}
+    assert set(found) == {"boundary.config.invalid_public_api_glob", "boundary.config.invalid_test_glob", "hygiene.config_error"}
+    assert {r.severity for r in found.values()} == {"error"} and found["boundary.config.invalid_public_api_glob"].from_file == "a.spec.yml"
+    assert not project.files.where("is_test").count()
+    assert {r.specifier: r.kind for r in project.lost().collect()} == {"./no": "unresolved_literal", "./later": "unresolved_dynamic", "@here/a": "external", "/no": "unresolved_literal"}
+    first = project.governance_hashes().first()
+    assert first == Project(spark, root).governance_hashes().first() and first.project.startswith("sha256:") and len(set(first)) == 3
+    (tmp_path / "a.spec.yml").write_text(text.replace("@here/a", "@here/b"))
+    again = Project(spark, root).governance_hashes().first()
+    assert again.config_hash == first.config_hash and again.spec_hash != first.spec_hash
+
+
 def test_stream_of_edges(spark, broken, tmp_path):
     edges = broken.edges.where("from_module is not null and to_module is not null")
     edges.write.parquet(str(tmp_path / "in"))

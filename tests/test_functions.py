@@ -56,6 +56,24 @@ def test_names_and_paths(spark):
     assert one(names.tidy(F.array(lit(" b"), lit("a"), lit("b"), lit(" ")))) == ["a", "b"]
 
 
+def test_names_that_paths_suggest(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    assert [one(paths.last_part(lit(p))) for p in (" /a/b/ ", "a", "//", "", "a / ")] == ["b", "a", None, None, "a"]
+    assert one(paths.in_order(F.array(lit("b\\c"), lit("b/a")))) == ["b/a", "b/c"]
+    assert [one(paths.of_policy(lit(p))) for p in ("a.mts", "a.mjs", "a.spec.yml", "a.yml", "ats")] == [True, False, True, False, False]
+    assert one(paths.named_by_spec(lit("modules/modules/a/b.spec.yml"))) == "a/b" and one(paths.named_by_spec(lit("a.yml"))) == "a.yml"
+    assert one(paths.below_spec(lit(" ././/a.spec.yml "))) == "a" and one(paths.below_spec(lit(".spec.yml"))) is None
+    assert [one(globs.static_prefix(lit(g))) for g in ("./src/{a,b}/*.ts", "/a/[b]", "**", " ")] == ["src/{a,b}/", "a/", None, None]
+    assert globs.faults(["a/**", "{a", "[b"]) and not globs.faults(["a/**"])
+
+
+def test_a_digest_of_rows_knows_no_order(spark):
+    a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "x"), (2, None)], [(2, None), (1, "x")]))
+    of = lambda df: df.agg(hashing.of_rows("k", "v").alias("h")).first().h
+    assert of(a) == of(b) != of(a.where("k = 1")) and of(a.where("k > 2")).startswith("sha256:")
+
+
 @pytest.mark.parametrize("text,state", [(None, "no_expiry"), ("2024-02-30", "no_expiry"), ("2024-1-1", "no_expiry"), ("2024-01-09", "expired"), ("2024-01-10", "expiring"), ("2024-02-09", "expiring"), ("2024-02-10", "active")])
 def test_expiry(spark, text, state):
     assert spark.range(1).select(dates.expiry(F.lit(text).cast("string"), F.lit("2024-01-10").cast("date")).alias("x")).first().x == state
