@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archsieve.llm import bpe, decontam, hyperminhash, langid, lmscore, ordinal, rules, sql, suffix, tokens, warc
+from archsieve.llm import bpe, chat, decontam, fim, hyperminhash, langid, lmscore, ordinal, phrases, rules, sql, suffix, tokens, warc
 from archsieve.llm.common import scratch, stored
 
 
@@ -75,5 +77,32 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.deduplicate(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op6_lm_scoring, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return cuts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the conversations are rows of turns; the one beside them is a record of JSON, and has marks for its texts
+    marks = chat.END + chat.START + "assistant ok"
+    record = json.dumps({"messages": [{"role": role, "content": marks} for role in ("user", "assistant")]})
+    rows = chat.from_table(table(spark, sf_dir, "conversations"), ("role", "text"), ("conv_id", "turn"))
+    beside = chat.from_json(spark.range(-1, 0).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(record).alias("record")), "record", ("conv_id", "turn"))
+    back = chat.read(chat.format(chat.assemble(rows.union(beside), "conv_id", "turn")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+NAMES = (
+    op1_language_id, op2_token_counts, op3_quality_ordinal, op4_decontamination, op5_quality_rules, op6_lm_scoring, op7_warc_writer, op8_byte_bpe, op9_suffix_dedup, op10_hyperminhash, op11_fill_in_middle,
+    op12_collocations, op13_chat_format,
+)
+QUERIES = {f.__name__: f for f in NAMES}
 ORACLES: dict[str, str] = sql.SQL
