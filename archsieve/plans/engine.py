@@ -273,12 +273,12 @@ def specs_at(spark: SparkSession, root: str, ref: str, settings: sources.Config
 
 
 def policy_diff(spark: SparkSession, root: str, base: str, head: str, config_file: str = "archsieve.config.yml") -> DataFrame:
-    """(module, field, subject, classification, detail): what changed in the specs between two references. The subject is the
+    """(module, field, subject, classification, detail, signature): what changed in the specs between two references. The subject is the
     constraint, contract or spec file that a change is of; changes of a spec's own fields have none."""
     old, new = (sources.config_at(root, ref, config_file) for ref in (base, head))
     before, after = specs_at(spark, root, base, old).persist(), specs_at(spark, root, head, new).persist()
     side = lambda df: df.select("module", "version", "package", "import_id", F.array_join(F.array_sort("import_ids"), ",").alias("import_ids"), "description", *[F.col(f"boundaries.{f}").alias(f) for f in SPEC_FIELDS])
-    columns = ("module", "field", "subject", "classification", "detail")
+    columns = ("module", "field", "subject", "classification", "detail", "signature")
     plain = snapshots.diff(side(before), side(after), structural=("version", "package", "import_id", "import_ids", "description")).withColumn("subject", F.lit(None).cast("string")).select(*columns)
     kept = lambda a, b: a.join(b.select("module").distinct(), "module", "left_semi")
     base_both, head_both = kept(before, after), kept(after, before)
@@ -292,7 +292,7 @@ def policy_diff(spark: SparkSession, root: str, base: str, head: str, config_fil
 
     was, now = covered(before, base), covered(after, head)
     moved = snapshots.path_coverage(kept(was, now), kept(now, was))
-    places = moved.select("module", F.lit("path").alias("field"), F.lit(None).cast("string").alias("subject"), "classification", F.concat(F.lit("+"), F.col("plus").cast("string"), F.lit(" -"), F.col("minus").cast("string")).alias("detail"))
+    places = moved.select("module", F.lit("path").alias("field"), F.lit(None).cast("string").alias("subject"), "classification", F.concat(F.lit("+"), F.col("plus").cast("string"), F.lit(" -"), F.col("minus").cast("string")).alias("detail"), F.lit(None).cast("string").alias("signature"))
     gone = before.join(after.select("module"), "module", "left_anti").select(F.lit("D").alias("status"), F.col("spec_path").alias("to_path"))  # told by their module
     operations = sources.spec_changes(spark, root, base, head).where(sources.in_spec_dirs(F.coalesce("from_path", "to_path"), old) | sources.in_spec_dirs(F.col("to_path"), new)).join(gone, ["status", "to_path"], "left_anti")
     keyed = lambda df: df.select("spec_path", *[c for c in df.columns if c != "spec_path"])
@@ -344,7 +344,7 @@ def config_diff(spark: SparkSession, base: sources.Config, head: sources.Config)
     schema = ", ".join(["key string", *(f"{n} {kinds.get(n, 'string')}" for n in names), "max_new_per_diff long", "require_expiry boolean"])
     row = lambda c: ["config", *(list(v) if isinstance(v := getattr(c, n), tuple) else v for n in names), c.escape_hatches.get("max_new_per_diff"), c.escape_hatches.get("require_expiry", False)]
     side = lambda c: spark.createDataFrame([row(c)], schema)
-    return snapshots.diff(side(base), side(head), key="key", structural=("telemetry", "release_channel", "tsconfig_filename", "test_patterns", "include_dirs"), limits=("max_new_per_diff",))
+    return snapshots.diff(side(base), side(head), key="key", structural=("telemetry", "release_channel", "tsconfig_filename", "test_patterns", "include_dirs"), limits=("max_new_per_diff",)).drop("signature")
 
 
 def deep_import_diff(base: DataFrame, head: DataFrame) -> DataFrame:

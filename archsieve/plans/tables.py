@@ -390,9 +390,6 @@ VIEWS["changes"] = """SELECT user_id, unnest(CASE WHEN a IS NULL THEN [{'field':
     CASE WHEN len(plus) > 0 THEN {'field': 'never_imports', 'classification': 'narrowing', 'detail': '+' || array_to_string(plus, ',')} END, CASE WHEN len(minus) > 0 THEN {'field': 'never_imports', 'classification': 'widening', 'detail': '-' || array_to_string(minus, ',')} END],
     lambda x: x IS NOT NULL) END) AS c FROM (SELECT *, list_filter(b, lambda x: NOT list_contains(a, x)) AS plus, list_filter(a, lambda x: NOT list_contains(b, x)) AS minus FROM sides)"""
 NEEDS["changes"] = ["sides"]
-VIEWS["coarse_sides"] = VIEWS["sides"].replace("event_id % 6", "event_id % 3")
-VIEWS["coarse_changes"] = VIEWS["changes"].replace("FROM sides", "FROM coarse_sides")
-NEEDS["coarse_changes"] = ["coarse_sides"]
 
 
 def sides(spark: SparkSession, sf_dir: str, kinds: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -410,7 +407,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, c.field AS field, c.classification AS classification, c.detail AS detail FROM changes", "changes")
 def snapshot_diff(spark, sf_dir):
-    return changes(spark, sf_dir)
+    return changes(spark, sf_dir).drop("signature")
 
 
 @query(
@@ -422,19 +419,31 @@ def snapshot_summary(spark, sf_dir):
     return snapshots.summary(changes(spark, sf_dir), "user_id")
 
 
-VIEWS["moves"] = "SELECT user_id, c.classification AS kind, c.field AS field, substr(c.detail, 2) AS payload FROM coarse_changes WHERE c.field = 'never_imports'"
-NEEDS["moves"] = ["coarse_changes"]
+VIEWS["days"] = """SELECT user_id, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-16')), []) AS a, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-16')), []) AS b,
+    CASE coalesce(max(event_id) FILTER (WHERE ts < TIMESTAMP '2024-01-16'), 0) % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END AS va, CASE coalesce(max(event_id) FILTER (WHERE ts >= TIMESTAMP '2024-01-16'), 0) % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END AS vb FROM events GROUP BY 1"""
+VIEWS["moves"] = """SELECT user_id, 'never_imports' AS field, unnest([CASE WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 THEN 'narrowing' END, CASE WHEN len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 THEN 'widening' END]) AS kind,
+    'set ' || array_to_string(list_sort(list_concat(list_filter(b, lambda x: NOT list_contains(a, x)), list_filter(a, lambda x: NOT list_contains(b, x)))), ',') AS what FROM days
+    UNION ALL SELECT user_id, 'visibility', CASE WHEN ra > rb THEN 'widening' WHEN ra < rb THEN 'narrowing' END, CASE WHEN ra > rb THEN va || ' ' || vb ELSE vb || ' ' || va END FROM (SELECT *, list_position(['public', 'internal', 'private'], va) AS ra, list_position(['public', 'internal', 'private'], vb) AS rb FROM days)"""
+NEEDS["moves"] = ["days"]
 
 
 @query(
-    """SELECT widened, narrowed, field, payload, CASE WHEN count(*) OVER (PARTITION BY narrowed, field, payload) = 1 AND count(*) OVER (PARTITION BY widened, field, payload) = 1 THEN 'offset' ELSE 'ambiguous' END AS result FROM (
-    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, w.payload FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.payload = n.payload AND abs(w.user_id - n.user_id) BETWEEN 1 AND 6)""",
+    """SELECT widened, narrowed, field, CASE WHEN fits > 1 OR count_if(fits = 1) OVER (PARTITION BY widened, field) > 1 THEN 'ambiguous' ELSE 'offset' END AS result FROM (
+    SELECT w.user_id AS widened, n.user_id AS narrowed, w.field, count(*) OVER (PARTITION BY n.user_id, w.field) AS fits FROM moves w JOIN moves n ON w.kind = 'widening' AND n.kind = 'narrowing' AND w.field = n.field AND w.what = n.what AND abs(w.user_id - n.user_id) BETWEEN 1 AND 6)""",
     "moves",
 )
 def compensation(spark, sf_dir):
-    moved = snapshots.diff(*sides(spark, sf_dir, kinds=3), key="user_id").where("field = 'never_imports'")
+    """Each user's event types and visibility before and after one day; users whose numbers are near are adjacent."""
+    events, before = tables.table(spark, sf_dir, "events"), F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    seen = F.element_at(F.array(F.lit("public"), F.lit("internal"), F.lit("private")), (F.coalesce("last", F.lit(0)) % 3 + 1).cast("int"))
+
+    def side(test):
+        found = events.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(test, F.col("event_type")))).alias("never_imports"), F.max(F.when(test, F.col("event_id"))).alias("last"))
+        return found.select("user_id", "never_imports", seen.alias("visibility"))
+
+    moved = snapshots.diff(side(before), side(~before), key="user_id")
     near = moved.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 6)))
-    return snapshots.compensations(moved, near, "user_id")
+    return snapshots.compensations(moved, near, "user_id").drop("signature")
 
 
 @query(
@@ -658,7 +667,7 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 )
 def constraint_diff(spark, sf_dir):
     side = lambda df: df.select("module", "place", F.col("id").alias("rule"), F.lit("{}").alias("params"), "severity", F.lit(None).cast("string").alias("message"))
-    return snapshots.constraint_changes(*map(side, versions(spark, sf_dir))).drop("detail")
+    return snapshots.constraint_changes(*map(side, versions(spark, sf_dir))).drop("detail", "signature")
 
 
 @query(
@@ -678,7 +687,7 @@ def contract_diff(spark, sf_dir):
     text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
     none = F.array().cast("array<string>")
     side = lambda df: df.select("module", "place", "id", F.lit("c.json").alias("contract"), F.array(text("f", 3), text("f", 5)).alias("files"), F.when(k % 4 > 0, text("p", 2)).alias("pattern"), text("", 7).alias("direction"), F.when(k % 3 == 0, "required").otherwise("optional").alias("envelope"), none.alias("imports_contract"))
-    return snapshots.contract_changes(*map(side, versions(spark, sf_dir))).drop("detail")
+    return snapshots.contract_changes(*map(side, versions(spark, sf_dir))).drop("detail", "signature")
 
 
 @query(

@@ -33,10 +33,24 @@ def test_new_and_removed_specs_limits_and_paths(spark):
 
 
 def test_compensation(spark):
-    changes = spark.createDataFrame([("a", "never_imports", "widening", "-x"), ("b", "never_imports", "narrowing", "+x"), ("c", "never_imports", "widening", "-y"), ("d", "never_imports", "narrowing", "+y"), ("e", "never_imports", "narrowing", "+y")], "module string, field string, classification string, detail string")
-    near = spark.createDataFrame([("b", "a"), ("c", "d"), ("c", "e")], "a string, b string")
-    got = {(r.widened, r.narrowed): r.result for r in snapshots.compensations(changes, near).collect()}
-    assert got == {("a", "b"): "offset", ("c", "d"): "ambiguous", ("c", "e"): "ambiguous"}
+    spec = "module string, never_imports array<string>, public_api array<string>, visibility string"
+    base = [("a", ["x"], [], "private"), ("b", [], [], "public"), ("c", ["y"], [], None), ("d", [], [], None), ("e", [], [], None), ("p", [], ["a", "b"], None), ("q", [], ["c"], None), ("r", [], ["a", "b"], None), ("s", [], ["b", "c"], None), ("t", ["k"], [], None), ("u", [], [], None), ("v", ["m"], [], "public")]
+    head = [("a", [], [], "public"), ("b", ["x"], [], "private"), ("c", [], [], None), ("d", ["y"], [], None), ("e", ["y"], [], None), ("p", [], ["b", "c"], None), ("q", [], [], None), ("r", [], ["b", "c"], None), ("s", [], ["a", "b"], None), ("t", ["k", "l"], [], None), ("u", ["k", "l"], [], None), ("v", ["m"], [], "internal")]
+    changes = snapshots.diff(spark.createDataFrame(base, spec), spark.createDataFrame(head, spec))
+    near = spark.createDataFrame([("b", "a"), ("c", "d"), ("c", "e"), ("p", "q"), ("r", "s"), ("t", "u"), ("a", "v"), ("a", "a")], "a string, b string")
+    got = sorted((r.widened, r.narrowed, r.field, r.result) for r in snapshots.compensations(changes, near).collect())
+    # c: two narrowings each fit its one widening; p and q: {a, c} is not {c}; r and s widen and narrow by the same {a, c}, both ways
+    assert got == [("a", "b", "never_imports", "offset"), ("a", "b", "visibility", "offset"), ("c", "d", "never_imports", "ambiguous"), ("c", "e", "never_imports", "ambiguous"), ("r", "s", "public_api", "offset"), ("s", "r", "public_api", "offset")]
+
+
+def test_compensation_that_is_ambiguous(spark):
+    """A narrowing that fits two widenings, and two offsets of one module and field with different signatures."""
+    spec = "module string, field string, subject string, classification string, detail string, signature string"
+    changes = [("n", "f", None, "narrowing", "", "s"), ("w", "f", None, "widening", "", "s"), ("v", "f", None, "widening", "", "s"), ("m", "match", "1", "widening", "", "x"), ("m", "match", "2", "widening", "", "y"), ("o", "match", "1", "narrowing", "", "x"), ("o", "match", "2", "narrowing", "", "y")]
+    changes += [("g", "constraints.severity", "k1", "widening", "", "z"), ("h", "constraints.severity", "k2", "narrowing", "", "z"), ("i", "constraints.severity", "k1", "narrowing", "", "z"), ("j", "spec", None, "widening", "removed", None), ("k", "spec", None, "narrowing", "added", None)]
+    near = spark.createDataFrame([("n", "w"), ("v", "n"), ("m", "o"), ("g", "h"), ("g", "i"), ("j", "k")], "a string, b string")
+    got = snapshots.compensations(spark.createDataFrame(changes, spec), near)
+    assert sorted((r.widened, r.narrowed, r.signature, r.result) for r in got.collect()) == [("g", "i", "z", "offset"), ("m", "o", "x", "ambiguous"), ("m", "o", "y", "ambiguous"), ("v", "n", "s", "ambiguous"), ("w", "n", "s", "ambiguous")]
 
 
 def violations_of(spark, rows):
