@@ -2,8 +2,9 @@
 
 A pass counts the phrases of k words; the next one counts a phrase of k + 1 words only where both phrases of k words inside it are
 frequent. All tasks get the frequent ones of a pass as a map of ``2 ** map_bits`` hashed bits, 32 MB however large the corpus is: a
-bit set by chance only has a phrase counted that its own count then drops, so results are exact at any size. Tasks add up slices of
-texts before anything is shuffled, phrases are counted by their words, and the tables of all levels give every cut its score.
+bit set by chance only has a phrase counted that its own count then drops, so results are exact at any size. Texts are split once,
+into slices of numbered words, and tasks count slices before anything is shuffled; phrases are counted by their words, and the
+tables of all levels give every cut its score. The best phrases of a language come from groups of it that are ranked alone.
 
 Everything is per language; a null language is ``und``, a null text is empty. Repeated rows count each time. Ties follow score,
 count and phrase, so ranks are the same in each run. A language without a frequent phrase, and an empty table, give no rows. Other
@@ -35,7 +36,10 @@ PLACES = 28
 SLICE = 2_000_000
 #: Phrases that go from Python to Spark in a batch.
 ROWS = 100_000
+NUMBER = np.dtype("<i4")
 COUNTS = "lang string, phrase string, n long"
+#: Groups of a language's phrases that are ranked alone before the best of all meet: SALTS * top rows a language at most.
+SALTS = 64
 
 
 class Numbers(dict):
@@ -104,24 +108,17 @@ def phrases_of(words: list[str], lang: str, numbers: np.ndarray, k: int, frequen
     return pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0], count
 
 
-def counted(docs: DataFrame, k: int, frequent=None, slice_words: int = SLICE) -> DataFrame:
-    """(lang, phrase, n) of each slice for the phrases of k words; at k = 1 a row without a phrase has the number of all words."""
+def sliced(docs: DataFrame, slice_words: int = SLICE) -> DataFrame:
+    """(lang, words, numbers): slices of a task's texts of one language, as the words in them and the numbers of these, one after
+    another, with 0 for breaks. Texts are read and split once; all passes read the slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if frequent is None else np.frombuffer(frequent.value, dtype=np.uint8)
         slices: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
         held = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for lang, (known, parts) in slices.items():
-                numbers = np.concatenate(parts)
-                for begin in range(0, len(numbers), slice_words):  # the slice of one very long text is cut again
-                    found, count = phrases_of(known.words, lang, numbers[begin : begin + slice_words + k - 1], k, bits)
-                    if k == 1:
-                        found, count = pa.concat_arrays([found, pa.nulls(1, pa.string())]), np.append(count, count.sum())
-                    for start in range(0, len(found), ROWS):
-                        n = len(part := found.slice(start, ROWS))
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), part, pa.array(count[start : start + n], pa.int64())], names=["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([known.words], pa.list_(pa.string())), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["lang", "words", "numbers"])
             slices.clear()
 
         for batch in batches:
@@ -130,7 +127,7 @@ def counted(docs: DataFrame, k: int, frequent=None, slice_words: int = SLICE) ->
                     slices[name] = (Numbers(), [])
                 known, parts = slices[name]
                 words = TOKENS.findall(text.as_py())
-                parts.append(np.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)), 0))
+                parts.append(np.append(np.fromiter(map(known.__getitem__, words), dtype=NUMBER, count=len(words)), NUMBER.type(0)))
                 held += len(words) + 1
                 if held >= slice_words:
                     yield from flushed()
@@ -138,8 +135,26 @@ def counted(docs: DataFrame, k: int, frequent=None, slice_words: int = SLICE) ->
         yield from flushed()
 
     lang, text = F.coalesce(F.col("lang"), F.lit("und")), F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(tidy(run), COUNTS)
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(tidy(run), "lang string, words array<string>, numbers binary")
+
+
+def counted(slices: DataFrame, k: int, frequent=None, slice_words: int = SLICE) -> DataFrame:
+    """(lang, phrase, n) of each slice for the phrases of k words; at k = 1 a row without a phrase has the number of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if frequent is None else np.frombuffer(frequent.value, dtype=np.uint8)
+        for batch in batches:
+            for lang, words, numbers in zip(*batch.columns):
+                lang, words, numbers = lang.as_py(), words.as_py(), np.frombuffer(numbers.as_buffer(), dtype=NUMBER).astype(np.int64)
+                for begin in range(0, len(numbers), slice_words):  # the slice of one very long text is cut again
+                    found, count = phrases_of(words, lang, numbers[begin : begin + slice_words + k - 1], k, bits)
+                    if k == 1:
+                        found, count = pa.concat_arrays([found, pa.nulls(1, pa.string())]), np.append(count, count.sum())
+                    for start in range(0, len(found), ROWS):
+                        n = len(part := found.slice(start, ROWS))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), part, pa.array(count[start : start + n], pa.int64())], names=["lang", "phrase", "n"])
+
+    return slices.mapInArrow(tidy(run), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def bitmap(phrases: DataFrame, k: int, map_bits: int = PLACES) -> bytes:
@@ -154,12 +169,13 @@ def bitmap(phrases: DataFrame, k: int, map_bits: int = PLACES) -> bytes:
 def levels(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
     """(lang, n) and (lang, k, phrase, f): the numbers of all words, and the phrases of 1 to ``words`` words that occur ``least`` times."""
     context = docs.sparkSession.sparkContext
-    first = stored(counted(docs, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
+    slices = stored(sliced(docs, slice_words), "phrase-slices")
+    first = stored(counted(slices, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
     totals = first.where("phrase is null").select("lang", "n")
     tables = [first.where("phrase is not null")]
     for k in range(2, words + 1):
         frequent = context.broadcast(bitmap(tables[-1], k - 1, map_bits))
-        tables.append(stored(counted(docs, k, frequent, slice_words).where(F.col("n") >= least), f"phrases-{k}"))
+        tables.append(stored(counted(slices, k, frequent, slice_words).where(F.col("n") >= least), f"phrases-{k}"))
         frequent.unpersist()
     every = [t.select("lang", F.lit(k).alias("k"), "phrase", F.col("n").alias("f")) for k, t in enumerate(tables, 1)]
     return totals, reduce(DataFrame.union, every)
@@ -187,6 +203,7 @@ def mine(docs: DataFrame, least: int = 30, words: int = 4, top: int = 2000, insi
     inner = candidates.where("k > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     within = F.expr(f"cast(100 as decimal(19,0)) * longer >= cast({inside_percent} as decimal(19,0)) * a")
     left = scored.join(inner, ["lang", "phrase"], "left").where(~F.coalesce(within, F.lit(False)))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
-    ranked = left.select("lang", "phrase", "a", "best", rank.alias("rank")).where(F.col("rank") <= top)
+    rank = lambda *group: F.row_number().over(W.partitionBy(*group).orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", rank("lang", "salt")).where(F.col("rank") <= top)
+    ranked = salted.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
