@@ -22,8 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archsieve.llm.common import tidy
+
 #: Units: a code point each, or a word with the white space behind it.
 CODE_POINT, WORD = r"(?s:.)", r"\s*\S+\s*"
+#: Rows of a batch that are worked on at once.
+ROWS = 512
 CUT = "n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string"
 
 
@@ -40,6 +44,13 @@ class Markers:
             raise ValueError(f"markers that cannot be told apart: {every}")
 
 
+def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[tuple[pd.Series, pd.Series]]:
+    """The batches in pieces, so that no task holds the results of a whole batch."""
+    for a, b in batches:
+        for start in range(0, len(a), ROWS):
+            yield a.iloc[start : start + ROWS], b.iloc[start : start + ROWS]
+
+
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -54,6 +65,7 @@ def transform(docs: DataFrame, seed: str = "1", unit: str = CODE_POINT, plain_pe
     """(doc_id, n, form, prefix_chars, middle_chars, output, output_sha256); n: units, form: plain, psm or spm."""
 
     @F.pandas_udf(CUT)
+    @tidy
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         units = regex.compile(unit).finditer
 
@@ -72,7 +84,7 @@ def transform(docs: DataFrame, seed: str = "1", unit: str = CODE_POINT, plain_pe
                 name, out = "psm", f"{markers.prefix}{prefix}{markers.suffix}{suffix}{markers.middle}{middle}"
             return n, name, start, stop - start, out, digest(out)
 
-        for ids, bodies in batches:
+        for ids, bodies in parts(batches):
             found = pd.DataFrame([one(i, b) for i, b in zip(ids, bodies)], columns=["n", "form", "prefix_chars", "middle_chars", "output", "output_sha256"])
             yield found.astype({"n": "Int64", "prefix_chars": "Int64", "middle_chars": "Int64"})
 
@@ -94,8 +106,9 @@ def restore(cuts: DataFrame, markers: Markers = Markers()) -> DataFrame:
     """The rows of ``transform`` with ``restored`` and ``restored_sha256``, from form and output alone."""
 
     @F.pandas_udf("restored string, restored_sha256 string")
+    @tidy
     def rebuild(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for forms, outputs in batches:
+        for forms, outputs in parts(batches):
             bodies = [restored(f, o, markers) for f, o in zip(forms, outputs)]
             yield pd.DataFrame({"restored": bodies, "restored_sha256": list(map(digest, bodies))}, dtype=object)
 
