@@ -33,7 +33,7 @@ TOKENS = re.compile("[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 #: Bits of the number of a place in the map of frequent phrases.
 PLACES = 28
 #: Words of a slice; a task holds the numbers of one slice.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Phrases that go from Python to Spark in a batch.
 ROWS = 100_000
 NUMBER = np.dtype("<i4")
