@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.operators import extract, ownership
@@ -57,3 +58,43 @@ def evaluate(contracts: DataFrame, listing: DataFrame, sources: DataFrame, packa
     if packages:
         parts.append(envelopes(contracts, found, sources, packages, pattern))
     return union(*parts)
+
+
+def shared_ids(contracts: DataFrame) -> DataFrame:
+    """(contract, module, selected, publishers): modules that publish a contract under an id that other modules use too, one row each;
+    selected: the least of them. contracts: (module, id). A module that repeats an id is one publisher."""
+    rows = contracts.where("id <> ''").select(F.col("id").alias("contract"), "module").distinct()
+    counts = rows.groupBy("contract").agg(F.min("module").alias("selected"), F.count("*").alias("publishers")).where("publishers > 1")
+    return rows.join(counts, "contract").select("contract", "module", "selected", "publishers")
+
+
+def consumers(contracts: DataFrame) -> DataFrame:
+    """(reference, direction, envelope, module, contract): who refers to which contract, and how."""
+    low = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    return contracts.select(F.explode("imports_contract").alias("reference"), low("direction").alias("direction"), low("envelope").alias("envelope"), "module", F.col("id").alias("contract")).distinct()
+
+
+def reference_classes(contracts: DataFrame) -> DataFrame:
+    """(reference, direction, envelope, module, contract, members, against): the ways in which a reference is used, where there are
+    several that contradict each other. One row a way: its least consumer stands for it, ``against`` names the other ways.
+    References have a handful of ways, so they are the only rows that meet; members are counted, never paired."""
+    ways = consumers(contracts).groupBy("reference", "direction", "envelope").agg(F.min(F.struct("module", "contract")).alias("first"), F.count("*").alias("members"))
+    way = F.concat_ws("/", "direction", "envelope")
+    every = F.array_sort(F.collect_list(way).over(W.partitionBy("reference")))
+    torn = ways.withColumn("way", way).withColumn("against", every).where(F.size("against") > 1)
+    return torn.select("reference", "direction", "envelope", "first.module", "first.contract", "members", F.array_remove("against", F.col("way")).alias("against"))
+
+
+def reference_members(contracts: DataFrame) -> DataFrame:
+    """(reference, module, contract, direction, envelope, first_module, first_contract): each consumer of a reference that is used in
+    contradicting ways, with the one that stands for its way. As many rows as consumers."""
+    first = reference_classes(contracts).select("reference", "direction", "envelope", F.col("module").alias("first_module"), F.col("contract").alias("first_contract"))
+    return consumers(contracts).join(first, ["reference", "direction", "envelope"])
+
+
+def conflicts(contracts: DataFrame) -> DataFrame:
+    """(module, conflict, detail): shared ids and contradicting references, one row an id and one a way of a reference."""
+    shared = shared_ids(contracts).where("module = selected").select("module", F.lit("contract id of several modules").alias("conflict"), F.concat("contract", F.lit(": "), F.col("publishers").cast("string"), F.lit(" modules")).alias("detail"))
+    ways = reference_classes(contracts)
+    told = F.concat("reference", F.lit(": "), F.concat_ws("/", "direction", "envelope"), F.lit(" by "), F.col("members").cast("string"), F.lit(" against "), F.array_join("against", ", "))
+    return shared.unionByName(ways.select("module", F.lit("contradicting contract references").alias("conflict"), told.alias("detail")))

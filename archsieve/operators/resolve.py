@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.functions import names, paths
+from archsieve.operators import entry_points
 
 #: What is tried after a specifier, in order.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.json")
@@ -15,9 +16,9 @@ ALIASES = {".js": (".ts", ".tsx", ".js", ".jsx"), ".jsx": (".tsx", ".jsx"), ".mj
 FIRST, THIRD, NONE = "first_party", "third_party", "unresolved"
 
 
-def candidates(stem):
-    """The array of paths that a stem may mean, in order."""
-    usual = F.array(*[F.concat(stem, F.lit(e)) for e in ENDINGS])
+def candidates(stem, literal: bool = False):
+    """The array of paths that a stem may mean, in order. literal: it names a file, of which only the extension may stand for another."""
+    usual = F.array(*[F.concat(stem, F.lit(e)) for e in (ENDINGS[:1] if literal else ENDINGS)])
     for written, real in ALIASES.items():
         cut = F.substr(stem, F.lit(1), F.length(stem) - len(written))
         usual = F.when(F.endswith(stem, F.lit(written)), F.array(*[F.concat(cut, F.lit(e)) for e in real])).otherwise(usual)
@@ -48,23 +49,35 @@ def alias_stems(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     return kept.select("directory", "specifier", F.struct("base", "place").alias("choice"), stem.alias("stem"))
 
 
-def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """requests (directory, specifier, ...) with kind, target and package. files: (path). packages: (package), those that are
-    installed; aliases: see ``alias_stems``. Each different pair of directory and specifier is resolved once."""
+    installed; aliases: see ``alias_stems``; entries: those of manifests (``entry_points.entries``). Each different pair of directory and
+    specifier is resolved once: relative paths and aliases first, then entry points of packages. A package with a manifest is third
+    party only if the manifest has the entry that is asked for, one below node_modules without any look at its files."""
     pairs = requests.select("directory", "specifier").distinct()
     s = F.col("specifier")
     stem = F.when(names.is_relative(s) | s.isin(".", ".."), paths.collapsed(F.concat_ws("/", "directory", "specifier"))).when(F.startswith(s, F.lit("/")), paths.collapsed(s))
     stems = pairs.select("directory", "specifier", F.struct(F.lit(False).alias("base"), F.lit(0).alias("place")).alias("choice"), stem.alias("stem")).where("stem is not null")
     if aliases is not None:
         stems = stems.unionByName(alias_stems(pairs, aliases))
-    tried = stems.select("directory", "specifier", "choice", F.posexplode(candidates(F.col("stem"))).alias("place", "path"))
+    tried = stems.select("directory", "specifier", F.struct(F.lit(0).alias("way"), F.lit(0).alias("first"), F.col("choice.base").cast("int").alias("base"), F.col("choice.place").alias("of")).alias("choice"), F.posexplode(candidates(F.col("stem"))).alias("place", "path"))
+    own = None
+    if entries is not None:
+        own = entry_points.stems(pairs, entries)
+        choice = F.struct(F.lit(1).alias("way"), F.col("place.first").alias("first"), F.lit(0).alias("base"), F.col("place.place").alias("of"))
+        meant = F.when(F.col("literal"), candidates(F.col("stem"), literal=True)).otherwise(candidates(F.col("stem")))
+        tried = tried.unionByName(own.where("stem is not null").select("directory", "specifier", choice.alias("choice"), F.posexplode(meant).alias("place", "path")))
     found = tried.join(files.select("path").distinct(), "path").groupBy("directory", "specifier").agg(F.min_by("path", F.struct("choice", "place")).alias("target"))
-    out = pairs.join(found, ["directory", "specifier"], "left").withColumn("package", F.when(names.is_bare(s), names.package(s)))
+    out = pairs.join(found, ["directory", "specifier"], "left").withColumn("package", F.when(names.is_bare(s) & ~F.startswith(s, F.lit("#")), names.package(s)))
     builtin = names.is_builtin(s) & names.is_bare(s)
     installed = F.lit(False)
     if packages is not None:
         out = out.join(packages.select("package", F.lit(True).alias("installed")).distinct(), "package", "left")
         installed = F.coalesce("installed", F.lit(False))
+    if own is not None:
+        told = own.groupBy("directory", "specifier").agg(F.bool_or(F.col("inside") & F.col("stem").isNotNull()).alias("entered"), F.max(F.when(F.startswith(s, F.lit("#")) & F.col("inside"), F.regexp_extract("root", "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1))).alias("other"))
+        out = out.join(told, ["directory", "specifier"], "left").withColumn("package", F.coalesce("package", "other"))
+        installed = F.coalesce("entered", installed)
     kind = F.when(F.startswith(s, F.lit("node:")) & builtin, THIRD).when(F.col("target").isNotNull(), FIRST).when(installed | builtin, THIRD).otherwise(NONE)
     return requests.join(out.select("directory", "specifier", kind.alias("kind"), "target", F.when(kind == THIRD, F.col("package")).alias("package")), ["directory", "specifier"], "left")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archsieve.functions import globs, hashing, paths
-from archsieve.operators import baselines, boundary, contracts, extract, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, validate, violations
+from archsieve.operators import baselines, boundary, contracts, entry_points, extract, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, validate, violations
 from archsieve.sources import project as sources
 
 PASS, VIOLATIONS, FAULT, MISMATCH = 0, 1, 2, 3
@@ -55,6 +55,13 @@ class Project:
         there = sources.aliases(found.where(~paths.skipped(F.col("path"), self.settings.include_dirs)), self.settings.tsconfig_filename)
         return there.persist()
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """Entry points of the tree's own packages and of those right below its node_modules."""
+        found = sources.texts(self.spark, self.root, "package.json")
+        at = F.regexp_replace("path", r"(^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$", "$1package.json")
+        return entry_points.entries(found.where(~paths.skipped(at, self.settings.include_dirs))).persist()
+
     @cached_property
     def listing(self) -> DataFrame:
         return sources.listing(self.spark, self.root)
@@ -91,7 +98,7 @@ class Project:
         """Each request with its directory, resolution and the module of its file."""
         wanted = extract.requests(self.rows, self.settings.jest_mock_mode == "enforce").withColumnRenamed("kind", "edge_kind").withColumn("directory", F.regexp_extract("from_file", "^(.*)/[^/]*$", 1))
         own = self.owned.select(F.col("path").alias("from_file"), F.col("module").alias("from_module"), F.col("is_test").alias("from_test"))
-        return resolve.resolve(wanted, self.files, self.installed, self.aliases).join(own, "from_file").persist()
+        return resolve.resolve(wanted, self.files, self.installed, self.aliases, self.entries).join(own, "from_file").persist()
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -222,7 +229,9 @@ class Project:
         return {"unclaimed": ownership.unclaimed(self.files, claimed), "overlaps": ownership.overlaps(self.files, claimed), "orphans": ownership.orphans(self.files, claimed), "repeated": ownership.repeated_modules(self.specs), "contradictions": ownership.contradictions(claimed, self.files)}
 
     def governance(self) -> DataFrame:
-        return ownership.governance_conflicts(self.boundaries)
+        """(module, conflict, detail): specs that contradict themselves or, by their contracts, each other."""
+        agreed = self.boundaries.select("module", F.explode("contracts").alias("c")).select("module", "c.id", "c.direction", "c.envelope", "c.imports_contract")
+        return ownership.governance_conflicts(self.boundaries).unionByName(contracts.conflicts(agreed))
 
     def dangling_imports(self) -> DataFrame:
         """(module, id): import ids that stand for nothing in their module's public interface."""
@@ -241,7 +250,7 @@ class Project:
         """One row: how we and another tool's trace resolve one import of a file, whether that matches, and if not, in which way."""
         edges, records = sources.trace_records(self.spark, trace)
         asked = self.spark.createDataFrame([(from_file, specifier)], "from_file string, specifier string").withColumn("directory", paths.directory(F.col("from_file")))
-        ours = resolve.resolve(asked, self.files, self.installed, self.aliases).select("from_file", "specifier", F.col("kind").alias("ours_kind"), F.when(F.col("kind") == resolve.FIRST, F.col("target")).alias("ours_to"))
+        ours = resolve.resolve(asked, self.files, self.installed, self.aliases, self.entries).select("from_file", "specifier", F.col("kind").alias("ours_kind"), F.when(F.col("kind") == resolve.FIRST, F.col("target")).alias("ours_to"))
         both = parity.theirs(ours, edges, records)
         pair = [F.col("from_file") == F.col("_a"), F.col("ours_to") == F.col("_b")]
         mark = lambda df, a, b, name: df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(True).alias(name)).distinct()

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.functions import dates, globs, hashing, names, paths
-from archsieve.operators import baselines, boundary, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, violations
+from archsieve.operators import baselines, boundary, contracts, entry_points, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, violations
 from archsieve.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,6 +496,42 @@ def contract_refs(spark, sf_dir):
     return ownership.dangling_contracts(refs, registry)
 
 
+VIEWS["agreed"] = """SELECT DISTINCT from_module AS module, from_file || ':' || line AS id, CASE l_partkey % 7 WHEN 0 THEN 'inbound' WHEN 1 THEN 'Outbound' ELSE 'bidirectional' END AS direction, CASE WHEN l_partkey % 5 = 0 THEN 'required' ELSE 'optional' END AS envelope,
+    to_module || ':' || CASE WHEN to_file LIKE '%7.ts' THEN 'common' ELSE to_file END AS reference FROM edges"""
+NEEDS["agreed"] = ["edges"]
+VIEWS["ways"] = "SELECT *, count(*) OVER (PARTITION BY reference) AS n FROM (SELECT reference, lower(direction) AS direction, envelope, min((module, id)) AS first, count(*) AS members FROM agreed GROUP BY ALL)"
+NEEDS["ways"] = ["agreed"]
+
+
+def agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts of importers, each with one reference to a file that it imports; some files of a module share one id."""
+    k = F.col("l_partkey")
+    to = F.concat("to_module", F.lit(":"), F.when(F.endswith("to_file", F.lit("7.ts")), "common").otherwise(F.col("to_file")))
+    return tables.edges(spark, sf_dir, "l_partkey").select(
+        F.col("from_module").alias("module"), F.concat("from_file", F.lit(":"), F.col("line").cast("string")).alias("id"), F.when(k % 7 == 0, "inbound").when(k % 7 == 1, "Outbound").otherwise("bidirectional").alias("direction"),
+        F.when(k % 5 == 0, "required").otherwise("optional").alias("envelope"), F.array(to).alias("imports_contract"),
+    )
+
+
+@query(
+    """SELECT w.reference, w.direction, w.envelope, w.first[1] AS module, w.first[2] AS contract, w.members, string_agg(o.direction || '/' || o.envelope, ',' ORDER BY o.direction || '/' || o.envelope) AS against
+    FROM ways w JOIN ways o ON o.reference = w.reference AND (o.direction, o.envelope) <> (w.direction, w.envelope) GROUP BY ALL""",
+    "ways",
+)
+def contract_conflicts(spark, sf_dir):
+    return contracts.reference_classes(agreed(spark, sf_dir)).withColumn("against", F.array_join("against", ","))
+
+
+@query("SELECT a.reference, a.module, a.id AS contract, w.direction, w.envelope, w.first[1] AS first_module, w.first[2] AS first_contract FROM agreed a JOIN ways w ON w.reference = a.reference AND w.direction = lower(a.direction) AND w.envelope = a.envelope WHERE w.n > 1", "ways")
+def contract_consumers(spark, sf_dir):
+    return contracts.reference_members(agreed(spark, sf_dir))
+
+
+@query("SELECT contract, module, min(module) OVER (PARTITION BY contract) AS selected, publishers FROM (SELECT DISTINCT contract, module, count(DISTINCT module) OVER (PARTITION BY contract) AS publishers FROM (SELECT from_module AS module, 'c' || l_partkey AS contract FROM edges)) WHERE publishers > 1", "edges")
+def contract_ids(spark, sf_dir):
+    return contracts.shared_ids(tables.edges(spark, sf_dir, "l_partkey").select(F.col("from_module").alias("module"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("id")))
+
+
 # Extraction, resolution, traces ----------------------------------------------------------------------------------
 
 
@@ -556,6 +593,32 @@ def ignore_asof(spark, sf_dir):
     return e.withColumn("directive", before).where("event_type = 'error' and directive >= event_id - 500").select("event_id", "directive")
 
 
+PACKAGES = {
+    0: '{"name": "s%", "exports": {".": {"browser": "./b.ts", "import": {"deno": "./x.ts", "node": "./in.ts"}, "default": "./d.ts"}, "./f/*": ["./src/*.ts"], "./f/x/*": null, "./f/x/7": "./seven.ts"}, "imports": {"#m/*": "./src/*.ts"}}',
+    1: '{"name": "s%", "exports": "./only.ts"}', 2: '{"name": "s%", "main": "lib/m"}', 3: '{"name": "s%", "module": "./esm/i.js", "main": "lib/m"}',
+}
+
+
+@query(
+    """SELECT DISTINCT 'src/' || from_module AS directory, 's' || s || CASE line WHEN 1 THEN '' WHEN 2 THEN '/f/' || i WHEN 3 THEN '/f/x/' || i WHEN 4 THEN '/lib/m' ELSE '/none' END AS specifier, CASE WHEN t IS NULL THEN 'unresolved' ELSE 'first_party' END AS kind, 'pkg/s' || s || '/' || t AS target FROM (
+    SELECT *, CASE WHEN s % 4 = 0 AND line = 1 THEN 'in.ts' WHEN s % 4 = 0 AND line = 2 AND (s + i) % 3 > 0 THEN 'src/' || i || '.ts' WHEN s % 4 = 0 AND line = 3 AND i = 7 THEN 'seven.ts' WHEN s % 4 = 1 AND line = 1 THEN 'only.ts'
+    WHEN s % 4 = 3 AND line = 1 THEN 'esm/i.ts' WHEN s % 4 > 1 AND line IN (1, 4) THEN 'lib/m.ts' END AS t FROM (SELECT from_module, least(line, 5) AS line, regexp_extract(to_file, '([0-9]+)[.]ts$', 1)::BIGINT AS s, l_partkey % 10 AS i FROM edges))""",
+    "edges",
+)
+def entry_points_of(spark, sf_dir):
+    """Imports of suppliers as packages, each with the entry points of its kind."""
+    k = F.col("s_suppkey")
+    text = functools.reduce(lambda c, n: c.when(k % 4 == n, F.lit(PACKAGES[n])), PACKAGES, F.when(F.lit(False), F.lit("")))
+    suppliers = tables.table(spark, sf_dir, "supplier").select(k.alias("s"), F.concat(F.lit("pkg/s"), k.cast("string"), F.lit("/")).alias("at"), F.replace(text, F.lit("%"), k.cast("string")).alias("content"))
+    there = F.concat(F.array(*map(F.lit, ("in.ts", "only.ts", "lib/m.ts", "esm/i.ts", "seven.ts"))), F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("s") + i) % 3 > 0), lambda i: F.concat(F.lit("src/"), i.cast("string"), F.lit(".ts"))))
+    files = suppliers.select("at", F.explode(there).alias("file")).select(F.concat("at", "file").alias("path"))
+    table = entry_points.entries(suppliers.select(F.concat("at", F.lit("package.json")).alias("path"), "content"))
+    line, i = F.col("line"), (F.col("l_partkey") % 10).cast("string")
+    rest = F.when(line == 1, "").when(line == 2, F.concat(F.lit("/f/"), i)).when(line == 3, F.concat(F.lit("/f/x/"), i)).when(line == 4, "/lib/m").otherwise("/none")
+    asked = tables.edges(spark, sf_dir, "l_partkey").select(F.concat(F.lit("src/"), "from_module").alias("directory"), F.concat(F.lit("s"), F.regexp_extract("to_file", r"([0-9]+)\.ts$", 1), rest).alias("specifier")).distinct()
+    return resolve.resolve(asked, files, entries=table).select("directory", "specifier", "kind", "target")
+
+
 # Scalars ---------------------------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archsieve.functions import globs, paths
+from archsieve.operators.graphs import checkpointed
 
 TEXTS = "array<string>"
 CONTRACT = "struct<id:string,contract:string,match:struct<files:array<string>,pattern:string>,direction:string,envelope:string,imports_contract:array<string>>"
@@ -191,46 +192,87 @@ def installed(spark: SparkSession, root: str) -> DataFrame:
     return texts(spark, root, "*").select(name.alias("package")).where("package <> ''").distinct()
 
 
-COMPILER = "extends string, base_url string, paths string"
+COMPILER = "extends string, base_url string, paths string, refers array<string>"
 #: How long a chain of configurations that extend each other may be; a longer one, or a ring, is an error.
 LONGEST_CHAIN = 32
 
 
-def compiler_options(text: str) -> tuple[str | None, str | None, str | None]:
-    """(extends, baseUrl, paths as JSON pairs) of a compiler configuration: JSON with comments and trailing commas."""
+def compiler_options(text: str) -> tuple[str | None, str | None, str | None, list[str]]:
+    """(extends, baseUrl, paths as JSON pairs, paths of references) of a compiler configuration: JSON with comments and trailing commas."""
     token = r'("(?:\\.|[^"\\])*")'
     bare = re.sub(token + r"|//[^\n]*|/\*.*?\*/", lambda m: m[1] or "", text.removeprefix("\ufeff"), flags=re.S)
     raw = json.loads(re.sub(token + r"|,(?=\s*[}\]])", lambda m: m[1] or "", bare) or "{}")
     options = raw.get("compilerOptions") or {}
     mapped = options.get("paths")
     extends = raw.get("extends")
-    return extends if isinstance(extends, str) else None, options.get("baseUrl"), None if mapped is None else json.dumps(sorted(mapped.items()))
+    refers = [r["path"] for r in raw.get("references") or [] if isinstance(r, dict) and isinstance(r.get("path"), str)]
+    return extends if isinstance(extends, str) else None, options.get("baseUrl"), None if mapped is None else json.dumps(sorted(mapped.items())), refers
 
 
-def aliases(files: DataFrame, name: str = "tsconfig.json") -> DataFrame:
-    """Aliases of specifiers as ``resolve.alias_stems`` takes them, of compiler configurations (path, content). A configuration
-    that says nothing of paths or of its base has what the one it extends says, relative to where that stands; packages that are
-    extended are left out. Those of the given name count for the directories below them; the rest is there to be extended.
-    One that cannot be read raises."""
+def compiler_configs(files: DataFrame) -> DataFrame:
+    """(path, next, base, paths, paths_at, refers) of compiler configurations (path, content): what each says itself; next: the one that
+    it extends, refers: those that it refers to, as written. Packages that are extended are left out. One that cannot be read raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [compiler_options(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=["path", "extends", "base_url", "paths"])
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["path", "extends", "base_url", "paths", "refers"])
 
     here = paths.directory(F.col("path"))
     parsed = files.select("path", "content").mapInArrow(run, f"path string, {COMPILER}")
     up = F.when(F.col("extends").rlike(r"^\.{1,2}/"), paths.collapsed(F.concat_ws("/", here, F.when(F.endswith("extends", F.lit(".json")), F.col("extends")).otherwise(F.concat("extends", F.lit(".json"))))))
-    own = parsed.select("path", up.alias("next"), F.when(F.col("base_url").isNotNull(), paths.collapsed(F.concat_ws("/", here, "base_url"))).alias("base"), "paths", F.when(F.col("paths").isNotNull(), here).alias("paths_at")).persist()
+    return parsed.select("path", up.alias("next"), F.when(F.col("base_url").isNotNull(), paths.collapsed(F.concat_ws("/", here, "base_url"))).alias("base"), "paths", F.when(F.col("paths").isNotNull(), here).alias("paths_at"), "refers")
+
+
+def references(configs: DataFrame, name: str = "tsconfig.json") -> tuple[DataFrame, DataFrame]:
+    """(path, refers_to, depth, place): all configurations that each one refers to, directly or through others, nearest first, in the order
+    of the lists; and (path, refers_to, error): references to nothing, and configurations that refer to themselves in a ring.
+    configs: as ``compiler_configs`` gives them. A reference names a file, or a directory whose configuration has the given name. A
+    round reaches one step further and keeps each pair once, at its least depth, so rings end; nothing is limited."""
+    at = paths.collapsed(F.concat_ws("/", paths.directory(F.col("path")), F.col("written")))
+    file = F.when(F.endswith("written", F.lit(".json")), at).when(at == "", F.lit(name)).otherwise(F.concat(at, F.lit(f"/{name}")))
+    written = configs.select("path", F.posexplode("refers").alias("place", "written")).select("path", file.alias("refers_to"), "place")
+    there = configs.select(F.col("path").alias("refers_to"))
+    lost = written.join(there, "refers_to", "left_anti").select("path", "refers_to", F.lit("there is no such configuration").alias("error"))
+    step = written.join(there, "refers_to", "left_semi").groupBy("path", "refers_to").agg(F.min("place").alias("place"))
+    reached = checkpointed(step.select("path", "refers_to", F.lit(1).alias("depth"), F.array("place").alias("place")))
+    edge, last, depth = step.select(F.col("path").alias("refers_to"), F.col("refers_to").alias("_next"), F.col("place").alias("_place")), reached, 1
+    while not last.isEmpty():
+        depth += 1
+        more = last.join(edge, "refers_to").groupBy("path", F.col("_next").alias("refers_to")).agg(F.min(F.concat("place", F.array("_place"))).alias("place"))
+        last = checkpointed(more.join(reached, ["path", "refers_to"], "left_anti").select("path", "refers_to", F.lit(depth).alias("depth"), "place"))
+        reached = checkpointed(reached.unionByName(last))
+    rings = reached.where("path = refers_to").select("path", "refers_to", F.lit("it refers to itself in a ring").alias("error"))
+    return reached.where("path <> refers_to"), lost.unionByName(rings)
+
+
+def aliases(files: DataFrame, name: str = "tsconfig.json") -> DataFrame:
+    """Aliases of specifiers as ``resolve.alias_stems`` takes them, of compiler configurations (path, content). A configuration
+    that says nothing of paths or of its base has what the one it extends says, relative to where that stands. Those of the given
+    name count for the directories below them. One that such a configuration refers to counts, by any name, below where it lies:
+    the nearest first, and before the one that refers to it. The rest is there to be extended."""
+    own = compiler_configs(files).persist()
     above = own.select(F.col("path").alias("next"), F.col("next").alias("_next"), F.col("base").alias("_base"), F.col("paths").alias("_paths"), F.col("paths_at").alias("_at"))
-    whole, rounds = own, 0
+    whole, rounds = own.drop("refers"), 0
     while not whole.where("next is not null").isEmpty():
         rounds += 1
         if rounds > LONGEST_CHAIN:
             raise ValueError("compiler configurations extend each other in a ring")
         joined = whole.join(above, "next", "left")
         whole = joined.select("path", F.col("_next").alias("next"), F.coalesce("base", "_base").alias("base"), F.coalesce("paths", "_paths").alias("paths"), F.coalesce("paths_at", "_at").alias("paths_at"))
-    whole = whole.where(F.regexp_extract("path", "([^/]*)$", 1) == name)
+    named = F.regexp_extract("path", "([^/]*)$", 1) == name
+    if own.where(F.size("refers") > 0).isEmpty():
+        chosen = whole.where(named)
+    else:  # of the configurations that count in one directory the first stands for it
+        reached, _ = references(own, name)
+        by_other = reached.where(named).groupBy("refers_to").agg(F.min(F.struct("depth", "place", "path")).alias("rank")).select(F.col("refers_to").alias("path"), "rank")
+        counted = whole.join(by_other, "path", "left").where(named | F.col("rank").isNotNull())
+        says = F.col("base").isNotNull() | F.col("paths").isNotNull()
+        first = F.struct((~says).alias("silent"), F.col("rank").isNull().alias("own"), "rank", "path")
+        best = counted.groupBy(paths.directory(F.col("path"))).agg(F.min(first).alias("best")).select(F.col("best.path").alias("path"))
+        chosen = whole.join(best, "path", "left_semi")
+    whole = chosen
     scope = paths.directory(F.col("path")).alias("scope")
     listed = whole.where("paths is not null").select(scope, F.coalesce("base", "paths_at").alias("top"), F.explode(F.from_json("paths", "array<array<string>>")).alias("entry"))
     pairs = listed.select("scope", "top", F.col("entry")[0].alias("pattern"), F.posexplode(F.from_json(F.col("entry")[1], TEXTS)).alias("place", "target"))
@@ -307,9 +349,9 @@ def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str | None, .
         here, depth = stack.pop()
         seen += 1
         if seen > MOST_NODES:
-            raise TraceError(f"trace JSON exceeds maximum traversed nodes ({MOST_NODES})")
+            raise TraceError(f"the trace has more than {MOST_NODES} values")
         if depth > DEEPEST:
-            raise TraceError(f"trace JSON exceeds maximum supported nesting depth ({DEEPEST})")
+            raise TraceError(f"the trace is nested more than {DEEPEST} levels deep")
         if isinstance(here, dict):
             text = lambda *names: next((here[n] for n in names if isinstance(here.get(n), str)), None)  # noqa: E731, B023
             a, b, spec = text("from", "source", "importer"), text("to", "target"), text("import_specifier", "import", "specifier")

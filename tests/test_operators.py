@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from archsieve.operators import baselines, graphs, layering, ownership, resolve, snapshots, violations
+from archsieve.operators import baselines, contracts, graphs, layering, ownership, resolve, snapshots, violations
 
 DAY = "2024-01-10"
 CASES = [  # field, type, before, after, classes
@@ -129,3 +129,24 @@ def test_contradictions_and_conflicts(spark):
     got = {(r.module_a, r.module_b, r.kind) for r in ownership.contradictions(owners, files).collect()}
     assert got == {("a", "b", "equal"), ("a", "c", "shared file"), ("b", "c", "shared file")}
     assert [r.path for r in ownership.unclaimed(files, owners).collect()] == ["src/y.ts"] and [r.module for r in ownership.orphans(files, owners).collect()] == ["d"]
+
+
+def test_contract_conflicts(spark):
+    schema = "module string, id string, direction string, envelope string, imports_contract array<string>"
+    body = [("a", "1", "inbound", "required", ["p:x", "p:y"]), ("b", "1", "Inbound", "required", ["p:x"]), ("c", "2", "inbound", "optional", ["p:x"]), ("c", "2", "inbound", "optional", ["p:x"]), ("d", "", None, "optional", ["p:z", "p:y"]), ("e", "2", "inbound", "required", None)]
+    rows = spark.createDataFrame(body, schema)
+    got = {(r.reference, r.direction, r.envelope): (r.module, r.contract, r.members, r.against) for r in contracts.reference_classes(rows).collect()}
+    assert got == {
+        ("p:x", "inbound", "required"): ("a", "1", 2, ["inbound/optional"]), ("p:x", "inbound", "optional"): ("c", "2", 1, ["inbound/required"]), ("p:y", "inbound", "required"): ("a", "1", 1, ["/optional"]),
+        ("p:y", "", "optional"): ("d", "", 1, ["inbound/required"]),
+    }
+    assert sorted((r.reference, r.module, r.first_module) for r in contracts.reference_members(rows).collect()) == [("p:x", "a", "a"), ("p:x", "b", "a"), ("p:x", "c", "c"), ("p:y", "a", "a"), ("p:y", "d", "d")]
+    assert sorted(tuple(r) for r in contracts.shared_ids(rows).collect()) == [("1", "a", "a", 2), ("1", "b", "a", 2), ("2", "c", "c", 2), ("2", "e", "c", 2)]
+    assert contracts.conflicts(rows).count() == 2 + 4 and contracts.conflicts(rows.where("false")).count() == 0
+
+
+def test_contract_conflicts_of_a_star(spark):
+    """Many consumers of one contract: as many rows as consumers."""
+    k = F.col("id")
+    star = spark.range(100_000).select(F.concat(F.lit("m"), k.cast("string")).alias("module"), F.lit("c").alias("id"), F.when(k % 2 == 0, "inbound").otherwise("outbound").alias("direction"), F.when(k % 3 == 0, "required").otherwise("optional").alias("envelope"), F.array(F.lit("p:x")).alias("imports_contract"))
+    assert contracts.reference_classes(star).count() == 4 and contracts.reference_members(star).count() == 100_000
