@@ -81,6 +81,18 @@ def tidy(run):
     return mapped
 
 
+@contextlib.contextmanager
+def batches_up_to(spark: SparkSession, size: int):
+    """Jobs started inside send batches of so many bytes, or one row, to Python; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text", rows: int = 256):
     """Small slices of a batch with their texts (null: empty), so that no task holds many words at once."""
     for start in range(0, batch.num_rows, rows):

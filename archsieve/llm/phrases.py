@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from archsieve.llm.common import stored, tidy
+from archsieve.llm.common import batches_up_to, stored, tidy
 
 #: Signs that end a piece; words are what stands between them and spaces or tabs.
 BREAKS = ".,;:!?\n\v\f\r"
@@ -34,6 +34,8 @@ TOKENS = re.compile("[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 PLACES = 28
 #: Words of a slice; a task holds the numbers of one slice.
 SLICE = 500_000
+#: Bytes of texts or slices that go to Python in a batch.
+BATCH_BYTES = 8 << 20
 #: Phrases that go from Python to Spark in a batch.
 ROWS = 100_000
 NUMBER = np.dtype("<i4")
@@ -167,7 +169,13 @@ def bitmap(phrases: DataFrame, k: int, map_bits: int = PLACES) -> bytes:
 
 
 def levels(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, n) and (lang, k, phrase, f): the numbers of all words, and the phrases of 1 to ``words`` words that occur ``least`` times."""
+    """(lang, n) and (lang, k, phrase, f): the numbers of all words, and the phrases of 1 to ``words`` words that occur ``least`` times.
+    Tables are stored in here, with batches of a few slices."""
+    with batches_up_to(docs.sparkSession, BATCH_BYTES):
+        return passes(docs, least, words, slice_words, map_bits)
+
+
+def passes(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
     context = docs.sparkSession.sparkContext
     slices = stored(sliced(docs, slice_words), "phrase-slices")
     first = stored(counted(slices, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
