@@ -41,6 +41,8 @@ HOT = 2_000
 BLOCK = 16
 #: Bytes of a text that are searched at a time, and anchors that are sorted at a time.
 PIECE, SORTED = 1 << 20, 2_048
+#: Bits of a gram's place beside its hash: more than any value of a column has bytes. Grams that agree in the other bits go by place.
+PLACE_BITS = 33
 
 BASE = 0x9E3779B97F4A7C15
 SIGN = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)  # what each byte counts in a hash
@@ -105,7 +107,8 @@ def anchors_of(bodies: list[bytes], length: int, gram: int = GRAM) -> tuple[np.n
     q = prefixes(raw)
     _, down = POWERS.upto(len(raw) + 1)
     h = mixed((q[gram:] - q[:-gram]) * down[: len(raw) - gram + 1])
-    place_bits = np.uint64(len(raw).bit_length())
+    # as many bits for every batch: a string's anchor must not depend on what it came with
+    place_bits = np.uint64(PLACE_BITS)
     keys = (h >> place_bits << place_bits) | np.arange(len(h), dtype=np.uint64)
     least = sliding_least(keys, length - gram + 1)
     ends = np.repeat(np.cumsum(sizes), sizes)
