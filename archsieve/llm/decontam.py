@@ -9,11 +9,13 @@ occurs there is a hit.
 
 Items and texts are folded alike: only A-Z is lowered, so letters beyond it are found as they are written. Null texts have no words. Null and empty items have no windows. Repeated items count once by their id,
 items without an id mark words but are not listed. Repeated rows give repeated results. Benchmark tables of any
-size work: they are broadcast only up to a checked number of terms, and joined by shuffles beyond it.
+size work: each is broadcast only up to a checked number of bytes, and joined by shuffles beyond it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,8 +25,8 @@ from archsieve.llm.common import keyed, stored
 WINDOW = 13
 #: What is no word character.
 GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Benchmark terms up to which their table is broadcast (some tens of MB).
-BROADCAST_TERMS = 500_000
+#: Bytes of a table of the benchmark up to which it is broadcast; its rows count with ROW_BYTES each beside their texts.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The term of one posting that every document has; it carries the number of words.
 DOCUMENT = ""
@@ -53,44 +55,45 @@ def windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id"
     return items.select("item", "item_id", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("first"))
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """A hint to broadcast a table of the benchmark's terms, if it is small by count."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def sized(df: DataFrame, *texts: Column) -> DataFrame:
+    """A hint to broadcast a stored table of the benchmark, if it is small by its bytes. texts: its columns of unbounded size."""
+    size = F.lit(ROW_BYTES).cast("long") + functools.reduce(Column.__add__, [F.coalesce(t.cast("long"), F.lit(0)) for t in texts], F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def anchors(docs: DataFrame, found: DataFrame, rare: int = 2, text: str = "text") -> tuple[DataFrame, int]:
-    """(item, term, place): the places in each item of the rarest words of its windows; and their number.
+def anchors(docs: DataFrame, found: DataFrame, rare: int = 2, text: str = "text") -> DataFrame:
+    """(item, term, place): the places in each item of the rarest words of its windows.
     Windows with a word that the corpus lacks have none."""
     items = found.select("item", "words").distinct()
     places = items.select("item", F.posexplode("words").alias("place", "word")).select("item", "place", F.col("word").alias("term"))
     terms = stored(places.select("term").distinct(), "test-terms")
-    counted = docs.select(F.explode(pieces(folded(F.col(text)))).alias("term")).join(sized(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode(pieces(folded(F.col(text)))).alias("term")).join(sized(terms, F.octet_length("term")), "term").groupBy("term").agg(F.count("*").alias("n"))
     weighed = places.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     inside = found.select("item", "first", "size").join(weighed, "item").where("place >= first and place < first + size")
     ranked = inside.withColumn("least", F.min("n").over(W.partitionBy("item", "first"))).where("least > 0").withColumn("rank", F.row_number().over(W.partitionBy("item", "first").orderBy("n", "term", "place")))
-    out = stored(ranked.where(F.col("rank") <= rare).select("item", "term", "place").distinct(), "test-anchors")
-    return out, out.count()
+    return stored(ranked.where(F.col("rank") <= rare).select("item", "term", "place").distinct(), "test-anchors")
 
 
-def index(docs: DataFrame, terms: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored postings (term, doc_id, _k, _c, n_words, position) of the terms, and one DOCUMENT posting a document."""
     words = pieces(folded(docs[text]))
     base = docs.select(docs[doc_id].alias("doc_id"), *keyed(docs, doc_id, text), words.alias("words")).select("doc_id", "_k", "_c", n_words(F.col("words")).alias("n_words"), "words")
     # the sign is appended after all words, so it never moves a position
     postings = base.select("doc_id", "_k", "_c", "n_words", F.posexplode(F.concat("words", F.array(F.lit("\x00")))).alias("position", "term"))
-    wanted = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit("\x00")))
-    kept = postings.join(sized(wanted, rows), "term").withColumn("term", F.when(F.col("term") == "\x00", DOCUMENT).otherwise(F.col("term")))
+    wanted = stored(terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit("\x00"))), "anchor-terms")
+    kept = postings.join(sized(wanted, F.octet_length("term")), "term").withColumn("term", F.when(F.col("term") == "\x00", DOCUMENT).otherwise(F.col("term")))
     return stored(kept, "postings")
 
 
-def phrase_matches(docs: DataFrame, postings: DataFrame, found: DataFrame, places: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def phrase_matches(docs: DataFrame, postings: DataFrame, found: DataFrame, places: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k, _c, item, item_id, start, size): every occurrence of every window, start in words of ``pieces``."""
-    least = F.min("size").over(W.partitionBy("item"))
-    items = found.select("item", "item_id", "words", "size", least.alias("least")).drop("least").distinct()
-    at = postings.where(F.col("term") != DOCUMENT).join(sized(places, rows), "term").select("doc_id", "_k", "_c", "item", "place", (F.col("position") - F.col("place")).alias("shift"))
+    # items that the corpus can hold, by their anchors: the words of all others stay where they are
+    items = found.select("item", "item_id", "words", "size").distinct()
+    items = stored(items.join(places.select("item").distinct(), "item", "left_semi"), "test-items")
+    at = postings.where(F.col("term") != DOCUMENT).join(sized(places, F.octet_length("term")), "term").select("doc_id", "_k", "_c", "item", "place", (F.col("position") - F.col("place")).alias("shift"))
     # a true occurrence holds both rare words of its window (one, if the window is one word)
     aligned = at.groupBy("doc_id", "_k", "_c", "item", "shift").agg(F.count_distinct("place").alias("agree"))
-    aligned = aligned.join(sized(items.select("item", "size", F.size("words").alias("long")), rows), "item").where(F.col("agree") >= F.least(F.lit(2), F.col("size")))
+    aligned = aligned.join(sized(items.select("item", "size", F.size("words").alias("long"))), "item").where(F.col("agree") >= F.least(F.lit(2), F.col("size")))
     candidates = aligned.groupBy("_k", "_c").agg(F.collect_list(F.struct("item", "shift", "long")).alias("alignments"))
     words = pieces(folded(F.col("text")))
     bodies = docs.select(docs[doc_id].alias("doc_id"), *keyed(docs, doc_id, text), docs[text].alias("text"))
@@ -98,7 +101,8 @@ def phrase_matches(docs: DataFrame, postings: DataFrame, found: DataFrame, place
     # only the stretch beside the item travels on, never the text
     beside = F.transform("alignments", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.greatest(x["shift"], F.lit(0)).alias("begin"), F.slice("body", F.greatest(x["shift"], F.lit(0)) + 1, x["long"]).alias("body")))
     pairs = near.select("doc_id", "_k", "_c", F.explode(beside).alias("x")).select("doc_id", "_k", "_c", "x.*")
-    stretch = pairs.join(sized(items, rows), "item").select("doc_id", "_k", "_c", "item", "item_id", "words", "size", "shift", "begin", "body")
+    words_bytes = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8)
+    stretch = pairs.join(sized(items, words_bytes), "item").select("doc_id", "_k", "_c", "item", "item_id", "words", "size", "shift", "begin", "body")
     offset = F.col("begin") - F.col("shift")  # words of the item before the text's first
     starts = F.filter(
         F.sequence(F.lit(0), F.size("words") - F.col("size")),
@@ -121,9 +125,9 @@ def proximity_matches(postings: DataFrame, places: DataFrame, slop: int) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k, _c, n_words, n_hit, items, contaminated) of every row."""
     found = stored(windows(benchmark, window), "test-windows")
-    places, rows = anchors(docs, found, text=text)
-    postings = index(docs, places, rows, doc_id, text)
-    hits = stored(phrase_matches(docs, postings, found, places, rows, doc_id, text), "phrase-matches")
+    places = anchors(docs, found, text=text)
+    postings = index(docs, places, doc_id, text)
+    hits = stored(phrase_matches(docs, postings, found, places, doc_id, text), "phrase-matches")
     # words covered by windows: each window adds what lies beyond all earlier ones
     by = W.partitionBy("_k", "_c").orderBy("start", "size")
     reach = F.max(F.col("start") + F.col("size")).over(by.rowsBetween(W.unboundedPreceding, -1))

@@ -142,11 +142,26 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x y beta z"), (2, "beta q alpha"), (3, "alpha " + "f " * 50 + "beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     found = decontam.windows(items)
-    places, n = decontam.anchors(docs, found)
-    near = decontam.proximity_matches(decontam.index(docs, places, n), places, 5)
+    places = decontam.anchors(docs, found)
+    near = decontam.proximity_matches(decontam.index(docs, places), places, 5)
     assert sorted(r.doc_id for r in near.collect()) == [1, 2]
 
 
+def test_decontamination_by_shuffles_and_with_absent_words(spark, odd, benchmark, monkeypatch):
+    """Without broadcasts the result is the same; items whose words the corpus lacks are left out before anything is sent around."""
+    keyed = lambda df: multiset(tuple(r) for r in df.drop("_k", "_c").collect())
+    want = keyed(decontam.decontaminate(odd, benchmark))
+    sent = []
+    sized = decontam.sized
+    monkeypatch.setattr(decontam, "sized", lambda df, *texts: sent.append(df) or sized(df, *texts))
+    absent = spark.createDataFrame([(100 + i, f"absent{i} " * 5000) for i in range(20)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    assert keyed(decontam.decontaminate(odd, benchmark.union(absent))) == want
+    items = next(df for df in sent if "words" in df.columns)
+    assert items.where("item_id >= 100").count() == 0 and items.count() > 3
+    assert "BroadcastHashJoin" not in sized(sent[0])._jdf.queryExecution().toString()
+
+
 def test_rule_statistics(odd, none, rows):
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.failed) for r in rules.statistics(odd).withColumn("failed", rules.base_failed()).collect()]
     assert multiset(got) == multiset((i, *brute.op5(t)) for i, t, *_ in rows)
@@ -312,6 +327,19 @@ def test_suffix_sort_and_collisions():
     assert [(group[i], bodies[i]) for i in order] == [(group[i], bodies[i]) for i in plain] and (extension == other).all()
 
 
+def test_anchors_do_not_depend_on_the_batch(monkeypatch):
+    """With a few bits of hash left, near ties are everywhere; a text has its own anchors all the same."""
+    monkeypatch.setattr(suffix, "PLACE_BITS", 58)
+    rng = np.random.default_rng(8)
+    bodies = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (400, 900, 3000)]
+    long = bytes(rng.integers(97, 123, 300_000, dtype=np.uint8))
+    together = suffix.anchors_of([long, *bodies], 400)
+    for i, body in enumerate(bodies):
+        alone = suffix.anchors_of([body], 400)
+        here = together[0] == i + 1
+        assert all((a == b[here]).all() for a, b in zip(alone[1:], together[1:]))
+
+
 def test_near_duplicates(odd, none, rows):
     got = hyperminhash.deduplicate(odd, size=2).where("doc_id is not null").distinct().collect()
     body = {i: t for i, t, *_ in rows if i is not None}
