@@ -93,22 +93,53 @@ def faults(patterns) -> list[str]:
     return out
 
 
+#: What a glob is made of: an escaped sign, a run of stars, a closed class, any other sign.
+TOKEN = r"\\[\s\S]|\*+|\[[!^]?[\s\S][^\]]*\]|[\s\S]"
+
+
 def glob_column(pattern: Column, separate: bool = False) -> Column:
-    """The regular expression of a glob column. Braces (one inside another at most) and classes are read if they are closed, else taken as text."""
-    one, many = ("[^/]", "[^/]*") if separate else (".", ".*")
-    x = F.regexp_replace(pattern, r"([.^$+()|\\])", r"\\$1")
-    # classes: an open one is text, ! negates, and none matches a separator
-    x = F.regexp_replace(F.regexp_replace(x, r"\[(?![^\]]+\])", r"\\["), r"\[(?:!|\\\^)(?=[^\]]+\])", "[^")
-    x = F.regexp_replace(x, r"(?<!\\)\[(?=[^\]]+\])", "(?!/)[") if separate else x
-    count = lambda sign: F.length(pattern) - F.length(F.replace(pattern, F.lit(sign), F.lit("")))
-    alternatives = F.regexp_replace(x, r",(?=(?:[^{}]|\{[^{}]*\})*\})", "|")
-    alternatives = F.replace(F.replace(alternatives, F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")"))
-    x = F.when(count("{") == count("}"), alternatives).otherwise(F.regexp_replace(x, r"([{}])", r"\\$1"))
-    marked = F.replace(F.regexp_replace(x, r"(^|/)\*\*/", "$1\x01"), F.lit("**"), F.lit("\x02"))
-    stars = F.replace(marked, F.lit("*"), F.lit(many))
-    stars = F.replace(F.regexp_replace(stars, r"(?<!\()\?", "\x03"), F.lit("\x03"), F.lit(one))
-    whole = F.replace(F.replace(stars, F.lit("\x01"), F.lit("(.*/){0,1}")), F.lit("\x02"), F.lit(".*"))
-    return F.concat(F.lit("^"), whole, F.lit("$"))
+    """The regular expression of a glob column. Braces of any depth, classes and escaped signs are read if they are closed, else taken as text."""
+    return F.when(pattern.rlike(r"[\[\]{}\\]"), folded_glob(pattern, separate)).otherwise(plain_glob(pattern, separate))
+
+
+def plain_glob(pattern: Column, separate: bool) -> Column:
+    """The same for globs of stars and question marks alone."""
+    one, many = ("[^/]", "[^/]*") if separate else ("[\\s\\S]", "[\\s\\S]*")
+    x = F.regexp_replace(pattern, r"([.^$+()|])", r"\\$1")
+    # stars that stand for directories; a run of stars elsewhere is one star
+    x = F.regexp_replace(F.regexp_replace(x, r"(?:(?<=/)|^)\*\*/", "\x01"), r"(?<=[/\x01])\*\*$", "\x02") if separate else F.regexp_replace(x, r"(?:(?<=/)|^)\*\*/", "\x01")
+    x = F.when(pattern == "**", "\x03").otherwise(F.regexp_replace(x, r"\*+", "\x04")) if separate else F.regexp_replace(x, r"\*+", "\x04")
+    x = F.replace(F.replace(x, F.lit("?"), F.lit(one)), F.lit("\x04"), F.lit(many))
+    x = F.replace(F.replace(F.replace(x, F.lit("\x01"), F.lit("(?:[\\s\\S]*/)?")), F.lit("\x02"), F.lit("[\\s\\S]+")), F.lit("\x03"), F.lit("[\\s\\S]*"))
+    return F.concat(F.lit("^"), x, F.lit("$"))
+
+
+def folded_glob(pattern: Column, separate: bool) -> Column:
+    """A glob's tokens, put together from left to right. The depth of braces tells what a comma is; ``flat`` takes all braces as text,
+    and counts where they are not closed."""
+    one, many = ("[^/]", "[^/]*") if separate else ("[\\s\\S]", "[\\s\\S]*")
+    tokens = F.regexp_extract_all(pattern, F.lit(TOKEN), F.lit(0))
+    quote = lambda c: F.regexp_replace(c, r"([\\.^$+()|\[\]{}*?])", r"\\$1")
+    beside = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(tokens, i - 1).alias("before"), F.get(tokens, i + 1).alias("after")))
+    negated = lambda t: t.rlike(r"^\[[!^]")
+    body = lambda t: F.regexp_replace(F.regexp_replace(t, r"^\[[!^]?|\]$", ""), r"([\\\[\]&^~])", r"\\$1")
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("flat"), F.lit(0).alias("depth"), F.lit(False).alias("wrong"), F.lit(False).alias("skip"))
+
+    def step(done: Column, x: Column) -> Column:
+        t, run = x["t"], F.startswith(x["t"], F.lit("*"))
+        whole = (t == "**") & (x["before"].isNull() | F.endswith(x["before"], F.lit("/"))) & (x["after"].isNull() | F.startswith(x["after"], F.lit("/")))
+        open_end = F.when(x["before"].isNull(), "[\\s\\S]*").otherwise("[\\s\\S]+") if separate else F.lit(many)
+        stars = F.when(whole & x["after"].isNotNull(), "(?:[\\s\\S]*/)?").when(whole, open_end).otherwise(F.lit(many))
+        of_class = F.concat(F.lit("(?!/)[" if separate else "["), F.when(negated(t), "^").otherwise(""), body(t), F.lit("]"))
+        escaped = quote(F.substr(t, F.lit(2), F.lit(2)))
+        usual = F.when(run, stars).when((F.length(t) > 1) & F.startswith(t, F.lit("[")), of_class).when((F.length(t) > 1) & F.startswith(t, F.lit("\\")), escaped).when(t == "?", one).otherwise(quote(t))
+        nested = F.when(t == "{", "(?:").when(t == "}", ")").when((t == ",") & (done["depth"] > 0), "|").otherwise(usual)
+        depth = done["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        add = lambda name, piece: F.when(done["skip"], done[name]).otherwise(F.concat(done[name], piece)).alias(name)
+        return F.struct(add("out", nested), add("flat", usual), depth.alias("depth"), (done["wrong"] | (depth < 0)).alias("wrong"), (run & whole & x["after"].isNotNull()).alias("skip"))
+
+    end = lambda done: F.concat(F.lit("^"), F.when(done["wrong"] | (done["depth"] > 0), done["flat"]).otherwise(done["out"]), F.lit("$"))
+    return F.aggregate(beside, start, step, end)
 
 
 def matches(value: Column, pattern: Column, separate: bool = False) -> Column:
@@ -123,10 +154,20 @@ def matches_any(value: Column, patterns: Column) -> Column:
 
 def static_directory(pattern: Column) -> Column:
     """The directories that a glob's text fixes before its first special sign."""
-    fixed = F.regexp_extract(pattern, r"^[^*?\[{]*", 0)
+    fixed = F.regexp_extract(pattern, r"^[^*?\[{\\]*", 0)
     return F.regexp_replace(F.regexp_extract(fixed, "^(.*)/", 1), "/+$", "")
 
 
+def static_directories(pattern: Column) -> Column:
+    """An array of directories, one of which each match lies below: those of a glob's alternatives, where its first two braces hold
+    plain names and come before any other special sign."""
+    first = r"^([^*?\[{\\]*)\{([^{}\[\]*?\\]*)\}([\s\S]*)$"
+    names = lambda p: F.transform(F.split(F.regexp_extract(p, first, 2), ","), lambda a: F.concat(F.regexp_extract(p, first, 1), a, F.regexp_extract(p, first, 3)))
+    closed = F.length(F.replace(pattern, F.lit("{"), F.lit(""))) == F.length(F.replace(pattern, F.lit("}"), F.lit("")))
+    apart = lambda p: F.when(closed & p.rlike(first), names(p)).otherwise(F.array(p))
+    return F.array_distinct(F.transform(F.flatten(F.transform(apart(pattern), apart)), static_directory))
+
+
 def literal_prefix(pattern: Column) -> Column:
     """The text before the first special sign."""
     return F.regexp_extract(pattern, r"^[^*?\[{]*", 0)

@@ -9,9 +9,9 @@ from archsieve.functions import globs, paths
 
 
 def glob_matches(files: DataFrame, owners: DataFrame, separate: bool = True) -> DataFrame:
-    """(path, module, glob): files of owners' globs. The directory that a glob's text fixes is met by a file's ancestors in an
-    equi-join; the rest of the pattern is tested on what is left, so no file meets all globs."""
-    keyed = owners.select("module", "glob").distinct().withColumn("directory", globs.static_directory(F.col("glob"))).withColumn("pattern", globs.glob_column(F.col("glob"), separate))
+    """(path, module, glob): files of owners' globs. The directories that a glob's text fixes, those of each of its
+    alternatives, are met by a file's ancestors in an equi-join; the rest of the pattern is tested on what is left, so no file meets all globs."""
+    keyed = owners.select("module", "glob").distinct().withColumn("pattern", globs.glob_column(F.col("glob"), separate)).withColumn("directory", F.explode(globs.static_directories(F.col("glob"))))
     above = files.select("path").distinct().withColumn("directory", F.explode(paths.ancestors(F.col("path"))))
     return above.join(keyed, "directory").where(F.rlike("path", F.col("pattern"))).select("path", "module", "glob").distinct()
 

@@ -459,16 +459,18 @@ def edge_set_diff(spark, sf_dir):
     return snapshots.edge_differences(e.where(F.col("o_orderdate") < day), e.where(F.col("o_orderdate") >= day))
 
 
-@query(
-    """SELECT 'src/{asia,europe}/**' AS "glob", count(*)::BIGINT AS n FROM files WHERE path LIKE 'src/asia/%' OR path LIKE 'src/europe/%' UNION ALL SELECT 'src/**/supplier/*[05].ts', count(*)::BIGINT FROM files WHERE regexp_matches(path, '^src/(.*/)?supplier/[^/]*[05][.]ts$')
-    UNION ALL SELECT '**/{customer,supplier}/[!1-9]*.ts', count(*)::BIGINT FROM files WHERE regexp_matches(path, '^(.*/)?(customer|supplier)/[^1-9/][^/]*[.]ts$') HAVING count(*) > 0""",
-    "files",
-)
+BRACES = {
+    "src/{asia,europe}/**": "^src/(asia|europe)/.+$", "src/**/supplier/*[05].ts": "^src/(.*/)?supplier/[^/]*[05][.]ts$", "**/{customer,supplier}/[!1-9]*.ts": "^(.*/)?(customer|supplier)/[^1-9/][^/]*[.]ts$",
+    "src/{a{frica,{mer,s}i{ca,a}},europe/NATION_{8,1{2,3{,4}}}}/**/{customer/{1,2{3,4*}},supplier/?}.ts": "^src/(africa|(mer|amer|asi)(ca|a)|america|asia|europe/NATION_(8|12|13|134))/(.*/)?(customer/(1|23|24[^/]*)|supplier/[^/])[.]ts$", "src/{asia,europe/**/1\\*.ts": "^src/[{]asia,europe/(.*/)?1[*][.]ts$",
+    "src/{asia,europe}/NATION_[!{},]*/{supplier,custo\\mer}/*\\.ts": "^src/(asia|europe)/NATION_[^{},/][^/]*/(supplier|customer)/[^/]*[.]ts$",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{g}' AS "glob", count(*)::BIGINT AS n FROM files WHERE regexp_matches(path, '{rx}') HAVING count(*) > 0""" for g, rx in BRACES.items()), "files")
 def glob_braces(spark, sf_dir):
-    """How many files globs with braces and classes match."""
-    every = F.array(*[F.lit(g) for g in ("src/{asia,europe}/**", "src/**/supplier/*[05].ts", "**/{customer,supplier}/[!1-9]*.ts")])
-    f = tables.files(spark, sf_dir).select("path", F.explode(every).alias("glob"))
-    return f.where(globs.matches(F.col("path"), F.col("glob"), separate=True)).groupBy("glob").agg(F.count("*").alias("n"))
+    """How many files globs with braces of any depth, classes and escaped signs match."""
+    owners = spark.createDataFrame([(g, g) for g in BRACES], "module string, `glob` string")
+    return ownership.glob_matches(tables.files(spark, sf_dir), owners).groupBy("glob").agg(F.count("*").alias("n"))
 
 
 @query(

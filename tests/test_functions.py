@@ -1,5 +1,6 @@
 """Scalar functions: globs in both dialects, paths, names, hashes and dates."""
 
+import random
 import re
 
 import pytest
@@ -32,6 +33,32 @@ def test_glob_braces_classes_and_faults():
             globs.compile_glob(bad)
 
 
+def test_glob_columns_equal_compiled_globs(spark):
+    """Random patterns with braces of any depth, classes and escaped signs, in both dialects; and the directories of their matches."""
+    rng = random.Random(4)
+    pieces = ["a", "b", "/", "/", "*", "**", "?", ".", "{", "}", ",", "{a,b}", "[a]", "[!b]", "[{]", "[a-c]", "\\*", "\\{", "/**/", "$", "+", "(", "^", "|", "]"]
+    known = ["src/{a,b{c,d{e,f}}}/x.ts", "src/{a,{b,{c,{d,e}}}}/x.ts", "src/{[{],b}.ts", "src/\\*.ts", "{a,b}/{a,b/b}/**", "{a,b", "a}b{", "a/{b,/c", "[a", "{a,{b,c}/d}/*"]
+    patterns = known + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    names = ["src/a/x.ts", "src/bde/x.ts", "src/bc/x.ts", "src/d/x.ts", "src/{.ts", "src/*.ts", "a/b", "a", "b", "a/b/b", "b/a", "a/b/c.ts", "a*", "{", "a.b", "ab", "aab/ba", "/a", "a/", "{a,b", "a{b", "a}b{", "b/d/a"]
+    names += ["".join(rng.choice("aab/.{") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    table = spark.createDataFrame([(g,) for g in set(patterns)], "g string").select("g", *[globs.glob_column(F.col("g"), strict).alias(f"rx{int(strict)}") for strict in (False, True)], globs.static_directories(F.col("g")).alias("dirs")).repartition(8)
+    rows = table.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in set(names)], "n string"))).select("g", "n", F.rlike("n", F.col("rx0")).alias("loose"), F.rlike("n", F.col("rx1")).alias("strict"), "dirs").collect()
+    compared = 0
+    for r in rows:
+        for strict, got in ((False, r.loose), (True, r.strict)):
+            try:
+                want = bool(re.search(globs.compile_glob(r.g, strict).removesuffix("$") + r"\Z", r.n))
+            except globs.GlobError:
+                continue
+            compared += 1
+            assert got == want, (r.g, r.n, strict)
+        if r.loose or r.strict:
+            assert any(d == "" or r.n.startswith(d + "/") for d in r.dirs), (r.g, r.n, r.dirs)
+    assert compared > 50_000
+    dirs = {r.g: r.dirs for r in table.where(F.col("g").isin(known)).collect()}
+    assert dirs["{a,b}/{a,b/b}/**"] == ["a/a", "a/b/b", "b/a", "b/b/b"] and dirs["src/{a,b{c,d{e,f}}}/x.ts"] == ["src"] and dirs["{a,b"] == [""]
+
+
 @given(st.text(alphabet="ab/.-", min_size=1, max_size=12))
 def test_a_glob_without_signs_is_the_text(text):
     assert re.match(globs.compile_glob(text, True), text)
