@@ -50,11 +50,11 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, what: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back (columnar, so wide rows stay small). rows: an upper bound, if known."""
     path = scratch(df.sparkSession, what)
     df = df if rows is None else gathered(df, rows)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,8 @@ PLACES = 28
 SLICE = 500_000
 #: Bytes of texts or slices that go to Python in a batch.
 BATCH_BYTES = 8 << 20
+#: Words whose hashes a task keeps.
+KNOWN = 200_000
 #: Phrases that go from Python to Spark in a batch.
 ROWS = 100_000
 NUMBER = np.dtype("<i4")
@@ -73,17 +75,35 @@ def place(words: Column, k: int, map_bits: int) -> Column:
     return reduce(Column.bitwiseXOR, hashes).bitwiseAND(F.lit((1 << map_bits) - 1))
 
 
-def places(words: list[str], lang: str, numbers: np.ndarray, k: int, size: int) -> np.ndarray:
+class Hashes(dict):
+    """A word of a language -> its hash, as Spark gives it."""
+
+    def __init__(self, lang: str):
+        self.seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word.encode(), seed=self.seed)
+        return value
+
+
+def places(words: list[str], known: Hashes, numbers: np.ndarray, k: int, size: int) -> np.ndarray:
     """The same for the k words at each place of a slice; size: places in the map."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)
-    one = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed=seed) for w in words), dtype=np.uint64, count=len(words))
+    one = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     out = np.zeros(len(numbers) - k + 1, dtype=np.uint64)
     for i in range(k):
         out ^= (one >> np.uint64(shift(i)))[numbers[i : len(numbers) - k + 1 + i]]
     return (out & np.uint64(size - 1)).astype(np.int64)
 
 
-def phrases_of(words: list[str], lang: str, numbers: np.ndarray, k: int, frequent: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
+def words_of(words: list[str], numbers: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice with their counts, and their sum without a word."""
+    count = np.bincount(numbers, minlength=len(words))
+    count[0] = 0
+    there = np.flatnonzero(count)
+    return pa.array([*map(words.__getitem__, there.tolist()), None], pa.string()), np.append(count[there], count.sum())
+
+
+def phrases_of(words: list[str], known: Hashes, numbers: np.ndarray, k: int, frequent: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The phrases of k words in a slice that can be frequent, with their counts. frequent: the bits of those of k - 1 words."""
     if len(numbers) < k:
         return pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
@@ -91,10 +111,9 @@ def phrases_of(words: list[str], lang: str, numbers: np.ndarray, k: int, frequen
     whole = numbers[:here] > 0
     for i in range(1, k):
         whole &= numbers[i : here + i] > 0
-    if frequent is not None:
-        at = places(words, lang, numbers, k - 1, 8 * len(frequent))
-        bit = (frequent[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)
-        whole &= (bit[:-1] & bit[1:]).astype(bool)
+    at = places(words, known, numbers, k - 1, 8 * len(frequent))
+    bit = (frequent[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)
+    whole &= (bit[:-1] & bit[1:]).astype(bool)
     starts = np.flatnonzero(whole)
     bits, key = len(words).bit_length(), numbers[starts]
     width = bits
@@ -106,8 +125,7 @@ def phrases_of(words: list[str], lang: str, numbers: np.ndarray, k: int, frequen
         width += bits
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     first, table = starts[first], pa.array(words, pa.string())
-    columns = [table.take(pa.array(numbers[first + i])) for i in range(k)]
-    return pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0], count
+    return pc.binary_join_element_wise(*[table.take(pa.array(numbers[first + i])) for i in range(k)], " "), count
 
 
 def sliced(docs: DataFrame, slice_words: int = SLICE) -> DataFrame:
@@ -145,13 +163,16 @@ def counted(slices: DataFrame, k: int, frequent=None, slice_words: int = SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if frequent is None else np.frombuffer(frequent.value, dtype=np.uint8)
+        known: dict[str, Hashes] = {}
         for batch in batches:
             for lang, words, numbers in zip(*batch.columns):
                 lang, words, numbers = lang.as_py(), words.as_py(), np.frombuffer(numbers.as_buffer(), dtype=NUMBER).astype(np.int64)
+                if sum(map(len, known.values())) > KNOWN:
+                    known.clear()
+                hashes = known.setdefault(lang, Hashes(lang))
                 for begin in range(0, len(numbers), slice_words):  # the slice of one very long text is cut again
-                    found, count = phrases_of(words, lang, numbers[begin : begin + slice_words + k - 1], k, bits)
-                    if k == 1:
-                        found, count = pa.concat_arrays([found, pa.nulls(1, pa.string())]), np.append(count, count.sum())
+                    part = numbers[begin : begin + slice_words + k - 1]
+                    found, count = words_of(words, part) if k == 1 else phrases_of(words, hashes, part, k, bits)
                     for start in range(0, len(found), ROWS):
                         n = len(part := found.slice(start, ROWS))
                         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), part, pa.array(count[start : start + n], pa.int64())], names=["lang", "phrase", "n"])
@@ -177,7 +198,7 @@ def levels(docs: DataFrame, least: int, words: int, slice_words: int, map_bits:
 
 def passes(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
     context = docs.sparkSession.sparkContext
-    slices = stored(sliced(docs, slice_words), "phrase-slices")
+    slices = stored(sliced(docs, slice_words), "phrase-slices", compression="zstd")
     first = stored(counted(slices, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
     totals = first.where("phrase is null").select("lang", "n")
     tables = [first.where("phrase is not null")]
