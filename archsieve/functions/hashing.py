@@ -37,6 +37,25 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def parsed_json(text: Column) -> Column:
+    """The JSON value that a text is, as VARIANT; null where it is none, or more than one. The parser stops behind a first value, so the
+    text is tried inside a list and inside an object, which must close behind it."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"e":1}')))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & (F.try_variant_get(named, "$.e", "int") == 1)
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of all objects in order and no spaces; what stands in arrays keeps its order, and numbers are written as
+    they were but for zeros that say nothing. Null where the text is no JSON."""
+    return F.to_json(parsed_json(text))
+
+
+def json_digest(text: Column) -> Column:
+    """``sha256:`` and the digest of the canonical JSON, which does not depend on the order of keys."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(text), 256))
+
+
 def of_rows(*columns: str) -> Column:
     """An aggregate: one digest for the named columns of all rows, whatever their order. Only digests meet, never the rows."""
     return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(F.to_json(F.struct(*columns)), 256))), ","), 256))

@@ -44,6 +44,10 @@ class Project:
     def files(self) -> DataFrame:
         return sources.source_files(self.spark, self.root, self.settings).persist()
 
+    def warnings(self) -> DataFrame:
+        """(path, warning): entries of the tree that could not be read."""
+        return sources.discovery_warnings(self.spark, self.root, self.settings)
+
     @cached_property
     def installed(self) -> DataFrame:
         return (sources.installed(self.spark, self.root) if self._installed is None else self._installed).persist()

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archsieve.functions import dates, globs, hashing, names, paths
-from archsieve.operators import baselines, boundary, contracts, entry_points, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, violations
+from archsieve.operators import baselines, boundary, contracts, entry_points, graphs, layering, ownership, packages, parity, reports, resolve, snapshots, traces, violations
 from archsieve.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +574,35 @@ def json_trace(spark, sf_dir):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT 'o' || o_orderkey AS a, 's' || o_orderstatus AS b, NULL AS specifier, NULL AS target FROM orders UNION ALL SELECT 'o' || o_orderkey, NULL, 'p' || o_orderpriority[1], CASE WHEN o_custkey % 3 > 0 THEN 'x' || (o_custkey % 7) END FROM orders WHERE o_orderkey % 5 > 0
+    UNION ALL SELECT 'o' || o_orderkey, 'deep', NULL, NULL FROM orders WHERE o_orderkey % 4 = 0"""
+)
+def trace_walk(spark, sf_dir):
+    """Edges and records anywhere in JSON, a file an order, half of them as lines."""
+    o = tables.table(spark, sf_dir, "orders")
+    k, own = F.col("o_orderkey"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    target = F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("x"), (F.col("o_custkey") % 7).cast("string")))
+    named = F.when(k % 5 > 0, F.to_json(F.struct(own.alias("source"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("import"), target.alias("resolved")))).otherwise("7")
+    edge = F.to_json(F.struct(own.alias("from"), F.concat(F.lit("s"), "o_orderstatus").alias("to"), F.lit(1).alias("import")))
+    deep = F.when(k % 4 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(own.alias("importer"), F.lit("deep").alias("target")))).alias("m")))).otherwise("[]")
+    value = F.when(k % 2 == 0, F.concat(F.lit('{"k": [['), edge, F.lit("], "), named, F.lit('], "n": '), deep, F.lit("}"))).otherwise(F.concat_ws("\n", edge, named, deep))
+    edges, records = traces.walk(traces.values(o.select(own.alias("file"), value.alias("value"))))
+    none = F.lit(None).cast("string")
+    return edges.select("a", "b", none.alias("specifier"), none.alias("target")).unionByName(records.select(F.col("from").alias("a"), none.alias("b"), "specifier", "target"))
+
+
+@query("""SELECT user_id % 9 AS part, 'sha256:' || sha256('{"a":{"c":[1,"' || event_type || '"],"d":' || user_id % 5 || '},"b":null}') AS digest, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
+def canonical_params(spark, sf_dir):
+    """Digests of parameters that are written in three ways."""
+    at, n = F.col("event_id") % 3, (F.col("user_id") % 5).cast("string")
+    items = F.concat(F.lit('"c": [1, "'), "event_type", F.lit('"]'))
+    inner = F.when(at == 0, F.concat(F.lit("{"), items, F.lit(', "d": '), n, F.lit("}"))).otherwise(F.concat(F.lit('{ "d":'), n, F.lit(","), items, F.lit(" }")))
+    text = F.when(at == 2, F.concat(F.lit('{"b":null,"a":'), inner, F.lit("}"))).otherwise(F.concat(F.lit('{"a": '), inner, F.lit(', "b": null}')))
+    e = tables.table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("part"), hashing.json_digest(text).alias("digest"))
+    return e.groupBy("part", "digest").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT path, arg_max(dir, length(dir)) AS config FROM files JOIN (SELECT DISTINCT 'src/' || layer AS dir FROM modules WHERE k % 2 = 0 UNION SELECT 'src/' || module FROM modules WHERE k % 3 = 0 UNION SELECT 'src/' || module || '/supplier' FROM modules WHERE k % 4 = 0) ON path LIKE dir || '/%' GROUP BY 1""",
     "files",

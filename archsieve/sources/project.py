@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archsieve.functions import globs, paths
+from archsieve.operators import traces
 from archsieve.operators.graphs import checkpointed
+from archsieve.sources import discovery
 
 TEXTS = "array<string>"
 CONTRACT = "struct<id:string,contract:string,match:struct<files:array<string>,pattern:string>,direction:string,envelope:string,imports_contract:array<string>>"
@@ -115,7 +117,10 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def source_files(spark: SparkSession, root: str, settings: Config = Config()) -> DataFrame:
     """(path, content, is_test) of source files outside the excluded directories. Test patterns of which one is no glob mark nothing."""
-    kept = texts(spark, root, "*.{" + ",".join(paths.EXTENSIONS) + "}").where(~paths.skipped(F.col("path"), settings.include_dirs))
+    if discovery.local(root):  # the walk leaves directories out before it lists them
+        kept = discovery.source_tree(spark, root, settings.exclude, settings.include_dirs)[0]
+    else:
+        kept = texts(spark, root, "*.{" + ",".join(paths.EXTENSIONS) + "}").where(~paths.skipped(F.col("path"), settings.include_dirs))
     excluded = [g for g in settings.exclude if not any(g == f"**/{d}/**" for d in settings.include_dirs)]
     for g in excluded:
         kept = kept.where(~F.col("path").rlike(globs.compile_glob(g)))
@@ -125,6 +130,13 @@ def source_files(spark: SparkSession, root: str, settings: Config = Config()) ->
     return kept.dropDuplicates(["path"]).select("path", "content", test.alias("is_test"))
 
 
+def discovery_warnings(spark: SparkSession, root: str, settings: Config = Config()) -> DataFrame:
+    """(path, warning): what discovery could not read. Of a root that is no path of the file system Spark itself reads all or fails."""
+    if not discovery.local(root):
+        return spark.createDataFrame([], "path string, warning string")
+    return discovery.source_tree(spark, root, settings.exclude, settings.include_dirs)[1].orderBy("path")
+
+
 def faults(raw: object) -> list[str]:
     """What is wrong with a spec's shape."""
     if not isinstance(raw, dict):
@@ -334,48 +346,7 @@ def write_baseline(entries: DataFrame, path: str) -> None:
 
 
 SNAPSHOT = "schema_version string, edges array<struct<from:string,to:string>>, resolutions array<struct<from:string,import_specifier:string,result_kind:string,resolved_to:string,package_name:string,trace:array<string>>>"
-#: Limits of the walk through a trace of unknown shape; beyond them it is an error.
-DEEPEST, MOST_NODES = 256, 1_000_000
-
-
-class TraceError(ValueError):
-    """A trace that cannot be read whole."""
-
-
-def walk(value: object) -> tuple[list[tuple[str, str]], list[tuple[str | None, ...]]]:
-    """(edges, records: from, specifier, kind, target, package) anywhere in a JSON value: objects with from and to, or with from and import."""
-    edges, found, stack, seen = [], [], [(value, 0)], 0
-    while stack:
-        here, depth = stack.pop()
-        seen += 1
-        if seen > MOST_NODES:
-            raise TraceError(f"the trace has more than {MOST_NODES} values")
-        if depth > DEEPEST:
-            raise TraceError(f"the trace is nested more than {DEEPEST} levels deep")
-        if isinstance(here, dict):
-            text = lambda *names: next((here[n] for n in names if isinstance(here.get(n), str)), None)  # noqa: E731, B023
-            a, b, spec = text("from", "source", "importer"), text("to", "target"), text("import_specifier", "import", "specifier")
-            if a and b:
-                edges.append((a, b))
-            if a and spec:
-                found.append((a, spec, text("result_kind", "resultKind"), text("resolved_to", "resolvedTo", "resolved"), text("package_name", "packageName")))
-        inside = list(here.values()) if isinstance(here, dict) else here if isinstance(here, list) else []
-        stack += [(x, depth + 1) for x in reversed(inside)]
-    return edges, found
-
-
-def values(text: str) -> list[object]:
-    """The JSON value of a file, or those of its lines."""
-    try:
-        return [json.loads(text)]
-    except ValueError as whole:
-        lines = [x for x in text.split("\n") if x.strip()]
-        if len(lines) < 2:
-            raise TraceError(f"a trace must be JSON or JSON lines: {whole}") from whole
-        try:
-            return [json.loads(x) for x in lines]
-        except ValueError as e:
-            raise TraceError(f"a trace must be JSON or JSON lines: {whole}; as lines: {e}") from e
+TraceError = traces.TraceError
 
 
 def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -387,28 +358,12 @@ def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     wrong = shaped.where("s.schema_version is not null and s.schema_version <> '1'")
     if not wrong.isEmpty():
         raise ValueError("a trace must have schema_version 1")
-    columns = ("from", "specifier", "kind", "target", "package")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text.strip():  # a part without rows
-                    continue
-                at = 0
-                for value in values(text):
-                    edges, found = walk(value)
-                    out += [(True, file, 0, *e, None, None, None) for e in edges] + [(False, file, at + i, *r) for i, r in enumerate(found)]
-                    at += len(found)
-            kinds = [pa.bool_(), pa.string(), pa.int64(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["edge", "file", "at", *columns])
-
-    free = shaped.where(~F.coalesce(structured, F.lit(False))).select("file", "value").mapInArrow(run, "edge boolean, file string, at long, " + ", ".join(f"`{c}` string" for c in columns))
     known = shaped.where(structured)
-    edges = known.select(F.explode("s.edges").alias("e")).select(F.col("e.from").alias("a"), F.col("e.to").alias("b")).unionByName(free.where("edge").select(F.col("from").alias("a"), F.col("specifier").alias("b")))
-    place = F.struct("file", F.col("at").cast("long").alias("at")).alias("place")
-    told = known.select("file", F.posexplode("s.resolutions").alias("at", "r")).select(place, F.col("r.from").alias("from"), F.col("r.import_specifier").alias("specifier"), F.col("r.result_kind").alias("kind"), F.col("r.resolved_to").alias("target"), F.col("r.package_name").alias("package"))
-    found = told.unionByName(free.where("not edge").select(place, *columns))
+    free_edges, free = traces.walk(traces.values(shaped.where(~F.coalesce(structured, F.lit(False))).select("file", "value")))
+    edges = known.select(F.explode("s.edges").alias("e")).select(F.col("e.from").alias("a"), F.col("e.to").alias("b")).unionByName(free_edges)
+    place = F.struct("file", "at").alias("place")
+    told = known.select("file", F.posexplode("s.resolutions").alias("i", "r")).withColumn("at", F.array("i")).select(place, F.col("r.from").alias("from"), F.col("r.import_specifier").alias("specifier"), F.col("r.result_kind").alias("kind"), F.col("r.resolved_to").alias("target"), F.col("r.package_name").alias("package"))
+    found = told.unionByName(free.select(place, "from", "specifier", "kind", "target", "package"))
     tidy = lambda c: F.regexp_replace(paths.normalised(F.col(c)), "^\\./", "").alias(c)
     return edges.select(tidy("a"), tidy("b")).distinct(), found.select("place", tidy("from"), "specifier", "kind", tidy("target"), "package")
 

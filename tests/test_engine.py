@@ -96,14 +96,6 @@ def test_traces_are_read_whole_or_not_at_all(spark, tmp_path):
     edges = spark.createDataFrame([(f"a{i}.ts", "b.ts") for i in range(50)], "a string, b string").coalesce(1)
     sources.write_trace(edges, str(tmp_path / "lines"))
     assert sources.trace(spark, str(tmp_path / "lines"))[0].count() == 50
-    deep = [{"from": "a", "to": "b"}]
-    for _ in range(sources.DEEPEST):
-        deep = [deep]
-    with pytest.raises(sources.TraceError, match="depth"):
-        sources.walk(deep)
-    with pytest.raises(sources.TraceError, match="nodes"):
-        sources.walk([0] * sources.MOST_NODES)
-    assert sources.walk([0] * (sources.MOST_NODES - 1)) == ([], []) and sources.walk(deep[0][0]) == ([("a", "b")], [])
     (tmp_path / "bad.json").write_text("{not json")
     with pytest.raises(Exception, match="JSON lines"):
         sources.trace(spark, str(tmp_path / "bad.json"))[0].collect()
