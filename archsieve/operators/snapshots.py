@@ -14,7 +14,7 @@ SETS = {
     "match_files": (NARROWING, WIDENING),
 }
 #: Fields of which true is stricter.
-FLAGS = ("enforce_canonical_imports", "enforce_in_tests", "strict_ownership", "enforce_type_only_imports", "require_expiry")
+FLAGS = ("enforce_canonical_imports", "enforce_in_tests", "strict_ownership", "enforce_type_only_imports", "require_expiry", "envelope_enabled")
 #: Ranks of ordered fields; the lower rank is the wider.
 RANKS = {
     "visibility": ("public", "internal", "private"), "severity": ("warning", "error"), "envelope": ("optional", "required"), "jest_mock_mode": ("warn", "enforce"), "stale_baseline": ("warn", "fail"),

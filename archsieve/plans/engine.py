@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from dataclasses import asdict, dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +58,14 @@ class Project:
         """Aliases of the compiler configurations of the tree."""
         found = sources.texts(self.spark, self.root, self.settings.tsconfig_filename.removesuffix(".json") + "*.json")
         there = sources.aliases(found.where(~paths.skipped(F.col("path"), self.settings.include_dirs)), self.settings.tsconfig_filename)
-        return there.persist()
+        return graphs.checkpointed(there)
 
     @cached_property
     def entries(self) -> DataFrame:
         """Entry points of the tree's own packages and of those right below its node_modules."""
         found = sources.texts(self.spark, self.root, "package.json")
         at = F.regexp_replace("path", r"(^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$", "$1package.json")
-        return entry_points.entries(found.where(~paths.skipped(at, self.settings.include_dirs))).persist()
+        return graphs.checkpointed(entry_points.entries(found.where(~paths.skipped(at, self.settings.include_dirs))))
 
     @cached_property
     def listing(self) -> DataFrame:
@@ -102,7 +103,7 @@ class Project:
         """Each request with its directory, resolution and the module of its file."""
         wanted = extract.requests(self.rows, self.settings.jest_mock_mode == "enforce").withColumnRenamed("kind", "edge_kind").withColumn("directory", F.regexp_extract("from_file", "^(.*)/[^/]*$", 1))
         own = self.owned.select(F.col("path").alias("from_file"), F.col("module").alias("from_module"), F.col("is_test").alias("from_test"))
-        return resolve.resolve(wanted, self.files, self.installed, self.aliases, self.entries).join(own, "from_file").persist()
+        return graphs.checkpointed(resolve.resolve(wanted, self.files, self.installed, self.aliases, self.entries).join(own, "from_file"))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -126,6 +127,38 @@ class Project:
         pairs = self.edges.select(F.col("from_file").alias("a"), F.col("to_file").alias("b"))
         return graphs.cycles(graphs.components(pairs), self.owned.select(F.col("path").alias("node"), "module"))
 
+    @staticmethod
+    def declarations(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What specs declare of layers and of categories."""
+        return layering.declared(rules, "enforce-layer", "layers"), layering.declared(rules, "enforce-category", "members", "category")
+
+    def rule_faults(self) -> DataFrame:
+        """(rule, module, message): parameters of layers and categories that cannot be used or contradict those that count, and modules
+        whose layer is not in the list."""
+        layers, members = self.declarations(sources.rules_of(self.specs))
+        out = layering.declaration_faults(layers, "enforce-layer").unionByName(layering.declaration_faults(members, "enforce-category"))
+        if first := layering.canonical(layers).first():
+            unknown = layering.unknown_layers(self.specs, first.names)
+            out = out.unionByName(unknown.select(F.lit("enforce-layer").alias("rule"), "module", F.concat(F.lit("its layer is none of "), F.lit(", ".join(first.names))).alias("message")))
+        return out
+
+    def edges_of(self, path: str) -> DataFrame:
+        """The imports of one file, in order."""
+        return self.edges.where(F.col("from_file") == path).orderBy("to_file", "kind", "specifier", "line")
+
+    def files_of(self, module: str) -> DataFrame:
+        """(path): the files of a module, in order."""
+        return self.owned.where(F.col("module") == module).select("path").orderBy(paths.sort_key(F.col("path")))
+
+    def verdict_edges(self) -> DataFrame:
+        """(from_module, to_module, edge_type, import_path, file, line): imports with a target that are not of types alone, and those
+        without one that nobody ignores, with how these count; in order."""
+        first = self.edges.where("kind <> 'type-only'").select("from_module", "to_module", F.lit("resolved").alias("edge_type"), F.col("specifier").alias("import_path"), F.col("from_file").alias("file"), "line")
+        own = self.owned.select(F.col("path").alias("file"), F.col("module").alias("from_module"))
+        rest = self.lost().withColumnRenamed("from_file", "file").join(own, "file", "left").select("from_module", F.lit(None).cast("string").alias("to_module"), F.col("kind").alias("edge_type"), F.col("specifier").alias("import_path"), "file", "line")
+        order = ("file", "line", "import_path", "edge_type", "from_module", "to_module")
+        return first.unionByName(rest).orderBy(*[F.asc_nulls_first(c) for c in order])
+
     def findings(self) -> DataFrame:
         """All findings of all rules, with their severities."""
         rules = sources.rules_of(self.specs).persist()
@@ -146,14 +179,11 @@ class Project:
         circular = rules.where("rule = 'no-circular-deps'").select("module", F.coalesce(F.get_json_object("params", "$.scope"), F.lit("both")).alias("scope"), "severity")
         if not circular.isEmpty():
             parts.append(layering.circular(self.cycles(), circular))
-        first = rules.where("rule = 'enforce-layer'").orderBy("module", "params").first()
-        if first:
-            layers = [x.strip() for x in F_json(first["params"], "layers")]
-            if not layers or len(set(layers)) != len(layers):
-                raise ProjectError("enforce-layer needs different layers")
-            parts.append(layering.layer_inversions(crossing, layers))
-        for r in rules.where("rule = 'enforce-category'").select("params").distinct().collect():
-            parts.append(layering.category_mixing(crossing, F_json(r["params"], "members")))
+        layers, members = (layering.canonical(d).first() for d in self.declarations(rules))
+        if layers:
+            parts.append(layering.layer_inversions(crossing, layers.names))
+        if members:
+            parts.append(layering.category_mixing(crossing, members.names))
         if not rules.where("rule = 'boundary.unique_export'").isEmpty():
             only = rules.where("rule = 'boundary.unique_export'").select("module").distinct()
             twice = layering.repeated_exports(self.exports().join(only, "module", "left_semi"))
@@ -212,14 +242,16 @@ class Project:
             raise ProjectError("deny_widenings needs since, the reference to compare with")
         if bad := self.validate().where("level = 'error'").orderBy("module", "message").take(20):
             raise ProjectError("; ".join(f"{r.module}: {r.message}" for r in bad))
+        if bad := self.rule_faults().orderBy("rule", "module", "message").take(20):
+            raise ProjectError("; ".join(f"{r.rule}: {r.module}: {r.message}" for r in bad))
         found = self.findings()
         if since:
             changed = sources.changed_files(self.spark, self.root, since)
             touched = self.owned.join(changed, "path", "left_semi").where("module is not null").select("module")
-            reached = graphs.blast_radius(self.edges.where("from_module is not null and to_module is not null"), touched).select(F.col("module").alias("_m"))
-            by_file = changed.select(F.col("path").alias("_p"))
-            near = found.join(reached, F.col("from_module") == F.col("_m"), "left_semi")
-            found = near.unionByName(found.join(by_file, F.col("from_file") == F.col("_p"), "left_semi")).distinct()
+            reached = graphs.blast_radius(self.edges.where("from_module is not null and to_module is not null"), touched).select(F.col("module").alias("from_module"), F.lit(True).alias("_reached"))
+            by_file = changed.select(F.col("path").alias("from_file"), F.lit(True).alias("_changed")).distinct()
+            # equal findings stay apart, for a baseline counts them
+            found = found.join(reached, "from_module", "left").join(by_file, "from_file", "left").where("_reached or _changed").select(*found.columns)
         widened = deny_widenings and policy_report(self.spark, self.root, since, "HEAD", config_file=self.config_file).summary.first()["widenings"] > 0
         day = F.lit(today).cast("date") if today else F.current_date()
         printed = violations.fingerprinted(found)
@@ -268,12 +300,6 @@ class Project:
         return reports.verdict(verdict.violations, verdict.summary, self.classification(), self.unresolved.select("from_file", "line", "specifier"))
 
 
-def F_json(text: str, name: str) -> list:
-    import json
-
-    return json.loads(text).get(name) or []
-
-
 SPEC_FIELDS = ("public_api", "allow_imports_from", "never_imports", "allow_type_imports_from", "visibility", "allow_imported_by", "deny_imported_by", "friend_modules", "enforce_canonical_imports", "allowed_dependencies", "forbidden_dependencies", "enforce_in_tests")
 
 
@@ -350,27 +376,38 @@ def policy_report(spark: SparkSession, root: str, base: str, head: str, compensa
     return PolicyReport(changes, settings, pairs, summary)
 
 
+#: Settings inside others: the name of the change, the section and the field.
+SECTIONS = {"escape_hatches.max_new_per_diff": ("escape_hatches", "max_new_per_diff"), "escape_hatches.require_expiry": ("escape_hatches", "require_expiry"), "envelope.enabled": ("envelope", "enabled")}
+
+
 def config_diff(spark: SparkSession, base: sources.Config, head: sources.Config) -> DataFrame:
     """(key, field, classification, detail): what changed in the configuration."""
     names = ["exclude", "spec_dirs", "jest_mock_mode", "stale_baseline", "unresolved_edge_policy", "strict_ownership", "strict_ownership_level", "enforce_type_only_imports", "telemetry", "release_channel", "tsconfig_filename", "test_patterns", "include_dirs"]
     kinds = {"exclude": sources.TEXTS, "spec_dirs": sources.TEXTS, "test_patterns": sources.TEXTS, "include_dirs": sources.TEXTS, "strict_ownership": "boolean", "enforce_type_only_imports": "boolean", "telemetry": "boolean"}
-    schema = ", ".join(["key string", *(f"{n} {kinds.get(n, 'string')}" for n in names), "max_new_per_diff long", "require_expiry boolean"])
-    row = lambda c: ["config", *(list(v) if isinstance(v := getattr(c, n), tuple) else v for n in names), c.escape_hatches.get("max_new_per_diff"), c.escape_hatches.get("require_expiry", False)]
-    side = lambda c: spark.createDataFrame([row(c)], schema)
-    return snapshots.diff(side(base), side(head), key="key", structural=("telemetry", "release_channel", "tsconfig_filename", "test_patterns", "include_dirs"), limits=("max_new_per_diff",)).drop("signature")
+    schema = ", ".join(["key string", *(f"{n} {kinds.get(n, 'string')}" for n in names), *(f"`{n}` {'long' if 'max' in n else 'boolean'}" for n in SECTIONS)])
+    row = lambda c: ["config", *(list(v) if isinstance(v := getattr(c, n), tuple) else v for n in names), *((getattr(c, a) or {}).get(b, None if "max" in b else False) for a, b in SECTIONS.values())]
+    side = lambda c: spark.createDataFrame([row(c)], schema).withColumnsRenamed({n: n.rpartition(".")[2] for n in SECTIONS}).withColumnRenamed("enabled", "envelope_enabled")
+    plain = snapshots.diff(side(base), side(head), key="key", structural=("telemetry", "release_channel", "tsconfig_filename", "test_patterns", "include_dirs"), limits=("max_new_per_diff",)).drop("signature")
+    full = {n.rpartition(".")[2]: n for n in SECTIONS if n != "envelope.enabled"} | {"envelope_enabled": "envelope.enabled"}
+    named = functools.reduce(lambda c, n: c.when(F.col("field") == n, full[n]), full, F.when(F.lit(False), "")).otherwise(F.col("field"))
+    entries = lambda c: {e["pattern"].strip(): (e.get("max_depth", 0), e.get("severity") or "warning") for e in c.import_hygiene.get("deny_deep_imports") or []}
+    deep = deep_import_diff(*(spark.createDataFrame([(p, *e) for p, e in entries(c).items()], DEEP) for c in (base, head)))
+    told = deep.select(F.lit("config").alias("key"), F.lit("import_hygiene.deny_deep_imports").alias("field"), "classification", "detail")
+    return plain.select("key", named.alias("field"), "classification", "detail").unionByName(told)
+
+
+DEEP = "pattern string, max_depth int, severity string"
 
 
 def deep_import_diff(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(pattern, classification) of deep-import entries (pattern, max_depth, severity)."""
-    a = base.select("pattern", F.struct("max_depth", "severity").alias("a"))
-    b = head.select("pattern", F.struct("max_depth", "severity").alias("b"))
+    """(pattern, classification, detail) of deep-import entries (pattern, max_depth, severity). A new entry narrows, a lost one widens; a
+    smaller depth and a stricter severity narrow, and both ways at once are structural. A pattern comes once a side."""
+    entry = lambda df, name: df.select("pattern", F.struct("max_depth", "severity").alias(name))
     sign = lambda x: F.signum(x.cast("double"))
     depth = sign(F.col("b.max_depth") - F.col("a.max_depth"))
     level = sign(violations.rank(F.col("b.severity")) - violations.rank(F.col("a.severity")))
     total = F.when(depth * level < 0, snapshots.STRUCTURAL).when(depth + level > 0, snapshots.WIDENING).when(depth + level < 0, snapshots.NARROWING)
     kind = F.when(F.col("a").isNull(), snapshots.NARROWING).when(F.col("b").isNull(), snapshots.WIDENING).otherwise(total)
-    return a.join(b, "pattern", "full_outer").select("pattern", kind.alias("classification")).where("classification is not null")
-
-
-def exit_of(changes: DataFrame) -> int:
-    return reduce(max, [VIOLATIONS if r.classification == snapshots.WIDENING else PASS for r in changes.select("classification").distinct().collect()], PASS)
+    text = lambda c: F.coalesce(F.concat(F.col(f"{c}.max_depth").cast("string"), F.lit(" "), F.col(f"{c}.severity")), F.lit("none"))
+    joined = entry(base, "a").join(entry(head, "b"), "pattern", "full_outer")
+    return joined.select("pattern", kind.alias("classification"), F.concat("pattern", F.lit(": "), text("a"), F.lit(" -> "), text("b")).alias("detail")).where("classification is not null")

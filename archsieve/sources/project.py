@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from archsieve.functions import globs, paths
 from archsieve.operators import traces
 from archsieve.operators.graphs import checkpointed
-from archsieve.sources import discovery
+from archsieve.sources import discovery, one_object
 
 TEXTS = "array<string>"
 CONTRACT = "struct<id:string,contract:string,match:struct<files:array<string>,pattern:string>,direction:string,envelope:string,imports_contract:array<string>>"
@@ -345,6 +345,19 @@ def write_baseline(entries: DataFrame, path: str) -> None:
     entries.dropDuplicates(["fingerprint", "positional_fingerprint"]).orderBy(*[F.asc_nulls_first(c) for c in order]).write.mode("overwrite").json(path)
 
 
+def write_baseline_file(entries: DataFrame, path: str, generated_from: dict | None = None, version: str = "1") -> None:
+    """Entries in order as one JSON object with its header, which replaces the file at once or not at all. generated_from: the digests
+    of what the baseline was made of. An entry that comes twice is one."""
+    order = ["fingerprint", "positional_fingerprint", "rule", "from_file", "to_file", "line", "message"]
+    rows = entries.dropDuplicates(["fingerprint", "positional_fingerprint"]).orderBy(*[F.asc_nulls_first(c) for c in order])
+    one_object.write(rows, path, {"version": version, "generated_from": generated_from or {}}, "entries")
+
+
+def write_snapshot(edges: DataFrame, path: str) -> None:
+    """Edges (a, b) in order as one trace snapshot."""
+    one_object.write(edges.select(F.col("a").alias("from"), F.col("b").alias("to")).distinct().orderBy("from", "to"), path, {"schema_version": "1", "resolutions": []}, "edges")
+
+
 SNAPSHOT = "schema_version string, edges array<struct<from:string,to:string>>, resolutions array<struct<from:string,import_specifier:string,result_kind:string,resolved_to:string,package_name:string,trace:array<string>>>"
 TraceError = traces.TraceError
 

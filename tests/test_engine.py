@@ -4,9 +4,10 @@ import json
 import subprocess
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
-from archsieve.operators import violations
+from archsieve.operators import layering, violations
 from archsieve.plans.engine import Project, ProjectError, config_diff, policy_diff
 from archsieve.sources import project as sources
 from archsieve.streaming import watch
@@ -116,11 +117,46 @@ def test_workspaces_and_configuration(spark):
     assert {r.directory: r.module for r in sources.workspaces(files, ["apps/*", "!apps/old", "libs/**"]).collect()} == {"apps/web": "web", "libs/x/web": "x__web"}
     changed = config_diff(spark, sources.config(None), sources.config("exclude: ['**/x/**']\nstale_baseline: fail\ntelemetry: {enabled: true}\nescape_hatches: {max_new_per_diff: 3}"))
     got = sorted((r.field, r.classification) for r in changed.collect())
-    assert ("max_new_per_diff", "narrowing") in got and ("stale_baseline", "narrowing") in got and ("telemetry", "structural") in got and ("exclude", "widening") in got
+    assert ("escape_hatches.max_new_per_diff", "narrowing") in got and ("stale_baseline", "narrowing") in got and ("telemetry", "structural") in got and ("exclude", "widening") in got
+    deep = "import_hygiene: {{deny_deep_imports: [{}]}}\nenvelope: {{enabled: {}}}"
+    old = deep.format("{pattern: a, max_depth: 1}, {pattern: b, max_depth: 2, severity: error}, {pattern: c, max_depth: 1}, {pattern: d, max_depth: 1}, {pattern: same, max_depth: 1}", "true")
+    new = deep.format("{pattern: a, max_depth: 0}, {pattern: b, max_depth: 1, severity: warning}, {pattern: d, max_depth: 2}, {pattern: e, max_depth: 0}, {pattern: ' same ', max_depth: 1}", "false")
+    got = sorted((r.field, r.detail.split(":")[0], r.classification) for r in config_diff(spark, sources.config(old), sources.config(new)).collect())
+    name = "import_hygiene.deny_deep_imports"
+    assert got == [("envelope.enabled", "true -> false", "widening"), (name, "a", "narrowing"), (name, "b", "structural"), (name, "c", "widening"), (name, "d", "widening"), (name, "e", "narrowing")]
     with pytest.raises(ValueError):
         sources.config("tsconfig_filename: a/b")
 
 
+@pytest.mark.parametrize(
+    "params,fault",
+    [
+        ("{layers: [a, ' b ']}", None), ("[a]", "parameters"), ("{}", "layers must be a list"), ("{layers: a}", "layers must be a list"), ("{layers: []}", "layers is empty"), ("{layers: [a, 1]}", "layers must hold texts"), ("{layers: [1]}", "layers must hold texts"),
+        ("{layers: [a, ' ']}", "layers holds a blank"), ("{layers: [a, ' a']}", "layers holds a name twice"), ("{layers: [a, null]}", "layers must hold texts"), ("{layers: [null]}", "layers must hold texts"),
+    ],
+)
+def test_layer_declarations(spark, params, fault):
+    text = json.dumps(yaml.safe_load(params))
+    rules = spark.createDataFrame([("m", "enforce-layer", text), ("m", "enforce-layer", text), ("m", "other", "{}")], "module string, rule string, params string")
+    (row,) = layering.declared(rules, "enforce-layer", "layers").collect()
+    assert (row.fault or "").startswith(fault or "") and bool(row.fault) == bool(fault) and (fault or row.names == ["a", "b"])
+
+
+def test_faulty_rules_stop_a_check(spark, tmp_path):
+    spec = 'version: "2.3"\nmodule: {m}\nboundaries: {{path: "src/{m}/**"}}\nconstraints: [{c}]\n'
+    layer, category = "{rule: enforce-layer, params: {layers: [a, b]}}", "{{rule: enforce-category, params: {{category: '{}', members: [a, b]}}}}"
+    files = {"a.spec.yml": spec.format(m="a", c=f"{layer}, {category.format('k')}"), "b.spec.yml": spec.format(m="b/x", c=layer), "src/a/i.ts": 'import "../b/x/j";\n', "src/b/x/j.ts": 'import "../../a/i";\nimport "./none";\n'}
+    project = Project(spark, write(tmp_path / "good", files))
+    assert project.rule_faults().count() == 0 and sorted((r.rule, r.from_file) for r in project.check().violations.collect() if r.rule.startswith("enforce")) == [("enforce-category", "src/a/i.ts"), ("enforce-category", "src/b/x/j.ts"), ("enforce-layer", "src/b/x/j.ts")]
+    assert [tuple(r)[:4] for r in project.verdict_edges().collect()] == [("a", "b/x", "resolved", "../b/x/j"), ("b/x", "a", "resolved", "../../a/i"), ("b/x", None, "unresolved_literal", "./none")]
+    assert [r.to_file for r in project.edges_of("src/a/i.ts").collect()] == ["src/b/x/j.ts"] and [r.path for r in project.files_of("b/x").collect()] == ["src/b/x/j.ts"]
+    bad = files | {"b.spec.yml": spec.format(m="b/x", c=f"{layer.replace('[a, b]', '[b, a]')}, {category.format('')}"), "c.spec.yml": spec.format(m="c", c="")}
+    project = Project(spark, write(tmp_path / "bad", bad))
+    assert sorted((r.rule, r.module, r.message.split()[0]) for r in project.rule_faults().collect()) == [("enforce-category", "b/x", "category"), ("enforce-layer", "b/x", "differs"), ("enforce-layer", "c", "its")]
+    with pytest.raises(ProjectError, match="enforce-layer"):
+        project.check()
+
+
 def test_policy_difference_of_a_repository(spark, tmp_path):
     root = write(tmp_path, {"modules/ui.spec.yml": UI, "modules/db.spec.yml": DB, "src/db/d.ts": "", "src/ui/a.ts": ""})
     git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)

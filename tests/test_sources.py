@@ -1,5 +1,6 @@
 """Baselines, references and faulty globs, read back as they were written."""
 
+import json
 import subprocess
 
 import pytest
@@ -41,3 +42,23 @@ def test_files_of_a_reference(spark, tmp_path):
 @pytest.mark.parametrize("glob,bad", [("a}{b", True), ("{a", True), ("[a", True), ("{a,{b,c}}", False), ("[!a]*", False), ("a/**", False), ("a}", True), ("a]", False)])
 def test_bad_globs(spark, glob, bad):
     assert spark.range(1).select(validate.bad_glob(F.lit(glob)).alias("bad")).first().bad == bad
+
+
+def test_one_object_replaces_a_file_whole_or_not_at_all(spark, tmp_path):
+    path = tmp_path / "baseline.json"
+    names = [x.split()[0] for x in sources.ENTRY.split(", ")]
+    entries = spark.createDataFrame([tuple((f"{n}{i:03d}é" if i % 3 or n in ("fingerprint", "rule") else None) if n not in ("line", "column") else i for n in names) for i in range(200)], sources.ENTRY).repartition(5)
+    sources.write_baseline_file(entries.union(entries), str(path), {"config_hash": "c"})
+    raw = json.loads(path.read_text())
+    assert (raw["version"], raw["generated_from"]) == ("1", {"config_hash": "c"}) and [e["fingerprint"] for e in raw["entries"]] == [f"fingerprint{i:03d}é" for i in range(200)]
+    assert "owner" not in raw["entries"][0] and sorted(map(str, sources.baseline(spark, str(path)).collect())) == sorted(map(str, entries.collect()))
+    before = path.read_bytes()
+    broken = entries.withColumn("message", F.when(F.col("line") == 150, F.raise_error("no").cast("string")).otherwise(F.col("message")))
+    with pytest.raises(Exception, match="no"):
+        sources.write_baseline_file(broken, str(path))
+    assert path.read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["baseline.json"]
+    sources.write_baseline_file(entries.where("false"), str(path))
+    assert json.loads(path.read_text())["entries"] == [] and sources.baseline(spark, str(path)).count() == 0
+    edges = spark.createDataFrame([("b", "c"), ("a", "b"), ("a", "b")], "a string, b string")
+    sources.write_snapshot(edges, str(tmp_path / "trace.json"))
+    assert sorted(tuple(r) for r in sources.trace(spark, str(tmp_path / "trace.json"))[0].collect()) == [("a", "b"), ("b", "c")]
