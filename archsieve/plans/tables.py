@@ -72,12 +72,13 @@ def sql(text: str, *views: str) -> str:
     return (f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"{v} AS ({VIEWS[v]})" for v in order) + " " * (not recursive) if order else "") + text
 
 
-def query(text: str, *views: str):
-    """Registers a query under its function's name."""
+def query(text: str | None, *views: str):
+    """Registers a query under its function's name; without a text it has no SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql(text, *views)
+        if text is not None:
+            SQL[f.__name__] = sql(text, *views)
         return f
 
     return add
@@ -303,6 +304,41 @@ def circular_deps(spark, sf_dir):
     return layering.circular(found_cycles, declared).select("from_module", "message", "severity")
 
 
+VIEWS["file_edges"] = """SELECT DISTINCT 'customer/' || o_custkey AS a, 'supplier/' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+    UNION SELECT 'supplier/' || l_suppkey, 'part/' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 3 = 0 UNION SELECT 'part/' || l_partkey, 'customer/' || o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48
+    UNION SELECT 'part/' || p_partkey, 'part/' || (p_partkey - 1) FROM part WHERE p_partkey % 7 > 0 UNION SELECT 'part/' || p_partkey, 'part/' || (p_partkey + 2) FROM part WHERE p_partkey % 7 = 1
+    UNION SELECT 'note/' || c_custkey, 'note/' || CASE WHEN c_custkey % 4 < 3 THEN c_custkey + 1 ELSE c_custkey - 3 END FROM customer UNION SELECT 'note/' || c_custkey, 'customer/' || c_custkey FROM customer WHERE c_custkey % 5 = 0"""
+
+
+def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): which file imports which, of customers, their notes, suppliers and parts: a graph that grows with the tables, with chains, short rings and
+    one large knot."""
+    lines = tables.table(spark, sf_dir, "lineitem").join(tables.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    file = lambda kind, key: F.concat(F.lit(f"{kind}/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
+    p = F.col("p_partkey")
+    part, customer, c = tables.table(spark, sf_dir, "part"), tables.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = [
+        lines.where("l_linenumber = 1").select(file("customer", "o_custkey").alias("a"), file("supplier", "l_suppkey").alias("b")),
+        lines.where("l_returnflag = 'R' and l_partkey % 3 = 0").select(file("supplier", "l_suppkey"), file("part", "l_partkey")), lines.where("l_quantity > 48").select(file("part", "l_partkey"), file("customer", "o_custkey")),
+        part.where(p % 7 > 0).select(file("part", p), file("part", p - 1)), part.where(p % 7 == 1).select(file("part", p), file("part", p + 2)),
+        customer.select(file("note", c), file("note", F.when(c % 4 < 3, c + 1).otherwise(c - 3))), customer.where(c % 5 == 0).select(file("note", c), file("customer", c)),
+    ]
+    return functools.reduce(DataFrame.union, rows).distinct()
+
+
+@query(", reach AS (SELECT DISTINCT 'part/' || p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 500 = 1 UNION SELECT a, depth + 1 FROM reach JOIN file_edges ON b = node WHERE depth < 24) SELECT node, min(depth)::INT AS depth FROM reach GROUP BY 1", "file_edges")
+def file_blast_radius(spark, sf_dir):
+    """All files that import some changed parts, directly or not, with the least number of steps."""
+    changed = tables.table(spark, sf_dir, "part").where("p_partkey % 500 = 1").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("node"))
+    return graphs.reachable(file_edges(spark, sf_dir).select(F.col("b").alias("a"), F.col("a").alias("b")), changed)
+
+
+@query(None)
+def file_cycles(spark, sf_dir):
+    """Strongly connected files. A closure in SQL would make pairs of files, so tests hold it against a plain search instead."""
+    return graphs.components(file_edges(spark, sf_dir))
+
+
 # Fingerprints and baselines --------------------------------------------------------------------------------------
 
 
