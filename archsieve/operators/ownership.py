@@ -76,3 +76,16 @@ def dangling_contracts(references: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select(F.concat_ws(":", "module", "id").alias("reference")).distinct()
     bad = references.join(known, "reference", "left_anti")
     return bad.groupBy("module", "contract").agg(F.array_join(F.array_sort(F.collect_set("reference")), ",").alias("missing"))
+
+
+def probes(owned: DataFrame, modules: DataFrame, made_up: str = "probe.ts") -> DataFrame:
+    """(module, importer, place): a file to look at each module from: the first one outside it, else the first inside it, else one that is
+    made up in the root. owned: (path, module), module null where none owns the file. Only the first file of each module meets others."""
+    firsts = owned.groupBy("module").agg(F.min("path").alias("path"))
+    two = firsts.orderBy("path").limit(2).agg(F.array_sort(F.collect_list(F.struct("path", "module"))).alias("two"))  # one row
+    own = firsts.where("module is not null").select("module", F.col("path").alias("inside"))
+    rows = modules.select("module").distinct().join(own, "module", "left").crossJoin(F.broadcast(two))
+    outside = F.filter("two", lambda x: ~x["module"].eqNullSafe(F.col("module")))
+    near = F.get(outside, F.lit(0))["path"]
+    place = F.when(near.isNotNull(), "outside").when(F.col("inside").isNotNull(), "inside").otherwise("made up")
+    return rows.select("module", F.coalesce(near, "inside", F.lit(made_up)).alias("importer"), place.alias("place"))

@@ -269,12 +269,21 @@ class Project:
         agreed = self.boundaries.select("module", F.explode("contracts").alias("c")).select("module", "c.id", "c.direction", "c.envelope", "c.imports_contract")
         return ownership.governance_conflicts(self.boundaries).unionByName(contracts.conflicts(agreed))
 
-    def dangling_imports(self) -> DataFrame:
-        """(module, id): import ids that stand for nothing in their module's public interface."""
-        ids = self.specs.select("module", F.explode(F.array_distinct(F.filter(F.concat(F.array("import_id"), "import_ids"), lambda i: F.coalesce(F.trim(i), F.lit("")) != ""))).alias("id"), "boundaries.public_api")
-        files = self.owned.where("module is not null").select(F.col("module").alias("_m"), "path")
-        there = ids.join(files, F.col("module") == F.col("_m")).where((F.size("public_api") == 0) | globs.matches_any(F.col("path"), F.col("public_api"))).select("module", "id").distinct()
-        return ids.select("module", "id").join(there, ["module", "id"], "left_anti")
+    def canonical_findings(self) -> DataFrame:
+        """(rule, severity, module, id, importer, place, target, message): agreed import ids of modules that enforce them which, asked for from
+        a file outside the module, lead to no public file of it."""
+        named = F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(F.array("import_id"), "import_ids"), lambda i: F.trim(i)), lambda i: F.coalesce(i, F.lit("")) != "")))
+        ids = self.specs.where("boundaries.enforce_canonical_imports").select("module", F.explode(named).alias("id"), "boundaries.public_api")
+        asked = ids.join(ownership.probes(self.owned, ids), "module").withColumn("directory", paths.directory(F.col("importer")))
+        found = resolve.resolve(asked.select("module", "directory", F.col("id").alias("specifier")), self.files, self.installed, self.aliases, self.entries)
+        owner = self.owned.select(F.col("path").alias("target"), F.col("module").alias("target_module"))
+        told = asked.join(found.select("module", F.col("specifier").alias("id"), "kind", "target", "package"), ["module", "id"]).join(owner, "target", "left")
+        here = (F.col("kind") == resolve.FIRST) & (F.col("target_module") == F.col("module"))
+        public = here & globs.matches_any(F.col("target"), F.col("public_api"))
+        leads = F.when(here, F.concat(F.lit("a file that is not public: "), "target")).when(F.col("kind") == resolve.FIRST, F.concat(F.lit("another module's file: "), "target")).when(F.col("kind") == resolve.THIRD, F.concat(F.lit("a package: "), F.coalesce("package", "id"))).otherwise("nothing")
+        wrong = told.where(~F.coalesce(public, F.lit(False)))
+        message = F.concat(F.lit("import id "), "id", F.lit(" leads from "), "importer", F.lit(" to "), leads)
+        return wrong.select(F.lit("boundary.canonical_import_dangling").alias("rule"), F.lit("warning").alias("severity"), "module", "id", "importer", "place", "target", message.alias("message"))
 
     def compare(self, trace: str) -> DataFrame:
         """(a, b, side): edges that only we or only another tool's trace has."""

@@ -7,7 +7,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from archsieve.operators import layering, violations
+from archsieve.operators import layering, ownership, violations
 from archsieve.plans.engine import Project, ProjectError, config_diff, policy_diff
 from archsieve.sources import project as sources
 from archsieve.streaming import watch
@@ -80,7 +80,7 @@ def test_verdict_and_baseline(spark, broken, tmp_path):
 
 
 def test_other_verbs(spark, broken, tmp_path):
-    assert broken.validate().count() == 0 and broken.ownership()["unclaimed"].count() == 0 and broken.governance().count() == 0 and broken.dangling_imports().count() == 0
+    assert broken.validate().count() == 0 and broken.ownership()["unclaimed"].count() == 0 and broken.governance().count() == 0 and broken.canonical_findings().count() == 0
     row = broken.classification().first()
     assert (row.resolved, row.external, row.unresolved) == (7, 1, 1)
     trace = tmp_path / "trace.json"
@@ -128,6 +128,27 @@ def test_workspaces_and_configuration(spark):
         sources.config("tsconfig_filename: a/b")
 
 
+def test_agreed_import_ids(spark, tmp_path):
+    spec = 'version: "2.3"\nmodule: {m}\nimport_id: "{i}"\nimport_ids: [" {i}", "@s/{m}/inner", "lib", "@none/x", "@s/z"]\nboundaries: {{path: "packages/{m}/**", public_api: ["packages/{m}/src/index.ts"], enforce_canonical_imports: {e}}}\n'
+    manifest = lambda m: json.dumps({"name": f"@s/{m}", "exports": {".": "./src/index.ts", "./inner": "./src/inner.ts"}})
+    files = {f"{m}.spec.yml": spec.format(m=m, i=f"@s/{m}", e=str(m != "z").lower()) for m in ("a", "b", "z")} | {f"packages/{m}/package.json": manifest(m) for m in ("a", "b", "z")}
+    files |= {f"packages/{m}/src/{f}.ts": "export const x = 1;\n" for m in ("a", "b", "z") for f in ("index", "inner")} | {"node_modules/lib/package.json": '{"name": "lib"}'}
+    got = {(r.module, r.id): (r.importer, r.place, r.message.split(" to ")[1]) for r in Project(spark, write(tmp_path, files)).canonical_findings().collect()}
+    b, a = "packages/b/src/index.ts", "packages/a/src/index.ts"
+    want = {(m, i): (p, "outside", t) for m, p in (("a", b), ("b", a)) for i, t in ((f"@s/{m}/inner", f"a file that is not public: packages/{m}/src/inner.ts"), ("lib", "a package: lib"), ("@none/x", "nothing"), ("@s/z", "another module's file: packages/z/src/index.ts"))}
+    assert got == want
+
+
+def test_probes(spark):
+    owned = spark.createDataFrame([("a/1", "a"), ("a/2", "a"), ("b/1", "b")], "path string, module string")
+    modules = spark.createDataFrame([("a",), ("b",), ("c",)], "module string")
+    of = lambda rows: {r.module: (r.importer, r.place) for r in ownership.probes(rows, modules).collect()}
+    assert of(owned) == {"a": ("b/1", "outside"), "b": ("a/1", "outside"), "c": ("a/1", "outside")}
+    assert of(owned.where("module = 'a'")) == {"a": ("a/1", "inside"), "b": ("a/1", "outside"), "c": ("a/1", "outside")}
+    assert of(owned.where("false")) == dict.fromkeys("abc", ("probe.ts", "made up"))
+    assert of(spark.createDataFrame([("z", None), ("a/1", "a")], "path string, module string"))["a"] == ("z", "outside")
+
+
 @pytest.mark.parametrize(
     "params,fault",
     [
