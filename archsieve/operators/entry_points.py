@@ -44,7 +44,7 @@ def targets(value: object, conditions: tuple[str, ...]) -> list[str | None] | No
 def rows_of(text: str, conditions: tuple[str, ...], main_fields: tuple[str, ...]) -> list[tuple]:
     """(package, kind, prefix, tail, exact, place, target) of a manifest."""
     try:
-        raw = json.loads((text or "").removeprefix("﻿"))
+        raw = json.loads((text or "").removeprefix("\ufeff"))
         if not isinstance(raw, dict):
             raise ValueError("a manifest is an object")
     except ValueError as e:
