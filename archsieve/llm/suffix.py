@@ -15,14 +15,18 @@ Hot groups, of more than ``HOT`` different surroundings, are spread instead: eac
 digest in blocks. A block's common core that occurs once rules all its strings out, its hull that occurs
 twice proves them all, and only blocks between are counted string by string.
 
+Verification. What digests say, of copies and of the strings of hot groups, are claims that a stretch of one text equals one of another.
+Claims between the same texts at the same distance are joined to long stretches, and their bytes are compared before anything is removed.
+If one claim is wrong, all is done again with other digests, so a collision costs time and never a byte.
+
 Null texts are empty. Texts below ``length`` bytes lose nothing. Repeated rows are copies of each other. Very
-long texts are cut for the search of anchors only, with overlap. Copies (equal surroundings) and the strings of hot groups are told by 128 bits of
-digest beside the gram's 64, not byte by byte; what the sort finds is verified byte by byte.
+long texts are cut for the search of anchors only, with overlap.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ BLOCK = 16
 PIECE, SORTED = 1 << 20, 2_048
 #: Bits of a gram's place beside its hash: more than any value of a column has bytes. Grams that agree in the other bits go by place.
 PLACE_BITS = 33
+#: Bytes of a text that are compared with a repetition at a time.
+CHECKED = 4_096
 
 BASE = 0x9E3779B97F4A7C15
 SIGN = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)  # what each byte counts in a hash
@@ -264,11 +270,28 @@ def sized_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.Record
         start += fit
 
 
+def digester(turn: int):
+    """The digest of a string at a place beside its anchor; another function each turn."""
+    return lambda raw, place: xxhash.xxh3_128_digest(raw, place + (turn << 32))
+
+
+def union_of(cover: Iterator[tuple[int, int]]) -> list[list[int]]:
+    """The maximal stretches that [begin, stop) cover, in order."""
+    union: list[list[int]] = []
+    for begin, stop in sorted(cover):
+        if union and begin <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], stop)
+        else:
+            union.append([begin, stop])
+    return union
+
+
 PLACE = "_k long, _c long, g long, x binary, pos int, before int, after int"
 
 
-def places(docs: DataFrame, length: int) -> DataFrame:
+def places(docs: DataFrame, length: int, turn: int = 0) -> DataFrame:
     """The anchors of all texts: gram g, digest x of the surroundings that their strings cover, and how far these reach."""
+    digest = digester(turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +299,7 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                 text, place, g, before, after = anchors_of(bodies, length)
                 if not len(text):
                     continue
-                x = [xxhash.xxh3_128_digest(bodies[i][p - b : p + a], b) for i, p, b, a in zip(text.tolist(), place.tolist(), before.tolist(), after.tolist())]
+                x = [digest(bodies[i][p - b : p + a], b) for i, p, b, a in zip(text.tolist(), place.tolist(), before.tolist(), after.tolist())]
                 rows = pa.array(text)
                 columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(g), pa.array(x, pa.binary()), *(pa.array(c.astype(np.int32)) for c in (place, before, after))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_k", "_c", "g", "x", "pos", "before", "after"])
@@ -345,11 +368,11 @@ def sorted_groups(around: DataFrame, length: int) -> DataFrame:
     return around.repartition("g").sortWithinPartitions("g").mapInArrow(task(run), SPAN)
 
 
-def hot_groups(around: DataFrame, length: int) -> DataFrame:
-    """Spans of groups too large for one task, by counting digests of strings in blocks of BLOCK places."""
+def hot_groups(around: DataFrame, length: int, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Spans of groups too large for one task, by counting digests of strings in blocks of BLOCK places; and the claims that they rest on."""
+    digest = digester(turn)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -376,7 +399,7 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
                     for j in range(low, high + 1):
                         rows.append(i)
                         js.append(j)
-                        out.append(xxhash.xxh3_128_digest(raw[b - j : b - j + length], j))
+                        out.append(digest(raw[b - j : b - j + length], j))
                 at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(3).take(at), pa.array(js, pa.int32()), pa.array(out, pa.binary())], names=["g", "x", "j", "s"])
 
@@ -384,24 +407,96 @@ def hot_groups(around: DataFrame, length: int) -> DataFrame:
     blocks = stored(around.select("g", "before", "around", "x").mapInArrow(task(digests), "g long, x binary, low int, high int, core binary, hull binary"), "hot-blocks", n_blocks)
     # counts are stored before they are joined, so that a join can be split at a string that is everywhere
     cores = stored(blocks.groupBy("g", "core").agg(F.count("*").alias("cores")).where("cores > 1").select("g", "core"), "hot-cores", n_blocks // 2)
-    hulls = stored(blocks.where("hull is not null").groupBy("g", "hull").agg(F.count("*").alias("hulls"), F.min("x").alias("one")).where("hulls > 1"), "hot-hulls", n_blocks // 2)
-    proven = blocks.join(hulls.select("g", "hull"), ["g", "hull"], "left_semi").select("g", "x", "low", "high")
+    # hulls and strings are equal only at one place beside the anchor
+    hulls = stored(blocks.where("hull is not null").groupBy("g", "low", "hull").agg(F.count("*").alias("hulls"), F.min("x").alias("one")).where("hulls > 1").drop("hulls"), "hot-hulls", n_blocks // 2)
+    proven = blocks.join(hulls, ["g", "low", "hull"]).select("g", "x", "low", "high", "one")
     # of the blocks with a proven hull one is counted string by string too: others may share a part of it
-    one = hulls.select("g", "hull", F.col("one").alias("x"))
     likely = blocks.join(cores, ["g", "core"], "left_semi")
-    todo = likely.join(hulls.select("g", "hull"), ["g", "hull"], "left_anti").unionByName(likely.join(one, ["g", "hull", "x"], "left_semi")).select("g", "x", "low", "high")
+    one = hulls.withColumnRenamed("one", "x")
+    todo = likely.join(hulls, ["g", "low", "hull"], "left_anti").unionByName(likely.join(one, ["g", "low", "hull", "x"], "left_semi")).select("g", "x", "low", "high")
     single = stored(around.select("g", "before", "around", "x").join(todo, ["g", "x"]).select("g", "before", "around", "x", "low", "high").mapInArrow(task(strings), "g long, x binary, j int, s binary"), "hot-strings")
-    twice = stored(single.groupBy("g", "s").agg(F.count("*").alias("strings")).where("strings > 1"), "hot-twice", n_blocks * BLOCK // 2)
-    found = single.join(twice, ["g", "s"], "left_semi").select("g", "x", F.col("j").alias("low"), F.col("j").alias("high"))
-    runs = found.unionByName(proven)
+    twice = stored(single.groupBy("g", "j", "s").agg(F.count("*").alias("strings"), F.min("x").alias("one")).where("strings > 1").drop("strings"), "hot-twice", n_blocks * BLOCK // 2)
+    found = single.join(twice, ["g", "j", "s"]).select("g", "x", F.col("j").alias("low"), F.col("j").alias("high"), "one")
+    runs = stored(found.unionByName(proven), "hot-runs")
+    begin, stop = (F.col("pos") - F.col("high")).cast("int").alias("begin"), (F.col("pos") - F.col("low") + length).cast("int").alias("stop")
+    at = around.dropDuplicates(["g", "x"]).select("g", "x", "_k", "_c", "pos")
+    others = at.select("g", F.col("x").alias("one"), F.col("_k").alias("_k2"), F.col("_c").alias("_c2"), F.col("pos").alias("pos2"))
+    claims = runs.where("x <> one").join(at, ["g", "x"]).join(others, ["g", "one"]).select("_k", "_c", begin, stop, "_k2", "_c2", (F.col("pos2") - F.col("high")).cast("int").alias("begin2"))
     owner = around.where("n = 1").select("g", "x", "_k", "_c", "pos")
-    return runs.join(owner, ["g", "x"]).select("_k", "_c", (F.col("pos") - F.col("high")).cast("int").alias("begin"), (F.col("pos") - F.col("low") + length).cast("int").alias("stop"))
+    return runs.join(owner, ["g", "x"]).select("_k", "_c", begin, stop), claims
+
+
+PIECES = "_k long, _c long, at int, size int, _k2 long, _c2 long, block int, skip int"
+
+
+def untrue(bodies: DataFrame, claims: DataFrame) -> DataFrame:
+    """The pieces at which claims are wrong. claims: bytes begin to stop of text (_k, _c) are those from begin2 on of text (_k2, _c2). The other
+    text is read in blocks of CHECKED bytes, each once, however many stretches are compared with it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("_k", "_c", "at", "size", "_k2", "_c2", "block", "skip")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, c, k2, c2, shift, cover in zip(*(column.to_pylist() for column in batch.columns)):
+                for at, stop in union_of((s["begin"], s["stop"]) for s in cover):
+                    while at < stop:
+                        block, skip = divmod(at - shift, CHECKED)
+                        size = min(stop - at, CHECKED - skip)
+                        rows.append((k, c, at, size, k2, c2, block, skip))
+                        at += size
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=list(names))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("_k2", "_c2", "block", "skip", "size")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*kinds, pa.binary()))], names=[*names, "piece"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for i in range(batch.num_rows):
+                raw = batch.column(0)[i].as_py().encode()
+                for a in batch.column(1)[i].as_py():
+                    rows.append((*(a[n] for n in names), raw[max(a["at"], 0) : max(a["at"] + a["size"], 0)]))
+                    held += a["size"]
+                    if held >= PIECE:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    shift = (F.col("begin") - F.col("begin2")).alias("shift")
+    claimed = claims.where("_k <> _k2 or _c <> _c2 or begin <> begin2").groupBy("_k", "_c", "_k2", "_c2", shift).agg(F.collect_list(F.struct("begin", "stop")).alias("cover"))
+    pieces = stored(claimed.mapInArrow(task(cut), PIECES), "claims")
+    # repeated rows have one key and one text
+    once = bodies.where("text is not null").groupBy("_k", "_c").agg(F.min("text").alias("text"))
+
+    def bytes_of(wanted: DataFrame) -> DataFrame:
+        lists = wanted.groupBy("_k", "_c").agg(F.collect_list(F.struct("at", "_k2", "_c2", "block", "skip", "size")).alias("pieces"))
+        return once.join(lists, ["_k", "_c"]).select("text", "pieces").mapInArrow(task(taken), "_k2 long, _c2 long, block int, skip int, size int, piece binary")
+
+    blocks = pieces.select("_k2", "_c2", "block").distinct()
+    blocks = blocks.select(F.col("_k2").alias("_k"), F.col("_c2").alias("_c"), (F.col("block") * CHECKED).alias("at"), "_k2", "_c2", "block", F.lit(0).alias("skip"), F.lit(CHECKED).alias("size"))
+    theirs = bytes_of(blocks).select("_k2", "_c2", "block", F.col("piece").alias("whole"))
+    same = F.col("whole").isNotNull() & (F.col("piece") == F.expr("substring(whole, skip + 1, size)"))
+    return bytes_of(pieces).join(theirs, ["_k2", "_c2", "block"], "left").where(~same).select("_k2", "_c2", "block", "skip", "size")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The keyed documents (_k, _c, doc_id, text), and (_k, _c, spans): overlapping [begin, stop) that cover all repeated bytes."""
     bodies = docs.select(*keyed(docs, doc_id, text), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    all_places = stored(places(bodies, length), "anchors")
+    for turn in itertools.count():
+        every, alike, claims = claimed_spans(bodies, length, turn)
+        if alike and untrue(bodies, claims).isEmpty():
+            return bodies, every.distinct().groupBy("_k", "_c").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+
+
+def claimed_spans(bodies: DataFrame, length: int, turn: int) -> tuple[DataFrame, bool, DataFrame]:
+    """(_k, _c, begin, stop) of repeated bytes as the digests of this turn have it, whether all copies reach equally far, and the claims to verify."""
+    all_places = stored(places(bodies, length, turn), "anchors")
     n = all_places.count()
     # counts of grams are stored before they are joined: a join with shuffles of its own can be split at a gram that is everywhere
     shared = stored(all_places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams", n // 2)
@@ -414,10 +509,16 @@ def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     wanted = mixed_kinds.groupBy("_k", "_c").agg(F.collect_list("a").alias("at"))
     around = stored(surroundings(bodies, wanted), "around", n)
     # a join of its own, which can be split at a passage that is everywhere
-    copies = some.join(kinds.where("n > 1").select("g", "x"), ["g", "x"], "left_semi").select("_k", "_c", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("stop"))
+    alike = (F.col("before") == F.col("first.before")) & (F.col("after") == F.col("first.after"))
+    copies = some.join(kinds.where("n > 1").select("g", "x", "first"), ["g", "x"])
+    copies = copies.select(
+        "_k", "_c", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("stop"),
+        F.col("first._k").alias("_k2"), F.col("first._c").alias("_c2"), (F.col("first.pos") - F.col("before")).alias("begin2"), alike.alias("alike"),
+    )
     copies = stored(copies, "copies", n)
-    every = copies.unionByName(sorted_groups(around.where(F.col("d") <= HOT), length)).unionByName(hot_groups(around.where(F.col("d") > HOT), length))
-    return bodies, every.distinct().groupBy("_k", "_c").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    hot, hot_claims = hot_groups(around.where(F.col("d") > HOT), length, turn)
+    every = copies.select("_k", "_c", "begin", "stop").unionByName(sorted_groups(around.where(F.col("d") <= HOT), length)).unionByName(hot)
+    return every, copies.where(~F.col("alike")).isEmpty(), copies.drop("alike").unionByName(hot_claims)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,12 +535,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
                 sizes, removed, counts, unions, kept = [], [], [], [], []
                 for body, cover in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
                     raw = (body or "").encode()
-                    union: list[list[int]] = []
-                    for begin, stop in sorted((s["begin"], s["stop"]) for s in cover or ()):
-                        if union and begin <= union[-1][1]:
-                            union[-1][1] = max(union[-1][1], stop)
-                        else:
-                            union.append([begin, stop])
+                    union = union_of((s["begin"], s["stop"]) for s in cover or ())
                     edges = [0, *(e for u in union for e in u), len(raw)]
                     sizes.append(len(raw))
                     removed.append(sum(b - a for a, b in union))

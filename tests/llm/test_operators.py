@@ -316,6 +316,36 @@ def test_suffix_deduplication(odd, none, rows, hot, monkeypatch):
     assert suffix.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_suffix_digests_that_collide(odd, rows, hot, monkeypatch):
+    """Digests of the first turn say that all is equal; the bytes say otherwise, and other digests follow."""
+    turns = []
+    full = suffix.digester
+
+    def digester(turn):
+        turns.append(turn)
+        return full(turn) if turn else lambda raw, place: b"x" * 16
+
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "digester", digester)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.deduplicate(odd).collect()]
+    assert set(turns) == {0, 1}
+    assert multiset(got) == multiset((i, *found) for (i, *_), found in zip(rows, brute.op9([r[1] for r in rows])))
+
+
+def test_untrue_claims(spark):
+    """Claims over block borders: true ones, one with another byte, one past the end, one of a text that is not there."""
+    a = "".join(map(str, range(4000)))
+    b = "zz" + a[:9000] + "!" + a[9001:]
+    bodies = spark.createDataFrame([(1, 1, 1, a), (2, 2, 2, b), (2, 2, 2, b)], "_k long, _c long, doc_id long, text string")
+    schema = "_k long, _c long, begin int, stop int, _k2 long, _c2 long, begin2 int"
+    true = [(2, 2, 2, 5000, 1, 1, 0), (2, 2, 4000, 9002, 1, 1, 3998), (2, 2, 9003, 12000, 1, 1, 9001), (1, 1, 10, 500, 1, 1, 10)]
+    assert suffix.untrue(bodies, spark.createDataFrame(true, schema)).isEmpty()
+    wrong = [(2, 2, 4000, 9003, 1, 1, 3998), (1, 1, len(a) - 5, len(a), 2, 2, len(b) - 4), (1, 1, 0, 400, 3, 3, 0), (1, 1, 0, 400, 2, 2, -2)]
+    for claim in wrong:
+        assert not suffix.untrue(bodies, spark.createDataFrame([*true, claim], schema)).isEmpty()
+
+
 def test_suffix_sort_and_collisions():
     rng = np.random.default_rng(3)
     bodies = [bytes(rng.choice(list(b"ab"), rng.integers(1, 60))) for _ in range(300)]
