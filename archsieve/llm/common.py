@@ -58,6 +58,15 @@ def stored(df: DataFrame, what: str, rows: int | None = None, compression: str =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables. Whatever was made of them must be stored itself, for nothing can read or recompute them afterwards."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(shared_dir(spark), files[0].split("/")[-2]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two non-null key columns ``_k`` and ``_c`` (96 bits) that stand for (id, text).
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archsieve.llm.common import keyed, stored, tidy
+from archsieve.llm.common import discard, keyed, stored, tidy
 
 LENGTH, GRAM = 400, 32
 #: Different surroundings of one gram up to which a group is sorted in one task.
@@ -418,6 +418,7 @@ def hot_groups(around: DataFrame, length: int, turn: int = 0) -> tuple[DataFrame
     twice = stored(single.groupBy("g", "j", "s").agg(F.count("*").alias("strings"), F.min("x").alias("one")).where("strings > 1").drop("strings"), "hot-twice", n_blocks * BLOCK // 2)
     found = single.join(twice, ["g", "j", "s"]).select("g", "x", F.col("j").alias("low"), F.col("j").alias("high"), "one")
     runs = stored(found.unionByName(proven), "hot-runs")
+    discard(blocks, cores, hulls, single, twice)
     begin, stop = (F.col("pos") - F.col("high")).cast("int").alias("begin"), (F.col("pos") - F.col("low") + length).cast("int").alias("stop")
     at = around.dropDuplicates(["g", "x"]).select("g", "x", "_k", "_c", "pos")
     others = at.select("g", F.col("x").alias("one"), F.col("_k").alias("_k2"), F.col("_c").alias("_c2"), F.col("pos").alias("pos2"))
@@ -501,6 +502,7 @@ def claimed_spans(bodies: DataFrame, length: int, turn: int) -> tuple[DataFrame,
     # counts of grams are stored before they are joined: a join with shuffles of its own can be split at a gram that is everywhere
     shared = stored(all_places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams", n // 2)
     some = stored(all_places.join(shared, "g"), "shared-anchors", n)
+    discard(all_places, shared)
     # copies of surroundings collapse to one row with their number before groups are looked at
     first = F.min(F.struct("_k", "_c", "pos", "before", "after")).alias("first")
     kinds = stored(some.groupBy("g", "x").agg(F.count("*").alias("n"), first), "surroundings", n)
@@ -516,6 +518,7 @@ def claimed_spans(bodies: DataFrame, length: int, turn: int) -> tuple[DataFrame,
         F.col("first._k").alias("_k2"), F.col("first._c").alias("_c2"), (F.col("first.pos") - F.col("before")).alias("begin2"), alike.alias("alike"),
     )
     copies = stored(copies, "copies", n)
+    discard(some, kinds, groups)
     hot, hot_claims = hot_groups(around.where(F.col("d") > HOT), length, turn)
     every = copies.select("_k", "_c", "begin", "stop").unionByName(sorted_groups(around.where(F.col("d") <= HOT), length)).unionByName(hot)
     return every, copies.where(~F.col("alike")).isEmpty(), copies.drop("alike").unionByName(hot_claims)
