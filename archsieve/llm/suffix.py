@@ -420,7 +420,8 @@ def hot_groups(around: DataFrame, length: int, turn: int = 0) -> tuple[DataFrame
     runs = stored(found.unionByName(proven), "hot-runs")
     discard(blocks, cores, hulls, single, twice)
     begin, stop = (F.col("pos") - F.col("high")).cast("int").alias("begin"), (F.col("pos") - F.col("low") + length).cast("int").alias("stop")
-    at = around.dropDuplicates(["g", "x"]).select("g", "x", "_k", "_c", "pos")
+    # stored for the same reason as the counts
+    at = stored(around.select("g", "x", "_k", "_c", "pos").dropDuplicates(["g", "x"]), "hot-places")
     others = at.select("g", F.col("x").alias("one"), F.col("_k").alias("_k2"), F.col("_c").alias("_c2"), F.col("pos").alias("pos2"))
     claims = runs.where("x <> one").join(at, ["g", "x"]).join(others, ["g", "one"]).select("_k", "_c", begin, stop, "_k2", "_c2", (F.col("pos2") - F.col("high")).cast("int").alias("begin2"))
     owner = around.where("n = 1").select("g", "x", "_k", "_c", "pos")
