@@ -346,6 +346,16 @@ def test_untrue_claims(spark):
         assert not suffix.untrue(bodies, spark.createDataFrame([*true, claim], schema)).isEmpty()
 
 
+def test_equal_pieces_are_compared_once(spark):
+    """A line that stands 50 times in each of 40 texts, at other places in each, claimed to be a line of one more text: as many comparisons as tasks at most."""
+    line = "one very common line of a page "
+    bodies = [(i, i, i, "x" * i + line * 50) for i in range(40)] + [(99, 99, 99, "another line of the same size, y" * 2)]
+    bodies = spark.createDataFrame(bodies, "_k long, _c long, doc_id long, text string").repartition(4)
+    claims = [(i, i, i + 31 * j, i + 31 * (j + 1), 99, 99, 0) for i in range(40) for j in range(50)]
+    found = suffix.untrue(bodies, spark.createDataFrame(claims, "_k long, _c long, begin int, stop int, _k2 long, _c2 long, begin2 int"))
+    assert 1 <= found.count() <= 40
+
+
 def test_suffix_sort_and_collisions():
     rng = np.random.default_rng(3)
     bodies = [bytes(rng.choice(list(b"ab"), rng.integers(1, 60))) for _ in range(300)]
