@@ -13,7 +13,7 @@ columns are not read. Texts are read whole, one at a time.
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from archsieve.llm.common import batches_up_to, stored, tidy
 
-#: Signs that end a piece; words are what stands between them and spaces or tabs.
-BREAKS = ".,;:!?\n\v\f\r"
-TOKENS = re.compile("[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
+#: Signs that end a piece become full stops, A-Z lower case; words are what stands between those and spaces or tabs.
+BREAKS = b".,;:!?\n\v\f\r"
+FOLD = bytes.maketrans(string.ascii_uppercase.encode() + BREAKS, string.ascii_lowercase.encode() + b"." * len(BREAKS))
 #: Bits of the number of a place in the map of frequent phrases.
 PLACES = 28
 #: Words of a slice; a task holds the numbers of one slice.
@@ -46,21 +46,22 @@ COUNTS = "lang string, phrase string, n long"
 SALTS = 64
 
 
+def folded_words(raw: bytes) -> list[bytes]:
+    """The words of a text in UTF-8 with A-Z in lower case, and a full stop for each break. No byte of a longer character is one of ASCII,
+    and of the blanks of ASCII, at which bytes are split, only space and tab are left."""
+    return raw.translate(FOLD).replace(b".", b" . ").split()
+
+
 class Numbers(dict):
-    """A word as written -> the number of the word with A-Z in lower case. Breaks are 0."""
+    """A word -> its number. Breaks are 0."""
 
     def __init__(self):
-        super().__init__(dict.fromkeys(BREAKS, 0))
+        super().__init__({b".": 0})
         self.words = [""]
 
-    def __missing__(self, word: str) -> int:
-        folded = word.encode().lower().decode()
-        if folded != word:
-            number = self[folded]
-        else:
-            number = len(self.words)
-            self.words.append(word)
-        self[word] = number
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word.decode())
         return number
 
 
@@ -115,7 +116,12 @@ def phrases_of(words: list[str], known: Hashes, numbers: np.ndarray, k: int, fre
     bit = (frequent[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)
     whole &= (bit[:-1] & bit[1:]).astype(bool)
     starts = np.flatnonzero(whole)
-    bits, key = len(words).bit_length(), numbers[starts]
+    bits, key, table = len(words).bit_length(), numbers[starts], pa.array(words, pa.string())
+    if k * bits <= 63:  # the numbers of all words are in the key
+        for i in range(1, k):
+            key = key << bits | numbers[starts + i]
+        key, count = np.unique(key, return_counts=True)
+        return pc.binary_join_element_wise(*[table.take(pa.array(key >> bits * (k - 1 - i) & (1 << bits) - 1)) for i in range(k)], " "), count
     width = bits
     for i in range(1, k):
         if width + bits > 63:
@@ -124,7 +130,7 @@ def phrases_of(words: list[str], known: Hashes, numbers: np.ndarray, k: int, fre
         key = key << bits | numbers[starts + i]
         width += bits
     _, first, count = np.unique(key, return_index=True, return_counts=True)
-    first, table = starts[first], pa.array(words, pa.string())
+    first = starts[first]
     return pc.binary_join_element_wise(*[table.take(pa.array(numbers[first + i])) for i in range(k)], " "), count
 
 
@@ -146,7 +152,7 @@ def sliced(docs: DataFrame, slice_words: int = SLICE) -> DataFrame:
                 if (name := lang.as_py()) not in slices:
                     slices[name] = (Numbers(), [])
                 known, parts = slices[name]
-                words = TOKENS.findall(text.as_py())
+                words = folded_words(text.as_buffer().to_pybytes())
                 parts.append(np.append(np.fromiter(map(known.__getitem__, words), dtype=NUMBER, count=len(words)), NUMBER.type(0)))
                 held += len(words) + 1
                 if held >= slice_words:

@@ -184,3 +184,14 @@ def test_chat_of_odd_rows(spark):
     assert chat.read(chat.format(empty)).count() == 0
     unmapped = chat.from_json(spark.createDataFrame([(1, "{}")], "id long, record string"), "record", ("id",))
     assert [(r.formatted, r.turns, r.loss_text) for r in chat.read(chat.format(unmapped)).collect()] == [(None, None, None)]
+
+
+def test_words_of_bytes_are_those_of_the_rule():
+    """Texts split as bytes: each break alone, A-Z lower, no other blank or letter touched."""
+    import re
+
+    rule = re.compile("[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
+    texts = [None, "", " \t ", "a.b,,C d\x0be\x0cf\r\ng", "ÀÉ\xa0x\x85y z　w\x1cv\x1f", "...", "\x00 ẞ Ⅷ \U0001f600;ﬁn", "".join(map(chr, range(0x3000))), "a" * 5 + ". " * 9]
+    for text in texts:
+        want = ["." if w in ".,;:!?\n\v\f\r" else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in rule.findall(text or "")]
+        assert [w.decode() for w in phrases.folded_words((text or "").encode())] == want
