@@ -33,10 +33,11 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def with_severity(found: DataFrame, constraints: DataFrame, default: str = "error") -> DataFrame:
-    """The strictest severity that a constraint of the responsible module sets for a rule."""
+    """The strictest severity that a constraint of the responsible module sets for a rule. Constraints are declared by people: all tasks
+    get their list, and findings stay where they are."""
     rules = constraints.groupBy("module", "rule").agg(F.min(rank(F.col("severity"))).alias("rank"))
     owner = F.when(F.col("rule").isin(*OF_IMPORTER), F.col("from_module")).otherwise(F.col("to_module"))
-    joined = found.drop("severity").withColumn("module", owner).join(rules, ["module", "rule"], "left")
+    joined = found.drop("severity").withColumn("module", owner).join(F.broadcast(rules), ["module", "rule"], "left")
     named = F.when(F.col("rank") == 0, "error").when(F.col("rank") == 1, "warning").otherwise(default)
     return joined.withColumn("severity", named).drop("module", "rank").select(*found.columns)
 

@@ -6,6 +6,8 @@ file to a supplier's. Specs follow from a nation's number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +23,52 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("n_nationkey").alias("k"), F.concat(layer, F.lit("/"), "n_name").alias("module"), layer.alias("layer"))
 
 
+def path(kind: str, module: str, key: str) -> Column:
+    """The path of a customer's or supplier's file."""
+    return F.concat(F.lit("src/"), module, F.lit(f"/{kind}/"), F.col(key).cast("string"), F.lit(".ts"))
+
+
+def in_modules(rows: DataFrame, nation: str, named: DataFrame) -> DataFrame:
+    """Rows with the module (k, module) of their nation. Modules are a short list that people declare: all tasks get it."""
+    return rows.join(F.broadcast(named.select("k", "module")), F.col(nation) == F.col("k")).drop("k")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").withColumn("is_test", F.col("c_mktsegment") == "MACHINERY")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").withColumn("is_test", F.col("s_suppkey") % 7 == 0)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, module, is_test, kind, key)."""
     named = modules(spark, sf_dir)
-    path = lambda kind, key: F.concat(F.lit("src/"), "module", F.lit(f"/{kind}/"), F.col(key).cast("string"), F.lit(".ts"))
-    customers = table(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("k"))
-    suppliers = table(spark, sf_dir, "supplier").join(named, F.col("s_nationkey") == F.col("k"))
-    return customers.select(path("customer", "c_custkey").alias("path"), "module", (F.col("c_mktsegment") == "MACHINERY").alias("is_test"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("key")).unionByName(
-        suppliers.select(path("supplier", "s_suppkey").alias("path"), "module", (F.col("s_suppkey") % 7 == 0).alias("is_test"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("key"))
-    )
-
-
-def edges(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """(from_file, to_file, from_module, to_module, from_test, to_test, specifier, line, kind, type_only, ignored) and
-    more columns of line items and orders."""
-    every = files(spark, sf_dir)
-    side = lambda kind, name: every.where(F.col("kind") == kind).select(F.col("key").alias(f"{name}_key"), F.col("path").alias(f"{name}_file"), F.col("module").alias(f"{name}_module"), F.col("is_test").alias(f"{name}_test"))
-    flag = F.col("l_returnflag")
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    joined = lines.join(side("customer", "from"), F.col("o_custkey") == F.col("from_key")).join(side("supplier", "to"), F.col("l_suppkey") == F.col("to_key"))
+    side = lambda rows, kind, nation, key: in_modules(rows, nation, named).select(path(kind, "module", key).alias("path"), "module", "is_test", F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    return side(customers(spark, sf_dir), "customer", "c_nationkey", "c_custkey").unionByName(side(suppliers(spark, sf_dir), "supplier", "s_nationkey", "s_suppkey"))
+
+
+def edges(spark: SparkSession, sf_dir: str, *more: str, marked: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> DataFrame:
+    """(from_file, to_file, from_module, to_module, from_test, to_test, specifier, relative, line, kind, type_only, ignored) and
+    more columns of line items and orders. marked: adds columns to target files (to_file, to_module), which edges then have too.
+
+    Only numbers and flags are shuffled: paths and modules are put together where all keys have met. dealt: the last join, by customer,
+    is one of sorted sides even where customers are few, so edges lie by ``o_custkey``, and what is grouped within it stays where it is."""
+    named, flag, relative = modules(spark, sf_dir), F.col("l_returnflag"), F.col("l_partkey") % 2 == 0
+    to = suppliers(spark, sf_dir).select("s_suppkey", "s_nationkey", F.col("is_test").alias("to_test"))
+    if marked is not None:
+        at = in_modules(to, "s_nationkey", named).withColumn("to_file", path("supplier", "module", "s_suppkey")).withColumnRenamed("module", "to_module")
+        to = marked(at).drop("to_file", "to_module")
+    extra = [c for c in to.columns if c not in ("s_suppkey", "s_nationkey", "to_test")]
+    items = table(spark, sf_dir, "lineitem").withColumns({"relative": relative, "type_only": flag == "R"})
+    lines = items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(to, F.col("l_suppkey") == F.col("s_suppkey"))
+    of = customers(spark, sf_dir).select("c_custkey", "c_nationkey", F.col("is_test").alias("from_test"))
+    joined = lines.join(of.hint("merge") if dealt else of, F.col("o_custkey") == F.col("c_custkey"))
+    joined = in_modules(in_modules(joined, "c_nationkey", named).withColumnRenamed("module", "from_module"), "s_nationkey", named).withColumnRenamed("module", "to_module")
     return joined.select(
-        "from_file", "to_file", "from_module", "to_module", "from_test", "to_test", specifier().alias("specifier"), F.col("l_linenumber").alias("line"),
-        F.when(flag == "R", "type-only").when(flag == "A", "runtime").otherwise("re-export").alias("kind"), (flag == "R").alias("type_only"), (F.col("l_linenumber") == 7).alias("ignored"), *more,
+        path("customer", "from_module", "o_custkey").alias("from_file"), path("supplier", "to_module", "l_suppkey").alias("to_file"), "from_module", "to_module", "from_test", "to_test",
+        specifier().alias("specifier"), "relative", F.col("l_linenumber").alias("line"),
+        F.when(flag == "R", "type-only").when(flag == "A", "runtime").otherwise("re-export").alias("kind"), "type_only", (F.col("l_linenumber") == 7).alias("ignored"), *more, *extra,
     )
 
 
