@@ -56,6 +56,11 @@ def staleness(found: DataFrame, entries: DataFrame, today: Column) -> DataFrame:
     return tally(counts.join(there, "fingerprint", "left"))
 
 
+def staleness_own(found: DataFrame, there: Column, entry: Column, expired: Column, near: tuple[str, ...] = ()) -> DataFrame:
+    """The same where entries were made of findings: ``entry`` says of which, ``there`` which findings there still are. near: see ``classify_own``."""
+    return tally(found.groupBy(*near, "fingerprint").agg(F.count_if(entry & ~expired).alias("accepted"), F.count_if(entry & expired).alias("expired"), F.count_if(there).alias("there")))
+
+
 def tally(counts: DataFrame) -> DataFrame:
     """The row of ``staleness`` from the counts of each fingerprint."""
     used = counts.select("accepted", "expired", F.least("accepted", F.coalesce("there", F.lit(0))).alias("matched"))

@@ -69,3 +69,11 @@ def test_paths_of_edges_are_not_shuffled(as_large):
     """Keys and flags are; a path behind an exchange would be a column of it."""
     edges = tables.tables.edges(as_large, SF)
     assert not [x for x in plan(edges).split("\n") if "Exchange hashpartitioning" in x and "_file" in x]
+
+
+def test_own_staleness_is_staleness(as_large, found):
+    today = F.lit(TODAY)
+    late = dates.is_expired(F.col("expires_at"), today)
+    want = rows(baselines.staleness(found.where("line <> 2"), found.where(ACCEPTED), today))
+    assert rows(baselines.staleness_own(found, F.col("line") != 2, F.expr(ACCEPTED), late, near=("near",))) == want == [(5, 1, 3, 1)]
+    assert shuffles(tables.QUERIES["baseline_stale"](as_large, SF)) == (1, 6)
