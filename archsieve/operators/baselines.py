@@ -48,6 +48,14 @@ def classify(found: DataFrame, entries: DataFrame, today: Column, order: tuple[s
     return named.drop("_nth", "_entry", "accepted", "_key")
 
 
+def classify_own(found: DataFrame, accepted: Column, order: tuple[str, ...] = ("from_file", "line", "to_file", "rule", "message"), near: tuple[str, ...] = ()) -> DataFrame:
+    """The same where entries were made of the findings themselves: ``accepted`` says of which there is an active one. Findings are read once.
+    near: columns that are equal wherever fingerprints are; findings that lie by them already are not dealt out again."""
+    group = W.partitionBy(*near, "fingerprint")
+    ranked = found.withColumn("_nth", numbered(order, *near, "fingerprint")).withColumn("_accepted", F.count_if(accepted).over(group))
+    return ranked.withColumn("disposition", disposition(F.col("_nth"), F.col("_accepted"))).drop("_nth", "_accepted")
+
+
 def staleness(found: DataFrame, entries: DataFrame, today: Column) -> DataFrame:
     """One row: entries, expired, matched, stale (active entries that no finding used up)."""
     marked = entries.withColumn("expired", dates.is_expired(F.col("expires_at"), today))

@@ -77,3 +77,13 @@ def test_own_staleness_is_staleness(as_large, found):
     want = rows(baselines.staleness(found.where("line <> 2"), found.where(ACCEPTED), today))
     assert rows(baselines.staleness_own(found, F.col("line") != 2, F.expr(ACCEPTED), late, near=("near",))) == want == [(5, 1, 3, 1)]
     assert shuffles(tables.QUERIES["baseline_stale"](as_large, SF)) == (1, 6)
+
+
+def test_own_classification_is_classification(as_large, found):
+    today = F.lit(TODAY)
+    columns = ("fingerprint", "line", "disposition")
+    want = rows(baselines.classify(found.drop("expires_at"), found.where(ACCEPTED), today, order=("line",)).select(*columns))
+    accepted = F.expr(ACCEPTED) & ~dates.is_expired(F.col("expires_at"), today)
+    got = rows(baselines.classify_own(found, accepted, order=("line",), near=("near",)).select(*columns))
+    assert got == want and ("f", None, "baseline") in got and ("f", 9, "new") in got and ("h", 3, "new") in got
+    assert shuffles(tables.QUERIES["baseline_classify"](as_large, SF)) == (1, 6)
