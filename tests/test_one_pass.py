@@ -87,3 +87,7 @@ def test_own_classification_is_classification(as_large, found):
     got = rows(baselines.classify_own(found, accepted, order=("line",), near=("near",)).select(*columns))
     assert got == want and ("f", None, "baseline") in got and ("f", 9, "new") in got and ("h", 3, "new") in got
     assert shuffles(tables.QUERIES["baseline_classify"](as_large, SF)) == (1, 6)
+
+
+def test_diff_lines_read_line_items_once_and_store_nothing(as_large):
+    assert shuffles(tables.QUERIES["diff_lines"](as_large, SF)) == (1, 6)
