@@ -91,3 +91,7 @@ def test_own_classification_is_classification(as_large, found):
 
 def test_diff_lines_read_line_items_once_and_store_nothing(as_large):
     assert shuffles(tables.QUERIES["diff_lines"](as_large, SF)) == (1, 6)
+
+
+def test_report_reads_findings_for_its_lines_and_once_for_its_counts(as_large):
+    assert shuffles(tables.QUERIES["verdict_report"](as_large, SF)) == (2, 12)
