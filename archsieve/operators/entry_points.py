@@ -130,12 +130,13 @@ def stems(pairs: DataFrame, table: DataFrame) -> DataFrame:
     key = F.concat(F.lit("."), F.substr("wanted", F.length("package") + 1, F.length("wanted")))
     lie = named.join(roots(named.select(F.col("at").alias("directory"), "package"), table).withColumnRenamed("directory", "at"), ["at", "package"])
     asked = lie.select("directory", "specifier", "first", "root", key.alias("key"))
-    found = matched(asked, table.where("kind in ('exports', 'main')"))
-    every = asked.join(found, ["directory", "specifier", "first", "root", "key"], "left")
+    # many directories ask for the same entry of a package: each is looked up once
+    keys = asked.select("root", "key").distinct()
+    found = matched(keys, table.where("kind in ('exports', 'main')"))
     modern = table.where("kind = 'exports'").select("root", F.lit(True).alias("literal")).distinct()
     below = F.col("root").rlike("(^|/)node_modules/")
     stem = lambda root: F.when(F.startswith("target", F.lit("./")), paths.collapsed(F.concat_ws("/", root, "target")))
-    place = F.struct("first", F.coalesce("place", F.lit(0)).alias("place")).alias("place")
-    out = every.join(modern, "root", "left").select("directory", "specifier", place, stem("root").alias("stem"), F.coalesce("literal", F.lit(False)).alias("literal"), "root", below.alias("inside"))
+    meant = keys.join(found, ["root", "key"], "left").join(modern, "root", "left").select("root", "key", F.coalesce("place", F.lit(0)).alias("place"), stem("root").alias("stem"), F.coalesce("literal", F.lit(False)).alias("literal"), below.alias("inside"))
+    out = asked.join(meant, ["root", "key"]).select("directory", "specifier", F.struct("first", "place").alias("place"), "stem", "literal", "root", "inside")
     paths_of = imports.where(local | F.col("target").isNull()).select("directory", "specifier", F.struct(F.col("place").alias("first"), F.lit(0).alias("place")).alias("place"), stem("root").alias("stem"), F.lit(True).alias("literal"), "root", below.alias("inside"))
     return out.unionByName(paths_of)

@@ -5,6 +5,9 @@ Each round cuts the lineage with checkpoint() in the folder that the cluster sha
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several parts of a plan read, written once to the folder that the cluster shares: columns, compressed."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = posixpath.join(folder or "file:///tmp/checkpoints", f"kept-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def importers(edges: DataFrame) -> DataFrame:
     """(to_module, importers): who imports a module, itself left out."""
     return edges.where("from_module <> to_module").groupBy("to_module").agg(F.array_sort(F.collect_set("from_module")).alias("importers"))

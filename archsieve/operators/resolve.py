@@ -60,26 +60,31 @@ def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame | None =
     stems = pairs.select("directory", "specifier", F.struct(F.lit(False).alias("base"), F.lit(0).alias("place")).alias("choice"), stem.alias("stem")).where("stem is not null")
     if aliases is not None:
         stems = stems.unionByName(alias_stems(pairs, aliases))
-    tried = stems.select("directory", "specifier", F.struct(F.lit(0).alias("way"), F.lit(0).alias("first"), F.col("choice.base").cast("int").alias("base"), F.col("choice.place").alias("of")).alias("choice"), F.posexplode(candidates(F.col("stem"))).alias("place", "path"))
-    own = None
+    none = F.lit(None).cast("string")
+    rows = stems.select("directory", "specifier", F.struct(F.lit(0).alias("way"), F.lit(0).alias("first"), F.col("choice.base").cast("int").alias("base"), F.col("choice.place").alias("of")).alias("choice"), "stem", F.lit(False).alias("literal"), F.lit(None).cast("boolean").alias("entered"), none.alias("other"))
     if entries is not None:
         own = entry_points.stems(pairs, entries)
         choice = F.struct(F.lit(1).alias("way"), F.col("place.first").alias("first"), F.lit(0).alias("base"), F.col("place.place").alias("of"))
-        meant = F.when(F.col("literal"), candidates(F.col("stem"), literal=True)).otherwise(candidates(F.col("stem")))
-        tried = tried.unionByName(own.where("stem is not null").select("directory", "specifier", choice.alias("choice"), F.posexplode(meant).alias("place", "path")))
-    found = tried.join(files.select("path").distinct(), "path").groupBy("directory", "specifier").agg(F.min_by("path", F.struct("choice", "place")).alias("target"))
-    out = pairs.join(found, ["directory", "specifier"], "left").withColumn("package", F.when(names.is_bare(s) & ~F.startswith(s, F.lit("#")), names.package(s)))
+        other = F.when(F.startswith(s, F.lit("#")) & F.col("inside"), F.regexp_extract("root", "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1))
+        rows = rows.unionByName(own.select("directory", "specifier", choice.alias("choice"), "stem", "literal", (F.col("inside") & F.col("stem").isNotNull()).alias("entered"), other.alias("other")))
+    # files are looked up once a stem, which many requests may share; a null stem has a key of its own, for nulls would meet in one task
+    at = F.coalesce("stem", F.concat(F.lit("\0"), "directory", F.lit("\0"), "specifier"))
+    tried = rows.where("stem is not null").select("stem", "literal").distinct()
+    tried = tried.select(F.col("stem").alias("_at"), "literal", F.posexplode(F.when(F.col("literal"), candidates(F.col("stem"), literal=True)).otherwise(candidates(F.col("stem")))).alias("place", "path"))
+    first = tried.join(files.select("path").distinct(), "path").groupBy("_at", "literal").agg(F.min(F.struct("place", "path")).alias("there"))
+    met = rows.withColumn("_at", at).join(first, ["_at", "literal"], "left")
+    found = met.groupBy("directory", "specifier").agg(F.min_by("there.path", F.when(F.col("there").isNotNull(), F.struct("choice", "there.place"))).alias("_target"), F.bool_or("entered").alias("_entered"), F.max("other").alias("_other"))
+    out = requests.join(found, ["directory", "specifier"], "left").withColumn("_package", F.coalesce(F.when(names.is_bare(s) & ~F.startswith(s, F.lit("#")), names.package(s)), "_other"))
     builtin = names.is_builtin(s) & names.is_bare(s)
     installed = F.lit(False)
     if packages is not None:
-        out = out.join(packages.select("package", F.lit(True).alias("installed")).distinct(), "package", "left")
-        installed = F.coalesce("installed", F.lit(False))
-    if own is not None:
-        told = own.groupBy("directory", "specifier").agg(F.bool_or(F.col("inside") & F.col("stem").isNotNull()).alias("entered"), F.max(F.when(F.startswith(s, F.lit("#")) & F.col("inside"), F.regexp_extract("root", "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1))).alias("other"))
-        out = out.join(told, ["directory", "specifier"], "left").withColumn("package", F.coalesce("package", "other"))
-        installed = F.coalesce("entered", installed)
-    kind = F.when(F.startswith(s, F.lit("node:")) & builtin, THIRD).when(F.col("target").isNotNull(), FIRST).when(installed | builtin, THIRD).otherwise(NONE)
-    return requests.join(out.select("directory", "specifier", kind.alias("kind"), "target", F.when(kind == THIRD, F.col("package")).alias("package")), ["directory", "specifier"], "left")
+        out = out.join(packages.select(F.col("package").alias("_package"), F.lit(True).alias("_installed")).distinct(), "_package", "left")
+        installed = F.coalesce("_installed", installed)
+    installed = F.coalesce("_entered", installed)  # null where no package with a manifest is asked for
+    kind = F.when(F.startswith(s, F.lit("node:")) & builtin, THIRD).when(F.col("_target").isNotNull(), FIRST).when(installed | builtin, THIRD).otherwise(NONE)
+    kind = F.when(F.col("directory").isNotNull() & s.isNotNull(), kind)
+    more = [c for c in requests.columns if c not in ("directory", "specifier")]
+    return out.select("directory", "specifier", *more, kind.alias("kind"), F.col("_target").alias("target"), F.when(kind == THIRD, F.col("_package")).alias("package"))
 
 
 def explain(requests: DataFrame, files: DataFrame) -> DataFrame:

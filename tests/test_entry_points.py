@@ -1,10 +1,12 @@
 """Entry points of packages: conditions in their order, wildcards, closed entries, a package's own names, where a package lies."""
 
 import json
+import re
 
 import pytest
 
 from archsieve.operators import entry_points, resolve
+from archsieve.plans import tables
 from archsieve.plans.engine import Project
 
 
@@ -66,3 +68,18 @@ def test_project_with_workspace_packages(spark, tmp_path):
     project = Project(spark, str(tmp_path))
     assert [(r.from_file, r.to_file) for r in project.edges.collect()] == [("packages/b/src/i.ts", "packages/a/src/api.ts")]
     assert [r.specifier for r in project.unresolved.collect()] == ["lib/y"]
+
+
+def test_requests_are_made_once_and_entries_looked_up_once_a_package(spark):
+    plan = tables.QUERIES["entry_points_of"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"FileScan parquet \[l_", plan)  # the steps of the resolution read what was written, not the line items again
+    keys = re.findall(r"Generate explode\(transform\(sequence\(0, length\(key#\d+\)[^\n]*?\)\), \[([^\]]*)\]", plan)
+    assert keys and any(re.sub(r"#\d+", "", k) == "root, key" for k in keys)
+
+
+def test_many_directories_share_an_entry(spark):
+    manifests = spark.createDataFrame([("p/package.json", json.dumps({"name": "p", "exports": {".": "./a.js", "./no": None}}))], "path string, content string")
+    asked = spark.createDataFrame([(d, s) for d in ("x", "y", "z/u") for s in ("p", "p/no", "p/else", "q")] + [(None, "p"), ("x", None)], "directory string, specifier string")
+    got = resolve.resolve(asked, spark.createDataFrame([("p/a.ts",)], "path string"), spark.createDataFrame([("q",)], "package string"), entries=entry_points.entries(manifests)).collect()
+    told = {"p": ("first_party", "p/a.ts", None), "p/no": ("unresolved", None, None), "p/else": ("unresolved", None, None), "q": ("third_party", None, "q")}
+    assert len(got) == 14 and all((r.kind, r.target, r.package) == (told[r.specifier] if r.directory and r.specifier else (None, None, None)) for r in got)
