@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from archsieve.llm.common import batches_up_to, stored, tidy
+from archsieve.llm.common import batches_up_to, settings, stored, tidy
 
 #: Signs that end a piece become full stops, A-Z lower case; words are what stands between those and spaces or tabs.
 BREAKS = b".,;:!?\n\v\f\r"
@@ -34,12 +34,12 @@ FOLD = bytes.maketrans(string.ascii_uppercase.encode() + BREAKS, string.ascii_lo
 PLACES = 28
 #: Words of a slice; a task holds the numbers of one slice.
 SLICE = 500_000
-#: Bytes of texts or slices that go to Python in a batch.
-BATCH_BYTES = 8 << 20
+#: Bytes of texts that go to Python in a batch; a slice is more, and goes alone.
+BATCH_BYTES = 1 << 20
 #: Words whose hashes a task keeps.
 KNOWN = 200_000
 #: Phrases that go from Python to Spark in a batch.
-ROWS = 100_000
+ROWS = 25_000
 NUMBER = np.dtype("<i4")
 COUNTS = "lang string, phrase string, n long"
 #: Groups of a language's phrases that are ranked alone before the best of all meet: SALTS * top rows a language at most.
@@ -197,20 +197,28 @@ def bitmap(phrases: DataFrame, k: int, map_bits: int = PLACES) -> bytes:
 
 def levels(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
     """(lang, n) and (lang, k, phrase, f): the numbers of all words, and the phrases of 1 to ``words`` words that occur ``least`` times.
-    Tables are stored in here, with batches of a few slices."""
+    Tables are stored in here, with batches of one slice."""
     with batches_up_to(docs.sparkSession, BATCH_BYTES):
         return passes(docs, least, words, slice_words, map_bits)
 
 
+def one_by_one(spark: SparkSession):
+    """Jobs started inside read one row of a Parquet file at a time. A slice has megabytes, and a reader's usual batch would decode all
+    slices of a file at once, into arrays that double as they grow."""
+    return settings(spark, spark__sql__parquet__columnarReaderBatchSize="1")
+
+
 def passes(docs: DataFrame, least: int, words: int, slice_words: int, map_bits: int) -> tuple[DataFrame, DataFrame]:
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     slices = stored(sliced(docs, slice_words), "phrase-slices", compression="zstd")
-    first = stored(counted(slices, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
+    with one_by_one(spark):
+        first = stored(counted(slices, 1, None, slice_words).where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases-1")
     totals = first.where("phrase is null").select("lang", "n")
     tables = [first.where("phrase is not null")]
     for k in range(2, words + 1):
-        frequent = context.broadcast(bitmap(tables[-1], k - 1, map_bits))
-        tables.append(stored(counted(slices, k, frequent, slice_words).where(F.col("n") >= least), f"phrases-{k}"))
+        frequent = spark.sparkContext.broadcast(bitmap(tables[-1], k - 1, map_bits))
+        with one_by_one(spark):
+            tables.append(stored(counted(slices, k, frequent, slice_words).where(F.col("n") >= least), f"phrases-{k}"))
         frequent.unpersist()
     every = [t.select("lang", F.lit(k).alias("k"), "phrase", F.col("n").alias("f")) for k, t in enumerate(tables, 1)]
     return totals, reduce(DataFrame.union, every)
